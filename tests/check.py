@@ -22,8 +22,8 @@ def main() -> int:
             continue
         try:
             ok, note, sec = compare(spark, f"/root/testdata/sf{sf}", fn, sql.get(name))
-        except Exception as exc:  # noqa: BLE001
-            ok, note, sec = False, f"{type(exc).__name__}: {str(exc)[:900]}", -1
+        except BaseException as exc:  # noqa: BLE001
+            ok, note, sec = False, f"{type(exc).__name__}: {str(exc)[:500]}", -1
         if not ok:
             failed.append(name)
         print(f"{'ok ' if ok else 'BAD'} {name} {sec:.1f}s {note}", flush=True)

@@ -20,9 +20,9 @@ PX = feat.PRICE_COLUMNS
 
 
 @query("bars_daily_ohlcv", f"""SELECT symbol, ts, {r6('open','open')}, {r6('high','high')}, {r6('low','low')},
-  {r6('"close"','"close"')}, volume FROM bars""")
+  {r6('"close"','"close"')}, {r6('volume','volume',3)} FROM bars""")
 def _(t):
-    return t.bars().select("symbol", "ts", *[r(c, c) for c in ("open", "high", "low", "close")], "volume")
+    return t.bars().select("symbol", "ts", *[r(c, c) for c in ("open", "high", "low", "close")], r("volume", "volume", 3))
 
 
 @query("fea_30_price_features", "SELECT symbol, ts, " + ", ".join(r6(c, c) for c in PX) + " FROM px_feat")

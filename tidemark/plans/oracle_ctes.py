@@ -4,8 +4,8 @@ CTES: dict[str, str] = {}
 
 CTES["bars"] = """
 SELECT 'S' || l_suppkey AS symbol, l_shipdate AS ts, arg_min(px, k) AS open, max(px) AS high, min(px) AS low,
-       arg_max(px, k) AS "close", sum(l_quantity * 1000) AS volume
-FROM (SELECT *, 50 + l_extendedprice / 1000 AS px,
+       arg_max(px, k) AS "close", sum(l_quantity * 1000 + l_extendedprice / 10) AS volume
+FROM (SELECT *, 100 + l_extendedprice / 20011.7 AS px,
              (l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576 AS k FROM lineitem)
 GROUP BY 1, 2"""
 

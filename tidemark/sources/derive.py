@@ -55,8 +55,8 @@ def daily_bars(lineitem: DataFrame) -> DataFrame:
     ticks = lineitem.select(
         F.concat(F.lit("S"), "l_suppkey").alias("symbol"),
         F.col("l_shipdate").alias("ts"),
-        (50 + F.col("l_extendedprice") / 1000).alias("px"),
-        (F.col("l_quantity") * 1000).alias("qty"),
+        (100 + F.col("l_extendedprice") / 20011.7).alias("px"),
+        (F.col("l_quantity") * 1000 + F.col("l_extendedprice") / 10).alias("qty"),
         tick.alias("k"),
     )
     return ticks.groupBy("symbol", "ts").agg(
