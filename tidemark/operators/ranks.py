@@ -47,6 +47,16 @@ def average_rank(df: DataFrame, by: Sequence[str], x: str, buckets: int = BUCKET
                       F.col("_k_total").alias("n"))
 
 
+def competition_rank(df: DataFrame, by: Sequence[str], x: str, out: str = "rank") -> DataFrame:
+    """Descending 1-2-2-4 rank of every row in its group, NULLs last; any group size."""
+    counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_k"))
+    known = prefix_by_value(counts.where(F.col(x).isNotNull()), by, x, ["_k"])
+    ranked = known.select(*by, x, (F.col("_k_total") - F.col("_k_before") - F.col("_k") + 1).cast("bigint").alias("_r"))
+    sizes = counts.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sum("_k").alias("_n"))
+    joined = df.join(ranked, [*by, x], "left").join(sizes, list(by), "left")
+    return joined.withColumn(out, F.coalesce("_r", F.coalesce("_n", F.lit(0)) + 1)).drop("_r", "_n")
+
+
 def small_average_rank(x: Column, *by: str, ascending: bool = True) -> Column:
     """Average-tie rank as a window, for groups of declared size (features, runs)."""
     order = x.asc_nulls_last() if ascending else x.desc_nulls_last()

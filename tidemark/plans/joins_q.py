@@ -1,5 +1,4 @@
 """Time-join, date and equi-join queries."""
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as dt
@@ -7,6 +6,7 @@ from tidemark.operators import features as feat
 from tidemark.operators import labels as lab
 from tidemark.operators import timejoin as tj
 from tidemark.operators import windows as win
+from tidemark.operators.ranks import competition_rank
 from tidemark.plans.registry import query, r6
 from tidemark.sources import checks
 
@@ -66,8 +66,8 @@ def _(t):
 
 
 @query("val_12_no_look_ahead_gate", f"""
-SELECT count(*) AS n_checks, CAST(count(CASE WHEN bar_ts > asof THEN 1 END) AS BIGINT) AS n_violations, count(CASE WHEN bar_ts > asof THEN 1 END) = 0 AS passed FROM (
-SELECT a.asof, b.ts AS bar_ts FROM ({_ASKS}) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.asof >= b.ts)""")
+SELECT count(*) AS n_checks, CAST(count(CASE WHEN bar_ts > a_of THEN 1 END) AS BIGINT) AS n_violations, count(CASE WHEN bar_ts > a_of THEN 1 END) = 0 AS passed FROM (
+SELECT a.asof AS a_of, b.ts AS bar_ts FROM ({_ASKS}) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.asof >= b.ts)""")
 def _(t):
     bars = t.bars().select("symbol", F.col("ts").alias("bar_ts"))
     out = tj.asof_join(asks(t), bars, ["symbol"], "asof", "bar_ts", []).drop("bar_ts")
@@ -300,5 +300,4 @@ def _(t):
 @query("win_12_competition_rank", """
 SELECT s_suppkey, CAST(rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST) AS BIGINT) AS rnk FROM supplier""")
 def _(t):
-    w = Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc_nulls_last())
-    return t.raw("supplier").select("s_suppkey", F.rank().over(w).cast("bigint").alias("rnk"))
+    return competition_rank(t.raw("supplier"), ["s_nationkey"], "s_acctbal").select("s_suppkey", F.col("rank").alias("rnk"))
