@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EULER_GAMMA = 0.5772156649015329  # fixed value: Euler-Mascheroni constant
 _STANDARD = NormalDist()
@@ -54,17 +55,17 @@ def _map(series: pd.Series, fn) -> pd.Series:
     return pd.Series([None if pd.isna(v) else fn(float(v)) for v in series], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     return _map(x, lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     return _map(p, lambda v: _STANDARD.inv_cdf(v) if 0.0 < v < 1.0 else (math.inf if v >= 1 else -math.inf))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     out = [None if pd.isna(a) or pd.isna(b) else student_t_cdf(float(a), float(b)) for a, b in zip(t, df)]
     return pd.Series(out, dtype="float64")
@@ -86,6 +87,12 @@ def drawdown_probability(log_vol: Column, depth: float, horizon: int) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * norm_cdf(z)))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation aggregate; NULL instead of an error when a side is constant."""
+    a, b = (F.when(a.isNotNull() & b.isNotNull(), v) for v in (a, b))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def finite(x: Column) -> Column:
     """NULL for NaN and infinities."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)

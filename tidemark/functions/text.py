@@ -6,13 +6,14 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The five named entities every page uses, "&amp;" last so that it is not undone twice.
 BASIC_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 STRIP_CAP = 20_000  # fixed value: optional cut for stored filing text; whole texts are the default
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """All named and numeric entities, per Arrow batch."""
     return text.map(lambda v: None if v is None else html.unescape(v))

@@ -571,7 +571,7 @@ SELECT symbol, {r6('regr_slope(y, p)','slope')}, {r6('regr_intercept(y, p)','int
 def _(t):
     b = t.bars().withColumns({"p": win.pct_change("close", 5), "y": lab.forward_return(1)}).where("p IS NOT NULL AND y IS NOT NULL")
     return b.groupBy("symbol").agg(r(F.regr_slope("y", "p"), "slope"), r(F.regr_intercept("y", "p"), "intercept"),
-                                   r(F.avg((F.signum("y") == F.signum("p")).cast("double")), "hit_rate"), r(F.corr("y", "p"), "corr"))
+                                   r(F.avg((F.signum("y") == F.signum("p")).cast("double")), "hit_rate"), r(special.correlation(F.col("y"), F.col("p")), "corr"))
 
 
 @query("agg_21_mean_absolute_contribution", f"""

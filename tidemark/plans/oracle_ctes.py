@@ -83,3 +83,32 @@ SELECT r.*, coalesce(e.name, 'pre_qe') AS regime FROM rets r LEFT JOIN eras e ON
 
 CTES["positions"] = """
 SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos FROM (SELECT DISTINCT ts FROM bars)"""
+
+# Three forecast schemes of the next bar's return, tall.
+CTES["scheme_pred"] = """
+SELECT scheme, symbol, ts, y AS y_true, CASE scheme WHEN 'long' THEN 0.001 WHEN 'mom' THEN ret_1d ELSE -0.5 * ret_1d END AS y_pred
+FROM (SELECT symbol, ts, ret_1d, lead(ret_1d) OVER (PARTITION BY symbol ORDER BY ts) AS y FROM px_ret),
+     (SELECT unnest(['long', 'mom', 'rev']) AS scheme) WHERE ret_1d IS NOT NULL AND y IS NOT NULL"""
+
+CTES["scheme_daily"] = """
+SELECT scheme, ts, avg(y_true - y_pred) AS err, avg(sign(y_pred) * y_true) AS ret, coalesce(any_value(e.name), 'pre_qe') AS regime
+FROM scheme_pred p LEFT JOIN eras e ON CAST(p.ts AS DATE) BETWEEN e.lo AND e.hi GROUP BY 1, 2"""
+
+
+def uniform_sql(*parts: str) -> str:
+    return "(CAST('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+def norm_cdf_sql(z: str) -> str:
+    """Standard normal CDF by Simpson's rule on 4000 intervals."""
+    x = f"greatest(-12.0, least(12.0, {z}))"
+    return (f"(0.5 + ({x}) / 12000.0 * list_sum(list_transform(range(0, 4001), lambda i: "
+            f"(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * pow(({x}) * i / 4000.0, 2)))) / sqrt(2 * pi()))")
+
+
+def t_cdf_sql(t: str, df: str) -> str:
+    """Student t CDF by Simpson's rule."""
+    x = f"greatest(-40.0, least(40.0, {t}))"
+    return (f"(0.5 + ({x}) / 24000.0 * list_sum(list_transform(range(0, 8001), lambda i: "
+            f"(CASE WHEN i = 0 OR i = 8000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(({x}) * i / 8000.0, 2) / ({df}), -(({df}) + 1) / 2.0)))"
+            f" * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi() * ({df})))")
