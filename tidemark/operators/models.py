@@ -136,8 +136,12 @@ def ar1_pooled_predict(positioned: DataFrame, wf: WalkForward, y: str = "y", key
     w = Window.partitionBy("fold", key).orderBy("ts")
     inner = train.withColumn("_p", F.lag(y).over(w)).where("_p IS NOT NULL").select("fold", F.col(y).alias("_y"), "_p")
     ends = train.groupBy("fold", key).agg(F.min_by(y, "ts").alias("_first"), F.max_by(y, "ts").alias("_last"))
-    # One row per symbol and fold; symbols are cut into hash-free name ranges by their first letters.
-    seam = ends.withColumn("_p", F.lag("_last").over(Window.partitionBy("fold").orderBy(key)))
+    # The order of symbols is cut at their first letters; each piece passes its last value on.
+    ends = ends.withColumn("_b", F.substring(key, 1, 3))
+    inside = Window.partitionBy("fold", "_b").orderBy(key)
+    carry = ends.groupBy("fold", "_b").agg(F.max_by("_last", key).alias("_end"))
+    carry = carry.withColumn("_carry", F.lag("_end").over(Window.partitionBy("fold").orderBy("_b"))).drop("_end")
+    seam = ends.join(carry, ["fold", "_b"]).withColumn("_p", F.coalesce(F.lag("_last").over(inside), F.col("_carry")))
     seams = seam.where("_p IS NOT NULL").select("fold", F.col("_first").alias("_y"), "_p")
     tail = ends.groupBy("fold").agg(F.max_by("_last", key).alias("last_y"))
     fit = inner.unionByName(seams).groupBy("fold").agg(F.regr_slope("_y", "_p").alias("phi"), F.regr_intercept("_y", "_p").alias("_c"))
@@ -178,9 +182,10 @@ def latest_row_scores(rows: DataFrame, columns: Sequence[str], y: str = "y", key
 
 
 # --- Spark ML per fold ----------------------------------------------------------------------
-def fit_folds(train: DataFrame, folds: Sequence[int], fit: Callable[[DataFrame], object]) -> dict[int, object]:
-    """One distributed fit per fold. Folds are few; each fit is a Spark ML job over all its rows."""
-    return {f: fit(train.where(F.col("fold") == f)) for f in folds}
+def fold_ids(positioned: DataFrame, wf: WalkForward) -> list[int]:
+    """Numbers of the folds the calendar holds; each is then fitted by a distributed job."""
+    n = positioned.agg(F.max("n_days")).first()[0] or 0
+    return list(range(max(0, (n - wf.test - wf.train) // wf.step + 1))) if wf.train > wf.gap else []
 
 
 def assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -208,15 +213,15 @@ def boosted_trees(columns: Sequence[str], y: str = "y", weight: str | None = Non
     return est.setWeightCol(weight) if weight else est
 
 
-def boosted_tree_predict(positioned: DataFrame, wf: WalkForward, columns: Sequence[str], folds: Sequence[int], y: str = "y",
+def boosted_tree_predict(positioned: DataFrame, wf: WalkForward, columns: Sequence[str], y: str = "y",
                          weight: str | None = None, draws: Sequence[dict] = ({},), n_splits: int = 3, seed: int = 0) -> DataFrame:
     """Boosted trees per fold; several draws are compared by MSE on inner time splits."""
     from pyspark.ml.evaluation import RegressionEvaluator
 
-    rows = assembled(assign_folds(positioned, wf), columns).where(F.col("fold").isin(*folds))
+    rows = assembled(assign_folds(positioned, wf), columns)
     mse = RegressionEvaluator(labelCol=y, predictionCol="y_pred", metricName="mse")
     out = None
-    for fold in folds:
+    for fold in fold_ids(positioned, wf):
         own = rows.where(F.col("fold") == fold)
         train = own.where("role = 'train'").persist()
         best = draws[0]
@@ -245,7 +250,7 @@ def gain_importance(rows: DataFrame, columns: Sequence[str], y: str = "y", seed:
     return rows.sparkSession.createDataFrame(pairs, "feature string, importance double")
 
 
-def logistic_predict(positioned: DataFrame, wf: WalkForward, columns: Sequence[str], folds: Sequence[int], y: str = "y",
+def logistic_predict(positioned: DataFrame, wf: WalkForward, columns: Sequence[str], y: str = "y",
                      **params) -> DataFrame:
     """Probability that the label is positive, per fold."""
     from pyspark.ml.classification import LogisticRegression
@@ -254,7 +259,7 @@ def logistic_predict(positioned: DataFrame, wf: WalkForward, columns: Sequence[s
     rows = assembled(assign_folds(positioned, wf), columns).withColumn("_lab", (F.col(y) > 0).cast("double"))
     est = LogisticRegression(featuresCol="_x", labelCol="_lab", probabilityCol="_p", **params)
     out = None
-    for fold in folds:
+    for fold in fold_ids(positioned, wf):
         own = rows.where(F.col("fold") == fold)
         pred = est.fit(own.where("role = 'train'")).transform(own.where("role = 'test'"))
         pred = pred.withColumn("y_pred", vector_to_array("_p")[1]).drop("_x", "_p", "_lab", "rawPrediction", "prediction")

@@ -110,3 +110,28 @@ def spearman(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     va, vb = F.sum(w * ra * ra) - n * m * m, F.sum(w * rb * rb) - n * m * m
     rho = F.when(n >= 3, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
     return ranked.groupBy(*by).agg(rho.alias("rho"), n.cast("bigint").alias("n"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, cuts: Sequence[float], out: str = "q") -> DataFrame:
+    """Linearly interpolated quantiles per group as an array, in the order of ``cuts``.
+
+    The order statistics are found among distinct values with their cumulative
+    counts, so no task holds a whole group.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_k"))
+    pre = prefix_by_value(values, by, x, ["_k"])
+    first, last = F.col("_k_before"), F.col("_k_before") + F.col("_k") - 1
+    top = F.col("_k_total") - 1
+
+    def slot(i: int, q: float) -> Column:
+        low = F.floor(F.lit(q) * top)
+        high = F.least(low + 1, top)
+        inside = lambda k: (k >= first) & (k <= last)
+        share = F.lit(q) * top - low
+        weight = F.when(inside(low), 1 - share).otherwise(0.0) + F.when(inside(high), share).otherwise(0.0)
+        return F.struct(F.lit(i).alias("i"), weight.alias("w"), (inside(low) | inside(high)).alias("hit"))
+
+    hits = pre.select(*by, x, F.explode(F.filter(
+        F.array(*[slot(i, q) for i, q in enumerate(cuts)]), lambda s: s["hit"])).alias("_s"))
+    single = hits.groupBy(*by, "_s.i").agg(F.sum(F.col("_s.w") * F.col(x)).alias("_q"))
+    return single.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda s: s["_q"]).alias(out))

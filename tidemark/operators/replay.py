@@ -160,3 +160,60 @@ def vector_replay(bars: DataFrame, by: Sequence[str], slippage_bps: float = 5.0,
     move = F.try_divide(F.lead("open").over(w), F.col("open")) - 1
     turn = F.abs(F.col("_pos") - F.coalesce(F.lag("_pos").over(w), F.lit(0)))
     return out.select(*by, "ts", (F.col("_pos") * move - turn * slippage_bps / 10_000).alias("ret")).where("ret IS NOT NULL")
+
+
+def always_long_growth(benchmark: DataFrame, days: DataFrame, costs: Costs = BACKTEST_COSTS) -> DataFrame:
+    """Benchmark held from the first date, net of costs, normalised to 1.
+
+    ``benchmark`` has one row per date (ts, close), ``days`` the dates to align to; the
+    price is carried forward. Empty when the benchmark starts after the first date.
+    """
+    line = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # calendar-sized
+    marks = days.select("ts").distinct().withColumn("_want", F.lit(True)).join(benchmark.select("ts", "close"), "ts", "full")
+    carried = marks.withColumn("open", F.last("close", ignorenulls=True).over(line)).where("_want")
+    covered = carried.withColumn("_gaps", F.count_if(F.col("open").isNull()).over(Window.partitionBy())).where("_gaps = 0")
+    rows = covered.select(F.lit("benchmark").alias("run"), "ts", "open", F.lit(1e15).alias("volume"), F.lit(1).alias("signal"))
+    eq = equity(replay(rows, ["run"], costs), ["run"])
+    first = F.min_by("equity", "ts").over(Window.partitionBy("run"))
+    return eq.select("ts", F.try_divide("equity", first).alias("growth"))
+
+
+COST_ORDER = ("commission_per_share", "slippage_bps", "liquidity_cap")
+
+
+def cost_steps(a: Costs, b: Costs) -> list[tuple[int, str, Costs]]:
+    """Cost sets from ``a`` to ``b``, one differing parameter switched at a time."""
+    steps, current = [(0, "start", a)], dict(vars(a))
+    for name in COST_ORDER:
+        if getattr(a, name) != getattr(b, name):
+            current = {**current, name: getattr(b, name)}
+            steps.append((len(steps), name, Costs(**current)))
+    return steps
+
+
+def _with_costs(bars: DataFrame, steps: Sequence[tuple[int, str, Costs]]) -> DataFrame:
+    sets = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("changed"),
+                              *[F.lit(float(v)).alias(k) for k, v in vars(c).items()]) for i, n, c in steps])
+    return bars.withColumn("_c", F.explode(sets)).select(*bars.columns, "_c.*")
+
+
+def cost_decomposition(bars: DataFrame, a: Costs = BACKTEST_COSTS, b: Costs = PAPER_COSTS, key: str = "symbol") -> DataFrame:
+    """Growth multiple after each cost switch and the relative change it caused."""
+    by = [key, "step", "changed"]
+    rep_ = replay(_with_costs(bars, cost_steps(a, b)), by)
+    mult = rep_.select(*by, F.size("trades").alias("n_trades"), F.try_divide(
+        F.element_at("eq", -1)["equity"], F.element_at("eq", 1)["equity"]).alias("multiple"))
+    w = Window.partitionBy(key).orderBy("step")
+    return mult.withColumn("component", F.try_divide("multiple", F.lag("multiple").over(w)) - 1)
+
+
+def reconciliation(decomposed: DataFrame, key: str = "symbol", max_delta: float = 0.01, eps: float = 1e-9) -> DataFrame:
+    """Verdict per symbol: trades placed, gap within the limit and fully explained."""
+    out = decomposed.groupBy(key).agg(
+        F.min_by("multiple", "step").alias("backtest_multiple"), F.max_by("multiple", "step").alias("paper_multiple"),
+        F.min_by("n_trades", "step").cast("bigint").alias("n_trades"), F.product(1 + F.coalesce("component", F.lit(0.0))).alias("_chain"))
+    out = out.withColumns({
+        "relative_delta": F.try_divide("paper_multiple", "backtest_multiple") - 1,
+        "unexplained": F.col("paper_multiple") - F.col("backtest_multiple") * F.col("_chain")}).drop("_chain")
+    ok = (F.col("n_trades") > 0) & (F.abs("relative_delta") <= max_delta) & (F.abs("unexplained") <= eps)
+    return out.withColumn("passed", F.coalesce(ok, F.lit(False)))
