@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import age_days, deadline, shift_bdays_back
 from tidemark.operators.ranks import exact_quantiles
+from tidemark.sources.lake import materialized
 
 # Fixed values of the monitoring rules.
 FRED_GRACE_BDAYS = 1
@@ -65,6 +66,7 @@ def value_counts(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def windows_split(valid: DataFrame, recent: int = RECENT_BARS) -> DataFrame:
     """Marks the last ``recent`` dates of each feature; dates are ranked on distinct days."""
+    valid = materialized(valid)
     days = valid.select("feature", "day").distinct()
     w = Window.partitionBy("feature")
     ranked = days.withColumns({"_r": F.row_number().over(w.orderBy(F.col("day").desc())), "n_dates": F.count(F.lit(1)).over(w)})
@@ -101,6 +103,7 @@ def psi(split: DataFrame, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON, mi
 def feature_stats(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS, stale_bars: int = STALE_BARS,
                   drift_z: float = DRIFT_Z) -> DataFrame:
     """Coverage, moments, PSI and a stable / drifting / stale verdict per feature."""
+    panel = materialized(panel.select("ts", *columns))
     tall = _tall(panel, columns)
     x = F.nullif(F.col("x"), F.lit(float("nan")))
     base = tall.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), (F.count(x) / F.count(F.lit(1))).alias("coverage"),

@@ -41,18 +41,18 @@ def prefix_by_value(values: DataFrame, by: Sequence[str], x: str, measures: Sequ
 
 def average_rank(df: DataFrame, by: Sequence[str], x: str, buckets: int = BUCKETS) -> DataFrame:
     """Distinct (group, x) rows with average-tie ``rank`` and ``n``; NULL x has no rank."""
-    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_k"))
-    out = prefix_by_value(values, by, x, ["_k"], buckets)
-    return out.select(*by, x, (F.col("_k_before") + (F.col("_k") + 1) / 2).alias("rank"),
-                      F.col("_k_total").alias("n"))
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_cnt"))
+    out = prefix_by_value(values, by, x, ["_cnt"], buckets)
+    return out.select(*by, x, (F.col("_cnt_before") + (F.col("_cnt") + 1) / 2).alias("rank"),
+                      F.col("_cnt_total").alias("n"))
 
 
 def competition_rank(df: DataFrame, by: Sequence[str], x: str, out: str = "rank") -> DataFrame:
     """Descending 1-2-2-4 rank of every row in its group, NULLs last; any group size."""
-    counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_k"))
-    known = prefix_by_value(counts.where(F.col(x).isNotNull()), by, x, ["_k"])
-    ranked = known.select(*by, x, (F.col("_k_total") - F.col("_k_before") - F.col("_k") + 1).cast("bigint").alias("_r"))
-    sizes = counts.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sum("_k").alias("_n"))
+    counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_cnt"))
+    known = prefix_by_value(counts.where(F.col(x).isNotNull()), by, x, ["_cnt"])
+    ranked = known.select(*by, x, (F.col("_cnt_total") - F.col("_cnt_before") - F.col("_cnt") + 1).cast("bigint").alias("_r"))
+    sizes = counts.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sum("_cnt").alias("_n"))
     joined = df.join(ranked, [*by, x], "left").join(sizes, list(by), "left")
     return joined.withColumn(out, F.coalesce("_r", F.coalesce("_n", F.lit(0)) + 1)).drop("_r", "_n")
 
@@ -98,9 +98,9 @@ def spearman(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
         F.count(F.lit(1)).alias("w"))
     ranked = complete
     for side in (a, b):
-        vals = complete.groupBy(*by, side).agg(F.sum("w").alias("_k"))
-        r = prefix_by_value(vals, by, side, ["_k"]).select(
-            *by, side, (F.col("_k_before") + (F.col("_k") + 1) / 2).alias(f"r_{side}"))
+        vals = complete.groupBy(*by, side).agg(F.sum("w").alias("_cnt"))
+        r = prefix_by_value(vals, by, side, ["_cnt"]).select(
+            *by, side, (F.col("_cnt_before") + (F.col("_cnt") + 1) / 2).alias(f"r_{side}"))
         ranked = ranked.join(r, [*by, side])
     ra, rb, w = F.col(f"r_{a}"), F.col(f"r_{b}"), F.col("w").cast("double")
     n = F.sum(w)
@@ -118,20 +118,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, cuts: Sequence[flo
     The order statistics are found among distinct values with their cumulative
     counts, so no task holds a whole group.
     """
-    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_k"))
-    pre = prefix_by_value(values, by, x, ["_k"])
-    first, last = F.col("_k_before"), F.col("_k_before") + F.col("_k") - 1
-    top = F.col("_k_total") - 1
-
-    def slot(i: int, q: float) -> Column:
-        low = F.floor(F.lit(q) * top)
-        high = F.least(low + 1, top)
-        inside = lambda k: (k >= first) & (k <= last)
-        share = F.lit(q) * top - low
-        weight = F.when(inside(low), 1 - share).otherwise(0.0) + F.when(inside(high), share).otherwise(0.0)
-        return F.struct(F.lit(i).alias("i"), weight.alias("w"), (inside(low) | inside(high)).alias("hit"))
-
-    hits = pre.select(*by, x, F.explode(F.filter(
-        F.array(*[slot(i, q) for i, q in enumerate(cuts)]), lambda s: s["hit"])).alias("_s"))
-    single = hits.groupBy(*by, "_s.i").agg(F.sum(F.col("_s.w") * F.col(x)).alias("_q"))
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_cnt"))
+    pre = prefix_by_value(values, by, x, ["_cnt"])
+    first, last, top = F.col("_cnt_before"), F.col("_cnt_before") + F.col("_cnt") - 1, F.col("_cnt_total") - 1
+    slots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(cuts)])
+    low = lambda s: F.floor(s["q"] * top)
+    touched = F.filter(slots, lambda s: (low(s) <= last) & (F.least(low(s) + 1, top) >= first))
+    hits = pre.select(*by, x, first.alias("_f"), last.alias("_l"), top.alias("_top"), F.explode(touched).alias("_s"))
+    lo = F.floor(F.col("_s.q") * F.col("_top"))
+    hi, share = F.least(lo + 1, F.col("_top")), F.col("_s.q") * F.col("_top") - lo
+    weight = (F.when(lo.between(F.col("_f"), F.col("_l")), 1 - share).otherwise(0.0)
+              + F.when(hi.between(F.col("_f"), F.col("_l")), share).otherwise(0.0))
+    single = hits.groupBy(*by, "_s.i").agg(F.sum(weight * F.col(x)).alias("_q"))
     return single.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda s: s["_q"]).alias(out))

@@ -11,6 +11,7 @@ from tidemark.operators import windows as win
 from tidemark.plans.oracle_ctes import gated
 from tidemark.plans.registry import query, r6
 from tidemark.plans.sql_parts import DIGITS, METRIC_NAMES, fold_ctes, metrics_sql, replay_ctes
+from tidemark.sources.lake import materialized
 
 START, END = "1995-01-01", "2001-12-31"
 ERAS = (("qe_bull", "1996-07-01", "1998-06-30"), ("covid", "1998-07-01", "1999-12-31"),
@@ -100,7 +101,7 @@ _COMPLETE = f"SELECT * FROM ({_PANEL}) WHERE mom_21d IS NOT NULL AND y IS NOT NU
 
 def complete_panel(t):
     f = feat.price_features(t.bars()).withColumn("y", lab.forward_return(1))
-    return f.select("symbol", "ts", "open", "volume", "mom_21d", "y").dropna()
+    return materialized(f.select("symbol", "ts", "open", "volume", "mom_21d", "y").dropna())
 
 
 @query("spl_01_fold_table", f"""

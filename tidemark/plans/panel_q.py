@@ -13,6 +13,7 @@ from tidemark.operators import windows as win
 from tidemark.plans.evaluation_q import _COST as COST
 from tidemark.plans.registry import query, r6
 from tidemark.plans.sql_parts import fold_ctes, metrics_sql, replay_ctes
+from tidemark.sources.lake import materialized
 
 ERAS = (("qe_bull", "1996-07-01", "1998-06-30"), ("covid", "1998-07-01", "1999-12-31"),
         ("rate_cycle", "2000-01-01", "2099-12-31"))
@@ -26,7 +27,7 @@ def r(x, alias, digits=6):
 
 def panel(t, *columns):
     f = feat.price_features(t.bars()).withColumn("y", lab.forward_return(1))
-    return spl.with_positions(f.select("symbol", "ts", "open", "volume", *columns, "y").dropna())
+    return spl.with_positions(materialized(f.select("symbol", "ts", "open", "volume", *columns, "y").dropna()))
 
 
 def panel_sql(*columns):

@@ -12,6 +12,7 @@ from tidemark.operators import stats as st
 from tidemark.operators import windows as win
 from tidemark.plans.oracle_ctes import norm_cdf_sql, t_cdf_sql, uniform_sql
 from tidemark.plans.registry import query, r6
+from tidemark.sources.lake import materialized
 
 ERAS = (("qe_bull", "1996-07-01", "1998-06-30"), ("covid", "1998-07-01", "1999-12-31"),
         ("rate_cycle", "2000-01-01", "2099-12-31"))
@@ -32,7 +33,7 @@ def scheme_daily(t):
     p = scheme_predictions(t)
     daily = p.groupBy("scheme", "ts").agg(F.avg(F.col("y_true") - F.col("y_pred")).alias("err"),
                                           F.avg(F.signum("y_pred") * F.col("y_true")).alias("ret"))
-    return reg.tag(daily, reg.era_detector(ERAS))
+    return materialized(reg.tag(daily, reg.era_detector(ERAS)))
 
 
 def paired(t, value="ret", variant="rev", baseline="long"):
@@ -250,11 +251,11 @@ def importance_views(t):
     from tidemark.operators.features import price_features
 
     f = price_features(t.bars()).withColumn("y", lab.forward_return(1))
+    pairs = ", ".join(f"'{c}', {c}" for c in FEATS)
+    tall = f.select("ts", "y", F.expr(f"stack({len(FEATS)}, {pairs}) AS (feature, x)"))
     early = F.col("ts") < "1999-01-01"
-    wide = f.agg(*[F.abs(special.correlation(F.when(early, F.col(c)), F.col("y"))).alias(f"a_{c}") for c in FEATS],
-                 *[F.abs(special.correlation(F.when(~early, F.col(c)), F.col("y"))).alias(f"b_{c}") for c in FEATS])
-    pairs = ", ".join(f"'{c}', a_{c}, b_{c}" for c in FEATS)
-    return wide.select(F.expr(f"stack({len(FEATS)}, {pairs}) AS (feature, a, b)"))
+    return tall.groupBy("feature").agg(F.abs(special.correlation(F.when(early, F.col("x")), F.col("y"))).alias("a"),
+                                       F.abs(special.correlation(F.when(~early, F.col("x")), F.col("y"))).alias("b"))
 
 
 @query("sta_13_permutation_p", f"""

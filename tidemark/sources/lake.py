@@ -21,7 +21,18 @@ def scratch_dir(spark: SparkSession) -> str:
         return f"{shared.rstrip('/')}/tidemark-{name}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="tidemark-")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read, and read it back.
+
+    The table lives in the shared folder, so branches do not recompute their common
+    part, lost executors cost nothing, and later joins see real sizes.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Lake:
