@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.lake import materialized
+
 BUCKETS = 32
 
 
@@ -19,13 +21,18 @@ def prefix_by_value(values: DataFrame, by: Sequence[str], x: str, measures: Sequ
                     buckets: int = BUCKETS) -> DataFrame:
     """Adds ``<m>_before`` (sum over smaller x) and ``<m>_total`` per group.
 
-    ``values`` holds one row per (group, x).
+    ``values`` holds one row per (group, x). It is written once, because three
+    branches read it.
     """
     by = list(by)
+    values = materialized(values)
     cuts = [i / buckets for i in range(1, buckets)]
-    edges = values.groupBy(*by).agg(F.percentile_approx(x, cuts, 1000).alias("_edges"))
-    bucketed = values.join(edges, by).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
+    # Written edges have a known size: below the broadcast threshold they are sent to the
+    # values, above it Spark shuffles both sides and splits skewed groups.
+    edges = materialized(values.groupBy(*by).agg(F.percentile_approx(x, cuts, 1000).alias("_edges")))
+    # Edges below x, counted term by term: this form is compiled, a filter over the array is not.
+    place = sum((F.when(F.col("_edges")[i] < F.col(x), 1).otherwise(0) for i in range(len(cuts))), F.lit(0))
+    bucketed = values.join(edges, by).withColumn("_b", place).drop("_edges")
     totals = bucketed.groupBy(*by, "_b").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

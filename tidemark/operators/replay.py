@@ -29,8 +29,6 @@ INITIAL_CAPITAL = 100_000.0
 
 _TRADE = ("struct<ts:timestamp,entry_price:double,exit_price:double,shares:bigint,"
           "gross_pnl:double,commission:double,net_pnl:double>")
-_STATE = ("struct<cash:double,pos:bigint,entry:double,eq:array<struct<ts:timestamp,equity:double>>,"
-          f"trades:array<{_TRADE}>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -46,7 +44,11 @@ def _trade(ts, entry, fill, pos, fee) -> Column:
                     gross.alias("gross_pnl"), round_trip.alias("commission"), (gross - round_trip).alias("net_pnl"))
 
 
-def _step(acc: Column, bar: Column) -> Column:
+_POINT = "struct<ts:timestamp,equity:double>"
+
+
+def _bar(acc: Column, bar: Column) -> Column:
+    """Scalar state after one bar: fill the pending signal, mark equity, close at the end."""
     slip, fee, cap = bar["slip"], bar["fee"], bar["cap"]
     side = F.signum(acc["pos"].cast("double")).cast("int")
     target = F.coalesce(bar["target"], side)
@@ -61,7 +63,7 @@ def _step(acc: Column, bar: Column) -> Column:
                    moves.alias("moves"), target.alias("target"), fill.alias("fill"), closed.alias("closed"))
 
     def opened(m: Column) -> Column:
-        affordable = F.when(m["fill"] > 0, (m["cash"] / F.nullif(m["fill"], F.lit(0.0))).cast("bigint")).otherwise(0)
+        affordable = F.when(m["fill"] > 0, F.try_divide(m["cash"], m["fill"]).cast("bigint")).otherwise(0)
         shares = F.when(m["moves"] & (m["target"] != 0), F.greatest(
             F.lit(0), F.least(affordable, (bar["volume"] * cap).cast("bigint")))).otherwise(0)
         return _let(shares.cast("bigint"), lambda n: F.struct(
@@ -75,17 +77,29 @@ def _step(acc: Column, bar: Column) -> Column:
         out = bar["open"] * (1 - slip * F.signum(s["pos"].cast("double")))
         end_cash = s["cash"] + (s["pos"] * out - F.abs(s["pos"]) * fee)
         equity = F.when(forced, end_cash).otherwise(s["cash"] + s["pos"] * bar["open"])
-        trades = F.concat(acc["trades"], s["closed"], F.when(forced, F.array(_trade(
-            bar["ts"], s["entry"], out, s["pos"], fee))).otherwise(F.array().cast(f"array<{_TRADE}>")))
+        done = F.when(forced, F.concat(s["closed"], F.array(_trade(bar["ts"], s["entry"], out, s["pos"], fee)))).otherwise(s["closed"])
         return F.struct(
             F.when(forced, end_cash).otherwise(s["cash"]).alias("cash"),
             F.when(forced, F.lit(0)).otherwise(s["pos"]).cast("bigint").alias("pos"), s["entry"].alias("entry"),
-            F.array_append(acc["eq"], F.struct(bar["ts"].alias("ts"), equity.alias("equity"))).alias("eq"),
-            trades.alias("trades")).cast(_STATE)
+            F.struct(bar["ts"].alias("ts"), equity.alias("equity")).alias("point"), done.alias("done"))
 
     return _let(_let(mid, opened), settled)
 
 
+def _logged(acc: Column) -> tuple[Column, Column]:
+    """The two logs with the last bar's entries added."""
+    last = acc["bar"]
+    eq = F.when(last["point"].isNull(), acc["eq"]).otherwise(F.array_append(acc["eq"], last["point"]))
+    trades = F.when(F.size(last["done"]) > 0, F.concat(acc["trades"], last["done"])).otherwise(acc["trades"])
+    return eq, trades
+
+
+def _step(acc: Column, bar: Column) -> Column:
+    """Logs grow one bar late, so that the copied part of the state stays scalar."""
+    eq, trades = _logged(acc)
+    return F.struct(_bar(acc["bar"], bar).alias("bar"), eq.alias("eq"), trades.alias("trades"))
+
+
 def replay(bars: DataFrame, by: Sequence[str], costs: Costs | None = None, capital: float = INITIAL_CAPITAL,
            signal: str = "signal") -> DataFrame:
     """One row per group with arrays ``eq`` and ``trades``.
@@ -103,12 +117,18 @@ def replay(bars: DataFrame, by: Sequence[str], costs: Costs | None = None, capit
         F.lag(F.col(signal).cast("int")).over(w).alias("target"),
         F.lead("ts").over(w).isNull().alias("last"), (F.col("slippage_bps") / 10_000).alias("slip"),
         F.col("commission_per_share").alias("fee"), F.col("liquidity_cap").alias("cap"))
-    path = F.array_sort(F.collect_list(F.struct("ts", "open", "volume", "target", "last", "slip", "fee", "cap")))
-    start = F.struct(F.lit(capital).alias("cash"), F.lit(0).cast("bigint").alias("pos"), F.lit(0.0).alias("entry"),
-                     F.array().cast("array<struct<ts:timestamp,equity:double>>").alias("eq"),
-                     F.array().cast(f"array<{_TRADE}>").alias("trades")).cast(_STATE)
+    path = F.sort_array(F.collect_list(F.struct("ts", "open", "volume", "target", "last", "slip", "fee", "cap")))
+    first = F.struct(F.lit(float(capital)).alias("cash"), F.lit(0).cast("bigint").alias("pos"), F.lit(0.0).alias("entry"),
+                     F.lit(None).cast(_POINT).alias("point"), F.array().cast(f"array<{_TRADE}>").alias("done"))
+    start = F.struct(first.alias("bar"), F.array().cast(f"array<{_POINT}>").alias("eq"),
+                     F.array().cast(f"array<{_TRADE}>").alias("trades"))
+
+    def logs(acc: Column) -> Column:
+        eq, done = _logged(acc)
+        return F.struct(eq.alias("eq"), done.alias("trades"))
+
     grouped = rows.groupBy(*by).agg(path.alias("_path"))
-    folded = grouped.select(*by, F.aggregate("_path", start, _step).alias("_s"))
+    folded = grouped.select(*by, F.aggregate("_path", start, _step, logs).alias("_s"))
     return folded.select(*by, F.col("_s.eq").alias("eq"), F.col("_s.trades").alias("trades"))
 
 

@@ -8,6 +8,7 @@ from tidemark.operators.ranks import percent_rank_columns
 from tidemark.operators.timejoin import document_windows, macro_calendar
 from tidemark.plans.oracle_ctes import gated
 from tidemark.plans.registry import query, r6
+from tidemark.sources.lake import materialized
 
 START, END = "1995-01-01", "2001-12-31"
 
@@ -56,7 +57,7 @@ _XS = ", ".join(
 
 @query("win_11_cross_section_rank", f"SELECT symbol, ts, {_XS} FROM px_feat")
 def _(t):
-    f = feat.price_features(t.bars()).select("symbol", "ts", *feat.RANKED)
+    f = materialized(feat.price_features(t.bars()).select("symbol", "ts", *feat.RANKED))
     return percent_rank_columns(f, feat.RANKED).select("symbol", "ts", *[r(f"xs_rank_{c}", f"xs_rank_{c}") for c in feat.RANKED])
 
 

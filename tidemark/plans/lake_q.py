@@ -18,11 +18,12 @@ def r(x, alias, digits=6):
     return F.round(x, digits).alias(alias)
 
 
-STAMP = F.lit("2002-01-01").cast("timestamp")
+def stamp():
+    return F.lit("2002-01-01").cast("timestamp")
 
 
 def stamped(t):
-    return typed_and_stamped(t.bars(), "ts", STAMP)
+    return typed_and_stamped(t.bars(), "ts", stamp())
 
 
 def eod(t):
@@ -93,7 +94,7 @@ def _(t):
 @query("set_02_flat_upsert", f"""SELECT series_id, "timestamp", {r6("CASE WHEN series_id = 'DFF' THEN value + 1 ELSE value END",'value')} FROM macro""")
 def _(t):
     lake = Lake(t.spark, scratch_dir(t.spark))
-    m = t.macro().withColumn("ingested_at", STAMP)
+    m = t.macro().withColumn("ingested_at", stamp())
     lake.upsert(m, "macro_fred", ["series_id", "timestamp"], "ingested_at")
     late = m.where("series_id = 'DFF'").withColumns({"value": F.col("value") + 1, "ingested_at": F.lit("2002-02-01").cast("timestamp")})
     lake.upsert(late, "macro_fred", ["series_id", "timestamp"], "ingested_at")
@@ -277,7 +278,7 @@ SELECT rule, CAST(CASE WHEN rule = 'splitFactor_positive' THEN 0 ELSE 0 END AS B
 (SELECT unnest(['symbol_present','ts_present','open_present','high_present','low_present','close_present','volume_present','adjOpen_present','adjHigh_present','adjLow_present',
  'adjClose_present','adjVolume_present','divCash_present','splitFactor_present','ingested_at_present','volume_not_negative','adjVolume_not_negative','splitFactor_positive','year_range','month_range']) AS rule)""")
 def _(t):
-    return checks.check(typed_and_stamped(eod(t), "ts", STAMP), checks.rules("eod"))
+    return checks.check(typed_and_stamped(eod(t), "ts", stamp()), checks.rules("eod"))
 
 
 @query("val_03_macro_checks", """
@@ -285,7 +286,7 @@ SELECT rule, CASE rule WHEN 'value_present' THEN bad ELSE 0 END AS n_violations,
  SELECT count(*) AS n_rows, count(CASE WHEN value > 30 THEN 1 END) AS bad FROM macro),
  (SELECT unnest(['timestamp_present', 'value_present', 'series_id_present', 'ingested_at_present']) AS rule)""")
 def _(t):
-    m = t.macro().withColumns({"ingested_at": STAMP, "value": F.when(F.col("value") <= 30, F.col("value"))})
+    m = t.macro().withColumns({"ingested_at": stamp(), "value": F.when(F.col("value") <= 30, F.col("value"))})
     return checks.check(m, checks.rules("macro"))
 
 
@@ -295,7 +296,7 @@ SELECT rule, CASE rule WHEN 'symbol_present' THEN bad ELSE 0 END AS n_violations
  (SELECT unnest(['document_id_present', 'source_present', 'symbol_present', 'published_at_present', 'ingested_at_present', 'text_present']) AS rule)""")
 def _(t):
     d = t.raw("documents").select(F.col("doc_id").alias("document_id"), "source", F.when(F.col("lang") != "de", F.col("lang")).alias("symbol"),
-                                  STAMP.alias("published_at"), STAMP.alias("ingested_at"), "text")
+                                  stamp().alias("published_at"), stamp().alias("ingested_at"), "text")
     return checks.check(d, checks.rules("documents"))
 
 
