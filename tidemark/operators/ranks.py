@@ -103,6 +103,7 @@ def spearman(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """Rank correlation of two columns over complete pairs, NULL below three pairs."""
     complete = pairs.where(f"{a} IS NOT NULL AND {b} IS NOT NULL").groupBy(*by, a, b).agg(
         F.count(F.lit(1)).alias("w"))
+    complete = materialized(complete)
     ranked = complete
     for side in (a, b):
         vals = complete.groupBy(*by, side).agg(F.sum("w").alias("_cnt"))

@@ -139,7 +139,7 @@ def append_trials(existing: DataFrame, new: DataFrame, day: str) -> DataFrame:
     prefix = f"ledger-{day}-"
     last = existing.where(F.col("id").startswith(prefix)).agg(
         F.coalesce(F.max(F.regexp_extract("id", r"-(\d+)$", 1).cast("bigint")), F.lit(0)).alias("_last")).withColumn("_k", F.lit(1))
-    bucketed = fresh.withColumns({"_b": F.substring("config_hash", 1, 2), "_k": F.lit(1)})
+    bucketed = fresh.withColumns({"_b": F.substring("config_hash", 1, 3), "_k": F.lit(1)})
     sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy("config_hash"))

@@ -16,7 +16,7 @@ from tidemark.operators.timejoin import master_calendar
 
 @dataclass(frozen=True)
 class WalkForward:
-    """Window sizes in bars; the defaults are the reference run's."""
+    """Window sizes in bars."""
 
     train: int = 504
     test: int = 63

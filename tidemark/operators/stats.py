@@ -17,6 +17,7 @@ from tidemark.functions.special import correlation, expected_max_sharpe, norm_cd
 from tidemark.operators.metrics import sharpe
 from tidemark.operators.ranks import roc_auc, small_average_rank
 from tidemark.operators.windows import ANNUAL
+from tidemark.sources.lake import materialized
 
 DEFAULT_SHARPE_STD, DSR_THRESHOLD = 0.35, 0.5  # fixed values
 _SPACE = float(1 << 48)
@@ -220,7 +221,7 @@ def rank_agreement(scores: DataFrame, by: Sequence[str], a: str, b: str, n_permu
     group = Window.partitionBy(*by)
     r = scores.where(f"{a} IS NOT NULL AND {b} IS NOT NULL").select(
         *by, "feature", small_average_rank(F.col(a), *by).alias("ra"), small_average_rank(F.col(b), *by).alias("rb"))
-    r = r.withColumn("k", F.row_number().over(group.orderBy("feature")))
+    r = materialized(r.withColumn("k", F.row_number().over(group.orderBy("feature"))))
     observed = r.groupBy(*by).agg(correlation(F.col("ra"), F.col("rb")).alias("rho"), F.count(F.lit(1)).alias("n"))
     grid = r.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))))
     shuffled = grid.select(*by, "replicate", "ra", F.row_number().over(
