@@ -76,7 +76,12 @@ def test_foresight_and_noise(spark):
     assert s["ahead"] > 2 and -2.5 < s["noise"] < 1.5
 
 
-def test_percent_rank_with_ties_and_gaps(spark):
+@pytest.fixture(params=[0, 50_000], ids=["bucketed", "one_window"])
+def group_limit(request, monkeypatch):
+    monkeypatch.setattr(ranks, "SMALL_GROUP", request.param)
+
+
+def test_percent_rank_with_ties_and_gaps(spark, group_limit):
     rng = np.random.default_rng(2)
     n = 400
     pdf = pd.DataFrame({"symbol": [f"s{i}" for i in range(n)] * 2, "ts": [T0] * n + [T0 + dt.timedelta(days=1)] * n,
@@ -87,7 +92,7 @@ def test_percent_rank_with_ties_and_gaps(spark):
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
 
 
-def test_auc_spearman_quantiles(spark):
+def test_auc_spearman_quantiles(spark, group_limit):
     rng = np.random.default_rng(4)
     p, y = rng.normal(size=500).round(1), rng.integers(0, 2, 500)
     df = spark.createDataFrame([("g", float(a), int(b)) for a, b in zip(p, y)], "g string, y_pred double, y_true int")
