@@ -5,12 +5,25 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import contaminated, find_matches
 from tidemark.llm.frames import LlmTables
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.registry import query
 
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    return pack_documents(LlmTables(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @query("op8_quality_rules")
 def op8(spark, sf_dir):
     return quality_rules(LlmTables(spark, sf_dir, "documents"), LlmTables(spark, sf_dir, "labels"))
