@@ -8,6 +8,7 @@ from tidemark.llm.frames import LlmTables
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.registry import query
+from tidemark.llm.secrets import BASE, RULES, find_secrets, named
 
 
 def tokenizer(name: str) -> str:
@@ -19,6 +20,46 @@ def tokenizer(name: str) -> str:
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _spans_sql() -> str:
+    """Every kind's matches with their places, from the gaps between them."""
+    parts = []
+    for rank, r in enumerate(RULES):
+        pattern = r.pattern.replace("(?i)", "").replace("'", "''")
+        flags = "i" if r.pattern.startswith("(?i)") else "c"
+        parts.append(f"""
+SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, m, g, before, row_number() OVER () AS _ FROM (
+  SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}', 0, '{flags}')) AS m,
+         unnest(regexp_extract_all(t, '{pattern}', {r.group}, '{flags}')) AS g,
+         unnest(list_transform(range(1, len(regexp_extract_all(t, '{pattern}', 0, '{flags}')) + 1),
+           lambda i: list_sum(list_transform(regexp_split_to_array(t, '{'(?i)' if flags == 'i' else ''}{pattern}')[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}', 0, '{flags}')[1:i - 1], lambda x: length(x))), 0))) AS before
+  FROM d) WHERE length(g) >= {max(r.least, 1)}""")
+    return " UNION ALL ".join(parts)
+
+
+def _op4_sql() -> str:
+    base = ", ".join(f"'{k}'" for k in BASE)
+    listed = "string_agg(kind || ':' || CAST(before AS BIGINT) || ':' || CAST(before + length(m) AS BIGINT), ',' ORDER BY before, rank)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_spans_sql()}),
+g AS (SELECT doc_id, {counts}, {listed} FILTER (kind IN ({base})) AS base, {listed} AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op4_secret_scan", _op4_sql())
+def op4(spark, sf_dir):
+    found = find_secrets(LlmTables(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *map(count, BASE),
+        F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark, sf_dir):
     return pack_documents(LlmTables(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
