@@ -7,8 +7,10 @@ from tidemark.llm.decontaminate import contaminated, find_matches
 from tidemark.llm.frames import LlmTables
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_rules
+from tidemark.llm.quotes import link_quotations
 from tidemark.llm.registry import query
 from tidemark.llm.secrets import BASE, RULES, find_secrets, named
+from tidemark.llm.urls import judge_urls
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +22,11 @@ def tokenizer(name: str) -> str:
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op1_quotation_linking")
+def op1(spark, sf_dir):
+    return link_quotations(LlmTables(spark, sf_dir, "conversations"))
+
+
 def _spans_sql() -> str:
     """Every kind's matches with their places, from the gaps between them."""
     parts = []
@@ -65,6 +72,16 @@ def op5(spark, sf_dir):
     return pack_documents(LlmTables(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+#: Fixed values.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+@query("op6_url_filter")
+def op6(spark, sf_dir):
+    return judge_urls(LlmTables(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op8_quality_rules")
 def op8(spark, sf_dir):
     return quality_rules(LlmTables(spark, sf_dir, "documents"), LlmTables(spark, sf_dir, "labels"))
