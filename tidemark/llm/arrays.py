@@ -14,7 +14,7 @@ import pyarrow as pa
 SLICE_BYTES = 4 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+OTHER_BASE = 0xD1342543DE82EF95
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -55,11 +55,11 @@ class PrefixHash:
     weak low bits don't show.
     """
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: int = BASE):
         n = len(values)
-        self.up = powers(n + 1, BASE)
+        self.up = powers(n + 1, base)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * powers(n, INVERSE), out=self.sums[1:])
+        np.cumsum(values * powers(n, pow(base, -1, 1 << 64)), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.up[start]

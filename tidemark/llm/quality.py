@@ -116,7 +116,7 @@ def select_cutoff(good: np.ndarray, bad: np.ndarray, limit: float, level: float)
     return best[1] if best else None
 
 
-def thresholds(labelled: DataFrame, stratum: str, label: str, rules: Mapping[str, Column], limit: float = 0.004,
+def thresholds(labelled: DataFrame, stratum: str, label: str, rules: Mapping[str, Column], limit: float = 0.01,
                risk: float = 0.05) -> DataFrame:
     """One row per stratum and rule with a cutoff, from the labelled rows.
 
@@ -147,7 +147,7 @@ def thresholds(labelled: DataFrame, stratum: str, label: str, rules: Mapping[str
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang",
-                  label: str = "quality", limit: float = 0.004, risk: float = 0.05) -> DataFrame:
+                  label: str = "quality", limit: float = 0.01, risk: float = 0.05) -> DataFrame:
     """Measures of every document and whether the rules keep it.
 
     Result: id, the measures, base_failed, failed_rules (array), kept. Base failures are

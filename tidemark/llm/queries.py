@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import contaminated, find_matches
 from tidemark.llm.frames import LlmTables
+from tidemark.llm.near_duplicates import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.quotes import link_quotations
 from tidemark.llm.registry import query
+from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import BASE, RULES, find_secrets, named
 from tidemark.llm.urls import judge_urls
 
@@ -27,6 +29,27 @@ def op1(spark, sf_dir):
     return link_quotations(LlmTables(spark, sf_dir, "conversations"))
 
 
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id
+         JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+         GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.m, w.doc_id)) AS component_id,
+       coalesce(low.m, w.doc_id) >= w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = w.doc_id"""
+
+
+@query("op3_minhash_near_dedup", OP3_SQL)
+def op3(spark, sf_dir):
+    return near_duplicates(LlmTables(spark, sf_dir, "documents"))
+
+
 def _spans_sql() -> str:
     """Every kind's matches with their places, from the gaps between them."""
     parts = []
@@ -82,6 +105,11 @@ def op6(spark, sf_dir):
     return judge_urls(LlmTables(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op7_suffix_array_dedup")
+def op7(spark, sf_dir):
+    return remove_repeats(LlmTables(spark, sf_dir, "documents"))
+
+
 @query("op8_quality_rules")
 def op8(spark, sf_dir):
     return quality_rules(LlmTables(spark, sf_dir, "documents"), LlmTables(spark, sf_dir, "labels"))
