@@ -12,6 +12,8 @@ from tidemark.llm.quotes import link_quotations
 from tidemark.llm.registry import query
 from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import BASE, RULES, find_secrets, named
+from tidemark.llm.token_counts import token_counts
+from tidemark.llm.toxicity import toxicity
 from tidemark.llm.urls import judge_urls
 
 
@@ -29,6 +31,11 @@ def op1(spark, sf_dir):
     return link_quotations(LlmTables(spark, sf_dir, "conversations"))
 
 
+@query("op2_token_counts")
+def op2(spark, sf_dir):
+    return token_counts(LlmTables(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 2048)
+
+
 OP3_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, g FROM (
@@ -115,6 +122,15 @@ def op8(spark, sf_dir):
     return quality_rules(LlmTables(spark, sf_dir, "documents"), LlmTables(spark, sf_dir, "labels"))
 
 
+@query("op9_toxicity_chain")
+def op9(spark, sf_dir):
+    """Chain: bad quality, toxic, both. Toxic is the verdict; quality tells it junk from abuse."""
+    bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    found = toxicity(LlmTables(spark, sf_dir, "documents"), LlmTables(spark, sf_dir, "labels"),
+                     {"low_quality": bad, "toxic": toxic, "toxic_junk": bad & toxic})
+    return found.select("doc_id", *[F.round(c, 9).alias(c) if c.startswith("p_") else F.col(c) for c in found.columns[1:]])
+
+
 OP10_SQL = rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -4,10 +4,16 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
 
 #: A single space between two other characters: no token of a byte-level BPE reaches across it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-MEMORY = 400_000
+#: White space other than the space and the newline.
+OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ODD = ["  ", " \n", "\n ", *OTHER_SPACES]
+#: Fixed value: the public pattern that cuts text into words for this kind of vocabulary.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MEMORY = 800_000
 
 
 def per_process(key: str, make):
@@ -18,34 +24,65 @@ def per_process(key: str, make):
     return store[key]
 
 
+def byte_spelling() -> dict[str, int]:
+    """Byte value of each character that byte-level vocabularies spell bytes with: printable
+    Latin-1 characters stand for themselves, the other bytes follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
+
+
 class ByteEncoder:
     """Ids of a text as packed little-endian 32-bit numbers.
 
-    A text is cut at single spaces; each part is encoded once by the tokenizers library and
-    remembered, up to ``MEMORY`` parts. The result is what the library gives for the whole text,
-    special strings included (they hold no space).
+    A text is cut at single spaces. Parts are remembered, and so are the words they are made
+    of; only new words are encoded, by the tiktoken library from the same vocabulary file. The
+    result is what the tokenizers library gives for the whole text, special strings included:
+    they hold no space, and parts with one go to that library as they are.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.words_of = regex.compile(WORDS).findall
+        spelling = byte_spelling()
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        ranks = {bytes(map(spelling.__getitem__, t)): i for t, i in vocabulary.items() if t not in self.special}
+        self.encode_word = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.words: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # parts at the start of a text
+        self.later: dict[str, bytes] = {}  # parts behind a space
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        words, encode = self.words, self.encode_word
+        made = [[p] if any(s in p for s in self.special) else self.words_of(p) for p in parts]
+        for w in set().union(*made).difference(words):
+            special = any(s in w for s in self.special)
+            ids = self.library.encode(w, add_special_tokens=False).ids if special else encode(w)
+            words[w] = array("I", ids).tobytes()
+        return [b"".join([words[w] for w in m]) for m in made]
 
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known, parts = self.known, []
+    def encode(self, texts: list[str]) -> list[bytes]:
+        for known in (self.words, self.first, self.later):
+            if len(known) > MEMORY:
+                known.clear()
+        parts = []
         for text in texts:
-            cut = CUT.split(text)
-            cut[1:] = [" " + x for x in cut[1:]]
-            parts.append(cut)
-        new = list({x for cut in parts for x in cut if x not in known})
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[x] for x in cut]) for cut in parts]
+            odd = text[:1] == " " or text[-1:] == " " or any(s in text for s in ODD)
+            parts.append(CUT.split(text) if odd else text.split(" "))
+        starts = list({p[0] for p in parts}.difference(self.first))
+        self.first.update(zip(starts, self._learn(starts)))
+        rest = list(set().union(*[p[1:] for p in parts]).difference(self.later))
+        self.later.update(zip(rest, self._learn([" " + p for p in rest])))
+        later = self.later.__getitem__
+        return [self.first[p[0]] + b"".join(map(later, p[1:])) for p in parts]
 
 
 def encoder(path: str) -> ByteEncoder:
