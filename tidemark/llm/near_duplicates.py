@@ -247,8 +247,8 @@ def _confirmed(docs: DataFrame, id: str, text: str, classes: DataFrame, clusters
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; of rows that share
-    that id, all stay unless their texts' sets are equal, then one does."""
+    """One document of each component stays, the one with the smallest id. Rows that repeat
+    both id and text are one document."""
     found = near_duplicates(docs, id, text, percent).where("kept").select(F.col(id).alias("_kept")).distinct()
     kept = docs.join(found, F.col(f"`{id}`").eqNullSafe(F.col("_kept")), "left_semi")
     return kept.dropDuplicates([id, text])

@@ -21,7 +21,8 @@ WINDOW = 8
 NOT_SPACE = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 #: The characters that count as symbols.
 SYMBOLS = byte_set(*[(ord(c), ord(c)) for c in "#*$%&|<>"])
-FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+FIELDS = ", ".join(f"{m} long" for m in MEASURES)
 
 
 def _distinct_per_row(row: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
@@ -155,15 +156,34 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     document labelled several times counts once per label; unlabelled ones have no say.
     Null ids keep their rows and match no label. Empty tables give empty results.
     """
-    strata = [] if stratum == id else [stratum]
-    found = materialized(measures(docs, [id, *strata], text))
+    found = materialized(measures(docs, list(dict.fromkeys([id, stratum])), text))
+    return _judged(found, labels, id, stratum, label, limit, risk).select(
+        id, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
+
+
+def _judged(found: DataFrame, labels: DataFrame, id: str, stratum: str, label: str, limit: float, risk: float) -> DataFrame:
+    """``found`` (written measures) with base_failed, failed_rules, kept."""
     rules = rule_scores()
-    labelled = found.join(labels.select(F.col(id).alias("_l"), F.col(label).alias("_label")), F.col(id) == F.col("_l"))
+    narrow = found.drop(*[c for c in found.columns if c not in (id, stratum, *MEASURES)])
+    labelled = narrow.join(labels.select(F.col(id).alias("_l"), F.col(label).alias("_label")), F.col(id) == F.col("_l"))
     table = thresholds(labelled, stratum, "_label", rules, limit, risk).groupBy("stratum").agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))
     out = found.withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(
         materialized(table).withColumnRenamed("stratum", "_s"), "_s", "left")
     failed = F.filter(F.array(*[F.when(v >= F.col("_cuts")[k], F.lit(k)) for k, v in rules.items()]), lambda x: x.isNotNull())
     out = out.withColumns({"base_failed": base_failed(), "failed_rules": failed})
-    return out.select(id, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang",
+              label: str = "quality", limit: float = 0.01, risk: float = 0.05) -> DataFrame:
+    """The documents that the rules keep, with their columns, whatever they are called.
+
+    Measures and text stay in one row, so the texts are written once and never shuffled.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in (id, text, stratum)}
+    found = materialized(measures(docs.toDF(*names), names, at[text]))
+    known = labels.select(F.col(id).alias(at[id]), F.col(label).alias("_quality"))
+    kept = _judged(found, known, at[id], at[stratum], "_quality", limit, risk).where("kept")
+    return kept.select(*names).toDF(*docs.columns)
