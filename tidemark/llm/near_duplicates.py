@@ -53,6 +53,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return value[new], np.searchsorted(row[new], np.arange(len(offsets)))
 
 
+def set_key(value: np.ndarray) -> bytes | None:
+    """Digest of a whole sorted set; None for the empty one."""
+    return hashlib.blake2b(value.tobytes(), digest_size=16).digest() if len(value) else None
+
+
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     seeds = mixed(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64))
     return (seeds[:REGISTERS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[REGISTERS:] >> np.uint64(32)).astype(np.uint32)
@@ -112,7 +117,7 @@ def sketch_texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     """id, n_shingles, set_key (digest of the full set), bands (array of band keys)."""
     def measure(data, offsets):
         value, first = shingle_sets(data, offsets)
-        keys = [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first, first[1:])]
+        keys = [set_key(value[a:b]) for a, b in zip(first, first[1:])]
         bands = band_keys(sketches(value, first)).view(np.int64)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
         return [np.diff(first), pa.array(keys, pa.binary()), flat]
@@ -187,6 +192,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     Rows with a null id take part: they get their class's component and are not kept unless
     nothing else is. Repeated ids stay rows, their components are merged only if linked.
     """
+    out = _grouped(docs, id, text, percent)
+    component = F.when(F.col("set_key").isNull(), F.col(id)).otherwise(F.col("component"))
+    return out.select(id, "n_shingles", component.alias("component_id"), F.col(id).eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
+    """id, n_shingles, set_key, root (class that names the component), component (its least id)."""
     seen = materialized(sketch_texts(docs, id, text))
     ids = seen.where(F.col("set_key").isNotNull())
     classes = materialized(ids.groupBy("set_key").agg(F.min(id).alias("least"), F.first("bands").alias("bands")))
@@ -202,10 +214,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     members = classes.join(roots, F.col("set_key") == F.col("node"), "left").select(
         "set_key", "least", F.coalesce("root", "set_key").alias("root"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component"))
-    of = materialized(members.join(smallest, "root").select(F.col("set_key").alias("_k"), "component"))
-    out = seen.join(of, F.col("set_key") == F.col("_k"), "left")
-    component = F.when(F.col("set_key").isNull(), F.col(id)).otherwise(F.col("component"))
-    return out.select(id, "n_shingles", component.alias("component_id"), F.col(id).eqNullSafe(component).alias("kept"))
+    of = materialized(members.join(smallest, "root").select(F.col("set_key").alias("_k"), "root", "component"))
+    return seen.join(of, F.col("set_key") == F.col("_k"), "left").select(id, "n_shingles", "set_key", "root", "component")
 
 
 def _confirmed(docs: DataFrame, id: str, text: str, classes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +244,7 @@ def _confirmed(docs: DataFrame, id: str, text: str, classes: DataFrame, clusters
                 for k in range(len(offsets) - 1):
                     mine = value[first[k]:first[k + 1]]
                     # Rows that share an id may differ in text: only the class's own set counts.
-                    if keys[at] not in found and hashlib.blake2b(mine.tobytes(), digest_size=16).digest() == keys[at]:
+                    if keys[at] not in found and set_key(mine) == keys[at]:
                         found[keys[at]] = mine
                     at += 1
             names = list(found)
@@ -247,8 +257,22 @@ def _confirmed(docs: DataFrame, id: str, text: str, classes: DataFrame, clusters
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """One document of each component stays, the one with the smallest id. Rows that repeat
-    both id and text are one document."""
-    found = near_duplicates(docs, id, text, percent).where("kept").select(F.col(id).alias("_kept")).distinct()
-    kept = docs.join(found, F.col(f"`{id}`").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates([id, text])
+    """One document of each component stays, the one with the smallest id (of several with that
+    id, the one whose set's digest is smallest); texts without words all stay. Columns keep
+    their names. Texts are shuffled once, by (id, set): copies of one text spread over tasks.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain, key, body = docs.toDF(*names), names[docs.columns.index(id)], names[docs.columns.index(text)]
+
+    def set_keys(data, offsets):
+        value, first = shingle_sets(data, offsets)
+        return [pa.array([set_key(value[a:b]) for a, b in zip(first, first[1:])], pa.binary())]
+
+    keyed = map_texts(plain, names, body, "_set binary", set_keys)
+    found = _grouped(plain, key, body, percent).where(F.col("set_key").isNotNull() & F.col(key).eqNullSafe(F.col("component")))
+    chosen = found.groupBy("root").agg(F.min(F.struct("set_key", key)).alias("c")).select(
+        F.xxhash64(f"c.{key}", "c.set_key").alias("_name"), F.col("c.set_key").alias("_s"), F.col(f"c.{key}").alias("_i"))
+    named = keyed.where(F.col("_set").isNotNull()).withColumn("_row", F.xxhash64(key, "_set"))
+    same = (F.col("_row") == F.col("_name")) & (F.col("_set") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_i"))
+    kept = named.join(chosen, same, "left_semi").dropDuplicates(["_row"]).select(*names)
+    return kept.union(keyed.where(F.col("_set").isNull()).select(*names)).toDF(*docs.columns)

@@ -173,7 +173,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     fold = F.pmod(F.xxhash64(F.lit("fold"), "_i"), F.lit(FOLDS)).alias("fold")
     rows = places.select("*", fold).orderBy(F.xxhash64("_i"), "_i", F.hash("places")).limit(sample).toPandas()
     fold = rows["fold"].to_numpy()
-    size = rows["places"].map(len).to_numpy()
+    size = np.array([len(p) for p in rows["places"]], np.int64)
     place = np.concatenate([np.zeros(0, np.int64), *rows["places"]]).astype(np.int64)
     return np.repeat(np.arange(len(rows)), size), place, {k: rows[f"y_{k}"].to_numpy() for k in categories}, fold
 
