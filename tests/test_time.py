@@ -53,11 +53,20 @@ def test_document_window_is_strict_at_both_grains(spark):
             ("A", bar - dt.timedelta(days=30, seconds=1), 50.0)]
     d = spark.createDataFrame(docs, "symbol string, published_at timestamp, sentiment_score double")
     b = spark.createDataFrame([("A", bar)], "symbol string, ts timestamp")
-    for grain in ("day", "instant"):
-        r = tj.document_windows(d, b, 30, grain).first()
+    for ts in ("timestamp", "date"):
+        r = tj.document_windows(d, b.withColumn("ts", F.col("ts").cast(ts)), 30).first()
         assert (r.doc_count, r.sentiment_score, r.has_coverage) == (2, 2.0, True)
 
 
+def test_an_intraday_bar_does_not_see_the_same_day_ahead(spark):
+    day = dt.datetime(2024, 2, 1)
+    d = spark.createDataFrame([("A", day.replace(hour=16), 1.0), ("A", day.replace(hour=9, minute=30), 5.0), ("A", day.replace(hour=9), 3.0)],
+                              "symbol string, published_at timestamp, sentiment_score double")
+    b = spark.createDataFrame([("A", day.replace(hour=9, minute=30), 1.0), ("A", day.replace(hour=17), 1.0)], "symbol string, ts timestamp, close double")
+    got = [(r.ts.hour, r.doc_count, r.sentiment_score) for r in tj.document_windows(d, b, 30).orderBy("ts").collect()]
+    assert got == [(9, 1, 3.0), (17, 3, 3.0)]
+
+
 def test_business_days_match_numpy(spark):
     days = [DAY0 + dt.timedelta(days=i) for i in range(30)]
     df = spark.createDataFrame([(d,) for d in days], "d date")

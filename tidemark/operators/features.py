@@ -72,11 +72,14 @@ def build_features(bars: DataFrame, macro: DataFrame | None = None, docs: DataFr
                    lookback_days: int = 30, asof: str | None = None, ranks: bool = False) -> DataFrame:
     """The full feature table; warm-up rows stay, with NULLs.
 
-    ``asof`` cuts bars and documents before any window: Catalyst cannot move a time
-    filter below one, and look-ahead is ruled out by construction.
+    ``asof`` cuts bars, observations and documents before any window: Catalyst cannot move
+    a time filter below one, and look-ahead is ruled out by construction.
     """
     if asof is not None:
-        bars = bars.where(F.col("ts") <= F.lit(asof).cast("timestamp"))
+        until = F.lit(asof).cast("timestamp")
+        bars = bars.where(F.col("ts") <= until)
+        macro = macro if macro is None else macro.where(F.col("timestamp") <= until)
+        docs = docs if docs is None else docs.where(F.col("published_at") <= until)
     feat = price_features(bars)
     if macro is not None:
         feat = with_macro(feat, macro, start, end, lags)

@@ -136,12 +136,8 @@ def ar1_pooled_predict(positioned: DataFrame, wf: WalkForward, y: str = "y", key
     w = Window.partitionBy("fold", key).orderBy("ts")
     inner = train.withColumn("_p", F.lag(y).over(w)).where("_p IS NOT NULL").select("fold", F.col(y).alias("_y"), "_p")
     ends = train.groupBy("fold", key).agg(F.min_by(y, "ts").alias("_first"), F.max_by(y, "ts").alias("_last"))
-    # The order of symbols is cut at their first letters; each piece passes its last value on.
-    ends = ends.withColumn("_b", F.substring(key, 1, 3))
-    inside = Window.partitionBy("fold", "_b").orderBy(key)
-    carry = ends.groupBy("fold", "_b").agg(F.max_by("_last", key).alias("_end"))
-    carry = carry.withColumn("_carry", F.lag("_end").over(Window.partitionBy("fold").orderBy("_b"))).drop("_end")
-    seam = ends.join(carry, ["fold", "_b"]).withColumn("_p", F.coalesce(F.lag("_last").over(inside), F.col("_carry")))
+    # One row per symbol and fold is left: its neighbours in symbol order are a short window.
+    seam = ends.withColumn("_p", F.lag("_last").over(Window.partitionBy("fold").orderBy(key)))
     seams = seam.where("_p IS NOT NULL").select("fold", F.col("_first").alias("_y"), "_p")
     tail = ends.groupBy("fold").agg(F.max_by("_last", key).alias("last_y"))
     fit = inner.unionByName(seams).groupBy("fold").agg(F.regr_slope("_y", "_p").alias("phi"), F.regr_intercept("_y", "_p").alias("_c"))

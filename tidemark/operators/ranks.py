@@ -15,30 +15,18 @@ from pyspark.sql import functions as F
 from tidemark.sources.lake import materialized
 
 BUCKETS = 32
-SMALL_GROUP = 50_000  # distinct values that one task orders without effort
 
 
 def prefix_by_value(values: DataFrame, by: Sequence[str], x: str, measures: Sequence[str],
                     buckets: int = BUCKETS) -> DataFrame:
     """Adds ``<m>_before`` (sum over smaller x) and ``<m>_total`` per group.
 
-    ``values`` holds one row per (group, x). It is written once, because several
-    branches read it; its largest group decides whether buckets are needed.
+    ``values`` holds one row per (group, x). Groups are cut at approximate quantiles, so a
+    task orders one bucket; the few edges per group are joined as Spark sees fit.
     """
     by = list(by)
-    values = materialized(values)
-    largest = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= SMALL_GROUP:
-        # Measured: every group fits a task, so one window per group is enough.
-        whole = Window.partitionBy(*by)
-        earlier = whole.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-        return values.withColumns({
-            **{f"{m}_before": F.coalesce(F.sum(m).over(earlier), F.lit(0)) for m in measures},
-            **{f"{m}_total": F.sum(m).over(whole) for m in measures}})
     cuts = [i / buckets for i in range(1, buckets)]
-    # Written edges have a known size: below the broadcast threshold they are sent to the
-    # values, above it Spark shuffles both sides and splits skewed groups.
-    edges = materialized(values.groupBy(*by).agg(F.percentile_approx(x, cuts, 1000).alias("_edges")))
+    edges = values.groupBy(*by).agg(F.percentile_approx(x, cuts, 1000).alias("_edges"))
     # Edges below x, counted term by term: this form is compiled, a filter over the array is not.
     place = sum((F.when(F.col("_edges")[i] < F.col(x), 1).otherwise(0) for i in range(len(cuts))), F.lit(0))
     bucketed = values.join(edges, by).withColumn("_b", place).drop("_edges")

@@ -237,9 +237,9 @@ def rank_agreement(scores: DataFrame, by: Sequence[str], a: str, b: str, n_permu
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number."""
-    total, cum = F.lit(0), 0.0
-    for k in range(8):
-        cum += math.exp(-1.0) / math.factorial(k)
+    """Poisson(1) draw from a uniform number, by inversion to the end of double precision."""
+    total, cum, k = F.lit(0), 0.0, 0
+    while cum + (step := math.exp(-1.0) / math.factorial(k)) > cum:
+        cum, k = cum + step, k + 1
         total = total + F.when(u >= cum, 1).otherwise(0)
     return total

@@ -6,11 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from tidemark.functions.dates import lag_for, shift_bdays
 
-BROADCAST_DAYS = 100_000  # a calendar this long (270 years) still is a few MB
-
 
 def calendar(spark, start: str, end: str) -> DataFrame:
     """One row per calendar day from ``start`` to ``end``."""
@@ -44,13 +43,11 @@ def attach_macro(bars: DataFrame, obs: DataFrame, series: Sequence[str], start:
                  lags: Mapping[str, int] | None = None) -> DataFrame:
     """Backward as-of join at day grain: bars x calendar of published values.
 
-    The calendar's row count follows from ``start`` and ``end``. Below the bound it
-    is broadcast and the bars are not moved; above it the join is left to Spark.
+    The calendar's row count follows from ``start`` and ``end``; how it is joined is left
+    to Spark, which sees its size at run time.
     """
-    days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days + 1
     cal = macro_calendar(obs, series, start, end, lags)
-    side = F.broadcast(cal) if days <= BROADCAST_DAYS else cal
-    return bars.join(side, F.to_date("ts") == F.col("day"), "left").drop("day")
+    return bars.join(cal, F.to_date("ts") == F.col("day"), "left").drop("day")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
@@ -100,18 +97,18 @@ def pit_panel(bars: DataFrame, asof: str, symbols: Sequence[str] | None = None,
     return kept.where(F.col("symbol").isin(*symbols)) if symbols else kept
 
 
-def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30, grain: str = "day") -> DataFrame:
+def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30) -> DataFrame:
     """Mean score, count and coverage of documents in [bar - lookback, bar).
 
-    Documents are reduced to elementary intervals before any window: days, and for
-    ``grain="instant"`` the pieces between the instants ``bar`` and ``bar - lookback``
-    falling in a day. A range frame over those, at most a few per calendar day and
-    symbol, then gives each bar its window; no (document, bar) pairs are made.
-    ``grain="day"`` needs bars stamped at midnight.
+    Documents are reduced to elementary intervals before any window: the pieces that the
+    instants ``bar`` and ``bar - lookback`` cut a day into, so that a bar never sees a
+    document published at its own instant or later that day. A range frame over those, at
+    most a few per calendar day and symbol, then gives each bar its window; no (document,
+    bar) pairs are made. Bars whose ``ts`` is a DATE are whole days by type: days will do.
     """
     span_us = lookback_days * 86_400_000_000
     day = F.date_trunc("day", "published_at")
-    if grain == "day":
+    if isinstance(bars.schema["ts"].dataType, DateType):
         cells = docs.select("symbol", day.alias("_t"), "sentiment_score")
     else:
         stamps = bars.select("symbol", F.explode(F.array(
@@ -123,7 +120,7 @@ def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30,
     reduced = cells.groupBy("symbol", "_t").agg(
         F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_k"))
     marks = bars.select("symbol", F.col("ts").alias("_t")).distinct().withColumn("_bar", F.lit(True))
-    line = reduced.unionByName(marks, allowMissingColumns=True).withColumn("_us", F.unix_micros("_t"))
+    line = reduced.unionByName(marks, allowMissingColumns=True).withColumn("_us", F.unix_micros(F.col("_t").cast("timestamp")))
     frame = Window.partitionBy("symbol").orderBy("_us").rangeBetween(-span_us, -1)
     total, count = F.sum("_s").over(frame), F.coalesce(F.sum("_k").over(frame), F.lit(0))
     seen = line.select("symbol", "_t", "_bar", total.alias("_total"), count.alias("doc_count")).where("_bar")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -87,24 +88,32 @@ def with_islands(df: DataFrame, x: str, *keys: str, order: str = "ts") -> DataFr
     return flagged.withColumn("island", F.sum("_chg").over(w)).drop("_chg")
 
 
-def ewma_log_vol(bars: DataFrame, lam: float = 0.94, terms: int = 400) -> DataFrame:
-    """Log volatility of the exponentially weighted variance (recursive form).
+def ewma_log_vol(bars: DataFrame, lam: float = 0.94, block: int = 256) -> DataFrame:
+    """Log volatility of the exponentially weighted variance (recursive form), over all history.
 
-    v[0] = r[0]^2, v[t] = lam v[t-1] + (1-lam) r[t]^2 unrolls to a weighted sum
-    over the trailing frame; beyond ``terms`` bars a weight is below 2e-11 of the
-    newest one. One row's work is bounded and no whole-history state is kept.
+    v[0] = r[0]^2, v[t] = lam v[t-1] + (1-lam) r[t]^2 is a prefix sum of terms scaled by
+    powers of lam. Scaling restarts in every block of returns, so it stays in range; a
+    block's end value is carried into the next ones with weights lam^(block k), which are
+    exactly zero in double precision once lam^(block k) underflows: so many blocks are read.
     """
     w = per("symbol")
-    r2 = F.pow(pct_change("close", 1), 2)
-    base = bars.withColumn("_r2", r2)
-    hist = base.withColumn("_h", F.collect_list("_r2").over(w.rowsBetween(-(terms - 1), 0)))
-    n = F.size("_h")
-    complete = F.row_number().over(w) - 1 == n
-    oldest = F.when(complete, F.lit(1.0)).otherwise(F.lit(1.0 - lam))
-    seeded = F.when(n > 0, oldest * F.element_at("_h", 1))
-    var = F.aggregate(F.slice("_h", 2, F.greatest(n - 1, F.lit(0))), seeded,
-                      lambda acc, x: acc * lam + x * (1 - lam))
-    return hist.withColumn("ewma_log_vol", F.when(n > 0, F.ln(F.sqrt(var)))).drop("_r2", "_h")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    base = bars.withColumn("_r2", F.pow(pct_change("close", 1), 2))
+    base = base.withColumn("_i", F.count("_r2").over(upto))  # returns so far; a gap keeps the last value
+    place = F.greatest(F.col("_i") - 1, F.lit(0))
+    base = base.withColumns({"_b": F.floor(place / block), "_j": F.pmod(place, F.lit(block))})
+    term = F.when(F.col("_i") == 1, F.col("_r2")).otherwise(F.col("_r2") * (1 - lam)) * F.pow(F.lit(lam), -F.col("_j"))
+    base = base.withColumn("_term", term)
+    reach = int(np.ceil(np.log(np.nextafter(0, 1)) / np.log(lam) / block)) + 1
+    earlier = Window.partitionBy("symbol").orderBy("_b").rowsBetween(-reach, -1)
+    ends = base.groupBy("symbol", "_b").agg((F.sum("_term") * lam ** (block - 1)).alias("_end"))
+    ends = ends.withColumn("_ends", F.collect_list("_end").over(earlier)).select(
+        "symbol", "_b", F.aggregate("_ends", F.lit(0.0), lambda acc, x: acc * (lam ** block) + x).alias("_carry"))
+    local = F.sum("_term").over(per("symbol", "_b").rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(lam), F.col("_j"))
+    out = base.withColumn("_local", local).join(ends, ["symbol", "_b"])
+    var = F.coalesce("_local", F.lit(0.0)) + F.col("_carry") * F.pow(F.lit(lam), F.col("_j") + 1)
+    kept = [F.col(c) for c in bars.columns]
+    return out.select(*kept, F.when(F.col("_i") > 0, F.ln(F.sqrt(var))).alias("ewma_log_vol"))
 
 
 def latest_rows(df: DataFrame, key: str, k: int = 1, order: str = "ts") -> DataFrame:

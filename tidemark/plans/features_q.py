@@ -73,7 +73,7 @@ SELECT b.symbol, b.ts, {r6('coalesce(avg(d.sentiment_score), 0.0)','sentiment_sc
 FROM b LEFT JOIN docs d ON d.symbol = b.symbol AND d.published_at < b.ts AND d.published_at >= b.ts - INTERVAL 7 DAYS GROUP BY 1, 2""")
 def _(t):
     bars = t.bars().withColumn("ts", F.expr("ts + INTERVAL 870 MINUTES"))
-    return document_windows(t.docs(), bars, 7, grain="instant").withColumn("sentiment_score", F.round("sentiment_score", 6))
+    return document_windows(t.docs(), bars, 7).withColumn("sentiment_score", F.round("sentiment_score", 6))
 
 
 _FULL_COLS = (*PX, "DGS10", "DFF", "VIXCLS", "yield_curve", "vol_regime_ratio", "sentiment_score")

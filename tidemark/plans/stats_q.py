@@ -274,19 +274,19 @@ def _(t):
     return ranks.spearman(v, ["_all"], "a", "b").select(r("rho", "rho"), "n")
 
 
-_CUM = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+_CUM = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(18)]
 _PW = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in _CUM)
 
 
 @query("sta_15_coefficient_bootstrap", f"""
 WITH p AS (SELECT symbol, ts, y_true AS y, y_pred AS x FROM scheme_pred WHERE scheme = 'mom'),
-g AS (SELECT rep, x, y, {_PW} AS w FROM (SELECT rep, x, y, {uniform_sql("'9'", 'rep', 'symbol', 'CAST(epoch(ts) AS BIGINT)')} AS u FROM p, generate_series(1, 10) t(rep))),
+g AS (SELECT rep, x, y, {_PW} AS w FROM (SELECT rep, x, y, {uniform_sql("'9'", 'rep', 'symbol', 'CAST(epoch(ts) AS BIGINT)')} AS u FROM p, generate_series(1, 50) t(rep))),
 c AS (SELECT rep, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) AS b FROM g GROUP BY 1)
 SELECT 'y_pred' AS feature, {r6('quantile_cont(b, 0.05)','ci_low')}, {r6('quantile_cont(b, 0.95)','ci_high')} FROM c""")
 def _(t):
     from tidemark.operators.models import gram, solve
 
-    p = scheme_predictions(t).where("scheme = 'mom'").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    p = scheme_predictions(t).where("scheme = 'mom'").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(50))))
     u = st.uniform(F.lit(9), F.col("replicate"), F.col("symbol"), F.unix_seconds("ts"))
     fits = solve(gram(p, ["replicate"], ["y_pred"], "y_true", st.poisson_weight(u)), ["replicate"], ["y_pred"])
     return fits.agg(F.lit("y_pred").alias("feature"), r(F.percentile(F.col("beta")[1], 0.05), "ci_low"), r(F.percentile(F.col("beta")[1], 0.95), "ci_high"))
