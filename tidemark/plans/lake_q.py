@@ -87,7 +87,7 @@ def _(t):
     lake.write_processed(base, "bars", ["year", "month"])
     fixed = base.where("year = 1998 AND close > 103").withColumns({
         "close": F.col("close") + 1, "ingested_at": F.lit("2002-01-02").cast("timestamp")})
-    lake.upsert(fixed, "bars", ["symbol", "ts"], "ingested_at", ["year", "month"])
+    lake.upsert(fixed, "bars", ["symbol", "ts"], "ingested_at", ["year", "month"], fixed_partitions=True)
     return lake.read("bars").select("symbol", "ts", r("close", "close"))
 
 

@@ -15,8 +15,22 @@ def place(t):
     return Lake(t.spark, root), f"{root}/checkpoints"
 
 
-def table(t, name):
-    return sm.landing_stream(t.spark, t.dir, f"{name}.parquet")
+FILES = 5
+
+
+def table(t, name, order=None):
+    """A table as a stream of one file; or, by ``order``, of five, the oldest rows landing last,
+    read one file per batch."""
+    if order is None:
+        return sm.landing_stream(t.spark, t.dir, f"{name}.parquet")
+    landed = f"{scratch_dir(t.spark)}/landing"
+    rows = t.spark.read.parquet(f"{t.dir}/{name}.parquet")
+    ends = rows.select(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / FILES for i in range(1, FILES)], 1000)).first()[0]
+    low = F.unix_micros(F.col(order).cast("timestamp"))
+    part = sum((F.when(low > e, 1).otherwise(0) for e in ends), F.lit(0))
+    for k in reversed(range(FILES)):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(landed)
+    return sm.landing_stream(t.spark, landed, files_per_trigger=1)
 
 
 def ticks(stream):
@@ -39,7 +53,7 @@ def _(t):
 SELECT o_custkey, max(o_orderkey) AS last_order, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1""")
 def _(t):
     lake, cp = place(t)
-    s = table(t, "orders").select("o_custkey", F.col("o_orderkey").alias("last_order"), F.col("o_orderstatus").alias("status"))
+    s = table(t, "orders", "o_orderdate").select("o_custkey", F.col("o_orderkey").alias("last_order"), F.col("o_orderstatus").alias("status"))
     sm.upsert_stream(s, lake, "latest_orders", ["o_custkey"], cp, version=F.col("last_order")).awaitTermination()
     return lake.read("latest_orders").select("o_custkey", "last_order", "status")
 
@@ -47,42 +61,41 @@ def _(t):
 @query("stm_03_duplicate_documents", "SELECT event_id, user_id FROM events")
 def _(t):
     lake, cp = place(t)
-    e = table(t, "events").select("event_id", "user_id", "ts")
+    e = table(t, "events", "ts").select("event_id", "user_id", "ts")
     twice = e.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    sm.append_stream(sm.first_version_only(twice, "event_id", "ts"), lake.path("unique_events"), cp).awaitTermination()
+    sm.first_version_stream(twice, lake, "unique_events", cp, "event_id").awaitTermination()
     return lake.read("unique_events").select("event_id", "user_id")
 
 
 @query("stm_09_tick_bars", f"""SELECT symbol, ts, {r6('open','open')}, {r6('high','high')}, {r6('low','low')}, {r6('"close"','"close"')}, {r6('volume','volume',3)} FROM bars""")
 def _(t):
     lake, cp = place(t)
-    bars = sm.tick_bars(ticks(table(t, "lineitem"))).withColumns({"year": F.year("ts"), "month": F.month("ts")})
-    sm.upsert_stream(bars, lake, "bars", ["symbol", "ts"], cp, partition_cols=["year", "month"], mode="update").awaitTermination()
-    return lake.read("bars").select("symbol", "ts", *[r(c, c) for c in ("open", "high", "low", "close")], r("volume", "volume", 3))
+    sm.part_stream(ticks(table(t, "lineitem", "l_shipdate")), lake, "bar_parts", cp, sm.tick_parts).awaitTermination()
+    return sm.bars_of_parts(lake.read("bar_parts")).select("symbol", "ts", *[r(c, c) for c in ("open", "high", "low", "close")], r("volume", "volume", 3))
 
 
 @query("stm_04_late_partition_rewrite", """
 SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, count(*) AS n_bars FROM bars GROUP BY 1, 2""")
 def _(t):
     lake, cp = place(t)
-    bars = sm.tick_bars(ticks(table(t, "lineitem"))).withColumns({"year": F.year("ts"), "month": F.month("ts")})
-    sm.upsert_stream(bars, lake, "bars", ["symbol", "ts"], cp, partition_cols=["year", "month"], mode="update").awaitTermination()
+    sm.part_stream(ticks(table(t, "lineitem", "l_shipdate")), lake, "bar_parts", cp, sm.tick_parts).awaitTermination()
+    bars = sm.bars_of_parts(lake.read("bar_parts")).withColumns({"year": F.year("ts"), "month": F.month("ts"), "_version": F.lit(0).cast("bigint")})
+    lake.upsert(bars, "bars", ["symbol", "ts"], "_version", ["year", "month"], fixed_partitions=True)
     late = lake.read("bars").where("year = 1999 AND month = 2").withColumns({"close": F.col("close") + 1, "_version": F.lit(99).cast("bigint")})
-    lake.upsert(late, "bars", ["symbol", "ts"], "_version", ["year", "month"])
+    lake.upsert(late, "bars", ["symbol", "ts"], "_version", ["year", "month"], fixed_partitions=True)
     return lake.read("bars").groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_bars"))
 
 
 @query("stm_07_sliding_documents", f"""
-WITH w AS (SELECT symbol, published_at, sentiment_score, unnest(range(7)) AS j FROM docs),
+WITH w AS (SELECT symbol, published_at, sentiment_score, unnest(range(30)) AS j FROM docs),
 e AS (SELECT symbol, date_trunc('day', published_at) + INTERVAL 1 DAY + INTERVAL 1 DAY * j AS ts, sentiment_score FROM w)
 SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, {r6('avg(sentiment_score)','sentiment_score')}, count(*) AS doc_count FROM e GROUP BY 1, 2""")
 def _(t):
     from tidemark.sources.derive import scored_documents
 
     lake, cp = place(t)
-    s = sm.sliding_documents(scored_documents(table(t, "events")), "7 days")
-    sm.upsert_stream(s, lake, "doc_windows", ["symbol", "ts"], cp, mode="update").awaitTermination()
-    return lake.read("doc_windows").select("symbol", "ts", r("sentiment_score", "sentiment_score"), "doc_count")
+    sm.part_stream(scored_documents(table(t, "events", "ts")), lake, "doc_parts", cp, sm.document_parts).awaitTermination()
+    return sm.windows_of_parts(lake.read("doc_parts")).select("symbol", "ts", r("sentiment_score", "sentiment_score"), "doc_count")
 
 
 @query("stm_06_feed_freshness", """
@@ -99,11 +112,11 @@ WITH b AS (SELECT symbol, ts, CASE WHEN "close" > open THEN 100.0 ELSE -50.0 END
 SELECT symbol, ts, q - coalesce(lag(q) OVER (PARTITION BY symbol ORDER BY ts), 0) AS delta FROM b QUALIFY abs(delta) >= 1e-9""")
 def _(t):
     lake, cp = place(t)
-    lake.write_processed(t.bars(), "bars")
-    bars = sm.landing_stream(t.spark, lake.path("bars"))
-    targets = bars.select("symbol", "ts", F.when(F.col("close") > F.col("open"), 100.0).otherwise(-50.0).alias("target_qty"))
-    sm.append_stream(sm.order_stream(targets), lake.path("orders"), cp).awaitTermination()
-    return lake.read("orders").select("symbol", "ts", "delta")
+    days = type(t)(t.spark, f"{lake.root}/daily")
+    t.bars().write.parquet(f"{days.dir}/daily.parquet")
+    targets = table(days, "daily", "ts").select("symbol", "ts", F.when(F.col("close") > F.col("open"), 100.0).otherwise(-50.0).alias("target_qty"))
+    sm.part_stream(targets, lake, "targets", cp, lambda batch: batch).awaitTermination()
+    return sm.orders_of_targets(lake.read("targets")).select("symbol", "ts", "delta")
 
 
 @query("stm_05_source_status", """

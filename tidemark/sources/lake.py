@@ -79,39 +79,76 @@ class Lake:
             self.read(d).createOrReplaceTempView(d)
         return self.spark.sql(sql, args=args)
 
+    def _exists(self, path: str) -> bool:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+    def _remove(self, path: str) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    def _recover(self, dataset: str) -> None:
+        """Finish a flat upsert that stopped between deleting the live table and writing it.
+
+        A committed staging copy without a committed live table is the whole table.
+        """
+        stage, live = f"{self.root}/staging/{dataset}", self.path(dataset)
+        if self._exists(f"{stage}/_SUCCESS") and not self._exists(f"{live}/_SUCCESS"):
+            self.spark.read.parquet(stage).write.mode("overwrite").parquet(live)
+
     def upsert(self, new: DataFrame, dataset: str, keys: Sequence[str], version: str,
-               partition_cols: Sequence[str] = ()) -> None:
+               partition_cols: Sequence[str] = (), fixed_partitions: bool = False) -> None:
         """Merge new rows; per key the row with the latest ``version`` stays.
 
-        Only partitions that ``new`` touches are read and rewritten. Their names (one
-        per month) are the only thing the driver sees. A rerun gives the same result,
-        so a job that lost executors can simply be started again.
+        Only partitions that ``new`` touches are rewritten, and those that hold an older row
+        of one of its keys: a key may move to another partition. With ``fixed_partitions`` the
+        caller states that a key determines its partition, and no other partition is looked
+        at. Partition names (one per month) are the only thing the driver sees. A rerun gives
+        the same result, so a job that stopped anywhere can simply be started again.
         """
+        if not partition_cols:
+            self._recover(dataset)
         try:
             old = self.spark.read.parquet(self.path(dataset))
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
             old = None
+        touched = []
         if old is not None:
             if partition_cols:
-                touched = new.select(*partition_cols).distinct().collect()
+                parts = new.select(*partition_cols)
+                if not fixed_partitions:
+                    moved = old.select(*keys, *[c for c in partition_cols if c not in keys]).join(
+                        new.select(*keys).distinct(), list(keys), "left_semi")
+                    parts = parts.unionByName(moved.select(*partition_cols))
+                touched = parts.distinct().collect()
                 old = old.where(_any_of(touched, partition_cols))
             new = old.unionByName(new, allowMissingColumns=True)
         merged = keep_latest(new, keys, version)
         if partition_cols or old is None:
+            if touched and not fixed_partitions:
+                merged = materialized(merged)
+                left = {tuple(r) for r in merged.select(*partition_cols).distinct().collect()}
             self.write_processed(merged, dataset, partition_cols)
+            # A partition whose last key moved away has no rows to overwrite it with.
+            for row in touched if not fixed_partitions else ():
+                if tuple(row) not in left:
+                    self._remove("/".join([self.path(dataset), *[f"{c}={row[c]}" for c in partition_cols]]))
             return
-        # A flat dataset is read and replaced as a whole: stage it, then swap it in.
+        # A flat dataset is read and replaced as a whole: stage it, swap it in, drop the copy.
         stage = f"{self.root}/staging/{dataset}"
         merged.write.mode("overwrite").parquet(stage)
         self.spark.read.parquet(stage).write.mode("overwrite").parquet(self.path(dataset))
+        self._remove(stage)
 
     def high_water(self, dataset: str, ts: str) -> DataFrame:
         """One row with the newest instant, NULL for a dataset never written."""
         try:
             df = self.spark.read.parquet(self.path(dataset))
-        except AnalysisException:
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" not in str(exc):
+                raise
             return self.spark.createDataFrame([(None,)], "latest timestamp")
         return df.agg(F.max(ts).alias("latest"))
 
