@@ -229,11 +229,12 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                                           F.first("nodes").alias("nodes"))
     unique = materialized(unique.where(F.col("n_bytes") >= length))
     nodes = unique.select("text_key", F.inline("nodes"))
-    cores = nodes.groupBy("core").count().where("count > 1").select("core")
+    # Written, so that the join below has two plain shuffles and Spark can split a hot core.
+    cores = materialized(nodes.groupBy("core").count().where("count > 1").select("core"))
     nodes = materialized(nodes.join(cores, "core"))
     kinds = nodes.groupBy("core", "stretch").agg(F.count(F.lit(1)).alias("alike"), F.min(F.struct("text_key", "low")).alias("sample"))
     per_core = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = kinds.join(per_core, "core")
+    kinds = materialized(kinds.join(per_core, "core"))
     nodes = materialized(nodes.join(kinds, ["core", "stretch"]))
     alike = nodes.where("alike > 1").select("text_key", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
     # Every different stretch of a core is compared once; its copies share the answer.
