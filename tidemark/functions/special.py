@@ -7,7 +7,6 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,7 +100,3 @@ def finite(x: Column) -> Column:
 def tidy(x: Column, digits: int = 6) -> Column:
     """Half-even rounding for export: non-finite to NULL, -0.0 to 0.0."""
     return F.bround(finite(x), digits) + F.lit(0.0)
-
-
-def interpolated_quantile(values: np.ndarray, q: float) -> float:
-    return float(np.quantile(values, q))

@@ -10,7 +10,6 @@ from pyspark.sql.types import StringType
 
 # The five named entities every page uses, "&amp;" last so that it is not undone twice.
 BASIC_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
-STRIP_CAP = 20_000  # fixed value: optional cut for stored filing text; whole texts are the default
 
 
 @F.pandas_udf(StringType())

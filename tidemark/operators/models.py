@@ -265,8 +265,8 @@ def logistic_predict(positioned: DataFrame, wf: WalkForward, columns: Sequence[s
 
 # --- document scoring -----------------------------------------------------------------------
 # A small polarity word list used when no scoring model is plugged in.
-POSITIVE = ("gain", "growth", "beat", "strong", "upgrade", "profit", "record", "improve", "win", "the", "thank")
-NEGATIVE = ("loss", "miss", "weak", "downgrade", "decline", "risk", "lawsuit", "cut", "fall", "error", "de")
+POSITIVE = ("gain", "growth", "beat", "strong", "upgrade", "profit", "record", "improve", "win")
+NEGATIVE = ("loss", "miss", "weak", "downgrade", "decline", "risk", "lawsuit", "cut", "fall", "error")
 
 
 def lexicon_scores(docs: DataFrame, text: str = "text", positive: Sequence[str] = POSITIVE,

@@ -78,12 +78,19 @@ def stress_windows(returns: DataFrame, windows: Sequence[tuple[str, str, str]],
 
 
 def lineage(columns: Column) -> Column:
-    """Data families a feature list draws on."""
-    families = {"prices": ("ret_", "vol_", "mom_", "rsi_", "ma", "log_volume", "volume_ratio"),
-                "macro": ("DGS10", "DFF", "VIXCLS", "yield_curve", "vix_regime", "curve_inverted"),
-                "documents": ("sentiment", "doc_count", "has_coverage")}
+    """Data families a feature list draws on; every list rests on prices."""
+    families = {"macro": ("DGS10", "DFF", "VIXCLS", "yield_curve", "vix_regime", "curve_inverted"),
+                "documents": ("sentiment", "doc_count", "has_coverage"),
+                "cross_section": ("xs_rank_",)}
     tags = [F.when(F.exists(columns, _matches("^(" + "|".join(prefixes) + ")")), F.lit(n)) for n, prefixes in families.items()]
-    return F.array_compact(F.array(*tags))
+    return F.array_compact(F.array(F.lit("prices"), *tags))
+
+
+def run_span(returns: DataFrame, by: Sequence[str] = ("run",), regime: str = "regime") -> DataFrame:
+    """What a run covers: first and last date, distinct dates, symbols and regimes."""
+    return returns.groupBy(*by).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("ts").alias("n_dates"),
+        F.count_distinct("symbol").alias("n_symbols"), F.count_distinct(regime).alias("n_regimes"))
 
 
 def _matches(pattern: str):

@@ -334,10 +334,10 @@ def _(t):
 
 
 @query("tab_08_provenance", """
-SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'prices' END, CASE WHEN p_size % 3 = 0 THEN 'macro' END, CASE WHEN p_size % 5 = 0 THEN 'documents' END], lambda x: x IS NOT NULL), ',') AS lineage, CAST(504 AS BIGINT) AS train_window, p_size AS test_window FROM part""")
+SELECT p_partkey, array_to_string(list_filter(['prices', CASE WHEN p_size % 3 = 0 THEN 'macro' END, CASE WHEN p_size % 5 = 0 THEN 'documents' END, CASE WHEN p_size % 7 = 0 THEN 'cross_section' END], lambda x: x IS NOT NULL), ',') AS lineage, CAST(504 AS BIGINT) AS train_window, p_size AS test_window FROM part""")
 def _(t):
     s = F.col("p_size")
-    cols = F.array_compact(F.array(F.when(s % 2 == 0, "ret_5d"), F.when(s % 3 == 0, "VIXCLS"), F.when(s % 5 == 0, "doc_count")))
+    cols = F.array_compact(F.array(F.when(s % 2 == 0, "ret_5d"), F.when(s % 3 == 0, "VIXCLS"), F.when(s % 5 == 0, "doc_count"), F.when(s % 7 == 0, "xs_rank_vol_21d")))
     config = F.to_json(F.struct(F.struct(s.alias("test_window")).alias("walk_forward")))
     p = t.raw("part").select("p_partkey", cols.alias("cols"), config.alias("cfg"))
     parsed = p.withColumn("c", F.from_json("cfg", "walk_forward struct<train_window:bigint,test_window:int>"))

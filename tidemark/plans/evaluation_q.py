@@ -1,6 +1,7 @@
 """Labels, folds, regimes, metrics and replay queries."""
 from pyspark.sql import functions as F
 
+from tidemark.operators import reports as rpt
 from tidemark.operators import features as feat
 from tidemark.operators import labels as lab
 from tidemark.operators import metrics as met
@@ -217,6 +218,14 @@ def _(t):
     return rounded(met.regime_metrics(tagged, ["run"]), "run", "regime")
 
 
+@query("agg_22_run_span", """
+SELECT left(run, 2) AS run, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT ts) AS n_dates, count(DISTINCT run) AS n_symbols,
+       count(DISTINCT regime) AS n_regimes FROM rets_era GROUP BY 1""")
+def _(t):
+    tagged = reg.tag(t.returns(), reg.era_detector(ERAS))
+    return rpt.run_span(tagged.withColumn("symbol", F.col("run")).withColumn("run", F.substring("run", 1, 2)))
+
+
 @query("tab_01_regime_summary", f"""
 WITH p AS (SELECT ts, regime, avg(ret) AS ret FROM rets_era GROUP BY 1, 2)
 SELECT regime, sharpe, sortino, max_drawdown, n_bars FROM ({metrics_sql('p', 'regime')})""")

@@ -136,13 +136,21 @@ def _(t):
     return out.select(F.col("day").cast("string").alias("day"), r("close", "close"))
 
 
-@query("src_14_lake_inventory", "SELECT 12::BIGINT AS n_partitions, count(*) AS n_rows FROM bars WHERE year(ts) = 1997")
+@query("src_14_lake_inventory", """
+SELECT 'raw' AS layer, true AS has_bytes, true AS whole_partitions, count(*) AS n_rows FROM bars
+UNION ALL SELECT 'processed', true, true, count(*) FROM bars""")
 def _(t):
+    """Both layers of a landing, by what their file metadata says; files come in whole partitions."""
     lake = Lake(t.spark, scratch_dir(t.spark))
-    lake.write_processed(stamped(t).where("year = 1997"), "bars97", ["year", "month"])
-    files = lake.read("bars97").select("month", "_metadata.file_path").groupBy("file_path", "month").agg(F.count(F.lit(1)).alias("k"))
-    return files.groupBy("month").agg(F.sum("k").alias("k")).agg(
-        F.count(F.lit(1)).alias("n_partitions"), F.sum("k").alias("n_rows"))
+    bars = stamped(t)
+    lake.write_raw(bars, "eod", "bars", "2024-01-31")
+    lake.write_processed(bars, "bars", ["year", "month"])
+    months = lake.read("bars").select("year", "month").distinct().count()
+    layers = [lake.inventory("bars", layer="raw", source="eod").select(F.lit("raw").alias("layer"), "*"),
+              lake.inventory("bars").select(F.lit("processed").alias("layer"), "*")]
+    least = F.when(F.col("layer") == "raw", F.lit(1)).otherwise(F.lit(months))
+    return layers[0].unionByName(layers[1]).select(
+        "layer", (F.col("bytes") > 0).alias("has_bytes"), (F.col("n_files") >= least).alias("whole_partitions"), "n_rows")
 
 
 _IDX = """SELECT p_partkey, i, replace('000' || p_partkey || '-' || i, ' ', '') AS accession, DATE '1996-01-01' + CAST((p_partkey * 7 + i * 40) % 1500 AS INTEGER) AS filed_at,

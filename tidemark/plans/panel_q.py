@@ -137,12 +137,12 @@ def _(t):
 
 @query("mod_10_document_scores", r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 0) AS w FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
-s AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('gain','growth','beat','strong','upgrade','profit','record','improve','win','the','thank'))) / greatest(len(w), 1) AS p,
-  len(list_filter(w, lambda x: x IN ('loss','miss','weak','downgrade','decline','risk','lawsuit','cut','fall','error','de'))) / greatest(len(w), 1) AS n FROM w)
+s AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the','of','und','los'))) / greatest(len(w), 1) AS p,
+  len(list_filter(w, lambda x: x IN ('de','der','was'))) / greatest(len(w), 1) AS n FROM w)
 SELECT doc_id, (round(p, 6) + 0.0) AS sentiment_positive, (round(n, 6) + 0.0) AS sentiment_negative, (round(p - n, 6) + 0.0) AS sentiment_score FROM s""")
 def _(t):
     todo = mod.unscored(t.raw("documents"), t.raw("labels"), "doc_id")
-    s = mod.lexicon_scores(todo)
+    s = mod.lexicon_scores(todo, positive=("the", "of", "und", "los"), negative=("de", "der", "was"))  # words these texts have
     return s.select("doc_id", *[r(c, c) for c in ("sentiment_positive", "sentiment_negative", "sentiment_score")])
 
 

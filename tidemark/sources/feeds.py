@@ -35,7 +35,3 @@ def feed_items(df: DataFrame, xml: str, keep: Sequence[str], item: str = "item",
 
 def blank_dropped(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.length(F.trim(text)) > 0)
-
-
-def config_of(json: Column) -> Column:
-    return F.from_json(json, "map<string,string>")

@@ -152,9 +152,9 @@ class Lake:
             return self.spark.createDataFrame([(None,)], "latest timestamp")
         return df.agg(F.max(ts).alias("latest"))
 
-    def inventory(self, dataset: str) -> DataFrame:
-        """Files, bytes and rows by file, from file metadata columns."""
-        df = self.spark.read.parquet(self.path(dataset))
+    def inventory(self, dataset: str, layer: str = "processed", source: str = "") -> DataFrame:
+        """Files, bytes and rows of a dataset in one layer, from file metadata columns."""
+        df = self.spark.read.parquet(self.path(dataset) if layer == "processed" else self.raw_path(source, dataset))
         per_file = df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(
             F.max("file_size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
         return per_file.agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows"))
