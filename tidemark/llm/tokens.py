@@ -60,29 +60,45 @@ class ByteEncoder:
         self.first: dict[str, bytes] = {}  # parts at the start of a text
         self.later: dict[str, bytes] = {}  # parts behind a space
 
-    def _learn(self, parts: list[str]) -> list[bytes]:
-        words, encode = self.words, self.encode_word
-        made = [[p] if any(s in p for s in self.special) else self.words_of(p) for p in parts]
-        for w in set().union(*made).difference(words):
-            special = any(s in w for s in self.special)
-            ids = self.library.encode(w, add_special_tokens=False).ids if special else encode(w)
-            words[w] = array("I", ids).tobytes()
-        return [b"".join([words[w] for w in m]) for m in made]
+    def _word(self, word: str, new: list[str]) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            special = any(s in word for s in self.special)
+            found = self.library.encode(word, add_special_tokens=False).ids if special else self.encode_word(word)
+            ids = self.words[word] = array("I", found).tobytes()
+            new.append(word)
+        return ids
+
+    def _learn(self, parts: list[str], known: dict[str, bytes], lead: str) -> list[str]:
+        """Adds the ids of new parts to ``known``; the words that were new."""
+        word, new = self._word, []
+        for p in parts:
+            if p.isalpha():  # one word
+                known[p] = word(lead + p, new)
+            elif p[-1:] in (".", ",") and p[:-1].isalpha():
+                known[p] = word(lead + p[:-1], new) + word(p[-1], new)
+            elif any(s in p for s in self.special):
+                known[p] = word(lead + p, new)
+            else:
+                known[p] = b"".join([word(w, new) for w in self.words_of(lead + p)])
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.words, self.first, self.later):
-            if len(known) > MEMORY:
-                known.clear()
         parts = []
         for text in texts:
             odd = text[:1] == " " or text[-1:] == " " or any(s in text for s in ODD)
             parts.append(CUT.split(text) if odd else text.split(" "))
-        starts = list({p[0] for p in parts}.difference(self.first))
-        self.first.update(zip(starts, self._learn(starts)))
-        rest = list(set().union(*[p[1:] for p in parts]).difference(self.later))
-        self.later.update(zip(rest, self._learn([" " + p for p in rest])))
+        first = [p.pop(0) for p in parts]
+        starts, rest = list(set(first).difference(self.first)), list(set().union(*parts).difference(self.later))
+        new = self._learn(starts, self.first, "") + self._learn(rest, self.later, " ")
         later = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(later, p[1:])) for p in parts]
+        out = [self.first[f] + b"".join(map(later, p)) for f, p in zip(first, parts)]
+        # A full memory keeps what it knows, the frequent parts, and forgets the newest.
+        for known, recent in ((self.words, new), (self.first, starts), (self.later, rest)):
+            if len(known) > MEMORY:
+                for x in recent:
+                    del known[x]
+        return out
 
 
 def encoder(path: str) -> ByteEncoder:
