@@ -26,7 +26,36 @@ def tokenizer(name: str) -> str:
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query("op1_quotation_linking")
+_NORMAL = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+OP1_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, contains(text, '>') AS quoting FROM conversations),
+ln AS (SELECT conv_id, turn, i, x[i] AS line FROM (SELECT conv_id, turn, x, unnest(range(1, len(x) + 1)) AS i
+  FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS x FROM m WHERE quoting))),
+lv AS (SELECT conv_id, turn, i, line, len(string_split(marks, '>')) - 1 AS level,
+  regexp_replace(substr(line, length(marks) + 1), '^ ', '') AS body
+  FROM (SELECT *, regexp_extract(line, '^(?:[ \t]*>)+') AS marks FROM ln)),
+nx AS (SELECT *, coalesce(lead(level) OVER w, 0) AS below, coalesce(lag(level) OVER w, -1) <> level AS new FROM lv
+  WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+rn AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM nx),
+q AS (SELECT conv_id, turn, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS passage
+  FROM rn WHERE level > 0 GROUP BY conv_id, turn, run HAVING trim(string_agg(body, chr(10) ORDER BY i)) <> ''),
+own AS (SELECT conv_id, turn, trim(string_agg(body, chr(10) ORDER BY i), concat(' ', chr(9), chr(10))) AS body FROM rn
+  WHERE level = 0 AND NOT (below > 0 AND regexp_matches(body, '^(On|Am|Le|El) .*(wrote|schrieb|a écrit|escribió) ?:[ \t]*$')) GROUP BY 1, 2),
+b AS (SELECT m.*, CASE WHEN quoting THEN coalesce(own.body, '') ELSE text END AS body FROM m LEFT JOIN own USING (conv_id, turn)),
+u AS (SELECT DISTINCT conv_id, turn, NORMAL_x AS x FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n\s*\n'), string_split(body, chr(10)))) AS x FROM b WHERE body IS NOT NULL)),
+l AS (SELECT q.conv_id, q.turn, q.run, q.level, max(u.turn) AS origin FROM q LEFT JOIN u ON u.conv_id = q.conv_id AND u.turn < q.turn AND u.x = NORMAL_q AND u.x <> '' GROUP BY 1, 2, 3, 4),
+p AS (SELECT conv_id, turn, count(*) AS n_quotes, count(origin) AS n_linked,
+  first(origin ORDER BY level, origin DESC) FILTER (origin IS NOT NULL) AS parent FROM l GROUP BY 1, 2),
+chain(conv_id, turn, root) AS (SELECT conv_id, turn, parent FROM p WHERE parent IS NOT NULL
+  UNION ALL SELECT c.conv_id, c.turn, p.parent FROM chain c JOIN p ON p.conv_id = c.conv_id AND p.turn = c.root WHERE p.parent IS NOT NULL),
+t AS (SELECT conv_id, turn, min(root) AS root FROM chain GROUP BY 1, 2)
+SELECT b.conv_id, b.turn, b.role, b.body AS text, coalesce(p.n_quotes, 0) AS n_quotes, coalesce(p.n_linked, 0) AS n_linked,
+  p.parent AS reply_to, coalesce(t.root, b.turn) AS thread_turn,
+  row_number() OVER (PARTITION BY b.conv_id ORDER BY coalesce(t.root, b.turn), b.turn, b.role, b.body) - 1 AS position
+FROM b LEFT JOIN p USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn)""".replace("NORMAL_x", _NORMAL.format("x")).replace("NORMAL_q", _NORMAL.format("q.passage"))
+
+
+@query("op1_quotation_linking", OP1_SQL)
 def op1(spark, sf_dir):
     return link_quotations(LlmTables(spark, sf_dir, "conversations"))
 
@@ -112,7 +141,23 @@ def op6(spark, sf_dir):
     return judge_urls(LlmTables(spark, sf_dir, "pages"), URL_RULES)
 
 
-@query("op7_suffix_array_dedup")
+OP7_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+c AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM c)),
+m AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM m),
+span AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY r, k),
+gap AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS a, a AS z FROM span
+        UNION ALL SELECT r, max(z), NULL FROM span GROUP BY r),
+kept AS (SELECT gap.r, string_agg(hex(b[gap.a:coalesce(z, octet_length(b) + 1) - 1]), '' ORDER BY gap.a) AS x FROM gap JOIN d USING (r) GROUP BY gap.r),
+cut AS (SELECT r, sum(z - a) AS removed, count(*) AS spans FROM span GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       CASE WHEN x IS NULL THEN sha256(b) ELSE sha256(unhex(x)) END AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op7_suffix_array_dedup", OP7_SQL)
 def op7(spark, sf_dir):
     return remove_repeats(LlmTables(spark, sf_dir, "documents"))
 
