@@ -229,7 +229,8 @@ def _confirmed(docs: DataFrame, id: str, text: str, classes: DataFrame, clusters
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, tile).alias("x"), F.greatest(t, tile).alias("y")))
     placed = materialized(placed.select("root", "set_key", F.col("least").alias("_id"), meets.alias("meets")))
     whole = docs.select(F.col(f"`{id}`").alias("_i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
-    meeting = whole.join(placed, F.col("_i").eqNullSafe(F.col("_id"))).select("root", F.explode("meets").alias("m"), "set_key", "_text")
+    # The same join at every size: texts are dealt by id, the much smaller placement is hashed.
+    meeting = whole.join(placed.hint("shuffle_hash"), F.col("_i").eqNullSafe(F.col("_id"))).select("root", F.explode("meets").alias("m"), "set_key", "_text")
     dealt = meeting.select("root", "m.x", "m.y", "set_key", "_text")
     dealt = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
     result = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -274,5 +275,5 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", percent
         F.xxhash64(f"c.{key}", "c.set_key").alias("_name"), F.col("c.set_key").alias("_s"), F.col(f"c.{key}").alias("_i"))
     named = keyed.where(F.col("_set").isNotNull()).withColumn("_row", F.xxhash64(key, "_set"))
     same = (F.col("_row") == F.col("_name")) & (F.col("_set") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_i"))
-    kept = named.join(chosen, same, "left_semi").dropDuplicates(["_row"]).select(*names)
+    kept = named.join(chosen.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["_row"]).select(*names)
     return kept.union(keyed.where(F.col("_set").isNull()).select(*names)).toDF(*docs.columns)
