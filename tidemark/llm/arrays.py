@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xD1342543DE82EF95

@@ -13,7 +13,7 @@ OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 ODD = ["  ", " \n", "\n ", *OTHER_SPACES]
 #: Fixed value: the public pattern that cuts text into words for this kind of vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY = 800_000
+MEMORY = 300_000
 
 
 def per_process(key: str, make):
