@@ -22,7 +22,7 @@ PLACES, FEATURES = 1 << 20, 4096
 #: Beginnings of longer words count too, in bytes: inflected forms share them.
 STEMS = (5, 6, 7, 8)
 #: Labelled rows that the chain is fitted on at most; all rows are scored.
-SAMPLE = 20_000
+SAMPLE = 8_000
 FOLDS, RIDGE, PASSES = 5, 3e-4, 200
 #: A word must occur in this many labelled texts to be a feature.
 LEAST = 6
@@ -174,8 +174,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     rows = places.select("*", fold).orderBy(F.xxhash64("_i"), "_i", F.hash("places")).limit(sample).toPandas()
     fold = rows["fold"].to_numpy()
     size = np.array([len(p) for p in rows["places"]], np.int64)
-    place = np.concatenate([np.zeros(0, np.int64), *rows["places"]]).astype(np.int64)
-    return np.repeat(np.arange(len(rows)), size), place, {k: rows[f"y_{k}"].to_numpy() for k in categories}, fold
+    place = np.concatenate([np.zeros(0, np.int32), *rows["places"]]).astype(np.int32)
+    return np.repeat(np.arange(len(rows), dtype=np.int32), size), place, {k: rows[f"y_{k}"].to_numpy() for k in categories}, fold
 
 
 def _places(data: np.ndarray, offsets: np.ndarray):
