@@ -27,4 +27,4 @@ def test_quotation_sql_sees_quotes(tmp_path):
                 "(1, 2, 'u', 'On May 1 A wrote:\n> > hi there.\n> yes\nno'), (1, 3, 'u', '> unsaid\nx')) t(conv_id, turn, role, text)")
     got = con.sql(OP1_SQL.replace("FROM conversations", "FROM said")).order("turn").fetchall()
     assert [(r[3], r[4], r[5], r[6], r[7], r[8]) for r in got] == [
-        ("Hi  there.\n\nTwo\nlines", 0, 0, None, 0, 0), ("yes", 1, 1, 0, 0, 1), ("no", 2, 2, 1, 0, 2), ("x", 1, 0, None, 3, 3)]
+        ("Hi  there.\n\nTwo\nlines", 0, 0, -1, 0, 0), ("yes", 1, 1, 0, 0, 1), ("no", 2, 2, 1, 0, 2), ("x", 1, 0, -1, 3, 3)]

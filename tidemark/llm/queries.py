@@ -50,14 +50,16 @@ chain(conv_id, turn, root) AS (SELECT conv_id, turn, parent FROM p WHERE parent
   UNION ALL SELECT c.conv_id, c.turn, p.parent FROM chain c JOIN p ON p.conv_id = c.conv_id AND p.turn = c.root WHERE p.parent IS NOT NULL),
 t AS (SELECT conv_id, turn, min(root) AS root FROM chain GROUP BY 1, 2)
 SELECT b.conv_id, b.turn, b.role, b.body AS text, coalesce(p.n_quotes, 0) AS n_quotes, coalesce(p.n_linked, 0) AS n_linked,
-  p.parent AS reply_to, coalesce(t.root, b.turn) AS thread_turn,
+  coalesce(p.parent, -1) AS reply_to, coalesce(t.root, b.turn) AS thread_turn,
   row_number() OVER (PARTITION BY b.conv_id ORDER BY coalesce(t.root, b.turn), b.turn, b.role, b.body) - 1 AS position
 FROM b LEFT JOIN p USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn)""".replace("NORMAL_x", _NORMAL.format("x")).replace("NORMAL_q", _NORMAL.format("q.passage"))
 
 
 @query("op1_quotation_linking", OP1_SQL)
 def op1(spark, sf_dir):
-    return link_quotations(LlmTables(spark, sf_dir, "conversations"))
+    """reply_to is -1 for messages that quote nothing that was said."""
+    found = link_quotations(LlmTables(spark, sf_dir, "conversations"))
+    return found.withColumn("reply_to", F.coalesce("reply_to", F.lit(-1).cast("long")))
 
 
 @query("op2_token_counts")
