@@ -177,6 +177,17 @@ def test_near_duplicates_odd_rows(spark):
     assert nd.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_pipeline_reduces_pairs_from_80_percent(spark):
+    import corpus_pipeline as cp
+
+    base = lambda g, n: " ".join(f"p{g}x{k}" for k in range(n))
+    rows = [(g * 10 + i, base(g, n)) for g in range(20) for i, n in enumerate((100, 121))]  # 96 of 117 shingles: 0.82
+    rows += [(1000, base("z", 100)), (1001, base("z", 126))]  # 96 of 122: below
+    kept = {r.doc_id for r in cp.near_dedup(spark, frame(spark, rows), "").collect()}
+    assert kept == {g * 10 for g in range(20)} | {1000, 1001}
+    assert nd.deduplicate(frame(spark, rows)).count() == len(rows)  # op3's limit stays
+
+
 def test_register_estimates_are_close():
     rng = np.random.default_rng(4)
     for jaccard in (0.5, 0.85):
