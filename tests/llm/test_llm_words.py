@@ -85,6 +85,38 @@ def test_quality_rules_end_to_end(spark):
     assert q.quality_rules(docs, labels.limit(0)).where("kept").count() == len(clean) + len(junk)
 
 
+def test_quality_rules_reject_with_few_labels_and_production_limits(spark):
+    """500 good labels a language, four languages, limit and risk as in production."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    rows, marks = [], []
+    for lang, n in [("a", 500), ("b", 500), ("c", 500), ("d", 60)]:
+        for i in range(n + 40):
+            junk = i >= n
+            w = [word() for _ in range(rng.randrange(30, 90))]
+            rows.append((len(rows), " ".join(w + ["####"] * rng.randrange(3, 8) * junk), lang))
+            marks.append((len(rows) - 1, int(not junk)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in q.quality_rules(docs, labels).collect()}
+    good = dict(marks)
+    assert all(got[i] for i, _, lang in rows if good[i])
+    assert not any(got[i] for i, _, lang in rows if not good[i] and lang != "d")
+    assert all(got[i] for i, _, lang in rows if lang == "d")  # too few labels
+
+
+def test_union_of_rules_stays_within_the_limit():
+    """The walk stops where all rules together would lose too much; its order spares the guide."""
+    bad, guide = np.array([[9, 0], [5, 0], [0, 7]]), np.array([[0, 8], [0, 0]])
+    steps = q.walk(bad, np.array([1, 2, 9]), guide, np.array([1, 9]))
+    assert steps == [(0, 9), (0, 5), (1, 7)]
+    good = np.array([[0, 0], [6, 0], [0, 8]])
+    assert q.along(steps, good, np.array([2000, 4, 40])).tolist() == [2000, 40, 4, 0]
+    cut = q.select_cutoff(q.along(steps, good, np.array([2000, 4, 40])), q.along(steps, bad, np.array([1, 2, 9])), 0.01, 0.05)
+    assert steps[:len(steps) - cut + 1] == [(0, 9), (0, 5)]
+    assert q.shares([461, 459, 1900, 305], 0.01, 0.05) == 3 and q.shares([], 0.01, 0.05) == 1
+
+
 def matched(docs, items):
     out = {}
     wins = {}

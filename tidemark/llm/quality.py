@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds.
 
-Every text gets a few measures. Labelled documents then select, per stratum, how far each
-measure may go: a cutoff is accepted only if an exact binomial test shows, at a level
-corrected for all cutoffs tried, that it rejects at most a set share of good documents.
+Every text gets a few measures. Labelled documents then select, per stratum, how far the
+measures may go: the cutoffs are lowered step by step in an order fixed beforehand, as long as
+an exact binomial test shows that all rules together reject at most a set share of good documents.
 """
 from __future__ import annotations
 
@@ -117,34 +117,83 @@ def select_cutoff(good: np.ndarray, bad: np.ndarray, limit: float, level: float)
     return best[1] if best else None
 
 
+#: One in so many good labels only guides the order of the steps and is not tested with.
+GUIDE = 16
+
+
+def walk(bad: np.ndarray, n_bad: np.ndarray, guide: np.ndarray, n_guide: np.ndarray) -> list[tuple[int, int]]:
+    """Steps (rule, cutoff), strictest set of cutoffs first: each lowers one rule's cutoff to the
+    next score that catches another bad document, at the least cost in guiding documents for
+    each; among equals, the first rule. bad and guide: rows of scores, n_bad and n_guide: how often.
+    """
+    steps = []
+    while len(bad) and bad.max() > 0:
+        options = []
+        for r in range(bad.shape[1]):
+            c = int(bad[:, r].max())
+            if c > 0:
+                options.append((n_guide[guide[:, r] >= c].sum() / n_bad[bad[:, r] >= c].sum(), r, c))
+        _, r, c = min(options)
+        steps.append((r, c))
+        left, clear = bad[:, r] < c, guide[:, r] < c
+        bad, n_bad, guide, n_guide = bad[left], n_bad[left], guide[clear], n_guide[clear]
+    return steps
+
+
+def along(steps: list[tuple[int, int]], scores: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Documents by place on the walk, as scores: the first step rejects the highest score,
+    those that no step rejects have 0."""
+    place = np.zeros(len(scores), np.int64)
+    for k, (r, c) in enumerate(steps):
+        place = np.where((place == 0) & (scores[:, r] >= c), len(steps) - k, place)
+    out = np.zeros(len(steps) + 1, np.int64)
+    np.add.at(out, place, times)
+    return out
+
+
+def shares(labels: Sequence[int], limit: float, risk: float) -> int:
+    """Strata among which the risk is split: only those that their number of good labels lets
+    pass a test at their share at all."""
+    k = 1
+    while sum((1 - limit) ** n <= risk / k for n in labels) > k:
+        k += 1
+    return k
+
+
 def thresholds(labelled: DataFrame, stratum: str, label: str, rules: Mapping[str, Column], limit: float = 0.01,
                risk: float = 0.05) -> DataFrame:
     """One row per stratum and rule with a cutoff, from the labelled rows.
 
-    With probability 1 - risk all cutoffs hold at once: each rule may reject at most
-    ``limit`` / #rules of a stratum's good documents, and the level of every test is
-    risk / (strata * rules * grid) (Bonferroni over all cutoffs that could be chosen).
-    Rows without a label or stratum value: no label is left out, no stratum is a stratum
-    of its own. Strata with too few labels get no cutoff, hence reject nothing.
-    Counts are aggregated by (stratum, rule, score) first, so one task sees a few rows.
+    With probability 1 - risk, in all strata at once, the rules together reject at most
+    ``limit`` of a stratum's good documents. A stratum's cutoffs are nested steps whose order
+    depends on its bad documents and on a sixteenth of its good ones (column ``_guide``); the other good ones test them in that order up to the first failure, so
+    the steps need no correction, and the level is risk / ``shares``. Rows without a label or
+    stratum value: no label is left out, no stratum is a stratum of its own. Strata with too few
+    labels get no cutoff, hence reject nothing. Counts are aggregated by (stratum, scores) first: a
+    task sees at most as many rows as the grid has points, however many labels there are.
     """
+    names = list(rules)
+    good, guide = F.col("_good"), F.col("_guide")
     scored = labelled.where(F.col(label).isNotNull()).select(
-        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), (F.col(label) > 0).alias("good"),
-        F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("score")) for k, v in rules.items()])).alias("r"))
-    counts = materialized(scored.groupBy("stratum", "r.rule", "r.score").agg(
-        F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")))
-    n_rules, n_strata = len(rules), counts.select("stratum").distinct().count()
+        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), (F.col(label) > 0).alias("_good"), "_guide",
+        *[v.alias(f"s{i}") for i, v in enumerate(rules.values())])
+    at = [f"s{i}" for i in range(len(names))]
+    counts = materialized(scored.groupBy("stratum", *at).agg(
+        F.count_if(good & ~guide).alias("good"), F.count_if(good & guide).alias("guide"), F.count_if(~good).alias("bad")))
+    tested = counts.groupBy("stratum").agg(F.sum("good").alias("n"))
+    tested = tested.where(F.pow(F.lit(1 - limit), F.col("n")) <= risk)
+    level = risk / shares([r.n for r in tested.select("n").collect()], limit, risk)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        good, bad = np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)
-        np.add.at(good, pdf.score, pdf.good)
-        np.add.at(bad, pdf.score, pdf.bad)
-        level = risk / (n_strata * n_rules * GRID)
-        cut = select_cutoff(good, bad, limit / n_rules, level)
-        rows = [(pdf.stratum.iloc[0], pdf.rule.iloc[0], cut)] if cut is not None else []
-        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff"])
+        scores = pdf[at].to_numpy(np.int64)
+        n = {k: pdf[k].to_numpy(np.int64) for k in ("good", "guide", "bad")}
+        bad, guiding = n["bad"] > 0, n["guide"] > 0
+        steps = walk(scores[bad], n["bad"][bad], scores[guiding], n["guide"][guiding])
+        cut = select_cutoff(along(steps, scores, n["good"]), along(steps, scores, n["bad"]), limit, level)
+        taken = dict(steps[:len(steps) - cut + 1]) if cut is not None else {}
+        return pd.DataFrame([(pdf.stratum.iloc[0], names[r], c) for r, c in taken.items()], columns=["stratum", "rule", "cutoff"])
 
-    return counts.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff int")
+    return counts.groupBy("stratum").applyInPandas(choose, "stratum string, rule string, cutoff int")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang",
@@ -165,7 +214,10 @@ def _judged(found: DataFrame, labels: DataFrame, id: str, stratum: str, label: s
     """``found`` (written measures) with base_failed, failed_rules, kept."""
     rules = rule_scores()
     narrow = found.drop(*[c for c in found.columns if c not in (id, stratum, *MEASURES)])
-    labelled = narrow.join(labels.select(F.col(id).alias("_l"), F.col(label).alias("_label")), F.col(id) == F.col("_l"))
+    # The rules act on what passes the base: only that is counted for or against them.
+    labelled = narrow.where(~base_failed()).join(
+        labels.select(F.col(id).alias("_l"), F.col(label).alias("_label")), F.col(id) == F.col("_l")).withColumn(
+        "_guide", F.pmod(F.xxhash64(id), F.lit(GUIDE)) == 0)
     table = thresholds(labelled, stratum, "_label", rules, limit, risk).groupBy("stratum").agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))
     out = found.withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(
