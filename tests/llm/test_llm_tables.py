@@ -48,6 +48,47 @@ def test_quotations_link_to_what_was_said(spark):
     assert link_quotations(df.limit(0)).count() == 0
 
 
+def test_quotations_of_threads_parts_and_inline_answers(spark):
+    on = "On May 1 A wrote:"
+    rows = [
+        # (a) top-posted thread: the announcing line of the second level is no part of reply1.
+        (1, 0, "orig"), (1, 1, f"reply1\n\n{on}\n> orig"), (1, 2, f"reply2\n{on}\n> reply1\n> \n> {on}\n> > orig"),
+        (1, 3, f"x\n> > orig\n> {on}\n> > reply1"),
+        # (b) parts: two lines of a paragraph, two of three paragraphs (wrapped anew), not in order.
+        (2, 0, "l1\nl2\nl3\nl4\n\np two\nb\n\np three"), (2, 1, "> l2\n> l3\nyes"), (2, 2, "> p two b\n>\n> p  three\nno"),
+        (2, 3, "> l3\n> l2\nnever said"), (2, 4, "> l4\n>\n> p two\n> b\nover a border"),
+        # (c) inline answers of several lines keep their borders.
+        (3, 0, "q1\nq2"), (3, 1, "> q1\na1\na2\n> q2\nb1\nb2"), (3, 2, "> a1 a2\nfine"), (3, 3, "> b1 b2\nfine"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id int, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in link_quotations(df).collect()}
+    assert [got[1, t].reply_to for t in range(4)] == [None, 0, 1, 1] and got[1, 2].n_linked == 2 and got[1, 3].n_quotes == 2
+    assert [got[2, t].reply_to for t in range(5)] == [None, 0, 0, None, 0]
+    assert [got[3, t].reply_to for t in range(4)] == [None, 0, 1, 1]
+    assert got[3, 1].text == "a1\na2\n\nb1\nb2"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quoted_stretches_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows, lines = [], {}
+    for conv in range(6):
+        for turn in range(12):
+            quote = []
+            if turn and rng.random() < 0.7:
+                from_ = [x for x in lines[conv, rng.randrange(turn)] if x]
+                a = rng.randrange(len(from_))
+                quote = from_[a:a + rng.randrange(1, 4)]
+                rng.random() < 0.2 and quote.reverse()
+            lines[conv, turn] = [rng.choice("abcde") + rng.choice("xy") for _ in range(rng.randrange(1, 6))]
+            rows.append((conv, turn, quote, "\n".join(["> " + x for x in quote] + lines[conv, turn])))
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, _, x in rows], "conv_id int, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r.reply_to for r in link_quotations(df).collect()}
+    for c, t, quote, _ in rows:
+        has = lambda x: any(x[i:i + len(quote)] == quote for i in range(len(x)))
+        assert got[c, t] == max([s for s in range(t) if quote and has(lines[c, s])], default=None), (c, t)
+
+
 def test_quotation_of_a_hot_message_takes_the_latest(spark):
     rows = [(9, t, "u", "yes" if t % 3 == 0 else f"> yes\nno {t}") for t in range(400)]
     got = link_quotations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()

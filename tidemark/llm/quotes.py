@@ -2,7 +2,8 @@
 
 Lines that begin with > are quoted; the number of marks is their level. Each run of lines of
 one level is a passage. Its normalised hash is looked up among the hashes of what earlier
-messages of the conversation said themselves: whole messages, paragraphs and lines.
+messages of the conversation said themselves: whole messages, and consecutive paragraphs and
+lines, as many as the passage has.
 """
 from __future__ import annotations
 
@@ -36,12 +37,14 @@ def _lines(text: Column) -> Column:
 def parsed(messages: DataFrame, text: str) -> DataFrame:
     """``messages`` with body (own text) and quotes: (level, passage) of every quoted run.
 
-    An announcing line right above a quote is dropped. Messages without > pass unparsed.
+    An announcing line right above a deeper level is dropped, at any level; it ends a run. Own
+    text keeps a paragraph break where a quote was removed. Messages without > pass unparsed.
     """
     lines = F.col("_lines")
-    announces = lambda x, i: (x["level"] == 0) & F.regexp_like(x["body"], F.lit(ANNOUNCES)) & (
-        F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)
-    own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~announces(x, i))
+    announces = lambda x, i: F.regexp_like(x["body"], F.lit(ANNOUNCES)) & (
+        F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > x["level"])
+    dropped = F.struct(F.lit(-1).alias("level"), F.lit("").alias("body"))
+    heard = F.transform(lines, lambda x, i: F.when(announces(x, i), dropped).otherwise(x))
 
     def step(acc: Column, x: Column) -> Column:
         same = (F.size(acc) > 0) & (F.element_at(acc, -1)["level"] == x["level"])
@@ -51,11 +54,33 @@ def parsed(messages: DataFrame, text: str) -> DataFrame:
         return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(fresh)))
 
     kind = "array<struct<level: int, passage: string>>"
-    runs = F.filter(F.aggregate(lines, F.array().cast(kind), step), lambda q: (q["level"] > 0) & (F.trim(q["passage"]) != ""))
+    said = F.col("_runs")
+    runs = F.filter(said, lambda q: (q["level"] > 0) & (F.trim(q["passage"]) != ""))
+    own = F.filter(said, lambda q: (q["level"] == 0) & (F.trim(q["passage"], F.lit(" \t\n")) != ""))
+    own = F.transform(own, lambda q: F.trim(q["passage"], F.lit("\n")))
     quoting = F.contains(F.col(text), F.lit(">"))
-    return messages.withColumn("_lines", F.when(quoting, _lines(F.col(text)))).withColumns({
-        "body": F.when(quoting, F.trim(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), F.lit(" \t\n"))).otherwise(F.col(text)),
-        "quotes": F.coalesce(F.when(quoting, runs), F.array().cast(kind))}).drop("_lines")
+    return messages.withColumn("_lines", F.when(quoting, _lines(F.col(text)))).withColumn(
+        "_runs", F.aggregate(heard, F.array().cast(kind), step)).withColumns({
+            "body": F.when(quoting, F.trim(F.array_join(own, "\n\n"), F.lit(" \t\n"))).otherwise(F.col(text)),
+            "quotes": F.coalesce(F.when(quoting, runs), F.array().cast(kind))}).drop("_lines", "_runs")
+
+
+def _hashes(text: Column, border: str) -> Column:
+    """Hashes of the parts of ``text`` between ``border``, without blank ones."""
+    parts = F.filter(F.transform(F.split(text, border), normalised), lambda u: u != "")
+    return F.transform(parts, lambda u: F.xxhash64(u))
+
+
+LINES, PARAGRAPHS = "\n", r"\n\s*\n"
+
+
+def _stretches(hashes: Column, lengths: Column) -> Column:
+    """Hash of every stretch of consecutive parts, for every length asked."""
+    def of(k: Column) -> Column:
+        starts = F.when(F.size(hashes) >= k, F.sequence(F.lit(1), F.size(hashes) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, k)))
+
+    return F.flatten(F.transform(lengths, of))
 
 
 def latest_original(quoted: DataFrame, said: DataFrame) -> DataFrame:
@@ -109,17 +134,26 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
                            F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").cast("string").alias("text"))
     found = parsed(rows, "text")
     known = F.col("conv").isNotNull() & F.col("turn").isNotNull()
-    quoted = materialized(found.where(known & (F.size("quotes") > 0)).select("conv", "turn", F.explode("quotes").alias("q")).select(
-        "conv", "turn", F.col("q.level").alias("level"), F.xxhash64(normalised(F.col("q.passage"))).alias("hash")))
+    passage = F.col("q.passage")
+    quoted = found.where(known & (F.size("quotes") > 0)).select("conv", "turn", F.explode("quotes").alias("q")).select(
+        "conv", "turn", F.col("q.level").alias("level"), F.xxhash64(normalised(passage)).alias("whole"),
+        _hashes(passage, LINES).alias("_ls"), _hashes(passage, PARAGRAPHS).alias("_ps"))
+    named = ["conv", "turn", "level", "whole", "by_line", "by_paragraph"]
+    quoted = materialized(quoted.select("*", F.xxhash64("_ls").alias("by_line"), F.xxhash64("_ps").alias("by_paragraph")).groupBy(*named).agg(
+        F.count(F.lit(1)).alias("times"), F.max(F.size("_ls")).alias("n_lines"), F.max(F.size("_ps")).alias("n_paragraphs")))
+    # Originals are cut into stretches as long as the conversation's passages, no others.
+    asked = quoted.groupBy("conv").agg(F.collect_set("n_lines").alias("_kl"), F.collect_set("n_paragraphs").alias("_kp"))
     body = F.col("body")
-    units = F.array_distinct(F.concat(F.array(body), F.split(body, r"\n\s*\n"), F.split(body, "\n")))
-    units = F.filter(F.transform(units, normalised), lambda u: u != "")
-    asked = quoted.select("conv").distinct()
-    said = found.where(known & body.isNotNull()).join(asked, "conv", "left_semi").select(
-        "conv", "turn", F.explode(F.transform(units, lambda u: F.xxhash64(u))).alias("hash"))
-    linked = materialized(quoted.join(latest_original(quoted, said), ["conv", "hash", "turn"], "left"))
+    saying = found.where(known & body.isNotNull()).select("conv", "turn", "body").join(asked, "conv").select(
+        "conv", "turn", "_kl", "_kp", F.xxhash64(normalised(body)).alias("_w"), _hashes(body, LINES).alias("_ls"), _hashes(body, PARAGRAPHS).alias("_ps"))
+    units = F.concat(F.array("_w"), F.col("_ls"), F.col("_ps"), _stretches(F.col("_ls"), F.col("_kl")), _stretches(F.col("_ps"), F.col("_kp")))
+    said = saying.where(F.size("_ls") > 0).select("conv", "turn", F.explode(F.array_distinct(units)).alias("hash"))
+    wanted = quoted.select(*named, "times", F.explode(F.array_distinct(F.array("whole", "by_line", "by_paragraph"))).alias("hash"))
+    linked = wanted.join(latest_original(wanted, said), ["conv", "hash", "turn"], "left").groupBy(*named).agg(
+        F.max("origin").alias("origin"), F.first("times").alias("times"))
     lowest = F.min(F.when(F.col("origin").isNotNull(), F.struct(F.col("level"), (-F.col("origin")).alias("o"))))
-    per = linked.groupBy("conv", "turn").agg(F.count("origin").alias("n_linked"), lowest.alias("_l")).select(
+    counted = F.coalesce(F.sum(F.when(F.col("origin").isNotNull(), F.col("times"))), F.lit(0))
+    per = linked.groupBy("conv", "turn").agg(counted.alias("n_linked"), lowest.alias("_l")).select(
         "conv", "turn", "n_linked", (-F.col("_l.o")).alias("parent"))
     per = materialized(per)
     tops = roots(per.where(F.col("parent").isNotNull()))
