@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing as pk
+from tidemark.llm import quotes
 from tidemark.llm import secrets as sc
 from tidemark.llm import token_counts as tc
 from tidemark.llm import toxicity as tx
@@ -89,6 +90,19 @@ def test_quoted_stretches_match_brute_force(spark, seed):
         assert got[c, t] == max([s for s in range(t) if quote and has(lines[c, s])], default=None), (c, t)
 
 
+def test_positions_carry_totals_of_buckets(spark):
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice([t, t, t // 3]), "u", "x") for c in (1, None) for t in range(1500)] + [(1, None, None, "u", "x")] * 2
+    out = spark.createDataFrame(rows, "conv int, turn long, thread_turn long, role string, text string")
+    got = quotes._positions(out).select("conv", "thread_turn", "turn", "position").collect()
+    for c in (1, None):
+        mine = [(-1 if r[1] is None else r[1], -1 if r[2] is None else r[2], r[3]) for r in got if r[0] == c]
+        assert [x[2] for x in sorted(mine)] == list(range(len(mine))) and len(mine) == (1502 if c else 1500)
+    bucketed = out.withColumns({"_b": F.floor(F.col("turn") / quotes.BUCKET), "_tb": F.floor(F.col("thread_turn") / quotes.BUCKET)})
+    counts, totals = quotes._counted(bucketed)
+    assert totals.groupBy("conv").count().agg(F.max("count")).first()[0] <= 1500 // quotes.BUCKET + 2 < counts.where("conv = 1").count() / 20
+
+
 def test_quotation_of_a_hot_message_takes_the_latest(spark):
     rows = [(9, t, "u", "yes" if t % 3 == 0 else f"> yes\nno {t}") for t in range(400)]
     got = link_quotations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()

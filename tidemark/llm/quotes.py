@@ -165,13 +165,26 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
                                   F.col("text").alias(text), "n_quotes", "n_linked", "reply_to", "thread_turn", "position")
 
 
+def _counted(out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows by (conv, thread bucket, thread, turn bucket), and their totals by thread bucket."""
+    counts = out.groupBy("conv", "_tb", "thread_turn", "_b").count()
+    return counts, counts.groupBy("conv", "_tb").agg(F.sum("count").alias("total"))
+
+
 def _positions(out: DataFrame) -> DataFrame:
-    """Place in the conversation, from 0: counted in buckets of turns, then carried over them."""
-    out = out.withColumn("_b", F.floor(F.col("turn") / BUCKET))
+    """Place in the conversation, from 0: counted in buckets of threads and of turns, whose
+    totals are carried over the thread buckets first, then within each of them."""
+    out = out.withColumns({"_b": F.floor(F.col("turn") / BUCKET), "_tb": F.floor(F.col("thread_turn") / BUCKET)})
     keys = ["conv", "thread_turn", "_b"]
-    before = Window.partitionBy("conv").orderBy("thread_turn", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = out.groupBy(*keys).count().select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    counts, totals = _counted(out)
+
+    def before(w: Window, n: str) -> Column:
+        return F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    past = totals.select(F.col("conv").alias("_c"), F.col("_tb").alias("_t"), before(Window.partitionBy("conv").orderBy("_tb"), "total").alias("_past"))
+    here = counts.withColumn("_here", before(Window.partitionBy("conv", "_tb").orderBy("thread_turn", "_b"), "count"))
+    places = here.join(past, F.col("conv").eqNullSafe(F.col("_c")) & F.col("_tb").eqNullSafe(F.col("_t"))).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], (F.col("_past") + F.col("_here")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "role", "text")) - 1
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return out.withColumn("_n", within).join(counts, same).withColumn("position", F.col("_n") + F.col("_before"))
+    return out.withColumn("_n", within).join(places, same).withColumn("position", F.col("_n") + F.col("_before"))
