@@ -12,9 +12,12 @@ from tidemark.llm.quotes import link_quotations
 from tidemark.llm.registry import query
 from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import BASE, RULES, find_secrets, named
+from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.urls import judge_urls
+from tidemark.llm.whitening import whiten
 
 
 def tokenizer(name: str) -> str:
@@ -204,3 +207,27 @@ def op10(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+@query("op11_spectrum_whitening")
+def op11(spark, sf_dir):
+    return whiten(LlmTables(spark, sf_dir, "embeddings"), 32)
+
+
+OP12_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, q.z, c.vec_id, CAST(list_inner_product(q.z, c.z) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id, z ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op12_exact_top_k", OP12_SQL)
+def op12(spark, sf_dir):
+    return top_k(LlmTables(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling_variants(LlmTables(spark, sf_dir, "documents"))
