@@ -17,7 +17,7 @@ def test_matches_sql(spark, name):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_quotation_sql_sees_quotes(tmp_path):

@@ -61,7 +61,7 @@ def inner(q: np.ndarray, z: np.ndarray) -> np.ndarray:
     most = int(np.abs(q).max(initial=0)) * int(np.abs(z).max(initial=0)) * q.shape[1]
     if most < 1 << 62:
         return np.einsum("ij,ij->i", q, z)
-    return np.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in (q.astype(object) * z.astype(object)).sum(axis=1)], np.int64)
+    return np.array([min(max(int(s), 1 - (1 << 63)), (1 << 63) - 1) for s in (q.astype(object) * z.astype(object)).sum(axis=1)], np.int64)
 
 
 class Scan:
