@@ -76,12 +76,7 @@ def test_foresight_and_noise(spark):
     assert s["ahead"] > 2 and -2.5 < s["noise"] < 1.5
 
 
-@pytest.fixture(params=[0, 50_000], ids=["bucketed", "one_window"])
-def group_limit(request, monkeypatch):
-    monkeypatch.setattr(ranks, "SMALL_GROUP", request.param)
-
-
-def test_percent_rank_with_ties_and_gaps(spark, group_limit):
+def test_percent_rank_with_ties_and_gaps(spark):
     rng = np.random.default_rng(2)
     n = 400
     pdf = pd.DataFrame({"symbol": [f"s{i}" for i in range(n)] * 2, "ts": [T0] * n + [T0 + dt.timedelta(days=1)] * n,
@@ -92,7 +87,7 @@ def test_percent_rank_with_ties_and_gaps(spark, group_limit):
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
 
 
-def test_auc_spearman_quantiles(spark, group_limit):
+def test_auc_spearman_quantiles(spark):
     rng = np.random.default_rng(4)
     p, y = rng.normal(size=500).round(1), rng.integers(0, 2, 500)
     df = spark.createDataFrame([("g", float(a), int(b)) for a, b in zip(p, y)], "g string, y_pred double, y_true int")
@@ -140,6 +135,50 @@ def test_bootstrap_blocks_are_contiguous_and_repeatable(spark):
     assert (step.isin([1, -59])).mean() > 0.75
 
 
+def test_replicates_from_prefix_sums_equal_resampled_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, T0 + dt.timedelta(days=i), float(a), float(b)) for g, n in (("a", 90), ("b", 7), ("c", 1), ("flat", 30))
+            for i, (a, b) in enumerate(rng.normal(0.01, 0.1, (n, 2)) if g != "flat" else np.full((n, 2), 0.1))]
+    df = spark.createDataFrame(rows, "g string, ts timestamp, variant double, baseline double")
+    for kind in ("stationary", "moving"):
+        fast = st.resampled_sums(df, ["g"], ["variant", "baseline"], st.SHARPE, 25, block_len=6, seed=4, kind=kind).toPandas()
+        slow = st.resampled(df, ["g"], 25, block_len=6, seed=4, kind=kind).groupBy("g", "replicate").agg(
+            F.count(F.lit(1)).alias("n"), met.sharpe("variant").alias("variant"), met.sharpe("baseline").alias("baseline")).toPandas()
+        both = fast.merge(slow, on=["g", "replicate"], suffixes=("", "_rows"))
+        sizes = {"a": 90, "b": 7, "c": 1, "flat": 30}
+        assert len(both) == len(slow) == 100 and all(both.n == both.g.map(sizes))
+        moved = both[both.g.isin(["a", "b"])]
+        assert np.allclose(moved.variant, moved.variant_rows, rtol=1e-9) and np.allclose(moved.baseline, moved.baseline_rows, rtol=1e-9)
+        assert (both[both.g.isin(["c", "flat"])][["variant", "baseline"]] == 0).all().all()
+    quick = st.bootstrap_delta_ci(df, ["g"], st.MEAN_ABSOLUTE, n_boot=40, seed=1).orderBy("g").toPandas()
+    plain = st.bootstrap_delta_ci(df, ["g"], lambda c: F.avg(F.abs(F.col(c))), n_boot=40, seed=1).orderBy("g").toPandas()
+    assert np.allclose(quick[["ci_low", "ci_high"]], plain[["ci_low", "ci_high"]]) and (quick.n_replicates == 40).all()
+    assert st.bootstrap_delta_ci(df.limit(0), ["g"]).count() == 0
+
+
+def test_block_lengths_are_geometric(spark):
+    df = spark.range(2000).select(F.expr("timestamp'2024-01-01' + make_interval(0,0,0,cast(id as int))").alias("ts"))
+    p = st.block_positions(df, [], 30, block_len=21).toPandas().sort_values(["replicate", "i"])
+    assert (p.groupby("replicate").size() == 2000).all() and (p.groupby("replicate").i.max() == 1999).all()
+    breaks = (~p.groupby("replicate").pos.diff().dropna().isin([1, -1999])).mean()
+    assert breaks == pytest.approx(1 / 21, rel=0.1)
+
+
+def test_permutation_p_value_against_all_orders(spark):
+    """Five features with a tie: the share of all 120 orders at or above the observed one."""
+    import itertools
+
+    a, b = [1.0, 2.0, 3.0, 4.0, 5.0], [1.0, 3.0, 3.0, 2.0, 9.0]
+    df = spark.createDataFrame([("g", f"f{i}", x, y) for i, (x, y) in enumerate(zip(a, b))] + [("h", "f0", 1.0, 2.0), ("h", "f1", None, 1.0)],
+                               "g string, feature string, a double, b double")
+    ra, rb = pd.Series(a).rank(), pd.Series(b).rank()
+    rho = np.corrcoef(ra, rb)[0, 1]
+    share = np.mean([np.corrcoef(p, rb)[0, 1] >= rho - 1e-12 for p in itertools.permutations(ra)])
+    got = {r.g: r for r in st.rank_agreement(df, ["g"], "a", "b", n_permutations=4000).collect()}
+    assert got["g"].rho == pytest.approx(rho) and got["g"].p_value == pytest.approx(share, abs=0.03)
+    assert got["h"].rho is None and got["h"].n == 1
+
+
 def test_labels_and_weights(spark):
     px = [100.0 + 0.1 * (i % 3) for i in range(25)] + [130.0, 90.0] + [100.0] * 5
     df = spark.createDataFrame([("A", T0 + dt.timedelta(days=i), p) for i, p in enumerate(px)], "symbol string, ts timestamp, close double")

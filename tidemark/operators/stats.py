@@ -1,23 +1,22 @@
 """Forecast comparison tests, block bootstraps and deflated Sharpe ratios.
 
 Inputs are series with at most one row per date and group. Resampling is a
-replicate-by-position table: each replicate draws its positions from hashes of
-(seed, replicate, position), so results do not depend on partitioning and a lost
-task redraws the same positions.
+sequence of blocks per replicate, drawn from hashes of (seed, replicate, block), so
+results do not depend on partitioning and a lost task redraws the same blocks.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.special import correlation, expected_max_sharpe, norm_cdf, t_cdf
+from tidemark.functions.special import expected_max_sharpe, norm_cdf, t_cdf
 from tidemark.operators.metrics import sharpe
 from tidemark.operators.ranks import roc_auc, small_average_rank
 from tidemark.operators.windows import ANNUAL
-from tidemark.sources.lake import materialized
 
 DEFAULT_SHARPE_STD, DSR_THRESHOLD = 0.35, 0.5  # fixed values
 _SPACE = float(1 << 48)
@@ -85,27 +84,82 @@ def dm_matrix(errors: DataFrame, scheme: str, order: Sequence[str], by: Sequence
 
 
 # --- bootstrap ------------------------------------------------------------------------------
+#: Tasks that the replicates of one series are spread over.
+SPREAD = 8
+
+
+@dataclass(frozen=True)
+class SumMetric:
+    """A metric that follows from sums over a sample, so that a replicate needs no rows.
+
+    ``terms(x, centre)`` are summed; ``value(n, sums, centre)`` is the metric. ``centre`` is the
+    mean of the whole series: sums of squares around it lose no digits.
+    """
+
+    terms: Callable[[Column, Column], Sequence[Column]]
+    value: Callable[[Column, Sequence[Column], Column], Column]
+
+
+def _sharpe_of_sums(ddof: int) -> Callable[[Column, Sequence[Column], Column], Column]:
+    def value(n: Column, sums: Sequence[Column], centre: Column) -> Column:
+        mean = centre + sums[0] / n
+        var = F.try_divide(sums[1] - sums[0] * sums[0] / n, n - ddof)
+        # Of a constant sample rounding leaves about one part in 10^30 of the squared mean.
+        return F.when(var > 1e-24 * mean * mean, mean / F.sqrt(F.greatest(var, F.lit(1e-300))) * math.sqrt(ANNUAL)).otherwise(0.0)
+
+    return value
+
+
+SHARPE = SumMetric(lambda x, c: [x - c, (x - c) * (x - c)], _sharpe_of_sums(1))
+SHARPE_POPULATION = SumMetric(SHARPE.terms, _sharpe_of_sums(0))
+MEAN_ABSOLUTE = SumMetric(lambda x, c: [F.abs(x)], lambda n, sums, c: sums[0] / n)
+
+
+def _draws(n: Column, replicate: Column, block_len: int, seed: int, kind: str) -> Column:
+    """Blocks of one replicate, in order: array of (start, len), together at least n long.
+
+    ``stationary``: lengths are geometric with mean ``block_len``. So many blocks are drawn that
+    a shortfall has no measurable chance; the last one takes whatever is left. ``moving``: fixed
+    lengths. One hash a block names its start and its length.
+    """
+    mean = n / F.lit(float(block_len))
+    many = F.ceil(mean) if kind == "moving" else F.ceil(mean + 12 * F.sqrt(mean) + 12)
+    number = lambda h, at: F.conv(F.substring(h, at, 12), 16, 10).cast("bigint") / F.lit(_SPACE)
+    starts = F.greatest(n - block_len, F.lit(1)) if kind == "moving" else n
+
+    def block(b: Column) -> Column:
+        h = F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), b.cast("string")))
+        length = F.lit(block_len) if kind == "moving" else 1 + F.floor(
+            F.ln(1 - number(h, 13)) / F.lit(math.log(1 - 1.0 / block_len)))
+        return F.struct(F.floor(number(h, 1) * starts).cast("bigint").alias("start"),
+                        F.when(b == many - 1, n).otherwise(length).cast("bigint").alias("len"))
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), (many - 1).cast("bigint")), block)
+
+
+def _replicates(groups: DataFrame, n_boot: int) -> DataFrame:
+    """Every group once per replicate, dealt over tasks by ranges of replicates."""
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(min(SPREAD, n_boot) - 1)))).repartition(tasks, "_part", "n")
+    mine = F.sequence(F.col("_part") + 1, F.lit(n_boot), F.lit(min(SPREAD, n_boot)))
+    return dealt.withColumn("replicate", F.explode(mine)).drop("_part")
+
+
 def block_positions(series: DataFrame, by: Sequence[str], n_boot: int, block_len: int = 21, seed: int = 0,
                     kind: str = "stationary", ts: str = "ts") -> DataFrame:
     """(group, replicate, i, pos): resampled position for each place in the series.
 
-    ``stationary``: a place starts a new block with chance 1/block_len, which makes
-    block lengths geometric; blocks wrap around. ``moving``: fixed-length blocks.
+    Stationary blocks wrap around the end of the series, moving ones stay inside it.
     """
     by = list(by)
-    w = Window.partitionBy(*by)
-    places = series.select(*by, (F.row_number().over(w.orderBy(ts)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    grid = places.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    rep, i, n = F.col("replicate"), F.col("i"), F.col("n")
-    if kind == "moving":
-        start = F.floor(uniform(F.lit(seed), rep, F.floor(i / block_len)) * F.greatest(n - block_len, F.lit(1)))
-        return grid.select(*by, "replicate", "i", (start + i % block_len).alias("pos"))
-    fresh = (i == 0) | (uniform(F.lit(seed), rep, i, F.lit("new")) < 1.0 / block_len)
-    start = F.floor(uniform(F.lit(seed), rep, i, F.lit("at")) * n)
-    line = Window.partitionBy(*by, "replicate").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    block = F.last(F.when(fresh, F.struct(i.alias("i"), start.alias("at"))), ignorenulls=True).over(line)
-    out = grid.withColumn("_blk", block)
-    return out.select(*by, "replicate", "i", ((F.col("_blk.at") + F.col("i") - F.col("_blk.i")) % F.col("n")).alias("pos"))
+    groups = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    drawn = _replicates(groups, n_boot).withColumn("_b", _draws(F.col("n"), F.col("replicate"), block_len, seed, kind))
+    blocks = drawn.select(*by, "replicate", "n", F.posexplode("_b").alias("_k", "_d"))
+    line = Window.partitionBy(*by, "replicate").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("_at", F.coalesce(F.sum("_d.len").over(line), F.lit(0))).where("_at < n")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_d.len"), F.col("n") - F.col("_at")) - 1)
+    return placed.withColumn("_s", F.explode(steps)).select(
+        *by, "replicate", (F.col("_at") + F.col("_s")).alias("i"), ((F.col("_d.start") + F.col("_s")) % F.col("n")).alias("pos"))
 
 
 def resampled(series: DataFrame, by: Sequence[str], n_boot: int, ts: str = "ts", **kw) -> DataFrame:
@@ -115,20 +169,66 @@ def resampled(series: DataFrame, by: Sequence[str], n_boot: int, ts: str = "ts",
     return block_positions(series, by, n_boot, ts=ts, **kw).join(placed, [*by, "pos"])
 
 
-def bootstrap_delta_ci(pairs: DataFrame, by: Sequence[str], metric: Callable[[str], Column] = sharpe,
+def resampled_sums(series: DataFrame, by: Sequence[str], columns: Sequence[str], metric: SumMetric, n_boot: int,
+                   block_len: int = 21, seed: int = 0, kind: str = "stationary", ts: str = "ts") -> DataFrame:
+    """(group, replicate, one metric per column) of the same draws as ``resampled``, without rows.
+
+    A series, at most one row per date, becomes prefix sums in one row. A block is then the
+    difference of two of them, so a replicate costs about n / block_len steps and no shuffle.
+    """
+    by = list(by)
+    whole = Window.partitionBy(*by)
+    line = whole.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    centred = series.withColumns({f"_c{k}": F.avg(c).over(whole) for k, c in enumerate(columns)})
+    terms = [t for k, c in enumerate(columns) for t in metric.terms(F.col(c).cast("double"), F.col(f"_c{k}"))]
+    each = len(terms) // len(columns)
+    sums = centred.select(*by, F.row_number().over(line).alias("_i"), *[f"_c{k}" for k in range(len(columns))],
+                          *[F.sum(t).over(line).alias(f"_p{k}") for k, t in enumerate(terms)])
+    rows = F.array_sort(F.collect_list(F.struct("_i", *[f"_p{k}" for k in range(len(terms))])))
+    groups = sums.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rows.alias("_r"), *[F.max(f"_c{k}").alias(f"_c{k}") for k in range(len(columns))])
+    groups = groups.select(*by, "n", *[f"_c{k}" for k in range(len(columns))], *[
+        F.concat(F.array(F.lit(0.0)), F.col(f"_r._p{k}")).alias(f"_p{k}") for k in range(len(terms))])
+    n = F.col("n")
+    start_of = F.struct(F.lit(0).cast("bigint").alias("used"), *[F.lit(0.0).alias(f"s{k}") for k in range(len(terms))])
+
+    def step(acc: Column, block: Column) -> Column:
+        take = F.greatest(F.least(block["len"], n - acc["used"]), F.lit(0).cast("bigint"))
+        end = (block["start"] + take).cast("int")
+        first = block["start"].cast("int")
+
+        def piece(k: int) -> Column:
+            p = F.col(f"_p{k}")
+            inside = F.get(p, F.least(end, n).cast("int")) - F.get(p, first)
+            return acc[f"s{k}"] + inside + F.when(end > n, F.get(p, (end - n).cast("int"))).otherwise(0.0)
+
+        return F.struct((acc["used"] + take).alias("used"), *[piece(k).alias(f"s{k}") for k in range(len(terms))])
+
+    drawn = _replicates(groups, n_boot).withColumn(
+        "_s", F.aggregate(_draws(n, F.col("replicate"), block_len, seed, kind), start_of, step))
+    size = n.cast("double")
+    return drawn.select(*by, "replicate", *[
+        metric.value(size, [F.col(f"_s.s{k * each + j}") for j in range(each)], F.col(f"_c{k}")).alias(c)
+        for k, c in enumerate(columns)])
+
+
+def bootstrap_delta_ci(pairs: DataFrame, by: Sequence[str], metric: SumMetric | Callable[[str], Column] = SHARPE,
                        variant: str = "variant", baseline: str = "baseline", n_boot: int = 1000, ci: float = 0.90,
                        **kw) -> DataFrame:
     """Percentile interval of metric(variant) - metric(baseline), pairing kept.
 
-    ``metric`` builds an aggregate from a column name, so all replicates are one job.
-    Replicates whose metric is undefined are left out.
+    A ``SumMetric`` needs no resampled rows; any other metric builds an aggregate from a column
+    name, and all replicates are one job. Replicates whose metric is undefined are left out.
     """
     if not 0 < ci < 1:
         raise ValueError("ci must be between 0 and 1")
     by = list(by)
     complete = pairs.where(f"{variant} IS NOT NULL AND {baseline} IS NOT NULL")
-    deltas = resampled(complete, by, n_boot, **kw).groupBy(*by, "replicate").agg(
-        (metric(variant) - metric(baseline)).alias("delta"))
+    if isinstance(metric, SumMetric):
+        both = resampled_sums(complete, by, [variant, baseline], metric, n_boot, **kw)
+        deltas = both.select(*by, "replicate", (F.col(variant) - F.col(baseline)).alias("delta"))
+    else:
+        deltas = resampled(complete, by, n_boot, **kw).groupBy(*by, "replicate").agg(
+            (metric(variant) - metric(baseline)).alias("delta"))
     tail = (1 - ci) / 2
     valid = deltas.where(F.col("delta").isNotNull() & ~F.isnan("delta"))
     out = valid.groupBy(*by).agg(
@@ -151,13 +251,12 @@ def bootstrap_auc_delta_ci(pairs: DataFrame, by: Sequence[str], n_boot: int = 10
 
 def moving_block_sharpe_ci(returns: DataFrame, by: Sequence[str], n_boot: int = 2000, ci: float = 0.95,
                            block_len: int = 21, seed: int = 42) -> DataFrame:
+    """Interval of the Sharpe ratio with the population's deviation, over blocks of fixed length."""
     by = list(by)
-    rows = resampled(returns, by, n_boot, block_len=block_len, seed=seed, kind="moving")
-    std = F.stddev_pop("ret")
-    stat = F.when(std > 0, F.avg("ret") / F.nullif(std, F.lit(0.0)) * math.sqrt(ANNUAL)).otherwise(0.0)
-    per_rep = rows.groupBy(*by, "replicate").agg(stat.alias("s"))
+    per_rep = resampled_sums(returns.where("ret IS NOT NULL"), by, ["ret"], SHARPE_POPULATION, n_boot,
+                             block_len=block_len, seed=seed, kind="moving")
     tail = (1 - ci) / 2
-    return per_rep.groupBy(*by).agg(F.percentile("s", tail).alias("ci_low"), F.percentile("s", 1 - tail).alias("ci_high"))
+    return per_rep.groupBy(*by).agg(F.percentile("ret", tail).alias("ci_low"), F.percentile("ret", 1 - tail).alias("ci_high"))
 
 
 # --- deflation ------------------------------------------------------------------------------
@@ -214,26 +313,31 @@ def rank_agreement(scores: DataFrame, by: Sequence[str], a: str, b: str, n_permu
                    seed: int = 0) -> DataFrame:
     """Spearman's rho of two score columns and its upper-tail permutation p-value.
 
-    Groups are small declared sets (feature names), so ranks are plain windows;
-    the permutations are one replicate table.
+    Groups are small declared sets (feature names): their ranks are one row of arrays. A
+    permutation orders the first side's ranks by hashes of (seed, replicate, feature) and is
+    one expression; ranges of replicates are dealt over tasks, and every task returns a count.
+    NULL where there are fewer than three features or one side has a single value.
     """
     by = list(by)
-    group = Window.partitionBy(*by)
     r = scores.where(f"{a} IS NOT NULL AND {b} IS NOT NULL").select(
         *by, "feature", small_average_rank(F.col(a), *by).alias("ra"), small_average_rank(F.col(b), *by).alias("rb"))
-    r = materialized(r.withColumn("k", F.row_number().over(group.orderBy("feature"))))
-    observed = r.groupBy(*by).agg(correlation(F.col("ra"), F.col("rb")).alias("rho"), F.count(F.lit(1)).alias("n"))
-    grid = r.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))))
-    shuffled = grid.select(*by, "replicate", "ra", F.row_number().over(
-        Window.partitionBy(*by, "replicate").orderBy(uniform(F.lit(seed), F.col("replicate"), F.col("feature")), "feature")).alias("k"))
-    permuted = shuffled.join(r.select(*by, "k", "rb"), [*by, "k"]).groupBy(*by, "replicate").agg(correlation(F.col("ra"), F.col("rb")).alias("_rho"))
-    keyed = by or ["_one"]
-    if not by:
-        observed, permuted = observed.withColumn("_one", F.lit(1)), permuted.withColumn("_one", F.lit(1))
-    out = permuted.join(observed, keyed).groupBy(*keyed).agg(
-        F.max("rho").alias("rho"), F.max("n").alias("n"),
-        ((1 + F.count_if(F.col("_rho") >= F.col("rho") - 1e-12)) / F.lit(1.0 + n_permutations)).alias("p_value"))
-    return out.drop("_one").withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
+    listed = F.array_sort(F.collect_list(F.struct("feature", "ra", "rb")))
+    groups = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), listed.alias("_f")).where("n > 0")
+    # Ranks of n values average (n + 1) / 2, whatever the ties; a permutation keeps both spreads.
+    mean = (F.col("n") + 1) / 2.0
+    spread = lambda x: F.aggregate("_f", F.lit(0.0), lambda s, f: s + (f[x] - mean) * (f[x] - mean))
+    product = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["x"] - mean) * (p["y"] - mean))
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    scale = F.sqrt(spread("ra")) * F.sqrt(spread("rb"))
+    groups = groups.withColumn("_scale", scale).withColumn(
+        "rho", F.try_divide(product(F.transform("_f", lambda f: pair(f["ra"], f["rb"]))), F.col("_scale")))
+    key = lambda f: uniform(F.lit(seed), F.col("replicate"), f["feature"])
+    order = F.array_sort(F.transform("_f", lambda f: F.struct(key(f).alias("u"), f["feature"].alias("feature"), f["ra"].alias("ra"))))
+    permuted = F.try_divide(product(F.zip_with(order, "_f", lambda o, f: pair(o["ra"], f["rb"]))), F.col("_scale"))
+    drawn = _replicates(groups, n_permutations).withColumn("_hit", permuted >= F.col("rho") - 1e-12)
+    counted = drawn.groupBy(*by).agg(F.max("rho").alias("rho"), F.max("n").alias("n"), F.count_if("_hit").alias("_k"))
+    return counted.where("n IS NOT NULL").select(
+        *by, F.when(F.col("n") >= 3, F.col("rho")).alias("rho"), "n", ((1 + F.col("_k")) / F.lit(1.0 + n_permutations)).alias("p_value"))
 
 
 def poisson_weight(u: Column) -> Column:

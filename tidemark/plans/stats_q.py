@@ -124,16 +124,23 @@ def _(t):
     return out.select("scheme_a", "scheme_b", "regime", "n_obs", r("statistic", "statistic"), r("p_value", "p_value"))
 
 
-def positions_sql(src: str, keys: str, n_boot: int, seed: int, block: int = 21) -> str:
-    new, at = uniform_sql(f"'{seed}'", "rep", "i", "'new'"), uniform_sql(f"'{seed}'", "rep", "i", "'at'")
+def positions_sql(src: str, keys: str, n_boot: int, seed: int, block: int = 21, kind: str = "stationary") -> str:
+    """CTEs pl (rows with place i and count n) and po (replicate, i, pos): drawn blocks, laid out place by place."""
     k = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys}" if keys else ""
+    number = "(CAST('0x' || substr(h, {}, 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
+    moving = kind == "moving"
+    many = f"CAST(ceil(n / {block}.0::DOUBLE" + ("" if moving else f" + 12 * sqrt(n / {block}.0::DOUBLE) + 12") + ") AS BIGINT)"
+    length = str(block) if moving else f"1 + CAST(floor(ln(1 - {number.format(13)}) / ln(1 - 1.0::DOUBLE / {block})) AS BIGINT)"
+    starts = f"greatest(n - {block}, 1)" if moving else "n"
     return f"""
 pl AS (SELECT *, row_number() OVER ({part} ORDER BY ts) - 1 AS i, count(*) OVER ({part}) AS n FROM {src}),
-gr AS (SELECT {k}i, n, rep, (i = 0 OR {new} < 1.0 / {block}) AS fresh, CAST(floor({at} * n) AS BIGINT) AS at0 FROM pl, generate_series(1, {n_boot}) t(rep)),
-bl AS (SELECT {k}i, n, rep, last_value(CASE WHEN fresh THEN i END IGNORE NULLS) OVER w AS bi, last_value(CASE WHEN fresh THEN at0 END IGNORE NULLS) OVER w AS ba
-       FROM gr WINDOW w AS (PARTITION BY {k}rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-po AS (SELECT {k}rep AS replicate, i, (ba + i - bi) % n AS pos FROM bl)"""
+gn AS (SELECT {k}max(n) AS n, {many.replace('(n /', '(max(n) /')} AS m FROM pl{f" GROUP BY {keys}" if keys else ""}),
+hb AS (SELECT {k}n, m, rep, b, md5('{seed}|' || rep || '|' || b) AS h FROM (SELECT *, unnest(range(m)) AS b FROM gn), generate_series(1, {n_boot}) t(rep)),
+bl AS (SELECT {k}n, rep, b, CAST(floor({number.format(1)} * {starts}) AS BIGINT) AS start, CASE WHEN b = m - 1 THEN n ELSE {length} END AS len FROM hb),
+bp AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY {k}rep ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM bl),
+po AS (SELECT {k}rep AS replicate, CAST(at0 + s AS BIGINT) AS i, (start + s) % n AS pos FROM (
+  SELECT *, unnest(range(CAST(least(len, n - at0) AS BIGINT))) AS s FROM bp WHERE at0 < n))"""
 
 
 _PV = """pv AS (SELECT a.ts, a.regime, a.ret AS variant, b.ret AS baseline FROM scheme_daily a JOIN scheme_daily b ON a.ts = b.ts AND a.scheme = 'rev' AND b.scheme = 'long')"""
@@ -151,31 +158,30 @@ def _sharpe(c):
 
 
 @query("sta_05_bootstrap_sharpe_delta", f"""
-WITH {_PV}, {positions_sql('pv', 'regime', 100, 0)},
+WITH {_PV}, {positions_sql('pv', 'regime', 1000, 0)},
 d AS (SELECT regime, replicate, {_sharpe('variant')} - {_sharpe('baseline')} AS delta FROM po JOIN (SELECT regime, i AS pos, variant, baseline FROM pl) USING (regime, pos) GROUP BY 1, 2)
 SELECT regime, {r6('quantile_cont(delta, 0.05)','ci_low')}, {r6('quantile_cont(delta, 0.95)','ci_high')}, count(*) AS n_replicates,
   quantile_cont(delta, 0.05) > 0 OR quantile_cont(delta, 0.95) < 0 AS excludes_zero FROM d GROUP BY 1""")
 def _(t):
-    out = st.bootstrap_delta_ci(paired(t), ["regime"], n_boot=100)
+    out = st.bootstrap_delta_ci(paired(t), ["regime"])
     return out.select("regime", r("ci_low", "ci_low"), r("ci_high", "ci_high"), "n_replicates", "excludes_zero")
 
 
 @query("sta_06_bootstrap_metric_delta", f"""
-WITH pv AS (SELECT a.ts, a.regime, a.err AS variant, b.err AS baseline FROM scheme_daily a JOIN scheme_daily b ON a.ts = b.ts AND a.scheme = 'rev' AND b.scheme = 'long'), {positions_sql('pv', 'regime', 100, 3)},
+WITH pv AS (SELECT a.ts, a.regime, a.err AS variant, b.err AS baseline FROM scheme_daily a JOIN scheme_daily b ON a.ts = b.ts AND a.scheme = 'rev' AND b.scheme = 'long'), {positions_sql('pv', 'regime', 1000, 3)},
 d AS (SELECT regime, replicate, avg(abs(variant)) - avg(abs(baseline)) AS delta FROM po JOIN (SELECT regime, i AS pos, variant, baseline FROM pl) USING (regime, pos) GROUP BY 1, 2)
 SELECT regime, {r6('quantile_cont(delta, 0.05)','ci_low')}, {r6('quantile_cont(delta, 0.95)','ci_high')}, count(*) AS n_replicates FROM d GROUP BY 1""")
 def _(t):
-    out = st.bootstrap_delta_ci(paired(t, "err"), ["regime"], metric=lambda c: F.avg(F.abs(F.col(c))), n_boot=100, seed=3)
+    out = st.bootstrap_delta_ci(paired(t, "err"), ["regime"], metric=st.MEAN_ABSOLUTE, seed=3)
     return out.select("regime", r("ci_low", "ci_low"), r("ci_high", "ci_high"), "n_replicates")
 
 
 @query("sta_07_moving_block_sharpe", f"""
-WITH x AS (SELECT ts, ret, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM scheme_daily WHERE scheme = 'rev'),
-g AS (SELECT rep, i, CAST(floor({uniform_sql("'42'", 'rep', '(i // 21)')} * greatest(n - 21, 1)) AS BIGINT) + i % 21 AS pos FROM x, generate_series(1, 200) t(rep)),
-s AS (SELECT rep, avg(ret) / stddev_pop(ret) * sqrt(252) AS s FROM g JOIN (SELECT i AS pos, ret FROM x) USING (pos) GROUP BY 1)
+WITH x AS (SELECT ts, ret FROM scheme_daily WHERE scheme = 'rev'), {positions_sql('x', '', 2000, 42, kind='moving')},
+s AS (SELECT replicate, avg(ret) / stddev_pop(ret) * sqrt(252) AS s FROM po JOIN (SELECT i AS pos, ret FROM pl) USING (pos) GROUP BY 1)
 SELECT 'rev' AS scheme, {r6('quantile_cont(s, 0.025)','ci_low')}, {r6('quantile_cont(s, 0.975)','ci_high')} FROM s""")
 def _(t):
-    out = st.moving_block_sharpe_ci(scheme_daily(t).where("scheme = 'rev'"), ["scheme"], n_boot=200)
+    out = st.moving_block_sharpe_ci(scheme_daily(t).where("scheme = 'rev'"), ["scheme"])
     return out.select("scheme", r("ci_low", "ci_low"), r("ci_high", "ci_high"))
 
 
@@ -239,32 +245,38 @@ def _(t):
 
 
 FEATS = ["ret_1d", "ret_5d", "ret_21d", "vol_21d", "vol_63d", "rsi_14", "ma50_ratio", "ma200_ratio", "volume_ratio"]
+def abs_corr_sql(name: str, where: str) -> str:
+    """(feature, <name>): absolute correlation with the next return over part of history."""
+    return f"(SELECT {', '.join(f'abs(corr({c}, y)) AS {c}' for c in FEATS)} FROM w WHERE {where}) UNPIVOT ({name} FOR feature IN ({', '.join(FEATS)}))"
+
+
 _VIEWS = f"""
 w AS (SELECT f.*, lead(ret_1d) OVER (PARTITION BY symbol ORDER BY ts) AS y FROM px_feat f),
-v AS (SELECT feature, a, b FROM (SELECT {', '.join(f'abs(corr({c}, y)) AS {c}' for c in FEATS)} FROM w WHERE ts < TIMESTAMP '1999-01-01') UNPIVOT (a FOR feature IN ({', '.join(FEATS)}))
-  JOIN (SELECT feature, b FROM (SELECT {', '.join(f'abs(corr({c}, y)) AS {c}' for c in FEATS)} FROM w WHERE ts >= TIMESTAMP '1999-01-01') UNPIVOT (b FOR feature IN ({', '.join(FEATS)}))) USING (feature)),
+v AS (SELECT feature, a, b FROM {abs_corr_sql('a', "ts < TIMESTAMP '1999-01-01'")} JOIN (SELECT feature, b FROM {abs_corr_sql('b', "ts >= TIMESTAMP '1999-01-01'")}) USING (feature)),
 k AS (SELECT feature, rank() OVER (ORDER BY a)::DOUBLE AS ra, rank() OVER (ORDER BY b)::DOUBLE AS rb, row_number() OVER (ORDER BY feature) AS k FROM v)"""
 
 
-def importance_views(t):
-    """(feature, a, b): absolute correlation with the next return in two halves of history."""
+def importance_views(t, split="1999-01-01"):
+    """(feature, a, b): absolute correlation with the next return before and from a date."""
     from tidemark.operators.features import price_features
 
     f = price_features(t.bars()).withColumn("y", lab.forward_return(1))
     pairs = ", ".join(f"'{c}', {c}" for c in FEATS)
     tall = f.select("ts", "y", F.expr(f"stack({len(FEATS)}, {pairs}) AS (feature, x)"))
-    early = F.col("ts") < "1999-01-01"
+    early = F.col("ts") < split
     return tall.groupBy("feature").agg(F.abs(special.correlation(F.when(early, F.col("x")), F.col("y"))).alias("a"),
                                        F.abs(special.correlation(F.when(~early, F.col("x")), F.col("y"))).alias("b"))
 
 
-@query("sta_13_permutation_p", f"""
-WITH {_VIEWS}, o AS (SELECT corr(ra, rb) AS rho, count(*) AS n FROM k),
-g AS (SELECT rep, ra, row_number() OVER (PARTITION BY rep ORDER BY {uniform_sql("'5'", 'rep', 'feature')}, feature) AS k FROM k, generate_series(1, 500) t(rep)),
-c AS (SELECT rep, corr(g.ra, k.rb) AS rho FROM g JOIN k USING (k) GROUP BY 1)
-SELECT {r6('max(o.rho)','rho')}, max(o.n) AS n, {r6('(1 + count(CASE WHEN c.rho >= o.rho - 1e-12 THEN 1 END)) / 501.0','p_value')} FROM c, o""")
+PERMUTED = f"""{_VIEWS}, o AS (SELECT corr(ra, rb) AS rho, count(*) AS n FROM k),
+g AS (SELECT rep, ra, row_number() OVER (PARTITION BY rep ORDER BY {uniform_sql("'5'", 'rep', 'feature')}, feature) AS k FROM k, generate_series(1, 10000) t(rep)),
+c AS (SELECT rep, corr(g.ra, k.rb) AS rho FROM g JOIN k USING (k) GROUP BY 1),
+pm AS (SELECT max(o.rho) AS rho, max(o.n) AS n, (1 + count(CASE WHEN c.rho >= o.rho - 1e-12 THEN 1 END)) / 10001.0 AS p_value FROM c, o)"""
+
+
+@query("sta_13_permutation_p", f"WITH {PERMUTED} SELECT {r6('rho','rho')}, n, {r6('p_value','p_value')} FROM pm")
 def _(t):
-    out = st.rank_agreement(importance_views(t), [], "a", "b", n_permutations=500, seed=5)
+    out = st.rank_agreement(importance_views(t), [], "a", "b", seed=5)
     return out.select(r("rho", "rho"), "n", r("p_value", "p_value"))
 
 
