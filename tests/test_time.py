@@ -67,6 +67,64 @@ def test_an_intraday_bar_does_not_see_the_same_day_ahead(spark):
     assert got == [(9, 1, 3.0), (17, 3, 3.0)]
 
 
+def crowded_line(spark, n=6000):
+    """A third of all rows at one key and day, and a third of those at one instant."""
+    rng = np.random.default_rng(11)
+    t0 = dt.datetime(2024, 3, 1)
+    left, right = [], []
+    for i in range(n):
+        hot = i % 3 == 0
+        key = "hot" if hot else f"k{rng.integers(40)}"
+        at = t0 + dt.timedelta(seconds=int(rng.integers(86_400))) if hot else t0 + dt.timedelta(seconds=int(rng.integers(-20 * 86_400, 20 * 86_400)))
+        if hot and rng.random() < 1 / 3:
+            at = t0 + dt.timedelta(hours=13)
+        (right if rng.random() < 0.3 else left).append((key, at, i))
+    left += [("hot", None, -1), (None, t0, -2)]
+    right += [("hot", None, -3)]
+    return (spark.createDataFrame(left, "k string, at timestamp, i int"), spark.createDataFrame(right, "k string, seen timestamp, v int"), left, right)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("exact", [True, False])
+def test_asof_join_of_a_crowded_key_and_day(spark, direction, exact):
+    ldf, rdf, left, right = crowded_line(spark)
+    got = {r.i: (r.asof_seen, r.v) for r in tj.asof_join(ldf, rdf, ["k"], "at", "seen", ["v"], direction, exact, crowded=150).collect()}
+    assert len(got) == len(left)
+    line = {}
+    for k, at, v in right:
+        if at is not None:
+            line.setdefault(k, []).append((at, v))
+    for k, at, i in left:
+        rows = [] if at is None else [r for r in line.get(k, []) if (r[0] <= at if direction == "backward" else r[0] >= at) and (exact or r[0] != at)]
+        want = (max if direction == "backward" else min)(rows, default=(None, None))
+        assert got[i] == want, (k, at, i)
+
+
+def test_crowded_buckets_are_cut_evenly(spark):
+    ldf, rdf, left, right = crowded_line(spark, 24_000)
+    line = ldf.select("k", F.col("at").alias("_ts")).where("_ts IS NOT NULL")
+    cut = tj.time_buckets(line, ["k"], crowded=300).withColumn("_copy", F.pmod(F.monotonically_increasing_id(), F.col("_copies")))
+    sizes = cut.where("k = 'hot'").groupBy("_b", "_sub", "_copy").count().toPandas()["count"]
+    assert sizes.sum() > 5000 and len(sizes) > 12 and sizes.max() <= 3 * sizes.median()
+    cold = cut.where("k <> 'hot'").agg(F.max("_sub"), F.max("_copies")).first()
+    assert tuple(cold) == (0, 1)
+
+
+def test_document_windows_of_a_crowded_symbol(spark):
+    _, _, left, right = crowded_line(spark, 3000)
+    docs = [(k, at, float(i % 7)) for k, at, i in left if at is not None] + [("hot", dt.datetime(2024, 3, 1, 13), None)]
+    bars = sorted({(k, at, 1.0) for k, at, _ in right if at is not None} | {("hot", dt.datetime(2024, 3, 1, 13), 1.0), ("none", dt.datetime(2024, 3, 1), 1.0)}, key=str)
+    ddf = spark.createDataFrame(docs, "symbol string, published_at timestamp, sentiment_score double")
+    bdf = spark.createDataFrame(bars, "symbol string, ts timestamp, close double")
+    for crowded in (100, 1_000_000):
+        got = {(r.symbol, r.ts): (r.doc_count, r.sentiment_score) for r in tj.document_windows(ddf, bdf, 3, crowded=crowded).collect()}
+        assert len(got) == len(bars)
+        for k, at, _ in bars:
+            x = [s for d, p, s in docs if d == k and s is not None and at - dt.timedelta(days=3) <= p < at]
+            n, mean = got[k, at]
+            assert n == len(x) and mean == pytest.approx(np.mean(x) if x else 0.0, abs=1e-9)
+
+
 def test_business_days_match_numpy(spark):
     days = [DAY0 + dt.timedelta(days=i) for i in range(30)]
     df = spark.createDataFrame([(d,) for d in days], "d date")

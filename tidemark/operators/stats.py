@@ -85,7 +85,7 @@ def dm_matrix(errors: DataFrame, scheme: str, order: Sequence[str], by: Sequence
 
 # --- bootstrap ------------------------------------------------------------------------------
 #: Tasks that the replicates of one series are spread over.
-SPREAD = 8
+SPREAD = 16
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def _draws(n: Column, replicate: Column, block_len: int, seed: int, kind: str) -
 def _replicates(groups: DataFrame, n_boot: int) -> DataFrame:
     """Every group once per replicate, dealt over tasks by ranges of replicates."""
     tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(min(SPREAD, n_boot) - 1)))).repartition(tasks, "_part", "n")
+    dealt = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(min(SPREAD, n_boot) - 1)))).repartition(tasks)
     mine = F.sequence(F.col("_part") + 1, F.lit(n_boot), F.lit(min(SPREAD, n_boot)))
     return dealt.withColumn("replicate", F.explode(mine)).drop("_part")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 from tidemark.functions.dates import lag_for, shift_bdays
+from tidemark.sources.lake import materialized
 
 
 def calendar(spark, start: str, end: str) -> DataFrame:
@@ -50,37 +51,81 @@ def attach_macro(bars: DataFrame, obs: DataFrame, series: Sequence[str], start:
     return bars.join(cal, F.to_date("ts") == F.col("day"), "left").drop("day")
 
 
+#: Rows of one key and time bucket from which on the bucket is cut further, and into how many pieces at most.
+CROWDED, PIECES = 200_000, 64
+
+
+def time_buckets(line: DataFrame, by: Sequence[str], bucket_seconds: int = 86_400, crowded: int = CROWDED) -> DataFrame:
+    """Adds ``_b`` and ``_sub``, which order like ``_ts`` within a key, and ``_copies``.
+
+    A bucket is a stretch of time, by default a day. A bucket of a key with more than ``crowded``
+    rows is cut at quantiles of its own rows, so pieces hold about equally many. An instant that
+    holds several pieces' worth of rows cannot be cut by time: ``_copies`` says how many pieces,
+    over which rows that don't depend on each other may be dealt. The list of crowded buckets,
+    at most rows / ``crowded``, is written, so that its size is known when it is joined.
+    """
+    by = list(by)
+    at = F.unix_micros("_ts")
+    line = line.withColumn("_b", F.floor(F.unix_seconds("_ts") / bucket_seconds))
+    cuts = [i / PIECES for i in range(1, PIECES)]
+    sizes = line.where("_ts IS NOT NULL").groupBy(*by, "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(at, cuts, 10_000).alias("_cuts")).where(F.col("_n") > crowded)
+    # Only as many pieces as are needed: every k-th quantile.
+    step = F.greatest(F.lit(1), F.floor(F.lit(PIECES) * crowded / F.col("_n"))).cast("int")
+    taken = F.transform(F.sequence(step, F.lit(PIECES - 1), step), lambda i: F.element_at("_cuts", i))
+    hot = materialized(sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb"), taken.alias("_cuts")))
+    same = F.col("_b") == F.col("_kb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = line.join(hot, same, "left").drop(*[f"_k{i}" for i in range(len(by))], "_kb")
+    distinct = F.array_distinct("_cuts")
+    sub = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter(distinct, lambda c: c < at)))
+    ends = F.get(distinct, F.col("_sub"))  # the piece's last instant; none for the last piece
+    copies = F.coalesce(F.size(F.filter("_cuts", lambda c: c == ends)), F.lit(1))
+    return joined.withColumn("_sub", sub).withColumn("_copies", F.when(
+        F.col("_cuts").isNull() | ends.isNull(), 1).otherwise(F.greatest(copies, F.lit(1)))).drop("_cuts")
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
               values: Sequence[str], direction: str = "backward", allow_exact: bool = True,
-              bucket_seconds: int = 86_400) -> DataFrame:
+              bucket_seconds: int = 86_400, crowded: int = CROWDED) -> DataFrame:
     """General as-of join: for each left row the nearest right row in time.
 
-    Both sides are cut into (key, time bucket); a window fills inside a bucket and
-    a per-bucket summary carries the last value across buckets, so one hot key is
-    spread over as many tasks as it has buckets. Only the summary, one row per key
-    and bucket, is ordered per key.
+    Both sides are cut into (key, time bucket), crowded buckets further (``time_buckets``).
+    Every piece starts with the value carried into it, so one window fills it. Rows of the right
+    side are reduced to one per instant, and left rows of an instant that fills several pieces
+    are dealt over as many tasks: no key, day or instant has to fit in a task. Only the
+    summary, one row per key and piece, is ordered per key. Left rows without a time get no value.
     """
     by = list(by)
     back = direction == "backward"
-    bucket = F.floor(F.unix_seconds("_ts") / bucket_seconds)
     value = F.struct(F.col(right_ts).alias("_rts"), *[F.col(v).alias(v) for v in values])
-    lhs = left.select(*by, F.col(left_ts).alias("_ts"), F.struct(*left.columns).alias("_row"))
-    rhs = right.where(F.col(right_ts).isNotNull()).select(*by, F.col(right_ts).alias("_ts"), value.alias("_v"))
+    lhs = left.select(*by, F.col(left_ts).cast("timestamp").alias("_ts"), F.struct(*left.columns).alias("_row"))
+    rhs = right.where(F.col(right_ts).isNotNull()).select(*by, F.col(right_ts).cast("timestamp").alias("_ts"), value.alias("_v"))
+    pick = F.max if back else F.min
+    rhs = rhs.groupBy(*by, "_ts").agg(pick("_v").alias("_v"))
     lhs_side, rhs_side = (1, 0) if allow_exact == back else (0, 1)
-    both = lhs.withColumn("_side", F.lit(lhs_side)).unionByName(
-        rhs.withColumn("_side", F.lit(rhs_side)), allowMissingColumns=True).withColumn("_b", bucket)
-
-    pick = F.max_by if back else F.min_by
-    summary = both.groupBy(*by, "_b").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.struct("_ts", "_v"))).alias("_last"))
-    per_key = Window.partitionBy(*by).orderBy(F.col("_b").asc() if back else F.col("_b").desc())
-    carried = summary.select(*by, "_b", F.last("_last", ignorenulls=True).over(
-        per_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-
-    order = [F.col("_ts"), F.col("_side"), F.col("_v")]
-    inside = Window.partitionBy(*by, "_b").orderBy(*[c.asc() if back else c.desc() for c in order])
-    filled = both.withColumn("_hit", F.last("_v", ignorenulls=True).over(
-        inside.rowsBetween(Window.unboundedPreceding, 0))).where("_row IS NOT NULL")
-    out = filled.join(carried, [*by, "_b"], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
+    line = lhs.withColumn("_side", F.lit(lhs_side)).unionByName(rhs.withColumn("_side", F.lit(rhs_side)), allowMissingColumns=True)
+    line = time_buckets(line, by, bucket_seconds, crowded)
+
+    piece = [*by, "_b", "_sub"]
+    pick_by = F.max_by if back else F.min_by
+    summary = line.where("_b IS NOT NULL").groupBy(*piece).agg(
+        pick_by("_v", F.when(F.col("_v").isNotNull(), F.col("_ts"))).alias("_last"), F.max("_copies").alias("_copies"))
+    order = [F.col("_b"), F.col("_sub")]
+    per_key = Window.partitionBy(*by).orderBy(*[c if back else c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.withColumn("_v", F.last("_last", ignorenulls=True).over(per_key)).where("_v IS NOT NULL").drop("_last")
+
+    every = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
+    own = line.where("_row IS NOT NULL").withColumn("_copy", F.when(
+        F.col("_ts").isNull(), F.pmod(F.xxhash64("_row"), F.lit(PIECES))).otherwise(F.pmod(F.xxhash64("_row"), F.col("_copies"))).cast("int"))
+    said = line.where("_v IS NOT NULL").withColumn("_copy", every)
+    start = carried.withColumn("_copy", every).withColumn("_side", F.lit(-1))
+    whole = own.unionByName(said).unionByName(start, allowMissingColumns=True)
+    # The carried value first (side -1 without a time), then by time.
+    within = [F.col("_ts").isNotNull(), F.col("_ts") if back else F.col("_ts").desc(), F.col("_side") if back else F.col("_side").desc()]
+    inside = Window.partitionBy(*piece, "_copy").orderBy(*within).rowsBetween(Window.unboundedPreceding, 0)
+    out = whole.withColumn("_hit", F.last("_v", ignorenulls=True).over(inside)).where("_row IS NOT NULL")
     return out.select("_row.*", F.col("_hit._rts").alias(f"asof_{right_ts}"), *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
@@ -97,37 +142,38 @@ def pit_panel(bars: DataFrame, asof: str, symbols: Sequence[str] | None = None,
     return kept.where(F.col("symbol").isin(*symbols)) if symbols else kept
 
 
-def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30) -> DataFrame:
+def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30, crowded: int = CROWDED) -> DataFrame:
     """Mean score, count and coverage of documents in [bar - lookback, bar).
 
-    Documents are reduced to elementary intervals before any window: the pieces that the
-    instants ``bar`` and ``bar - lookback`` cut a day into, so that a bar never sees a
-    document published at its own instant or later that day. A range frame over those, at
-    most a few per calendar day and symbol, then gives each bar its window; no (document,
-    bar) pairs are made. Bars whose ``ts`` is a DATE are whole days by type: days will do.
+    A window is the difference of two prefix sums, one at the bar and one at its lookback: the
+    totals of earlier days and pieces of days, carried over, and the sum inside the piece. So no
+    task sees a symbol's whole line, crowded days are cut (``time_buckets``), and no (document,
+    bar) pairs are made. At one instant, bars come before documents: a bar never sees a
+    document published at its own instant or later. Bars whose ``ts`` is a DATE are whole days
+    by type: documents are then reduced to one row per symbol and day first.
     """
-    span_us = lookback_days * 86_400_000_000
-    day = F.date_trunc("day", "published_at")
-    if isinstance(bars.schema["ts"].dataType, DateType):
-        cells = docs.select("symbol", day.alias("_t"), "sentiment_score")
-    else:
-        stamps = bars.select("symbol", F.explode(F.array(
-            F.col("ts"), F.col("ts") - F.make_dt_interval(days=F.lit(lookback_days)))).alias("_c"))
-        cuts = stamps.groupBy("symbol", F.date_trunc("day", "_c").alias("_d")).agg(F.collect_set("_c").alias("_cuts"))
-        with_cuts = docs.withColumn("_d", day).join(cuts, ["symbol", "_d"], "left")
-        last_cut = F.array_max(F.filter("_cuts", lambda c: c <= F.col("published_at")))
-        cells = with_cuts.select("symbol", F.coalesce(last_cut, F.col("_d")).alias("_t"), "sentiment_score")
-    reduced = cells.groupBy("symbol", "_t").agg(
+    daily = isinstance(bars.schema["ts"].dataType, DateType)
+    instant = F.date_trunc("day", "published_at") if daily else F.col("published_at")
+    said = docs.where("published_at IS NOT NULL").groupBy("symbol", instant.alias("_ts")).agg(
         F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_k"))
-    marks = bars.select("symbol", F.col("ts").alias("_t")).distinct().withColumn("_bar", F.lit(True))
-    line = reduced.unionByName(marks, allowMissingColumns=True).withColumn("_us", F.unix_micros(F.col("_t").cast("timestamp")))
-    frame = Window.partitionBy("symbol").orderBy("_us").rangeBetween(-span_us, -1)
-    total, count = F.sum("_s").over(frame), F.coalesce(F.sum("_k").over(frame), F.lit(0))
-    seen = line.select("symbol", "_t", "_bar", total.alias("_total"), count.alias("doc_count")).where("_bar")
-    return seen.select(
-        "symbol", F.col("_t").alias("ts"),
-        F.coalesce(F.try_divide("_total", "doc_count"), F.lit(0.0)).alias("sentiment_score"),
-        "doc_count", (F.col("doc_count") > 0).alias("has_coverage"))
+    ends = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.lit(0).alias("days")),
+                             F.struct(F.lit(-1).alias("sign"), F.lit(lookback_days).alias("days"))))
+    points = bars.where("ts IS NOT NULL").select("symbol", F.col("ts").alias("_bar")).distinct().withColumn("_e", ends)
+    points = points.select("symbol", (F.col("_bar").cast("timestamp") - F.make_dt_interval(days=F.col("_e.days"))).alias("_ts"), "_bar", "_e.sign")
+    line = time_buckets(said.unionByName(points, allowMissingColumns=True), ["symbol"], crowded=crowded).drop("_copies")
+
+    piece = ["symbol", "_b", "_sub"]
+    totals = line.groupBy(*piece).agg(F.sum("_s").alias("_s"), F.sum("_k").alias("_k"))
+    before = Window.partitionBy("symbol").orderBy("_b", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*piece, F.sum("_s").over(before).alias("_s"), F.sum("_k").over(before).alias("_k"))
+    whole = line.unionByName(carried.where("_k > 0"), allowMissingColumns=True)
+    # The carried sums have no time and come first; of one instant, bars come before documents.
+    inside = Window.partitionBy(*piece).orderBy(F.col("_ts").isNotNull(), "_ts", F.col("_bar").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = whole.withColumns({"_s": F.sum("_s").over(inside), "_k": F.sum("_k").over(inside)}).where("_bar IS NOT NULL")
+    seen = sums.groupBy("symbol", F.col("_bar").alias("ts")).agg(
+        F.sum(F.col("sign") * F.coalesce("_s", F.lit(0.0))).alias("_total"), F.sum(F.col("sign") * F.coalesce("_k", F.lit(0))).alias("doc_count"))
+    return seen.select("symbol", "ts", F.when(F.col("doc_count") > 0, F.col("_total") / F.nullif("doc_count", F.lit(0))).otherwise(0.0).alias("sentiment_score"),
+                       "doc_count", (F.col("doc_count") > 0).alias("has_coverage"))
 
 
 def first_bar_after(docs: DataFrame, bars: DataFrame) -> DataFrame:

@@ -63,17 +63,18 @@ def _(t):
 
 @query("jon_07_document_window", f"SELECT symbol, ts, {r6('sentiment_score','sentiment_score')}, doc_count, has_coverage FROM doc_feat")
 def _(t):
-    return document_windows(t.docs(), t.bars()).withColumn("sentiment_score", F.round("sentiment_score", 6))
+    days = document_windows(t.docs(), t.bars().withColumn("ts", F.to_date("ts")))
+    return days.withColumns({"ts": F.col("ts").cast("timestamp"), "sentiment_score": F.round("sentiment_score", 6)})
 
 
 @query("jon_07_document_window_instant", f"""
 WITH b AS (SELECT symbol, ts + INTERVAL 870 MINUTES AS ts FROM bars)
 SELECT b.symbol, b.ts, {r6('coalesce(avg(d.sentiment_score), 0.0)','sentiment_score')}, count(d.document_id) AS doc_count,
   count(d.document_id) > 0 AS has_coverage
-FROM b LEFT JOIN docs d ON d.symbol = b.symbol AND d.published_at < b.ts AND d.published_at >= b.ts - INTERVAL 7 DAYS GROUP BY 1, 2""")
+FROM b LEFT JOIN docs d ON d.symbol = b.symbol AND d.published_at < b.ts AND d.published_at >= b.ts - INTERVAL 30 DAYS GROUP BY 1, 2""")
 def _(t):
     bars = t.bars().withColumn("ts", F.expr("ts + INTERVAL 870 MINUTES"))
-    return document_windows(t.docs(), bars, 7).withColumn("sentiment_score", F.round("sentiment_score", 6))
+    return document_windows(t.docs(), bars).withColumn("sentiment_score", F.round("sentiment_score", 6))
 
 
 _FULL_COLS = (*PX, "DGS10", "DFF", "VIXCLS", "yield_curve", "vol_regime_ratio", "sentiment_score")
