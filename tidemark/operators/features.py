@@ -19,6 +19,8 @@ PRICE_COLUMNS = ("ret_1d", "ret_5d", "ret_21d", "vol_21d", "vol_63d", "mom_21d",
                  "ret_252d", "ret_126d", "ma200_ratio", "ma50_ratio", "volume_ratio")
 REGIME_COLUMNS = ("vix_regime", "curve_inverted", "vol_regime_ratio", "trend_regime")
 DOCUMENT_COLUMNS = ("sentiment_score", "doc_count", "has_coverage")
+#: The full registered set: price, macro, regime, document and cross-section columns.
+ALL_COLUMNS = (*PRICE_COLUMNS, *MACRO_SERIES, "yield_curve", *REGIME_COLUMNS, *DOCUMENT_COLUMNS, *[f"xs_rank_{c}" for c in RANKED])
 
 
 def rsi(diff: Column | str, n: int = 14) -> Column:
@@ -69,9 +71,12 @@ def with_macro(feat: DataFrame, macro: DataFrame, start: str, end: str,
 
 def build_features(bars: DataFrame, macro: DataFrame | None = None, docs: DataFrame | None = None, *,
                    start: str, end: str, lags: Mapping[str, int] | None = PUBLICATION_LAGS,
-                   lookback_days: int = 30, asof: str | None = None, ranks: bool = False) -> DataFrame:
+                   lookback_days: int = 30, asof: str | None = None, ranks: bool = False, daily: bool = False) -> DataFrame:
     """The full feature table; warm-up rows stay, with NULLs.
 
+    ``daily`` states that bars are whole days stamped at midnight: document windows then work on days.
+    Bars are used twice where there are documents, so pass a written table if they are costly.
+
     ``asof`` cuts bars, observations and documents before any window: Catalyst cannot move
     a time filter below one, and look-ahead is ruled out by construction.
     """
@@ -85,7 +90,9 @@ def build_features(bars: DataFrame, macro: DataFrame | None = None, docs: DataFr
         feat = with_macro(feat, macro, start, end, lags)
     feat = regime_flags(feat)
     if docs is not None:
-        feat = feat.join(document_windows(docs, bars, lookback_days), ["symbol", "ts"], "left")
+        marks = bars.select("symbol", F.to_date("ts").alias("ts") if daily else "ts")
+        windows = document_windows(docs, marks, lookback_days)
+        feat = feat.join(windows.withColumn("ts", F.col("ts").cast("timestamp")) if daily else windows, ["symbol", "ts"], "left")
     return percent_rank_columns(feat, RANKED) if ranks else feat
 
 

@@ -55,26 +55,73 @@ def freshness_gate(labelled: DataFrame) -> DataFrame:
     return out.withColumn("passed", (F.col("false_stale") == 0) & (F.col("missed_stale") == 0) & (F.col("n_cases") > 0))
 
 
+#: Value buckets per power of two, in which a column's values are first counted.
+FINE = 1024
+HIST_BINS = 20
+
+
 def _tall(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
+    """(day, feature, x); x is NULL where a value is missing."""
+    pairs = ", ".join(f"'{c}', nullif(CAST(`{c}` AS DOUBLE), double('NaN'))" for c in columns)
     return panel.select(F.to_date("ts").alias("day"), F.expr(f"stack({len(columns)}, {pairs}) AS (feature, x)"))
 
 
-def value_counts(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _tall(panel, columns).where("x IS NOT NULL AND NOT isnan(x)")
-
+def _value_bucket(x: Column) -> Column:
+    """A whole number that never falls while x grows: sign and logarithm in small steps."""
+    size = F.floor(F.log2(F.abs(x)) * FINE) + (1 << 21)
+    return F.when(x == 0, 0).when(x > 0, size).otherwise(-size)
 
-def windows_split(valid: DataFrame, recent: int = RECENT_BARS) -> DataFrame:
-    """Marks the last ``recent`` dates of each feature; dates are ranked on distinct days."""
-    valid = materialized(valid)
-    days = valid.select("feature", "day").distinct()
-    w = Window.partitionBy("feature")
-    ranked = days.withColumns({"_r": F.row_number().over(w.orderBy(F.col("day").desc())), "n_dates": F.count(F.lit(1)).over(w)})
-    marks = ranked.select("feature", "day", (F.col("_r") <= recent).alias("is_recent"), "n_dates")
-    return valid.join(marks, ["feature", "day"])
 
+def feature_days(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
+    """Per feature and day: rows, values, their mean and spread, extremes; whether the day is recent.
 
-def psi(split: DataFrame, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON, min_per_bin: int = PSI_MIN_PER_BIN,
+    Recent are the last ``recent`` days on which the feature has a value. One row per feature
+    and calendar day is left, so what follows about dates is a window over that.
+    """
+    x = F.col("x")
+    days = _tall(panel, columns).groupBy("feature", "day").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), F.avg(x).alias("mean"),
+        (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("low"), F.max(x).alias("high"))
+    mine = Window.partitionBy("feature")
+    place = F.row_number().over(mine.orderBy((F.col("n") > 0).desc(), F.col("day").desc()))
+    return days.withColumns({"n_dates": F.count_if(F.col("n") > 0).over(mine), "last_valid": F.max(F.when(F.col("n") > 0, F.col("day"))).over(mine),
+                             "is_recent": (F.col("n") > 0) & (place <= recent)})
+
+
+def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bins: int = PSI_BINS, hist: int = HIST_BINS) -> DataFrame:
+    """(feature, is_recent, bucket, bar, x, n): all values of all columns, counted.
+
+    First the earlier values are counted by value bucket. Then everything is counted again, and
+    only in buckets that hold an order statistic of a baseline quantile are values kept apart;
+    elsewhere the least value of a bucket stands for all of it. So the baseline's quantiles, the
+    values between any two of them and the histogram follow exactly from counts that partial
+    aggregation has shrunk; no column is sorted. ``bar`` numbers the bar of a histogram of
+    ``hist`` bars of equal width.
+    """
+    tall = _tall(panel, columns).where("x IS NOT NULL")
+    # One row per declared column.
+    ends = F.broadcast(days.groupBy("feature").agg(F.min(F.when(F.col("is_recent"), F.col("day"))).alias("_from"),
+                                                   F.min("low").alias("_low"), F.max("high").alias("_high")))
+    tall = tall.join(ends, "feature").withColumns({"is_recent": F.col("day") >= F.col("_from"), "bucket": _value_bucket(F.col("x"))})
+    base = tall.where("NOT is_recent").groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    mine = Window.partitionBy("feature")
+    # Counted buckets: at most as many as there are steps of FINE in the exponents of doubles.
+    base = base.withColumns({"_last": F.sum("n").over(mine.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - 1,
+                             "_top": F.sum("n").over(mine) - 1})
+    first = F.col("_last") - F.col("n") + 1
+    holds = F.lit(False)
+    for i in range(bins + 1):
+        at = F.floor(F.lit(i / bins) * F.col("_top"))
+        holds = holds | ((at <= F.col("_last")) & (F.least(at + 1, F.col("_top")) >= first))
+    # At most two buckets per quantile and column.
+    exact = F.broadcast(base.where(holds).select("feature", "bucket", F.lit(True).alias("_exact")))
+    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    bar = F.when(width.isNull(), hist // 2).otherwise(F.least(F.floor((F.col("x") - F.col("_low")) / width * hist), F.lit(hist - 1)))
+    apart = tall.join(exact, ["feature", "bucket"], "left").withColumns({"bar": bar, "_own": F.when(F.col("_exact"), F.col("x"))})
+    return apart.groupBy("feature", "is_recent", "bucket", "bar", "_own").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).drop("_own")
+
+
+def psi(values: DataFrame, days: DataFrame, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON, min_per_bin: int = PSI_MIN_PER_BIN,
         recent: int = RECENT_BARS) -> DataFrame:
     """Stability index per feature of recent against earlier values, NULL where undefined.
 
@@ -82,16 +129,19 @@ def psi(split: DataFrame, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON, mi
     clipped, the last bin is closed.
     """
     cuts = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(split.where("NOT is_recent"), ["feature"], "x", cuts, "edges").withColumn(
+    # Where a bucket's values are not kept apart, its least value orders like any of them.
+    edges = exact_quantiles(values.where("NOT is_recent"), ["feature"], "x", cuts, "edges", F.col("n")).withColumn(
         "edges", F.array_sort(F.array_distinct("edges")))
-    stats = split.groupBy("feature").agg(
-        F.count_if(F.col("is_recent")).alias("n_recent"), F.count_if(~F.col("is_recent")).alias("n_base"),
-        F.max("n_dates").alias("n_dates")).join(edges, "feature", "left")
+    stats = values.groupBy("feature").agg(
+        F.sum(F.when(F.col("is_recent"), F.col("n")).otherwise(0)).alias("n_recent"),
+        F.sum(F.when(F.col("is_recent"), 0).otherwise(F.col("n"))).alias("n_base")).join(
+        days.groupBy("feature").agg(F.max("n_dates").alias("n_dates")), "feature").join(edges, "feature", "left")
     # One row per feature: the declared columns.
-    j = split.join(F.broadcast(stats.where(F.size("edges") >= 2)), "feature")
+    j = values.join(F.broadcast(stats.where(F.size("edges") >= 2)), "feature")
     inner = F.slice("edges", 2, F.size("edges") - 2)
     b = F.size(F.filter(inner, lambda e: e <= F.col("x")))
-    counts = j.groupBy("feature", b.alias("bin")).agg(F.count_if("is_recent").alias("r"), F.count_if(~F.col("is_recent")).alias("b"))
+    counts = j.groupBy("feature", b.alias("bin")).agg(F.sum(F.when(F.col("is_recent"), F.col("n")).otherwise(0)).alias("r"),
+                                                      F.sum(F.when(F.col("is_recent"), 0).otherwise(F.col("n"))).alias("b"))
     pct = counts.withColumns({c: F.col(c) / F.sum(c).over(Window.partitionBy("feature")) for c in ("r", "b")})
     # A bin empty on both sides adds (eps - eps) * ln(1) = 0, so leaving it out changes nothing.
     rr, bb = (F.when(F.col(c) == 0, F.lit(epsilon)).otherwise(F.col(c)) for c in ("r", "b"))
@@ -100,29 +150,41 @@ def psi(split: DataFrame, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON, mi
     return stats.join(summed, "feature", "left").select("feature", F.when(enough, F.col("_psi")).alias("psi"))
 
 
+def drift_psi(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
+    """The stability index of the last ``recent`` dates of every column."""
+    panel = materialized(panel.select("ts", *columns))
+    days = materialized(feature_days(panel, columns, recent))
+    return psi(materialized(feature_values(panel, columns, days)), days, recent=recent)
+
+
 def feature_stats(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS, stale_bars: int = STALE_BARS,
-                  drift_z: float = DRIFT_Z) -> DataFrame:
-    """Coverage, moments, PSI and a stable / drifting / stale verdict per feature."""
+                  drift_z: float = DRIFT_Z, hist: int = HIST_BINS) -> DataFrame:
+    """Coverage, moments, distribution, PSI and a stable / drifting / stale verdict per feature.
+
+    ``distribution`` counts values in ``hist`` bars of equal width between the extremes. A column
+    without values has coverage 0, no moments, and is stale.
+    """
     panel = materialized(panel.select("ts", *columns))
-    tall = _tall(panel, columns)
-    x = F.nullif(F.col("x"), F.lit(float("nan")))
-    base = tall.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), (F.count(x) / F.count(F.lit(1))).alias("coverage"),
-                                       F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                                       F.max(F.when(x.isNotNull(), F.col("day"))).alias("last_valid"))
-    days = panel.select(F.to_date("ts").alias("day")).distinct()
-    behind = base.select("feature", "last_valid").join(days, F.col("day") > F.col("last_valid")).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("dates_behind"))
-    split = windows_split(value_counts(panel, columns), recent)
-    by_date = split.groupBy("feature", "day", "is_recent", "n_dates").agg(F.avg("x").alias("m"))
-    shift = by_date.groupBy("feature").agg(
-        F.abs(F.avg(F.when(F.col("is_recent"), F.col("m"))) - F.avg(F.when(~F.col("is_recent"), F.col("m")))).alias("shift"),
-        F.stddev_samp(F.when(~F.col("is_recent"), F.col("m"))).alias("base_std"), F.max("n_dates").alias("n_dates"))
-    j = base.join(behind, "feature", "left").join(shift, "feature", "left").join(psi(split, recent=recent), "feature", "left")
+    days = materialized(feature_days(panel, columns, recent))
+    values = materialized(feature_values(panel, columns, days, hist=hist))
+    n, m = F.sum("n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
+    recent_mean, base_mean = F.when(F.col("is_recent"), F.col("mean")), F.when(~F.col("is_recent"), F.col("mean"))
+    base = days.groupBy("feature").agg(
+        F.sum("n_rows").alias("n_rows"), n.alias("n"), m.alias("mean"), F.sum("m2").alias("_m2"),
+        F.max("last_valid").alias("last_valid"), F.count_if(F.col("day") > F.col("last_valid")).alias("dates_behind"),
+        F.abs(F.avg(recent_mean) - F.avg(base_mean)).alias("shift"), F.stddev_samp(base_mean).alias("base_std"), F.max("n_dates").alias("n_dates"))
+    # Spread of all values: spreads within days, and of the days' means around the whole mean.
+    around = days.join(F.broadcast(base.select("feature", F.col("mean").alias("_mean"))), "feature").groupBy("feature").agg(
+        F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), 2)).alias("_around"))
+    bars = values.groupBy("feature", "bar").agg(F.sum("n").alias("n")).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bar").cast("int").alias("k"), F.col("n").alias("v")))).alias("_bars"))
+    j = base.join(around, "feature").join(bars, "feature", "left").join(psi(values, days, recent=recent), "feature", "left")
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_around") / F.nullif(F.col("n") - 1, F.lit(0)))).when(F.col("n") == 1, 0.0)
+    slots = F.transform(F.sequence(F.lit(0), F.lit(hist - 1)), lambda k: F.coalesce(F.try_element_at("_bars", k), F.lit(0).cast("bigint")))
     mean_drift = F.when(F.coalesce("base_std", F.lit(0.0)) == 0, F.col("shift") > 0).otherwise(F.col("shift") / F.nullif("base_std", F.lit(0.0)) >= drift_z)
     judged = F.coalesce((F.col("n_dates") > recent + 1) & mean_drift, F.lit(False)) | F.coalesce(F.col("psi") >= PSI_DRIFT, F.lit(False))
-    verdict = (F.when(F.col("last_valid").isNull() | (F.coalesce("dates_behind", F.lit(0)) > stale_bars), "stale")
-               .when(judged, "drifting").otherwise("stable"))
-    return j.select("feature", "n_rows", "coverage", "mean", "std", "psi", verdict.alias("verdict"))
+    verdict = F.when(F.col("last_valid").isNull() | (F.col("dates_behind") > stale_bars), "stale").when(judged, "drifting").otherwise("stable")
+    return j.select("feature", "n_rows", (F.col("n") / F.col("n_rows")).alias("coverage"), "mean", std.alias("std"), "psi",
+                    F.when(F.col("n") > 0, slots).alias("distribution"), verdict.alias("verdict"))
 
 
 def missing_series(expected: DataFrame, present: DataFrame, key: str = "series_id") -> DataFrame:

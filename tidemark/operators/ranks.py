@@ -68,20 +68,55 @@ def small_average_rank(x: Column, *by: str, ascending: bool = True) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / 2
 
 
+#: Rows of a cross-section from which on it is cut, and into how many pieces at most.
+CROWDED, PIECES = 200_000, 64
+
+
 def percent_rank_columns(df: DataFrame, columns: Sequence[str], day: str = "ts", key: str = "symbol",
-                         min_symbols: int = 5, prefix: str = "xs_rank_") -> DataFrame:
+                         min_symbols: int = 5, prefix: str = "xs_rank_", crowded: int = CROWDED) -> DataFrame:
     """Percentile rank of each column across all symbols of a day, average ties.
 
-    NULL inputs get NULL; days with fewer than ``min_symbols`` values get NULL.
+    NULL inputs get NULL; days with fewer than ``min_symbols`` values get NULL. Rows carry their
+    ranks: one window per column, no join back. The cross-sections of all columns are measured
+    in one aggregation; one with more than ``crowded`` values is cut at its quantiles, and a
+    value that fills several pieces becomes a piece of its own, whose rows, being ties, are dealt
+    over tasks. Counts of earlier pieces are added. The lists of crowded days and of their
+    pieces are written, so that their sizes are known when they are joined.
     """
-    pairs = ", ".join(f"'{c}', {c}" for c in columns)
-    tall = df.select(key, day, F.expr(f"stack({len(columns)}, {pairs}) AS (_f, _x)")).where("_x IS NOT NULL")
-    ranked = average_rank(tall, [day, "_f"], "_x")
-    pct = F.when(F.col("n") >= min_symbols, F.col("rank") / F.col("n"))
-    joined = tall.join(ranked, [day, "_f", "_x"]).select(key, day, "_f", pct.alias("_p"))
-    wide = joined.groupBy(key, day).agg(
-        *[F.max(F.when(F.col("_f") == c, F.col("_p"))).alias(prefix + c) for c in columns])
-    return df.join(wide, [key, day], "left")
+    cuts = [i / PIECES for i in range(1, PIECES)]
+    sizes = df.groupBy(F.col(day).alias("_day")).agg(*[m for i, c in enumerate(columns) for m in (
+        F.count(c).alias(f"_n{i}"), F.percentile_approx(c, cuts, 10_000).alias(f"_q{i}"))])
+    hot = materialized(sizes.where(F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in range(len(columns))]) > crowded))
+    out = df.join(hot, F.col(day).eqNullSafe(F.col("_day")), "left").drop("_day")
+    names = {}
+    for i, c in enumerate(columns):
+        edges = F.when(F.col(f"_n{i}") > crowded, F.array_distinct(f"_q{i}"))
+        often = F.size(F.filter(f"_q{i}", lambda e: e == F.col(c)))
+        piece = F.when(F.col(c).isNotNull(), 2 * F.size(F.filter(edges, lambda e: e < F.col(c))) + F.when(often > 1, 1).otherwise(0))
+        names |= {f"_p{i}": F.when(edges.isNotNull(), piece), f"_m{i}": F.when(edges.isNotNull(), F.greatest(often, F.lit(1))).otherwise(1)}
+    out = out.withColumns(names).drop(*[f"_q{i}" for i in range(len(columns))])
+    crowd = not hot.isEmpty()
+    for i, c in enumerate(columns):
+        p = f"_p{i}"
+        if crowd:
+            pieces = out.where(F.col(p).isNotNull()).groupBy(F.col(day).alias("_day"), F.col(p).alias("_piece")).agg(F.count(F.lit(1)).alias("_in"))
+            before = Window.partitionBy("_day").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+            pieces = materialized(pieces.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))))
+            out = out.join(pieces, F.col(day).eqNullSafe(F.col("_day")) & (F.col(p) == F.col("_piece")), "left").drop("_day", "_piece")
+        else:
+            out = out.withColumns({"_in": F.lit(None).cast("bigint"), "_before": F.lit(None).cast("bigint")})
+        spread = F.when(F.col(c).isNull(), PIECES).otherwise(F.col(f"_m{i}"))
+        # Only rows that need no window of their whole day are dealt: ties of one piece, and NULLs of a cut day.
+        out = out.withColumn("_copy", F.when(F.col(f"_n{i}") > crowded, F.pmod(F.xxhash64(key), spread)).otherwise(0))
+        group = Window.partitionBy(day, p, "_copy")
+        line = group.orderBy(F.col(c).asc_nulls_last())
+        here, own = F.rank().over(line), F.count(c).over(line.rangeBetween(0, 0))
+        alone = F.col(p) % 2 == 1
+        ties = F.when(alone, F.col("_in")).otherwise(own)
+        n = F.when(F.col(f"_n{i}") > crowded, F.col(f"_n{i}")).otherwise(F.count(c).over(group))
+        rank = F.coalesce("_before", F.lit(0)) + here + (ties - 1) / 2
+        out = out.withColumn(prefix + c, F.when(F.col(c).isNotNull() & (n >= min_symbols), rank / n)).drop("_in", "_before", "_copy")
+    return out.select(*df.columns, *[prefix + c for c in columns])
 
 
 def roc_auc(pred: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -117,13 +152,14 @@ def spearman(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*by).agg(rho.alias("rho"), n.cast("bigint").alias("n"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, cuts: Sequence[float], out: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, cuts: Sequence[float], out: str = "q",
+                    weight: Column | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group as an array, in the order of ``cuts``.
 
     The order statistics are found among distinct values with their cumulative
-    counts, so no task holds a whole group.
+    counts, so no task holds a whole group. ``weight`` says how many values a row stands for.
     """
-    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_cnt"))
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(F.lit(1) if weight is None else weight).alias("_cnt"))
     pre = prefix_by_value(values, by, x, ["_cnt"])
     first, last, top = F.col("_cnt_before"), F.col("_cnt_before") + F.col("_cnt") - 1, F.col("_cnt_total") - 1
     slots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(cuts)])

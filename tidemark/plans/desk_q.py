@@ -14,6 +14,7 @@ from tidemark.operators import reports as rpt
 from tidemark.operators import timejoin as tj
 from tidemark.operators import windows as win
 from tidemark.plans.evaluation_q import AXES_CTES, AXES_SQL, axes
+from tidemark.plans.features_q import full_features
 from tidemark.plans.registry import query, r6
 from tidemark.plans.sql_parts import metrics_sql, replay_ctes
 
@@ -199,32 +200,47 @@ def _(t):
 
 
 # --- drift ----------------------------------------------------------------------------------
-DRIFT = ["ret_5d", "vol_21d", "rsi_14", "ma50_ratio"]
+#: All registered columns, and one that stopped being delivered.
+DRIFT = [*feat.ALL_COLUMNS, "old_vol"]
+
+
+def monitored(t):
+    return full_features(t).withColumns({"old_vol": F.when(F.col("ts") < "1998-06-01", F.col("vol_21d")), "has_coverage": F.col("has_coverage").cast("double")})
+
+
 _PSI = f"""
-tl AS (SELECT CAST(ts AS DATE) AS day, unnest({DRIFT}) AS feature, unnest([{', '.join(DRIFT)}]) AS x FROM px_feat),
+mf AS (SELECT *, CASE WHEN ts < TIMESTAMP '1998-06-01' THEN vol_21d END AS old_vol FROM full_feat),
+tl AS (SELECT CAST(ts AS DATE) AS day, unnest({DRIFT}) AS feature, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in DRIFT)}]) AS x FROM mf),
 vd AS (SELECT feature, day, row_number() OVER (PARTITION BY feature ORDER BY day DESC) AS k, count(*) OVER (PARTITION BY feature) AS n_dates FROM (SELECT DISTINCT feature, day FROM tl WHERE x IS NOT NULL)),
 sp AS (SELECT tl.feature, tl.day, x, k <= 252 AS rec, n_dates FROM tl JOIN vd ON vd.feature = tl.feature AND vd.day = tl.day WHERE x IS NOT NULL),
-ed AS (SELECT feature, quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS e FROM sp WHERE NOT rec GROUP BY 1),
-bn AS (SELECT feature, len(list_filter(e[2:-2], lambda v: v <= x)) AS b, rec FROM sp JOIN ed USING (feature)),
+ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM sp WHERE NOT rec GROUP BY 1),
+bn AS (SELECT feature, len(list_filter(e[2:-2], lambda v: v <= x)) AS b, rec FROM sp JOIN ed USING (feature) WHERE len(e) >= 2),
 ct AS (SELECT feature, b, count(CASE WHEN rec THEN 1 END) AS r, count(CASE WHEN NOT rec THEN 1 END) AS o FROM bn GROUP BY 1, 2),
 pc AS (SELECT feature, r / sum(r) OVER (PARTITION BY feature) AS r, o / sum(o) OVER (PARTITION BY feature) AS o FROM ct),
-ps AS (SELECT feature, sum((r - o) * ln(r / o)) AS psi FROM (SELECT feature, CASE WHEN r = 0 THEN 0.0001 ELSE r END AS r, CASE WHEN o = 0 THEN 0.0001 ELSE o END AS o FROM pc) GROUP BY 1)"""
+en AS (SELECT feature, count(CASE WHEN rec THEN 1 END) >= 50 AND count(CASE WHEN NOT rec THEN 1 END) >= 50 AND max(n_dates) > 253 AS enough FROM sp GROUP BY 1),
+p0 AS (SELECT feature, sum((r - o) * ln(r / o)) AS psi FROM (SELECT feature, CASE WHEN r = 0 THEN 0.0001 ELSE r END AS r, CASE WHEN o = 0 THEN 0.0001 ELSE o END AS o FROM pc) GROUP BY 1),
+ps AS (SELECT en.feature, CASE WHEN enough THEN psi END AS psi FROM en LEFT JOIN p0 USING (feature)),
+bd AS (SELECT feature, day, rec, avg(x) AS m FROM sp GROUP BY 1, 2, 3),
+sh AS (SELECT feature, abs(avg(CASE WHEN rec THEN m END) - avg(CASE WHEN NOT rec THEN m END)) AS shift, stddev_samp(CASE WHEN NOT rec THEN m END) AS sd FROM bd GROUP BY 1),
+st AS (SELECT feature, count(*) AS n_rows, count(x) / count(*) AS coverage, avg(x) AS mean, stddev_samp(x) AS std, max(CASE WHEN x IS NOT NULL THEN day END) AS last_valid, min(x) AS lo, max(x) AS hi FROM tl GROUP BY 1),
+bh AS (SELECT feature, count(DISTINCT day) AS behind FROM tl JOIN st USING (feature) WHERE day > last_valid GROUP BY 1),
+fs AS (SELECT st.*, psi, CASE WHEN last_valid IS NULL OR coalesce(behind, 0) > 21 THEN 'stale' WHEN (n_dates > 253 AND CASE WHEN coalesce(sd, 0) = 0 THEN shift > 0 ELSE shift / sd >= 1 END) OR psi >= 0.25 THEN 'drifting' ELSE 'stable' END AS verdict
+  FROM st LEFT JOIN sh USING (feature) LEFT JOIN ps USING (feature) LEFT JOIN bh USING (feature) LEFT JOIN (SELECT feature, max(n_dates) AS n_dates FROM vd GROUP BY 1) USING (feature)),
+hb AS (SELECT feature, CASE WHEN hi = lo THEN 10 ELSE least(CAST(floor((x - lo) / (hi - lo) * 20) AS BIGINT), 19) END AS bar, count(*) AS n FROM tl JOIN st USING (feature) WHERE x IS NOT NULL GROUP BY 1, 2),
+hd AS (SELECT s.feature, array_to_string(list(coalesce(n, 0) ORDER BY k), ',') AS distribution FROM (SELECT feature, unnest(range(20)) AS k FROM st) s LEFT JOIN hb ON hb.feature = s.feature AND hb.bar = s.k GROUP BY 1)"""
 
 
 @query("mon_08_drift_psi", f"WITH {_PSI} SELECT feature, {r6('psi','psi')} FROM ps")
 def _(t):
-    split = mon.windows_split(mon.value_counts(feat.price_features(t.bars()), DRIFT))
-    return mon.psi(split).select("feature", r("psi", "psi"))
+    return mon.drift_psi(monitored(t), DRIFT).select("feature", r("psi", "psi"))
 
 
-@query("mon_10_feature_stats", f"""WITH {_PSI}, bd AS (SELECT feature, day, rec, avg(x) AS m FROM sp GROUP BY 1, 2, 3),
-sh AS (SELECT feature, abs(avg(CASE WHEN rec THEN m END) - avg(CASE WHEN NOT rec THEN m END)) AS shift, stddev_samp(CASE WHEN NOT rec THEN m END) AS sd FROM bd GROUP BY 1),
-st AS (SELECT feature, count(*) AS n_rows, count(x) / count(*) AS coverage, avg(x) AS mean, stddev_samp(x) AS std FROM tl GROUP BY 1)
-SELECT feature, n_rows, {r6('coverage','coverage')}, {r6('mean','mean')}, {r6('std','std')}, {r6('psi','psi')}, CASE WHEN shift / sd >= 1 OR psi >= 0.25 THEN 'drifting' ELSE 'stable' END AS verdict
-FROM st JOIN sh USING (feature) JOIN ps USING (feature)""")
+@query("mon_10_feature_stats", f"""WITH {_PSI}
+SELECT feature, n_rows, {r6('coverage','coverage')}, {r6('mean','mean')}, {r6('std','std')}, {r6('psi','psi')}, distribution, verdict FROM fs JOIN hd USING (feature)""")
 def _(t):
-    out = mon.feature_stats(feat.price_features(t.bars()), DRIFT)
-    return out.select("feature", "n_rows", *[r(c, c) for c in ("coverage", "mean", "std", "psi")], "verdict")
+    out = mon.feature_stats(monitored(t), DRIFT)
+    return out.select("feature", "n_rows", *[r(c, c) for c in ("coverage", "mean", "std", "psi")],
+                      F.concat_ws(",", F.transform("distribution", lambda n: n.cast("string"))).alias("distribution"), "verdict")
 
 
 # --- report views ---------------------------------------------------------------------------
@@ -324,13 +340,21 @@ def _(t):
     return rpt.fanout(a, b, c)
 
 
-@query("tab_09_catalog_view", f"""WITH {_PSI}, st AS (SELECT feature, count(x) / count(*) AS coverage FROM tl GROUP BY 1)
-SELECT p_partkey, coalesce(f.feature, 'none') AS name, {r6('coverage','coverage')} FROM (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'ret_5d' WHEN 1 THEN 'vol_21d' WHEN 2 THEN 'rsi_14' ELSE 'none' END AS feature FROM part) f LEFT JOIN st USING (feature)""")
+#: Names of a catalog with one entry per part.
+CATALOG = ("ret_5d", "vol_21d", "rsi_14", "xs_rank_vol_21d", "VIXCLS", "doc_count", "old_vol", "trend_regime")
+CATALOG_SQL = "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATALOG)) + " ELSE 'none' END"
+
+
+def catalog(t):
+    named = F.get(F.array(*[F.lit(c) for c in CATALOG]), (F.col("p_size") % 12).cast("int"))
+    return t.raw("part").select("p_partkey", F.coalesce(named, F.lit("none")).alias("name"))
+
+
+@query("tab_09_catalog_view", f"""WITH {_PSI}
+SELECT p_partkey, name, {r6('coverage','coverage')}, coalesce(verdict, 'unmeasured') AS verdict FROM (SELECT p_partkey, {CATALOG_SQL} AS name FROM part) f LEFT JOIN fs ON fs.feature = f.name""")
 def _(t):
-    k = F.col("p_size") % 6
-    cat = t.raw("part").select("p_partkey", F.when(k == 0, "ret_5d").when(k == 1, "vol_21d").when(k == 2, "rsi_14").otherwise("none").alias("name"))
-    stats = mon.feature_stats(feat.price_features(t.bars()), DRIFT).select("feature", "coverage", "verdict")
-    return rpt.catalog_view(cat, stats).select("p_partkey", "name", r("coverage", "coverage"))
+    stats = mon.feature_stats(monitored(t), DRIFT).select("feature", "coverage", "verdict")
+    return rpt.catalog_view(catalog(t), stats).select("p_partkey", "name", r("coverage", "coverage"), "verdict")
 
 
 @query("tab_08_provenance", """

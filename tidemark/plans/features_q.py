@@ -77,17 +77,19 @@ def _(t):
     return document_windows(t.docs(), bars).withColumn("sentiment_score", F.round("sentiment_score", 6))
 
 
-_FULL_COLS = (*PX, "DGS10", "DFF", "VIXCLS", "yield_curve", "vol_regime_ratio", "sentiment_score")
+_WHOLE = ("doc_count", "has_coverage")
 
 
-@query("fea_33_build_features", f"""
-SELECT f.symbol, f.ts, {", ".join(r6(c, c) for c in PX)}, {r6('DGS10','DGS10')}, {r6('DFF','DFF')}, {r6('VIXCLS','VIXCLS')},
-  {r6('DGS10 - DFF','yield_curve')}, {r6('vol_21d / nullif(vol_63d, 0)','vol_regime_ratio')},
-  {r6('d.sentiment_score','sentiment_score')}, d.doc_count
-FROM px_feat f LEFT JOIN macro_wide m ON m.day = CAST(f.ts AS DATE) LEFT JOIN doc_feat d ON d.symbol = f.symbol AND d.ts = f.ts""")
+def full_features(t):
+    """All 27 columns; the bars, which prices and document windows both need, are written once."""
+    return feat.build_features(materialized(t.bars()), t.macro(), t.docs(), start=START, end=END, ranks=True, daily=True)
+
+
+@query("fea_33_build_features", "SELECT symbol, ts, doc_count, has_coverage, " + ", ".join(
+    r6(c, c) for c in feat.ALL_COLUMNS if c not in _WHOLE) + " FROM full_feat")
 def _(t):
-    f = feat.build_features(t.bars(), t.macro(), t.docs(), start=START, end=END)
-    return f.select("symbol", "ts", *[r(c, c) for c in _FULL_COLS], "doc_count")
+    f = full_features(t)
+    return f.select("symbol", "ts", *_WHOLE, *[r(c, c) for c in feat.ALL_COLUMNS if c not in _WHOLE])
 
 
 @query("fea_34_asof_feature_row", f"""

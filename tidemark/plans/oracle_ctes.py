@@ -74,6 +74,16 @@ SELECT b.symbol, b.ts, coalesce(avg(d.sentiment_score), 0.0) AS sentiment_score,
 FROM bars b LEFT JOIN docs d ON d.symbol = b.symbol AND d.published_at < b.ts AND d.published_at >= b.ts - INTERVAL 30 DAYS
 GROUP BY 1, 2"""
 
+# All 27 registered columns.
+_RANK = """CASE WHEN {c} IS NOT NULL AND count({c}) OVER (PARTITION BY f.ts) >= 5 THEN
+  (rank() OVER (PARTITION BY f.ts, {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY f.ts, {c}) - 1) / 2.0::DOUBLE) / count({c}) OVER (PARTITION BY f.ts) END AS xs_rank_{c}"""
+CTES["full_feat"] = f"""
+SELECT f.*, DGS10, DFF, VIXCLS, DGS10 - DFF AS yield_curve,
+  CASE WHEN VIXCLS <= 15 THEN 0.0 WHEN VIXCLS >= 25 THEN 2.0 WHEN VIXCLS IS NOT NULL THEN 1.0 END::DOUBLE AS vix_regime,
+  CAST(DGS10 - DFF < 0 AS DOUBLE) AS curve_inverted, vol_21d / nullif(vol_63d, 0) AS vol_regime_ratio, CAST(ma200_ratio > 1 AS DOUBLE) AS trend_regime,
+  d.sentiment_score, d.doc_count, d.has_coverage, {', '.join(_RANK.format(c=c) for c in ('ret_21d', 'ret_252d', 'vol_21d'))}
+FROM px_feat f LEFT JOIN macro_wide m ON m.day = CAST(f.ts AS DATE) LEFT JOIN doc_feat d ON d.symbol = f.symbol AND d.ts = f.ts"""
+
 CTES["eras"] = """
 SELECT * FROM (VALUES ('qe_bull', DATE '1996-07-01', DATE '1998-06-30'), ('covid', DATE '1998-07-01', DATE '1999-12-31'),
                       ('rate_cycle', DATE '2000-01-01', DATE '2099-12-31')) t(name, lo, hi)"""

@@ -10,7 +10,7 @@ from tidemark.operators import replay as rep
 from tidemark.operators import reports as rpt
 from tidemark.operators import splits as spl
 from tidemark.operators import windows as win
-from tidemark.plans.desk_q import DRIFT, _PSI
+from tidemark.plans.desk_q import _PSI, CATALOG_SQL, DRIFT, catalog, monitored
 from tidemark.plans.evaluation_q import _COST, AXES_CTES, AXES_SQL, axes
 from tidemark.plans.oracle_ctes import gated
 from tidemark.plans.registry import query, r6
@@ -40,17 +40,11 @@ def _(t):
     return rpt.histogram(t.returns(), ["run"], "ret", 20).select("run", "bin", "n")
 
 
-@query("tab_09_catalog_summary", f"""WITH {_PSI}, bd AS (SELECT feature, day, rec, avg(x) AS m FROM sp GROUP BY 1, 2, 3),
-sh AS (SELECT feature, abs(avg(CASE WHEN rec THEN m END) - avg(CASE WHEN NOT rec THEN m END)) / stddev_samp(CASE WHEN NOT rec THEN m END) AS z FROM bd GROUP BY 1),
-st AS (SELECT feature, count(x) / count(*) AS coverage, CASE WHEN z >= 1 OR psi >= 0.25 THEN 'drifting' ELSE 'stable' END AS verdict FROM tl JOIN sh USING (feature) JOIN ps USING (feature) GROUP BY feature, z, psi),
-v AS (SELECT coalesce(verdict, 'unmeasured') AS verdict, coverage FROM (SELECT CASE p_size % 6 WHEN 0 THEN 'ret_5d' WHEN 1 THEN 'vol_21d' WHEN 2 THEN 'rsi_14' ELSE 'none' END AS feature FROM part) LEFT JOIN st USING (feature))
-SELECT count(*) AS n_features, count(CASE WHEN verdict = 'stable' THEN 1 END) AS n_stable, count(CASE WHEN verdict = 'drifting' THEN 1 END) AS n_drifting,
- 0::BIGINT AS n_stale, count(CASE WHEN verdict = 'unmeasured' THEN 1 END) AS n_unmeasured, {r6('avg(coverage)','mean_coverage')} FROM v""")
+@query("tab_09_catalog_summary", f"""WITH {_PSI}, v AS (SELECT coalesce(verdict, 'unmeasured') AS verdict, coverage FROM (SELECT {CATALOG_SQL} AS name FROM part) f LEFT JOIN fs ON fs.feature = f.name)
+SELECT count(*) AS n_features, {', '.join(f"count(CASE WHEN verdict = '{v}' THEN 1 END) AS n_{v}" for v in ('stable', 'drifting', 'stale', 'unmeasured'))}, {r6('avg(coverage)','mean_coverage')} FROM v""")
 def _(t):
-    k = F.col("p_size") % 6
-    cat = t.raw("part").select(F.when(k == 0, "ret_5d").when(k == 1, "vol_21d").when(k == 2, "rsi_14").otherwise("none").alias("name"))
-    stats = mon.feature_stats(feat.price_features(t.bars()), DRIFT).select("feature", "coverage", "verdict")
-    return rpt.catalog_summary(rpt.catalog_view(cat, stats)).withColumn("mean_coverage", F.round("mean_coverage", 6))
+    stats = mon.feature_stats(monitored(t), DRIFT).select("feature", "coverage", "verdict")
+    return rpt.catalog_summary(rpt.catalog_view(catalog(t), stats)).withColumn("mean_coverage", F.round("mean_coverage", 6))
 
 
 @query("met_16_condition_heat_map", f"""WITH {AXES_CTES}, la AS (SELECT * FROM ({AXES_SQL}) WHERE condition IS NOT NULL),
