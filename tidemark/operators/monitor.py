@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import age_days, deadline, shift_bdays_back
-from tidemark.operators.ranks import exact_quantiles
 from tidemark.sources.lake import materialized
 
 # Fixed values of the monitoring rules.
@@ -60,18 +59,23 @@ FINE = 1024
 HIST_BINS = 20
 
 
-def _tall(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(day, feature, x); x is NULL where a value is missing."""
-    pairs = ", ".join(f"'{c}', nullif(CAST(`{c}` AS DOUBLE), double('NaN'))" for c in columns)
-    return panel.select(F.to_date("ts").alias("day"), F.expr(f"stack({len(columns)}, {pairs}) AS (feature, x)"))
-
-
 def _value_bucket(x: Column) -> Column:
     """A whole number that never falls while x grows: sign and logarithm in small steps."""
     size = F.floor(F.log2(F.abs(x)) * FINE) + (1 << 21)
     return F.when(x == 0, 0).when(x > 0, size).otherwise(-size)
 
 
+def _tall(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(day, number, x): every value under the number of its column; x is NULL where it is missing."""
+    cells = ", ".join(f"{i}, nullif(CAST(`{c}` AS DOUBLE), double('NaN'))" for i, c in enumerate(columns))
+    return panel.select(F.to_date("ts").alias("day"), F.expr(f"stack({len(columns)}, {cells}) AS (number, x)"))
+
+
+def _picked(values: Sequence, kind: str) -> Column:
+    """The constant that belongs to a row's column."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("number"))
+
+
 def feature_days(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
     """Per feature and day: rows, values, their mean and spread, extremes; whether the day is recent.
 
@@ -79,82 +83,112 @@ def feature_days(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_
     and calendar day is left, so what follows about dates is a window over that.
     """
     x = F.col("x")
-    days = _tall(panel, columns).groupBy("feature", "day").agg(
+    days = _tall(panel, columns).groupBy("number", "day").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), F.avg(x).alias("mean"),
         (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("low"), F.max(x).alias("high"))
+    days = days.withColumn("feature", _picked(columns, "string")).drop("number")
     mine = Window.partitionBy("feature")
     place = F.row_number().over(mine.orderBy((F.col("n") > 0).desc(), F.col("day").desc()))
     return days.withColumns({"n_dates": F.count_if(F.col("n") > 0).over(mine), "last_valid": F.max(F.when(F.col("n") > 0, F.col("day"))).over(mine),
                              "is_recent": (F.col("n") > 0) & (place <= recent)})
 
 
-def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bins: int = PSI_BINS, hist: int = HIST_BINS) -> DataFrame:
-    """(feature, is_recent, bucket, bar, x, n): all values of all columns, counted.
+def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bins: int = PSI_BINS,
+                   hist: int = HIST_BINS) -> tuple[DataFrame, DataFrame]:
+    """All values of all columns, counted, and where the baseline's order statistics lie.
 
     First the earlier values are counted by value bucket. Then everything is counted again, and
     only in buckets that hold an order statistic of a baseline quantile are values kept apart;
     elsewhere the least value of a bucket stands for all of it. So the baseline's quantiles, the
     values between any two of them and the histogram follow exactly from counts that partial
-    aggregation has shrunk; no column is sorted. ``bar`` numbers the bar of a histogram of
-    ``hist`` bars of equal width.
+    aggregation has shrunk; no column is sorted.
+
+    Returns (feature, is_recent, bucket, bar, x, exact, n), ``bar`` being the bar of a histogram
+    of ``hist`` bars of equal width, and (feature, bucket, first, top) of those buckets: how many
+    baseline values lie below, and the place of the last one. Both are written.
     """
-    tall = _tall(panel, columns).where("x IS NOT NULL")
-    # One row per declared column.
-    ends = F.broadcast(days.groupBy("feature").agg(F.min(F.when(F.col("is_recent"), F.col("day"))).alias("_from"),
-                                                   F.min("low").alias("_low"), F.max("high").alias("_high")))
-    tall = tall.join(ends, "feature").withColumns({"is_recent": F.col("day") >= F.col("_from"), "bucket": _value_bucket(F.col("x"))})
-    base = tall.where("NOT is_recent").groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    mine = Window.partitionBy("feature")
+    spark = panel.sparkSession
+    # One row per declared column; its numbers become constants of the pass over the panel.
+    ends = {r.feature: r for r in days.groupBy("feature").agg(
+        F.min(F.when(F.col("is_recent"), F.col("day"))).alias("start"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+    live = [c for c in columns if c in ends and ends[c].low is not None]
+    shape = "feature string, is_recent boolean, bucket bigint, bar int, x double, exact boolean, n bigint"
+    if not live:
+        return spark.createDataFrame([], shape), spark.createDataFrame([], "feature string, bucket bigint, first bigint, top bigint")
+    x = F.col("x")
+    tall = _tall(panel, live).where("x IS NOT NULL").select(
+        "number", "x", (F.col("day") >= _picked([ends[c].start for c in live], "date")).alias("is_recent"), _value_bucket(x).alias("bucket"))
+    base = tall.where("NOT is_recent").groupBy("number", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    mine = Window.partitionBy("number")
     # Counted buckets: at most as many as there are steps of FINE in the exponents of doubles.
-    base = base.withColumns({"_last": F.sum("n").over(mine.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - 1,
-                             "_top": F.sum("n").over(mine) - 1})
-    first = F.col("_last") - F.col("n") + 1
+    base = base.withColumns({"last": F.sum("n").over(mine.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - 1,
+                             "top": F.sum("n").over(mine) - 1}).withColumn("first", F.col("last") - F.col("n") + 1)
     holds = F.lit(False)
     for i in range(bins + 1):
-        at = F.floor(F.lit(i / bins) * F.col("_top"))
-        holds = holds | ((at <= F.col("_last")) & (F.least(at + 1, F.col("_top")) >= first))
+        at = F.floor(F.lit(i / bins) * F.col("top"))
+        holds = holds | ((at <= F.col("last")) & (F.least(at + 1, F.col("top")) >= F.col("first")))
+    name = _picked(live, "string")
+    places = materialized(base.where(holds).select("number", name.alias("feature"), "bucket", "first", "top"))
     # At most two buckets per quantile and column.
-    exact = F.broadcast(base.where(holds).select("feature", "bucket", F.lit(True).alias("_exact")))
-    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    bar = F.when(width.isNull(), hist // 2).otherwise(F.least(F.floor((F.col("x") - F.col("_low")) / width * hist), F.lit(hist - 1)))
-    apart = tall.join(exact, ["feature", "bucket"], "left").withColumns({"bar": bar, "_own": F.when(F.col("_exact"), F.col("x"))})
-    return apart.groupBy("feature", "is_recent", "bucket", "bar", "_own").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).drop("_own")
-
-
-def psi(values: DataFrame, days: DataFrame, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON, min_per_bin: int = PSI_MIN_PER_BIN,
-        recent: int = RECENT_BARS) -> DataFrame:
+    exact = F.broadcast(places.select("number", "bucket", F.lit(True).alias("exact")))
+    low, width = _picked([ends[c].low for c in live], "double"), _picked([ends[c].high - ends[c].low for c in live], "double")
+    bar = F.when(width == 0, hist // 2).otherwise(F.least(F.floor((x - low) / F.nullif(width, F.lit(0.0)) * hist), F.lit(hist - 1))).cast("int")
+    apart = tall.join(exact, ["number", "bucket"], "left").withColumns({"bar": bar, "exact": F.coalesce("exact", F.lit(False))})
+    counted = apart.groupBy("number", "is_recent", "bucket", "bar", "exact", F.when(F.col("exact"), x).alias("_own")).agg(
+        F.min("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    return materialized(counted.select(name.alias("feature"), "is_recent", "bucket", "bar", "x", "exact", "n")), places.drop("number")
+
+
+def baseline_edges(values: DataFrame, places: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """(feature, edges): distinct interpolated quantiles of the baseline, from the buckets that hold them."""
+    kept = values.where("exact AND NOT is_recent").groupBy("feature", "bucket", "x").agg(F.sum("n").alias("n"))
+    # At most two buckets per quantile and column.
+    kept = kept.join(F.broadcast(places), ["feature", "bucket"])
+    line = Window.partitionBy("feature", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.withColumn("_last", F.col("first") + F.sum("n").over(line) - 1).withColumn("_first", F.col("_last") - F.col("n") + 1)
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i / bins).alias("q")) for i in range(bins + 1)])
+    hits = kept.withColumn("_s", F.explode(cuts))
+    at = F.col("_s.q") * F.col("top")
+    low, high = F.floor(at), F.least(F.floor(at) + 1, F.col("top"))
+    share = at - low
+    weight = (F.when(low.between(F.col("_first"), F.col("_last")), 1 - share).otherwise(0.0)
+              + F.when(high.between(F.col("_first"), F.col("_last")), share).otherwise(0.0))
+    per = hits.where(low.between(F.col("_first"), F.col("_last")) | high.between(F.col("_first"), F.col("_last"))).groupBy(
+        "feature", "_s.i").agg(F.sum(weight * F.col("x")).alias("e"))
+    return per.groupBy("feature").agg(F.array_sort(F.collect_set("e")).alias("edges"))
+
+
+def psi(values: DataFrame, places: DataFrame, days: DataFrame, bins: int = PSI_BINS, epsilon: float = PSI_EPSILON,
+        min_per_bin: int = PSI_MIN_PER_BIN, recent: int = RECENT_BARS) -> DataFrame:
     """Stability index per feature of recent against earlier values, NULL where undefined.
 
     Interpolated baseline quantiles are the bin edges, repeats removed; values are
     clipped, the last bin is closed.
     """
-    cuts = [i / bins for i in range(bins + 1)]
-    # Where a bucket's values are not kept apart, its least value orders like any of them.
-    edges = exact_quantiles(values.where("NOT is_recent"), ["feature"], "x", cuts, "edges", F.col("n")).withColumn(
-        "edges", F.array_sort(F.array_distinct("edges")))
-    stats = values.groupBy("feature").agg(
-        F.sum(F.when(F.col("is_recent"), F.col("n")).otherwise(0)).alias("n_recent"),
-        F.sum(F.when(F.col("is_recent"), 0).otherwise(F.col("n"))).alias("n_base")).join(
-        days.groupBy("feature").agg(F.max("n_dates").alias("n_dates")), "feature").join(edges, "feature", "left")
+    new, old = F.sum(F.when(F.col("is_recent"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("is_recent"), 0).otherwise(F.col("n")))
     # One row per feature: the declared columns.
-    j = values.join(F.broadcast(stats.where(F.size("edges") >= 2)), "feature")
+    j = values.join(F.broadcast(baseline_edges(values, places, bins).where(F.size("edges") >= 2)), "feature", "left")
+    # Where a bucket's values are not kept apart, no edge lies inside it: its least value falls like all of them.
     inner = F.slice("edges", 2, F.size("edges") - 2)
-    b = F.size(F.filter(inner, lambda e: e <= F.col("x")))
-    counts = j.groupBy("feature", b.alias("bin")).agg(F.sum(F.when(F.col("is_recent"), F.col("n")).otherwise(0)).alias("r"),
-                                                      F.sum(F.when(F.col("is_recent"), 0).otherwise(F.col("n"))).alias("b"))
-    pct = counts.withColumns({c: F.col(c) / F.sum(c).over(Window.partitionBy("feature")) for c in ("r", "b")})
+    bin_ = F.when(F.col("edges").isNotNull(), F.size(F.filter(inner, lambda e: e <= F.col("x"))))
+    counts = j.groupBy("feature", bin_.alias("bin")).agg(new.alias("r"), old.alias("b"))
+    mine = Window.partitionBy("feature")
+    pct = counts.withColumns({"n_recent": F.sum("r").over(mine), "n_base": F.sum("b").over(mine)})
+    rr, bb = F.col("r") / F.nullif("n_recent", F.lit(0)), F.col("b") / F.nullif("n_base", F.lit(0))
     # A bin empty on both sides adds (eps - eps) * ln(1) = 0, so leaving it out changes nothing.
-    rr, bb = (F.when(F.col(c) == 0, F.lit(epsilon)).otherwise(F.col(c)) for c in ("r", "b"))
-    summed = pct.groupBy("feature").agg(F.sum((rr - bb) * F.ln(rr / bb)).alias("_psi"))
+    rr, bb = (F.when(c == 0, F.lit(epsilon)).otherwise(c) for c in (rr, bb))
+    summed = pct.groupBy("feature").agg(F.sum(F.when(F.col("bin").isNotNull(), (rr - bb) * F.ln(rr / bb))).alias("_psi"),
+                                        F.max("n_recent").alias("n_recent"), F.max("n_base").alias("n_base"))
+    dates = F.broadcast(days.groupBy("feature").agg(F.max("n_dates").alias("n_dates")))
     enough = (F.col("n_recent") >= bins * min_per_bin) & (F.col("n_base") >= bins * min_per_bin) & (F.col("n_dates") > recent + 1)
-    return stats.join(summed, "feature", "left").select("feature", F.when(enough, F.col("_psi")).alias("psi"))
+    return summed.join(dates, "feature").select("feature", F.when(enough, F.col("_psi")).alias("psi"))
 
 
 def drift_psi(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
     """The stability index of the last ``recent`` dates of every column."""
     panel = materialized(panel.select("ts", *columns))
     days = materialized(feature_days(panel, columns, recent))
-    return psi(materialized(feature_values(panel, columns, days)), days, recent=recent)
+    return psi(*feature_values(panel, columns, days), days, recent=recent)
 
 
 def feature_stats(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS, stale_bars: int = STALE_BARS,
@@ -166,7 +200,7 @@ def feature_stats(panel: DataFrame, columns: Sequence[str], recent: int = RECENT
     """
     panel = materialized(panel.select("ts", *columns))
     days = materialized(feature_days(panel, columns, recent))
-    values = materialized(feature_values(panel, columns, days, hist=hist))
+    values, places = feature_values(panel, columns, days, hist=hist)
     n, m = F.sum("n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
     recent_mean, base_mean = F.when(F.col("is_recent"), F.col("mean")), F.when(~F.col("is_recent"), F.col("mean"))
     base = days.groupBy("feature").agg(
@@ -177,7 +211,7 @@ def feature_stats(panel: DataFrame, columns: Sequence[str], recent: int = RECENT
     around = days.join(F.broadcast(base.select("feature", F.col("mean").alias("_mean"))), "feature").groupBy("feature").agg(
         F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), 2)).alias("_around"))
     bars = values.groupBy("feature", "bar").agg(F.sum("n").alias("n")).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bar").cast("int").alias("k"), F.col("n").alias("v")))).alias("_bars"))
-    j = base.join(around, "feature").join(bars, "feature", "left").join(psi(values, days, recent=recent), "feature", "left")
+    j = base.join(around, "feature").join(bars, "feature", "left").join(psi(values, places, days, recent=recent), "feature", "left")
     std = F.when(F.col("n") > 1, F.sqrt(F.col("_around") / F.nullif(F.col("n") - 1, F.lit(0)))).when(F.col("n") == 1, 0.0)
     slots = F.transform(F.sequence(F.lit(0), F.lit(hist - 1)), lambda k: F.coalesce(F.try_element_at("_bars", k), F.lit(0).cast("bigint")))
     mean_drift = F.when(F.coalesce("base_std", F.lit(0.0)) == 0, F.col("shift") > 0).otherwise(F.col("shift") / F.nullif("base_std", F.lit(0.0)) >= drift_z)

@@ -84,10 +84,16 @@ def percent_rank_columns(df: DataFrame, columns: Sequence[str], day: str = "ts",
     pieces are written, so that their sizes are known when they are joined.
     """
     cuts = [i / PIECES for i in range(1, PIECES)]
-    sizes = df.groupBy(F.col(day).alias("_day")).agg(*[m for i, c in enumerate(columns) for m in (
-        F.count(c).alias(f"_n{i}"), F.percentile_approx(c, cuts, 10_000).alias(f"_q{i}"))])
+    sizes = df.groupBy(F.col(day).alias("_day")).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
     hot = materialized(sizes.where(F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in range(len(columns))]) > crowded))
-    out = df.join(hot, F.col(day).eqNullSafe(F.col("_day")), "left").drop("_day")
+    same, crowd = F.col(day).eqNullSafe(F.col("_day")), not hot.isEmpty()
+    if crowd:
+        hot = materialized(df.join(hot, same).groupBy(*hot.columns).agg(
+            *[F.percentile_approx(c, cuts, 10_000).alias(f"_q{i}") for i, c in enumerate(columns)]))
+        out = df.join(hot, same, "left").drop("_day")
+    else:
+        out = df.withColumns({f"_n{i}": F.lit(0) for i in range(len(columns))} | {
+            f"_q{i}": F.lit(None).cast("array<double>") for i in range(len(columns))})
     names = {}
     for i, c in enumerate(columns):
         edges = F.when(F.col(f"_n{i}") > crowded, F.array_distinct(f"_q{i}"))
@@ -95,7 +101,6 @@ def percent_rank_columns(df: DataFrame, columns: Sequence[str], day: str = "ts",
         piece = F.when(F.col(c).isNotNull(), 2 * F.size(F.filter(edges, lambda e: e < F.col(c))) + F.when(often > 1, 1).otherwise(0))
         names |= {f"_p{i}": F.when(edges.isNotNull(), piece), f"_m{i}": F.when(edges.isNotNull(), F.greatest(often, F.lit(1))).otherwise(1)}
     out = out.withColumns(names).drop(*[f"_q{i}" for i in range(len(columns))])
-    crowd = not hot.isEmpty()
     for i, c in enumerate(columns):
         p = f"_p{i}"
         if crowd:
@@ -108,7 +113,7 @@ def percent_rank_columns(df: DataFrame, columns: Sequence[str], day: str = "ts",
         spread = F.when(F.col(c).isNull(), PIECES).otherwise(F.col(f"_m{i}"))
         # Only rows that need no window of their whole day are dealt: ties of one piece, and NULLs of a cut day.
         out = out.withColumn("_copy", F.when(F.col(f"_n{i}") > crowded, F.pmod(F.xxhash64(key), spread)).otherwise(0))
-        group = Window.partitionBy(day, p, "_copy")
+        group = Window.partitionBy(day, p, "_copy") if crowd else Window.partitionBy(day)
         line = group.orderBy(F.col(c).asc_nulls_last())
         here, own = F.rank().over(line), F.count(c).over(line.rangeBetween(0, 0))
         alone = F.col(p) % 2 == 1
@@ -152,14 +157,13 @@ def spearman(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*by).agg(rho.alias("rho"), n.cast("bigint").alias("n"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, cuts: Sequence[float], out: str = "q",
-                    weight: Column | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, cuts: Sequence[float], out: str = "q") -> DataFrame:
     """Linearly interpolated quantiles per group as an array, in the order of ``cuts``.
 
     The order statistics are found among distinct values with their cumulative
-    counts, so no task holds a whole group. ``weight`` says how many values a row stands for.
+    counts, so no task holds a whole group.
     """
-    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(F.lit(1) if weight is None else weight).alias("_cnt"))
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_cnt"))
     pre = prefix_by_value(values, by, x, ["_cnt"])
     first, last, top = F.col("_cnt_before"), F.col("_cnt_before") + F.col("_cnt") - 1, F.col("_cnt_total") - 1
     slots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(cuts)])

@@ -55,28 +55,36 @@ def attach_macro(bars: DataFrame, obs: DataFrame, series: Sequence[str], start:
 CROWDED, PIECES = 200_000, 64
 
 
-def time_buckets(line: DataFrame, by: Sequence[str], bucket_seconds: int = 86_400, crowded: int = CROWDED) -> DataFrame:
+#: Width of a time bucket, in seconds: 32 days. Dense stretches are cut by their rows, so it need not be small.
+BUCKET = 32 * 86_400
+
+
+def time_buckets(line: DataFrame, by: Sequence[str], bucket_seconds: int = BUCKET, crowded: int = CROWDED) -> DataFrame:
     """Adds ``_b`` and ``_sub``, which order like ``_ts`` within a key, and ``_copies``.
 
-    A bucket is a stretch of time, by default a day. A bucket of a key with more than ``crowded``
-    rows is cut at quantiles of its own rows, so pieces hold about equally many. An instant that
-    holds several pieces' worth of rows cannot be cut by time: ``_copies`` says how many pieces,
-    over which rows that don't depend on each other may be dealt. The list of crowded buckets,
-    at most rows / ``crowded``, is written, so that its size is known when it is joined.
+    A bucket is a stretch of time. A bucket of a key with more than ``crowded`` rows is cut at
+    quantiles of its own rows, so pieces hold about equally many. An instant that holds several
+    pieces' worth of rows cannot be cut by time: ``_copies`` says how many pieces, over which
+    rows that don't depend on each other may be dealt. The list of crowded buckets, at most
+    rows / ``crowded``, is written, so that its size is known when it is joined.
     """
     by = list(by)
     at = F.unix_micros("_ts")
     line = line.withColumn("_b", F.floor(F.unix_seconds("_ts") / bucket_seconds))
+    keys = [*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb")]
+    same = F.col("_b") == F.col("_kb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    sizes = line.where("_ts IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
+    hot = materialized(sizes)
+    if hot.isEmpty():
+        return line.withColumns({"_sub": F.lit(0), "_copies": F.lit(1)})
     cuts = [i / PIECES for i in range(1, PIECES)]
-    sizes = line.where("_ts IS NOT NULL").groupBy(*by, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(at, cuts, 10_000).alias("_cuts")).where(F.col("_n") > crowded)
+    quantiles = line.join(hot, same).groupBy(*[c for c in hot.columns]).agg(F.percentile_approx(at, cuts, 10_000).alias("_cuts"))
     # Only as many pieces as are needed: every k-th quantile.
     step = F.greatest(F.lit(1), F.floor(F.lit(PIECES) * crowded / F.col("_n"))).cast("int")
     taken = F.transform(F.sequence(step, F.lit(PIECES - 1), step), lambda i: F.element_at("_cuts", i))
-    hot = materialized(sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb"), taken.alias("_cuts")))
-    same = F.col("_b") == F.col("_kb")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    hot = materialized(quantiles.withColumn("_cuts", taken).drop("_n"))
     joined = line.join(hot, same, "left").drop(*[f"_k{i}" for i in range(len(by))], "_kb")
     distinct = F.array_distinct("_cuts")
     sub = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter(distinct, lambda c: c < at)))
@@ -88,7 +96,7 @@ def time_buckets(line: DataFrame, by: Sequence[str], bucket_seconds: int = 86_40
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
               values: Sequence[str], direction: str = "backward", allow_exact: bool = True,
-              bucket_seconds: int = 86_400, crowded: int = CROWDED) -> DataFrame:
+              bucket_seconds: int = BUCKET, crowded: int = CROWDED) -> DataFrame:
     """General as-of join: for each left row the nearest right row in time.
 
     Both sides are cut into (key, time bucket), crowded buckets further (``time_buckets``).
@@ -158,7 +166,7 @@ def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30,
         F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_k"))
     ends = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.lit(0).alias("days")),
                              F.struct(F.lit(-1).alias("sign"), F.lit(lookback_days).alias("days"))))
-    points = bars.where("ts IS NOT NULL").select("symbol", F.col("ts").alias("_bar")).distinct().withColumn("_e", ends)
+    points = bars.where("ts IS NOT NULL").select("symbol", F.col("ts").alias("_bar")).withColumn("_e", ends)
     points = points.select("symbol", (F.col("_bar").cast("timestamp") - F.make_dt_interval(days=F.col("_e.days"))).alias("_ts"), "_bar", "_e.sign")
     line = time_buckets(said.unionByName(points, allowMissingColumns=True), ["symbol"], crowded=crowded).drop("_copies")
 
@@ -170,8 +178,9 @@ def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30,
     # The carried sums have no time and come first; of one instant, bars come before documents.
     inside = Window.partitionBy(*piece).orderBy(F.col("_ts").isNotNull(), "_ts", F.col("_bar").isNull()).rowsBetween(Window.unboundedPreceding, -1)
     sums = whole.withColumns({"_s": F.sum("_s").over(inside), "_k": F.sum("_k").over(inside)}).where("_bar IS NOT NULL")
+    at = lambda x, sign: F.coalesce(F.max(F.when(F.col("sign") == sign, F.col(x))), F.lit(0))  # noqa: E731  repeated bars count once
     seen = sums.groupBy("symbol", F.col("_bar").alias("ts")).agg(
-        F.sum(F.col("sign") * F.coalesce("_s", F.lit(0.0))).alias("_total"), F.sum(F.col("sign") * F.coalesce("_k", F.lit(0))).alias("doc_count"))
+        (at("_s", 1) - at("_s", -1)).alias("_total"), (at("_k", 1) - at("_k", -1)).alias("doc_count"))
     return seen.select("symbol", "ts", F.when(F.col("doc_count") > 0, F.col("_total") / F.nullif("doc_count", F.lit(0))).otherwise(0.0).alias("sentiment_score"),
                        "doc_count", (F.col("doc_count") > 0).alias("has_coverage"))
 
