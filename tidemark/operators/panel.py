@@ -2,17 +2,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as met
 from tidemark.operators import replay as rep
-from tidemark.operators.models import add_grams, gram
+from tidemark.operators.models import add_grams, gram, linear_score, solve
 from tidemark.operators.splits import WalkForward, assign_folds
 from tidemark.operators.stats import uniform
+from tidemark.sources.lake import materialized
 
 Forecaster = Callable[[DataFrame, WalkForward], DataFrame]
 
@@ -133,33 +135,81 @@ def leave_one_out_attribution(metrics: DataFrame, by: Sequence[str] = ()) -> Dat
 def permuted_predictions(pred: DataFrame, columns: Sequence[str], features: Sequence[str], repeats: int, seed: int = 0) -> DataFrame:
     """Linear predictions with one column shuffled inside each (fold, symbol) test window.
 
-    A window's values are ordered by a hash of (seed, feature, repeat, symbol, ts) and
-    laid over the rows in time order: no refit and no join.
+    Every value gets two places in its window: one in time, one by a hash of (seed, feature,
+    repeat, symbol, ts). One equi-join on (window, place) lays the values over the rows; no row
+    carries its window, and nothing is refitted.
     """
     slots = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(columns.index(f) + 1).alias("j"), F.col(f).cast("double").alias("x"))
                       for f in features])
     rows = pred.withColumn("_s", F.explode(slots)).select("*", "_s.feature", "_s.j", "_s.x").drop("_s")
     rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     keys = ["feature", "repeat", "fold", "symbol"]
+    window = Window.partitionBy(*keys)
     order = uniform(F.lit(seed), F.col("feature"), F.col("repeat"), F.col("symbol"), F.unix_seconds("ts"))
-    shuffled = F.collect_list("x").over(Window.partitionBy(*keys).orderBy(order, "ts").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("ts"))
-    moved = rows.withColumn("_x", shuffled).withColumn("_i", place)
-    delta = F.element_at("_x", F.col("_i")) - F.col("x")
+    placed = rows.withColumn("_i", F.row_number().over(window.orderBy("ts")))
+    drawn = rows.select(*keys, F.col("x").alias("_x"), F.row_number().over(window.orderBy(order, "ts")).alias("_i"))
+    moved = placed.join(drawn, [*keys, "_i"])
+    delta = F.col("_x") - F.col("x")
     return moved.withColumn("y_pred", F.col("y_pred") + F.element_at("beta", F.col("j") + 1) * delta).drop("_x", "_i", "j", "x")
 
 
-def permutation_importance(pred: DataFrame, columns: Sequence[str], features: Sequence[str], repeats: int = 10, seed: int = 0) -> DataFrame:
-    """Mean and standard error over repeats of the Sharpe lost by shuffling a feature."""
-    base = met.return_metrics(portfolio_returns(pred, []), ["fold"]).select("fold", F.col("sharpe").alias("_base"))
-    shuffled = permuted_predictions(pred, columns, features, repeats, seed)
-    per_fold = met.return_metrics(portfolio_returns(shuffled, ["feature", "repeat"]), ["feature", "repeat", "fold"])
+def sign_returns(pred: DataFrame, by: Sequence[str] = ("run",), earned: str = "y_true") -> DataFrame:
+    """Mean over symbols, per bar, of what the sign of each forecast earns; no costs, no shares."""
+    return pred.groupBy(*by, "fold", "ts").agg(F.avg(F.coalesce(F.signum("y_pred"), F.lit(0.0)) * F.col(earned)).alias("ret"))
+
+
+def permutation_importance(pred: DataFrame, columns: Sequence[str], features: Sequence[str], repeats: int = 10, seed: int = 0,
+                           returns: Callable[[DataFrame, Sequence[str]], DataFrame] = portfolio_returns) -> DataFrame:
+    """Mean and standard error over repeats of the Sharpe lost by shuffling a feature.
+
+    ``returns`` turns predictions into a return per bar: a replay with costs, or ``sign_returns``.
+    """
+    sharpes = lambda df, by: returns(df, by).groupBy(*by, "fold").agg(met.sharpe("ret").alias("sharpe"))
+    base = sharpes(pred, []).select("fold", F.col("sharpe").alias("_base"))
+    per_fold = sharpes(permuted_predictions(pred, columns, features, repeats, seed), ["feature", "repeat"])
     loss = per_fold.join(base, "fold").groupBy("feature", "repeat").agg(F.avg(F.col("_base") - F.col("sharpe")).alias("loss"))
     return loss.groupBy("feature").agg(F.avg("loss").alias("importance"),
                                        (F.stddev_samp("loss") / F.sqrt(F.count("loss"))).alias("std_error"))
 
 
+# --- label schemes --------------------------------------------------------------------------
+@dataclass(frozen=True)
+class LabelScheme:
+    """A label as a callable that builds its column, and the bars it looks ahead."""
+
+    label: Callable[[], Column]
+    horizon: int
+
+
+def label_ablation(features: DataFrame, schemes: Mapping[str, LabelScheme], columns: Sequence[str], wf: WalkForward,
+                   earned: str = "earned", alpha: float = 1.0) -> DataFrame:
+    """(run, fold, symbol, ts, y_true, y_pred, earned): one ridge model per label scheme.
+
+    All labels stand beside the features, so features are computed once and all schemes' cross
+    products are one pass. Each scheme has its own complete rows, calendar and purge: its
+    horizon comes with the label. ``earned`` is what a forecast of the bar is judged by.
+    """
+    keep = ["symbol", "ts", earned, *columns]
+    wide = features.withColumns({f"_y{i}": s.label() for i, s in enumerate(schemes.values())})
+    cells = ", ".join(f"'{name}', CAST(_y{i} AS DOUBLE)" for i, name in enumerate(schemes))
+    tall = wide.select(*keep, F.expr(f"stack({len(schemes)}, {cells}) AS (run, y)")).dropna(subset=["y", *columns])
+    # One calendar per scheme: as many rows as there are dates.
+    days = tall.select("run", "ts").distinct()
+    per_run = Window.partitionBy("run")
+    days = days.withColumns({"pos": (F.row_number().over(per_run.orderBy("ts")) - 1).cast("bigint"), "n_days": F.count(F.lit(1)).over(per_run)})
+    rows = materialized(tall.join(days, ["run", "ts"]))
+    daily = gram(rows, ["run", "pos", "n_days"], columns, "y")
+    width = (len(columns) + 2) * (len(columns) + 3) // 2
+    folds = None
+    for name, scheme in schemes.items():
+        part = assign_folds(daily.where(F.col("run") == name), replace(wf, horizon=scheme.horizon), ("train",))
+        folds = part if folds is None else folds.unionByName(part)
+    fits = solve(add_grams(folds, ["run", "fold"], width), ["run", "fold"], columns, alpha)
+    # Schemes times calendar / step rows.
+    test = assign_folds(rows, wf, ("test",)).join(F.broadcast(fits.select("run", "fold", "beta")), ["run", "fold"])
+    return test.select("run", "fold", "symbol", "ts", F.col("y").alias("y_true"), linear_score(columns).alias("y_pred"), earned)
+
+
 # --- A/B of feature builds ------------------------------------------------------------------
 def build_ab(a: DataFrame, b: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """Per column: share of changed cells and of sign flips between two builds."""
@@ -174,6 +224,36 @@ def build_ab(a: DataFrame, b: DataFrame, columns: Sequence[str], keys: Sequence[
                                     F.avg(flip.cast("double")).alias("sign_flip_share"))
 
 
+def shift_match(a: DataFrame, b: DataFrame, columns: Sequence[str], key: Sequence[str] = (), order: str = "ts", most: int = 5) -> DataFrame:
+    """Per column the lag k at which build ``a`` most often equals the other's value k rows before.
+
+    (feature, best_lag, match_share, same_share): a build that is the other one shifted shows a
+    lag over 0. One window pass counts equal values at every lag from 0 to ``most``; rows without
+    a value on either side, or too early for the longest lag, are left out. Of equally good lags
+    the smallest.
+    """
+    cells = ", ".join(f"'{c}', a.`{c}`, b.`{c}`" for c in columns)
+    on = [*key, order]
+    j = a.select(*on, *columns).alias("a").join(b.select(*on, *columns).alias("b"), on).select(
+        *on, F.expr(f"stack({len(columns)}, {cells}) AS (feature, _a, _b)"))
+    line = Window.partitionBy("feature", *key).orderBy(order)
+    seen = j.withColumns({f"_l{k}": F.lag("_b", k).over(line) for k in range(most + 1)})
+    whole = seen.where(" AND ".join(["_a IS NOT NULL", *[f"_l{k} IS NOT NULL" for k in range(most + 1)]]))
+    shares = whole.groupBy("feature").agg(*[F.avg((F.col("_a") == F.col(f"_l{k}")).cast("double")).alias(f"_s{k}") for k in range(most + 1)])
+    best = F.greatest(*[F.col(f"_s{k}") for k in range(most + 1)])
+    lag = F.coalesce(*[F.when(F.col(f"_s{k}") == best, F.lit(k)) for k in range(most + 1)])
+    return shares.select("feature", lag.alias("best_lag"), best.alias("match_share"), F.col("_s0").alias("same_share"))
+
+
+def regime_delta(a: DataFrame, b: DataFrame, regime: str = "regime", ret: str = "ret") -> DataFrame:
+    """Sharpe of the returns under either build, and their difference, per regime and over all."""
+    both = a.select("ts", regime, ret, F.lit("a").alias("_build")).unionByName(b.select("ts", regime, ret, F.lit("b").alias("_build")))
+    both = both.withColumn(regime, F.explode(F.array(F.col(regime), F.lit("aggregate"))))
+    side = lambda name: met.sharpe(F.when(F.col("_build") == name, F.col(ret)))
+    out = both.groupBy(regime).agg(side("a").alias("sharpe_a"), side("b").alias("sharpe_b"))
+    return out.withColumn("delta", F.col("sharpe_a") - F.col("sharpe_b"))
+
+
 def best_baseline(scores: DataFrame, by: Sequence[str], name: str = "run", value: str = "score") -> DataFrame:
     return scores.groupBy(*by).agg(F.max_by(name, value).alias("best"), F.max(value).alias(value))
 

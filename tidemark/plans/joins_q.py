@@ -133,8 +133,7 @@ def _(t):
 
 
 @query("jon_13_align_second_predictions", f"""
-SELECT f.symbol, f.ts, {r6('f.ret_5d','pred_a')}, {r6('g.ret_21d','pred_b')} FROM px_feat f
-LEFT JOIN (SELECT * FROM px_feat WHERE ret_21d > 0) g USING (symbol, ts) WHERE f.ret_5d IS NOT NULL""")
+SELECT symbol, ts, {r6('ret_5d','pred_a')}, {r6('CASE WHEN ret_21d > 0 THEN ret_21d END','pred_b')} FROM px_feat WHERE ret_5d IS NOT NULL""")
 def _(t):
     f = feat.price_features(t.bars())
     base = f.where("ret_5d IS NOT NULL").select("symbol", "ts", F.col("ret_5d").alias("pred_a"))

@@ -242,10 +242,9 @@ def _(t):
     return t.raw("pages").select("page_id", text.is_commit_id(v).alias("is_commit"))
 
 
-@query("str_09_source_labels", "SELECT doc_id, 'rss_' || lower(source) AS source_label, lang FROM documents WHERE source LIKE 'src1%'")
+@query("str_09_source_labels", "SELECT doc_id, 'rss_' || lower(source) AS source_label, lang FROM documents")
 def _(t):
-    d = t.raw("documents").where(F.col("source").startswith("src1"))
-    return d.select("doc_id", text.rss_source(F.col("source")).alias("source_label"), "lang")
+    return t.raw("documents").select("doc_id", text.rss_source(F.col("source")).alias("source_label"), "lang")
 
 
 @query("prj_03_blank_text_dropped", "SELECT doc_id FROM documents WHERE length(trim(text)) > 0")

@@ -254,67 +254,155 @@ def _(t):
 _LOO = pan.leave_one_out_sets(["ret_5d", "vol_21d", "rsi_14"])
 
 
-@query("abl_07_leave_one_out")
-def _(t):
-    p = pan.ridge_set_predictions(panel(t, "ret_5d", "vol_21d", "rsi_14"), WF, _LOO)
-    return pan.leave_one_out_attribution(pan.evaluate(p)).select("feature", r("importance", "importance"), "rank")
-
-
-@query("abl_08_permutation_importance")
+def ridge3_sql(src: str, keys: str, x: tuple[str, str, str], alpha: float = 1.0) -> str:
+    """Ridge with three columns by Cramer's rule, from centred sums."""
+    sums = ", ".join([f"regr_sxx(y, {c}) + {alpha} AS s{i}{i}" for i, c in enumerate(x)]
+                     + [f"regr_sxy({x[j]}, {x[i]}) AS s{i}{j}" for i in range(3) for j in range(i + 1, 3)]
+                     + [f"regr_sxy(y, {c}) AS r{i}" for i, c in enumerate(x)] + [f"avg({c}) AS m{i}" for i, c in enumerate(x)])
+    cell = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+
+    def det(put: int | None) -> str:
+        m = [[f"r{i}" if j == put else cell(i, j) for j in range(3)] for i in range(3)]
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+
+    betas = ", ".join(f"{det(i)} / {det(None)} AS b{i + 1}" for i in range(3))
+    return f"""SELECT {keys}, my - b1 * m0 - b2 * m1 - b3 * m2 AS b0, b1, b2, b3 FROM (
+  SELECT *, {betas} FROM (SELECT {keys}, avg(y) AS my, {sums} FROM {src} GROUP BY {keys}))"""
+
+
+_SIGNED = "SELECT run, fold, ts, avg(coalesce(sign(y_pred), 0) * y) AS ret FROM preds GROUP BY 1, 2, 3"
+_C3 = ("ret_5d", "vol_21d", "rsi_14")
+_PAIRS = [(a, b) for a, b in ((0, 1), (0, 2), (1, 2))]
+
+
+@query("abl_07_leave_one_out", f"""
+WITH {fold_ctes(panel_sql(*_C3))}, tr2 AS MATERIALIZED (SELECT * FROM fr WHERE role = 'train'), te2 AS MATERIALIZED (SELECT * FROM fr WHERE role = 'test'),
+r3 AS ({ridge3_sql('tr2', 'fold', _C3)}), {', '.join(f"r{a}{b} AS ({ridge_sql('tr2', 'fold', _C3[a], _C3[b])})" for a, b in _PAIRS)},
+preds AS (SELECT 'all' AS run, fold, ts, y, b0 + b1 * {_C3[0]} + b2 * {_C3[1]} + b3 * {_C3[2]} AS y_pred FROM te2 JOIN r3 USING (fold)
+  {' '.join(f"UNION ALL SELECT '{_C3[3 - a - b]}', fold, ts, y, b0 + b1 * {_C3[a]} + b2 * {_C3[b]} FROM te2 JOIN r{a}{b} USING (fold)" for a, b in _PAIRS)}),
+port AS ({_SIGNED}), s AS (SELECT run, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END AS s FROM port GROUP BY 1),
+i AS (SELECT a.run AS feature, z.s - a.s AS importance FROM s a, s z WHERE z.run = 'all' AND a.run <> 'all')
+SELECT feature, {r6('importance','importance')}, rank() OVER (ORDER BY importance DESC) + (count(*) OVER (PARTITION BY importance) - 1) / 2.0::DOUBLE AS rank FROM i""")
+def _(t):
+    p = pan.ridge_set_predictions(panel(t, *_C3), WF, _LOO)
+    sharpes = pan.sign_returns(p).groupBy("run").agg(met.sharpe("ret").alias("sharpe"))
+    return pan.leave_one_out_attribution(sharpes).select("feature", r("importance", "importance"), "rank")
+
+
+def _placed(columns: tuple[str, ...], repeats: int) -> str:
+    """Test rows under every feature and repeat with the shuffled value: both places, one equi-join."""
+    return f"""{fold_ctes(panel_sql('ret_5d', 'rsi_14'))}, te2 AS MATERIALIZED (SELECT * FROM fr WHERE role = 'test'),
+x AS (SELECT feature, rep, fold, symbol, ts, CASE feature WHEN 'ret_5d' THEN ret_5d ELSE rsi_14 END AS x FROM te2, unnest({list(columns)}) f(feature), generate_series(1, {repeats}) t(rep)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY feature, rep, fold, symbol ORDER BY ts) AS i, row_number() OVER (PARTITION BY feature, rep, fold, symbol ORDER BY
+ substr(md5('0|' || feature || '|' || rep || '|' || symbol || '|' || CAST(epoch(ts) AS BIGINT)), 1, 12), ts) AS j FROM x),
+sh AS (SELECT a.feature, a.rep, a.fold, a.symbol, a.ts, a.x, b.x AS shuffled FROM o a JOIN o b ON a.feature = b.feature AND a.rep = b.rep AND a.fold = b.fold AND a.symbol = b.symbol AND a.i = b.j)"""
+
+
+@query("abl_08_permutation_importance", f"""
+WITH {_placed(('ret_5d', 'rsi_14'), 10)}, tr2 AS MATERIALIZED (SELECT * FROM fr WHERE role = 'train'), ri AS ({ridge_sql('tr2', 'fold', 'ret_5d', 'rsi_14')}),
+base AS MATERIALIZED (SELECT fold, symbol, ts, y, b0 + b1 * ret_5d + b2 * rsi_14 AS p, b1, b2 FROM te2 JOIN ri USING (fold)),
+bs AS (SELECT fold, {{s}} AS s FROM (SELECT fold, ts, avg(coalesce(sign(p), 0) * y) AS ret FROM base GROUP BY 1, 2) GROUP BY 1),
+ps AS (SELECT feature, rep, fold, {{s}} AS s FROM (SELECT feature, rep, fold, ts, avg(coalesce(sign(p + CASE feature WHEN 'ret_5d' THEN b1 ELSE b2 END * (shuffled - x)), 0) * y) AS ret
+  FROM sh JOIN base USING (fold, symbol, ts) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+lo AS (SELECT feature, rep, avg(bs.s - ps.s) AS loss FROM ps JOIN bs USING (fold) GROUP BY 1, 2)
+SELECT feature, {r6('avg(loss)','importance')}, {r6('stddev_samp(loss) / sqrt(count(loss))','std_error')} FROM lo GROUP BY 1""".replace(
+    "{s}", "CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END"))
 def _(t):
     cols = ["ret_5d", "rsi_14"]
-    p = pan.ridge_set_predictions(panel(t, *cols), LONG, {"all": cols})
-    out = pan.permutation_importance(p, cols, cols, repeats=2)
+    p = materialized(pan.ridge_set_predictions(panel(t, *cols), WF, {"all": cols}))
+    out = pan.permutation_importance(p, cols, cols, returns=pan.sign_returns)
     return out.select("feature", r("importance", "importance"), r("std_error", "std_error"))
 
 
-_PERM = f"""{fold_ctes(panel_sql('ret_5d', 'vol_21d'))}, x AS (SELECT fold, symbol, ts, ret_5d AS x, rep FROM fr, generate_series(1, 2) t(rep) WHERE role = 'test'),
-o AS (SELECT *, row_number() OVER (PARTITION BY rep, fold, symbol ORDER BY ts) AS i, row_number() OVER (PARTITION BY rep, fold, symbol ORDER BY
- CAST('0x' || substr(md5('0|ret_5d|' || rep || '|' || symbol || '|' || CAST(epoch(ts) AS BIGINT)), 1, 12) AS BIGINT), ts) AS j FROM x)
-SELECT a.fold, a.symbol, a.ts, CAST(a.rep AS INTEGER) AS "repeat", (round(b.x, 6) + 0.0) AS shuffled FROM o a JOIN o b ON a.fold = b.fold AND a.symbol = b.symbol AND a.rep = b.rep AND a.i = b.j"""
-
-
-@query("abl_08_shuffled_column", f"WITH {_PERM}")
+@query("abl_08_shuffled_column", f"""WITH {_placed(('ret_5d',), 2)} SELECT fold, symbol, ts, CAST(rep AS INTEGER) AS "repeat", {r6('shuffled','shuffled')} FROM sh""")
 def _(t):
-    cols = ["ret_5d", "vol_21d"]
+    cols = ["ret_5d", "rsi_14"]
     # A unit coefficient and a zero prediction make the shuffled value itself visible.
     rows = spl.assign_folds(panel(t, *cols), WF, ("test",)).withColumns({"beta": F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)), "y_pred": F.col("ret_5d")})
     out = pan.permuted_predictions(rows, cols, ["ret_5d"], 2)
     return out.select("fold", "symbol", "ts", "repeat", r("y_pred", "shuffled"))
 
 
+#: Label schemes as callables, each with the bars it looks ahead.
+SCHEMES = {"next_bar": pan.LabelScheme(lambda: lab.forward_return(1), 1), "five_bars": pan.LabelScheme(lambda: lab.forward_return(5), 5),
+           "scaled": pan.LabelScheme(lambda: lab.forward_return(5) / F.col("vol_21d"), 5), "direction": pan.LabelScheme(lambda: F.signum(lab.forward_return(1)), 1)}
+
+
+def _scheme_sql(name: str, y: str, gap: int) -> str:
+    src = f"SELECT symbol, ts, earned, ret_5d, rsi_14, {y} AS y FROM l WHERE ret_5d IS NOT NULL AND rsi_14 IS NOT NULL AND {y} IS NOT NULL"
+    return f"""(WITH {fold_ctes(src, gap=gap)}, tr2 AS (SELECT * FROM fr WHERE role = 'train'), ri AS ({ridge_sql('tr2', 'fold', 'ret_5d', 'rsi_14')})
+SELECT '{name}' AS run, fold, ts, y AS y_true, earned AS y, b0 + b1 * ret_5d + b2 * rsi_14 AS y_pred FROM fr JOIN ri USING (fold) WHERE role = 'test')"""
+
+
 @query("abl_05_label_ablation", f"""
-WITH l AS (SELECT f.symbol, f.ts, b.open, b.volume, mom_21d, lead(b."close", 1) OVER w / b."close" - 1 AS y1, lead(b."close", 5) OVER w / b."close" - 1 AS y5
+WITH l AS MATERIALIZED (SELECT f.symbol, f.ts, ret_5d, rsi_14, vol_21d, lead(b."close", 1) OVER w / b."close" - 1 AS earned, lead(b."close", 5) OVER w / b."close" - 1 AS y5
   FROM px_feat f JOIN bars b USING (symbol, ts) WINDOW w AS (PARTITION BY f.symbol ORDER BY f.ts)),
-a AS (WITH {fold_ctes('SELECT symbol, ts, y1 AS y FROM l WHERE mom_21d IS NOT NULL AND y1 IS NOT NULL', gap=4)} SELECT 'h1' AS run, fold, avg(y) AS mean_y, count(*) AS n_train FROM fr WHERE role = 'train' GROUP BY 2),
-b AS (WITH {fold_ctes('SELECT symbol, ts, y5 AS y FROM l WHERE mom_21d IS NOT NULL AND y5 IS NOT NULL', gap=8)} SELECT 'h5' AS run, fold, avg(y) AS mean_y, count(*) AS n_train FROM fr WHERE role = 'train' GROUP BY 2)
-SELECT run, fold, {r6('mean_y','mean_y',8)}, n_train FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
-def _(t):
-    f = feat.price_features(t.bars()).withColumns({"y1": lab.forward_return(1), "y5": lab.forward_return(5)})
-    out = None
-    for name, y, h in (("h1", "y1", 1), ("h5", "y5", 5)):
-        wf = spl.WalkForward(horizon=h)  # the horizon comes with the label
-        rows = spl.with_positions(f.select("symbol", "ts", "mom_21d", F.col(y).alias("y")).dropna())
-        part = spl.assign_folds(rows, wf, ("train",)).groupBy("fold").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n_train")).select(
-            F.lit(name).alias("run"), "fold", r("m", "mean_y", 8), "n_train")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("abl_12_feature_build_ab", f"""
-WITH u AS (SELECT day, last_value(v IGNORE NULLS) OVER (ORDER BY day) AS v FROM calendar_days LEFT JOIN (SELECT CAST("timestamp" AS DATE) AS day, max(value) AS v FROM macro WHERE series_id = 'DGS10' GROUP BY 1) USING (day)),
-j AS (SELECT m.DGS10 - 12 AS a, u.v - 12 AS b FROM bars JOIN macro_wide m ON m.day = CAST(ts AS DATE) JOIN u ON u.day = m.day)
-SELECT 'DGS10' AS feature, count(*) AS n_cells, {r6('avg(CAST(a IS DISTINCT FROM b AS DOUBLE))','changed_share')}, {r6('avg(CASE WHEN sign(a) <> sign(b) THEN 1.0 ELSE 0.0 END)','sign_flip_share')} FROM j""")
+preds AS ({' UNION ALL '.join(_scheme_sql(*x) for x in (('next_bar', 'earned', 4), ('five_bars', 'y5', 8), ('scaled', 'y5 / vol_21d', 8), ('direction', 'sign(earned)', 4)))}),
+er AS (SELECT run, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, avg(CAST(sign(y_true) = sign(y_pred) AS DOUBLE)) AS hit_rate, count(*) AS n_predictions FROM preds GROUP BY 1),
+port AS (SELECT * FROM ({_SIGNED}))
+SELECT run, n_bars, total_return, sharpe, max_drawdown, {r6('rmse','rmse')}, {r6('hit_rate','hit_rate')}, n_predictions FROM ({metrics_sql('port', 'run')}) JOIN er USING (run)""")
 def _(t):
+    f = materialized(feat.price_features(t.bars()).withColumn("earned", lab.forward_return(1)))
+    pred = materialized(pan.label_ablation(f, SCHEMES, ["ret_5d", "rsi_14"], WF))
+    m = met.return_metrics(pan.sign_returns(pred, earned="earned"), ["run"])
+    off = F.col("y_true") - F.col("y_pred")
+    errors = pred.groupBy("run").agg(F.sqrt(F.avg(off * off)).alias("rmse"), F.avg((F.signum("y_true") == F.signum("y_pred")).cast("double")).alias("hit_rate"),
+                                     F.count(F.lit(1)).alias("n_predictions"))
+    return m.join(errors, "run").select("run", "n_bars", r("total_return", "total_return", 4), *[r(c, c) for c in ("sharpe", "max_drawdown", "rmse", "hit_rate")], "n_predictions")
+
+
+MACROS = list(feat.MACRO_SERIES)
+_UNLAGGED = f"""un AS (SELECT day, {', '.join(f'last_value({c} IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}' for c in MACROS)}
+ FROM calendar_days LEFT JOIN (SELECT greatest(CAST("timestamp" AS DATE), DATE '1995-01-01') AS day, {', '.join(f"arg_max(value, \"timestamp\") FILTER (series_id = '{c}') AS {c}" for c in MACROS)} FROM macro GROUP BY 1) USING (day)),
+dy AS (SELECT DISTINCT ts, CAST(ts AS DATE) AS day FROM bars),
+ab AS MATERIALIZED (SELECT symbol, ts, {', '.join(f'm.{c} - 12 AS a_{c}, un.{c} - 12 AS b_{c}' for c in MACROS)} FROM bars JOIN macro_wide m ON m.day = CAST(ts AS DATE) JOIN un ON un.day = m.day)"""
+
+
+def macro_builds(t, rows):
+    """Macro columns around 12 with and without publication lags."""
     from tidemark.operators.timejoin import attach_macro
 
-    bars, m = t.bars().select("symbol", "ts"), t.macro()
-    a = attach_macro(bars, m, ["DGS10"], "1995-01-01", "2001-12-31", feat.PUBLICATION_LAGS).withColumn("DGS10", F.col("DGS10") - 12)
-    b = attach_macro(bars, m, ["DGS10"], "1995-01-01", "2001-12-31").withColumn("DGS10", F.col("DGS10") - 12)
-    out = pan.build_ab(a, b, ["DGS10"])
+    return [attach_macro(rows, t.macro(), MACROS, "1995-01-01", "2001-12-31", lags).withColumns({c: F.col(c) - 12 for c in MACROS})
+            for lags in (feat.PUBLICATION_LAGS, None)]
+
+
+@query("abl_12_feature_build_ab", f"WITH {_UNLAGGED} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS n_cells, {r6(f'avg(CAST(a_{c} IS DISTINCT FROM b_{c} AS DOUBLE))','changed_share')}, {r6(f'avg(CASE WHEN sign(a_{c}) <> sign(b_{c}) THEN 1.0 ELSE 0.0 END)','sign_flip_share')} FROM ab" for c in MACROS))
+def _(t):
+    out = pan.build_ab(*macro_builds(t, t.bars().select("symbol", "ts")), MACROS)
     return out.select("feature", "n_cells", r("changed_share", "changed_share"), r("sign_flip_share", "sign_flip_share"))
 
 
+def _shift_sql(c: str) -> str:
+    lags = ", ".join(f"lag(b, {k}) OVER (ORDER BY ts) AS l{k}" for k in range(6))
+    shares = ", ".join(f"avg(CAST(a = l{k} AS DOUBLE)) AS s{k}" for k in range(6))
+    best = f"greatest({', '.join(f's{k}' for k in range(6))})"
+    pick = " ".join(f"WHEN s{k} = {best} THEN {k}" for k in range(6))
+    return f"""SELECT '{c}' AS feature, CAST(CASE {pick} END AS INTEGER) AS best_lag, {r6(best,'match_share')}, {r6('s0','same_share')} FROM (SELECT {shares} FROM (
+  SELECT a, {lags} FROM (SELECT ts, m.{c} - 12 AS a, un.{c} - 12 AS b FROM dy JOIN macro_wide m USING (day) JOIN un USING (day)))
+  WHERE a IS NOT NULL AND {' AND '.join(f'l{k} IS NOT NULL' for k in range(6))})"""
+
+
+@query("abl_12_shift_match", f"WITH {_UNLAGGED} " + " UNION ALL ".join(_shift_sql(c) for c in MACROS))
+def _(t):
+    """On the dates that have bars: the lagged build is mostly the other one a bar before."""
+    out = pan.shift_match(*macro_builds(t, t.bars().select("ts").distinct()), MACROS)
+    return out.select("feature", "best_lag", r("match_share", "match_share"), r("same_share", "same_share"))
+
+
+@query("abl_12_regime_delta", f"""WITH {_UNLAGGED},
+rt AS (SELECT ab.*, lead(b."close") OVER (PARTITION BY symbol ORDER BY ts) / b."close" - 1 AS y FROM ab JOIN bars b USING (symbol, ts)),
+dr AS (SELECT ts, coalesce(any_value(e.name), 'pre_qe') AS regime, avg(sign(a_DGS10) * y) AS ra, avg(sign(b_DGS10) * y) AS rb FROM rt LEFT JOIN eras e ON CAST(ts AS DATE) BETWEEN lo AND hi WHERE y IS NOT NULL GROUP BY 1),
+bo AS (SELECT * FROM dr UNION ALL SELECT ts, 'aggregate', ra, rb FROM dr),
+sb AS (SELECT regime, CASE WHEN stddev_samp(ra) > 0 THEN avg(ra) / stddev_samp(ra) * sqrt(252) ELSE 0 END AS a, CASE WHEN stddev_samp(rb) > 0 THEN avg(rb) / stddev_samp(rb) * sqrt(252) ELSE 0 END AS b FROM bo GROUP BY 1)
+SELECT regime, {r6('a','sharpe_a')}, {r6('b','sharpe_b')}, {r6('a - b','delta')} FROM sb""")
+def _(t):
+    rows = t.bars().select("symbol", "ts", lab.forward_return(1).alias("y")).where("y IS NOT NULL")
+    daily = [reg.tag(b.groupBy("ts").agg(F.avg(F.signum("DGS10") * F.col("y")).alias("ret")), reg.era_detector(ERAS)) for b in macro_builds(t, rows)]
+    return pan.regime_delta(*daily).select("regime", *[r(c, c) for c in ("sharpe_a", "sharpe_b", "delta")])
+
+
 @query("abl_13_best_baseline", f"""
 SELECT regime, arg_max(scheme, s) AS best, {r6('max(s)','score')} FROM (SELECT scheme, regime, avg(ret) / stddev_samp(ret) * sqrt(252) AS s FROM scheme_daily GROUP BY 1, 2) GROUP BY 1""")
 def _(t):
