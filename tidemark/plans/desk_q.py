@@ -17,6 +17,7 @@ from tidemark.plans.evaluation_q import AXES_CTES, AXES_SQL, axes
 from tidemark.plans.features_q import full_features
 from tidemark.plans.registry import query, r6
 from tidemark.plans.sql_parts import metrics_sql, replay_ctes
+from tidemark.plans.stats_q import MAX_SHARPE
 
 ASOF = "1999-06-30"
 
@@ -290,6 +291,18 @@ def _(t):
     return rpt.trial_view(trials(t), ["agent"]).select("agent", "n_trials", r("best_sharpe", "best_sharpe"), r("sharpe_std", "sharpe_std"))
 
 
+@query("tab_10_luck_bar", f"""
+WITH RECURSIVE {_TRIALS}, mo AS (SELECT agent, date_trunc('month', started_at) AS month, CAST(sum(n_comparisons) AS BIGINT) AS n, max(sharpe) AS s FROM tr GROUP BY 1, 2),
+ru AS (SELECT agent, month, CAST(sum(n) OVER w AS BIGINT) AS n_trials, stddev_samp(s) OVER w AS sd, max(s) OVER w AS best FROM mo WINDOW w AS (PARTITION BY agent ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ns AS (SELECT DISTINCT n_trials AS n FROM ru), {MAX_SHARPE}
+SELECT agent, CAST(CAST(month AS DATE) AS VARCHAR) AS month, n_trials, {r6('best','best_sharpe')}, {r6('sd * unit_max','luck_bar')}, best > sd * unit_max AS beats_luck FROM ru JOIN ms ON ms.n = ru.n_trials""")
+def _(t):
+    """One ledger row per agent and month."""
+    monthly = trials(t).groupBy("agent", F.date_trunc("month", "started_at").alias("month")).agg(F.sum("n_comparisons").alias("n_comparisons"), F.max("sharpe").alias("sharpe"))
+    out = rpt.luck_bar(monthly, ["agent"], ["month"])
+    return out.select("agent", F.to_date("month").cast("string").alias("month"), "n_trials", r("best_sharpe", "best_sharpe"), r("luck_bar", "luck_bar"), "beats_luck")
+
+
 @query("jon_22_trial_commits", f"""WITH {_TRIALS} SELECT id, CASE WHEN c_custkey % 3 <> 0 THEN sha1('c' || c_custkey) END AS "commit" FROM tr LEFT JOIN customer ON sha1(CAST(c_custkey AS VARCHAR)) = config_hash""")
 def _(t):
     k = F.col("c_custkey").cast("string")

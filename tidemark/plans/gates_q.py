@@ -11,6 +11,7 @@ from tidemark.plans.oracle_ctes import norm_cdf_sql, t_cdf_sql
 from tidemark.plans.registry import query, r6
 from tidemark.plans.stats_q import (_PV, ERAS, FEATS, MAX_SHARPE, PERMUTED, abs_corr_sql, dm_sql, importance_views, paired, positions_sql,
                                     scheme_daily, scheme_predictions)
+from tidemark.sources.lake import materialized
 
 REGIMES = ["pre_qe", "qe_bull", "covid", "rate_cycle"]
 
@@ -165,13 +166,74 @@ def _(t):
     return f.groupBy("symbol", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Candidate sets of the feature gate: the sign of one feature each, against always long.
+GATED = ("ret_5d", "ret_21d", "mom_21d", "rsi_gap")
+_SETS = f"""
+fy AS (SELECT symbol, ts, ret_5d, ret_21d, mom_21d, rsi_14 - 50 AS rsi_gap, lead(ret_1d) OVER (PARTITION BY symbol ORDER BY ts) AS y FROM px_feat),
+ds AS (SELECT ts, coalesce(any_value(e.name), 'pre_qe') AS regime, avg(y) AS baseline, {', '.join(f'avg(sign({c}) * y) AS {c}' for c in GATED)}
+  FROM fy LEFT JOIN eras e ON CAST(ts AS DATE) BETWEEN lo AND hi WHERE y IS NOT NULL GROUP BY 1),
+sv AS MATERIALIZED (SELECT set_name, regime, ts, variant, baseline FROM ds UNPIVOT (variant FOR set_name IN ({', '.join(GATED)}))),
+li AS (SELECT set_name, regime, {{v}} - {{b}} AS lift FROM sv GROUP BY 1, 2)""".replace(
+    "{v}", "CASE WHEN stddev_samp(variant) > 0 THEN avg(variant) / stddev_samp(variant) * sqrt(252) ELSE 0 END").replace(
+    "{b}", "CASE WHEN stddev_samp(baseline) > 0 THEN avg(baseline) / stddev_samp(baseline) * sqrt(252) ELSE 0 END")
+
+
+@query("gat_05_feature_gate_sets", f"""WITH {_SETS}, {positions_sql('sv', 'set_name, regime', 1000, 0)},
+d AS (SELECT set_name, regime, replicate, avg(variant) / stddev_samp(variant) * sqrt(252) - avg(baseline) / stddev_samp(baseline) * sqrt(252) AS delta
+  FROM po JOIN (SELECT set_name, regime, i AS pos, variant, baseline FROM pl) USING (set_name, regime, pos) GROUP BY 1, 2, 3),
+ci AS (SELECT set_name, regime, quantile_cont(delta, 0.05) > 0 OR quantile_cont(delta, 0.95) < 0 AS off FROM d GROUP BY 1, 2),
+sc AS (SELECT *, count(CASE WHEN lift > 0 THEN 1 END) OVER (PARTITION BY set_name) >= 2 AS consistent FROM li),
+q AS (SELECT DISTINCT set_name FROM sc JOIN ci USING (set_name, regime) WHERE lift >= 0.1 AND (off OR consistent))
+SELECT (SELECT count(*) FROM q) AS n_qualifying, count(DISTINCT set_name) AS n_candidates, (SELECT count(*) FROM q) >= 3 AS gate_passed FROM li""")
+def _(t):
+    """Four candidate sets, each with its lift and interval per regime."""
+    from tidemark.operators.features import price_features
+    from tidemark.operators.labels import forward_return
+
+    f = price_features(t.bars()).withColumns({"rsi_gap": F.col("rsi_14") - 50, "y": forward_return(1)}).where("y IS NOT NULL")
+    daily = reg.tag(f.groupBy("ts").agg(F.avg("y").alias("baseline"), *[F.avg(F.signum(c) * F.col("y")).alias(c) for c in GATED]), reg.era_detector(ERAS))
+    cells = ", ".join(f"'{c}', {c}" for c in GATED)
+    pairs = materialized(daily.select("ts", "regime", "baseline", F.expr(f"stack({len(GATED)}, {cells}) AS (set_name, variant)")).where("variant IS NOT NULL"))
+    lifts = pairs.groupBy("set_name", "regime").agg((met.sharpe("variant") - met.sharpe("baseline")).alias("lift"))
+    return gat.feature_gate(lifts, st.bootstrap_delta_ci(pairs, ["set_name", "regime"])).select("n_qualifying", "n_candidates", "gate_passed")
+
+
 @query("gat_07_exit_tests", f"""
-WITH m AS (SELECT run, avg(ret) / stddev_samp(ret) * sqrt(252) AS s, product(1 + ret) - 1 AS tr, count(*) AS n FROM rets GROUP BY 1),
-t AS (SELECT run, s > 0 AS t1, tr > 0 AS t2, n >= 252 AS t3 FROM m)
-SELECT run, test, passed, CAST(t1 AS BIGINT) + CAST(t2 AS BIGINT) + CAST(t3 AS BIGINT) AS n_passed FROM (SELECT run, t1, t2, t3, unnest(['sharpe_positive', 'gains', 'one_year']) AS test, unnest([t1, t2, t3]) AS passed FROM t)""")
+WITH RECURSIVE x AS (SELECT ts, ret FROM scheme_daily WHERE scheme = 'rev'), {positions_sql('x', '', 2000, 42, kind='moving')},
+bs AS (SELECT replicate, avg(ret) / stddev_pop(ret) * sqrt(252) AS s FROM po JOIN (SELECT i AS pos, ret FROM pl) USING (pos) GROUP BY 1),
+ns AS (SELECT DISTINCT 74 AS n FROM region), {MAX_SHARPE},
+m AS (SELECT count(*) AS n_obs, avg(ret) / stddev_samp(ret) * sqrt(252) AS sr, skewness(ret) AS sk, kurtosis(ret) AS ku,
+  avg(CASE WHEN ts < TIMESTAMP '1999-01-01' THEN ret END) / stddev_samp(CASE WHEN ts < TIMESTAMP '1999-01-01' THEN ret END) * sqrt(252) AS s_in,
+  avg(CASE WHEN ts >= TIMESTAMP '1999-01-01' THEN ret END) / stddev_samp(CASE WHEN ts >= TIMESTAMP '1999-01-01' THEN ret END) * sqrt(252) AS s_out FROM x),
+z AS (SELECT (sr - 0.35 * unit_max) / sqrt(252) * sqrt(n_obs - 1) / sqrt(greatest(1 - sk * sr / sqrt(252) + (ku + 2) / 4 * sr * sr / 252, 1e-12)) AS z FROM m, ms),
+er AS (SELECT a.ts, 'rev' AS run, a.err AS err_a, b.err AS err_b FROM scheme_daily a JOIN scheme_daily b ON a.ts = b.ts AND a.scheme = 'rev' AND b.scheme = 'mom'),
+dm AS (SELECT {t_cdf_sql('statistic', '(n_obs - 1)')} AS p_value FROM ({dm_sql('er', 'run')})),
+ot AS (SELECT max(s) AS best FROM (SELECT avg(ret) / stddev_samp(ret) * sqrt(252) AS s FROM scheme_daily WHERE scheme <> 'rev' GROUP BY scheme)),
+dd AS (SELECT min(e / pk - 1) AS depth FROM (SELECT e, max(e) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pk FROM (SELECT ts, product(1 + ret) OVER (ORDER BY ts) AS e FROM x))),
+w AS (SELECT quantile_cont(s, 0.025) > 0 AS t1, (SELECT s_out > 0 AND s_in / s_out < 2 FROM m) AS t2, (SELECT sr FROM m) > (SELECT best FROM ot) AS t3,
+  (SELECT z > 0 FROM z) AS t4, (SELECT p_value < 0.05 FROM dm) AS t5, (SELECT depth > -0.25 FROM dd) AS t6 FROM bs),
+u AS (SELECT unnest(['sharpe_ci', 'is_oos_ratio', 'beats_baselines', 'deflation', 'diebold_mariano', 'drawdown']) AS test, unnest([t1, t2, t3, t4, t5, t6]) AS passed FROM w)
+SELECT 'rev' AS run, test, passed, count(CASE WHEN passed THEN 1 END) OVER () AS n_passed FROM u""")
 def _(t):
-    m = met.return_metrics(t.returns(), ["run"])
-    return gat.exit_tests(m, {"sharpe_positive": F.col("sharpe") > 0, "gains": F.col("total_return") > 0, "one_year": F.col("n_bars") >= 252})
+    """The six tests of one strategy: interval, in- to out-of-sample, baselines, deflation, forecast test, drawdown."""
+    d = scheme_daily(t)
+    own = d.where("scheme = 'rev'")
+    late = F.col("ts") >= "1999-01-01"
+    one = F.lit("rev").alias("run")
+    ci = st.moving_block_sharpe_ci(own, ["scheme"]).select(one, "ci_low")
+    halves = own.groupBy("scheme").agg(met.sharpe(F.when(~late, F.col("ret"))).alias("s_in"), met.sharpe(F.when(late, F.col("ret"))).alias("s_out")).select(one, "s_in", "s_out")
+    per = d.groupBy("scheme").agg(met.sharpe("ret").alias("s"))
+    base = per.agg(F.max(F.when(F.col("scheme") == "rev", F.col("s"))).alias("s"), F.max(F.when(F.col("scheme") != "rev", F.col("s"))).alias("best")).select(one, "s", "best")
+    dsr = st.deflated_sharpe(own, ["scheme"], 74).select(one, F.col("passed").alias("deflated"))
+    wide = d.groupBy("ts").agg(F.max(F.when(F.col("scheme") == "rev", F.col("err"))).alias("err_a"), F.max(F.when(F.col("scheme") == "mom", F.col("err"))).alias("err_b"))
+    dm = st.diebold_mariano(wide.withColumn("run", F.lit("rev")), ["run"]).select("run", "p_value")
+    depth = met.return_metrics(own, ["scheme"]).select(one, "max_drawdown")
+    row = ci
+    for other in (halves, base, dsr, dm, depth):
+        row = row.join(other, "run")
+    return gat.exit_tests(row, {
+        "sharpe_ci": F.col("ci_low") > 0, "is_oos_ratio": (F.col("s_out") > 0) & (F.col("s_in") / F.nullif("s_out", F.lit(0.0)) < 2), "beats_baselines": F.col("s") > F.col("best"),
+        "deflation": F.col("deflated"), "diebold_mariano": F.col("p_value") < 0.05, "drawdown": F.col("max_drawdown") > -0.25})
 
 
 @query("gat_14_leak_verdict", f"""

@@ -10,7 +10,7 @@ from tidemark.operators import windows as win
 from tidemark.plans.oracle_ctes import gated
 from tidemark.plans.registry import query, r6
 from tidemark.sources import checks, feeds
-from tidemark.sources.lake import (Lake, adjusted_prices, discover_runs, keep_latest, month_predicate, scratch_dir,
+from tidemark.sources.lake import (Lake, adjusted_prices, discover_runs, keep_latest, month_predicate, return_series, scratch_dir,
                                    single_series, typed_and_stamped)
 
 
@@ -64,6 +64,28 @@ def _(t):
     return t.bars().select("symbol", "ts").unionByName(lake.read("never_written", "symbol string, ts timestamp"))
 
 
+@query("srt_01_total_order", f"""
+SELECT symbol, CAST(day AS VARCHAR) AS day, {r6('"close"','"close"')}, row_number() OVER (ORDER BY day, symbol) - 1 AS position FROM (SELECT symbol, CAST(ts AS DATE) AS day, "close" FROM bars)""")
+def _(t):
+    """Dates tie over symbols and are broken by the next column."""
+    lake = Lake(t.spark, scratch_dir(t.spark))
+    rows = t.bars().select("symbol", F.to_date("ts").alias("day"), "close")
+    lake.write_ordered(rows, "ordered", ["day"])
+    return lake.read("ordered").select("symbol", F.col("day").cast("string").alias("day"), r("close", "close"), "position")
+
+
+@query("src_09_return_series_zone", f"""
+SELECT symbol, CAST(ts AS VARCHAR) AS ts, {r6('ret_1d','ret')} FROM px_ret WHERE ret_1d IS NOT NULL""")
+def _(t):
+    """Returns stored with offsets of a zone: read back, brought to UTC, the zone stripped."""
+    lake = Lake(t.spark, scratch_dir(t.spark))
+    ret = t.bars().select("symbol", "ts", win.pct_change("close", 1).alias("ret")).where("ret IS NOT NULL")
+    local = F.date_format(F.from_utc_timestamp("ts", "America/New_York"), "yyyy-MM-dd'T'HH:mm:ss")
+    hours = ((F.unix_seconds(F.from_utc_timestamp("ts", "America/New_York")) - F.unix_seconds("ts")) / 3600).cast("int")
+    lake.write_processed(ret.select("symbol", F.concat(local, F.format_string("%+03d:00", hours)).alias("stamp"), "ret"), "oos_returns")
+    return return_series(lake.read("oos_returns"), "stamp").select("symbol", F.col("ts").cast("string").alias("ts"), r("ret", "ret"))
+
+
 @query("src_05_raw_landing", """
 SELECT CAST(dt AS VARCHAR) AS dt, count(*) AS n_rows FROM (
   SELECT DATE '2002-01-01' AS dt FROM macro WHERE series_id <> 'DFF' UNION ALL SELECT DATE '2002-01-02' FROM macro) GROUP BY 1""")

@@ -15,6 +15,7 @@ from tidemark.plans.evaluation_q import _COST, AXES_CTES, AXES_SQL, axes
 from tidemark.plans.oracle_ctes import gated
 from tidemark.plans.registry import query, r6
 from tidemark.plans.sql_parts import metrics_sql, replay_ctes
+from tidemark.sources.derive import daily_bars
 from tidemark.sources.lake import materialized
 
 
@@ -91,3 +92,34 @@ def _(t):
     ret = rep.replay_returns(f.withColumn("signal", rep.sign_signal("mom_21d")), ["symbol", "sample"], rep.BACKTEST_COSTS)
     w = ret.groupBy("symbol").pivot("sample", ["is", "oos"]).agg(met.sharpe("ret"))
     return w.select("symbol", r("is", "in_sample"), r("oos", "out_of_sample"), (F.abs(F.try_divide("is", "oos")) < 2).alias("ratio_ok"))
+
+
+# --- injected sources -----------------------------------------------------------------------
+def brand_bars(t):
+    """Daily bars by brand of the part instead of by supplier."""
+    brand = t.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    ticks = t.raw("lineitem").join(brand, "l_partkey").withColumn("l_suppkey", F.concat(F.lit("_"), "p_brand"))
+    return daily_bars(ticks)
+
+
+def desk_plan(t):
+    """One plan: momentum sign of the last bar, its close, and Sharpe of following it."""
+    b = t.bars().withColumns({"ret": win.pct_change("close", 1), "mom": win.pct_change("close", 5)})
+    b = b.withColumn("earned", F.signum(F.lag("mom", 1).over(win.per("symbol"))) * F.col("ret"))
+    return b.groupBy("symbol").agg(F.max_by("close", "ts").alias("close"), F.signum(F.max_by("mom", "ts")).alias("signal"),
+                                   met.sharpe("earned").alias("sharpe"), F.count("earned").alias("n_bars"))
+
+
+_DESK = """SELECT symbol, arg_max("close", ts) AS "close", sign(arg_max(coalesce(mom, 1e9), ts)) AS signal, CASE WHEN stddev_samp(e) > 0 THEN avg(e) / stddev_samp(e) * sqrt(252) ELSE 0 END AS sharpe, count(e) AS n_bars FROM (
+  SELECT *, sign(lag(mom) OVER (PARTITION BY symbol ORDER BY ts)) * ret AS e FROM (SELECT *, "close" / lag("close") OVER w - 1 AS ret, "close" / lag("close", 5) OVER w - 1 AS mom FROM {} WINDOW w AS (PARTITION BY symbol ORDER BY ts))) GROUP BY 1"""
+
+
+@query("udf_06_injected_sources", f"""
+WITH bb AS (SELECT 'S_' || p_brand AS symbol, l_shipdate AS ts, arg_max(px, k) AS "close" FROM (SELECT *, 100 + l_extendedprice / 20011.7 AS px, (l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576 AS k
+  FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2)
+SELECT source, symbol, {r6('"close"','"close"')}, signal, {r6('sharpe','sharpe')}, n_bars FROM (
+  SELECT 'suppliers' AS source, * FROM ({_DESK.format('bars')}) UNION ALL SELECT 'brands', * FROM ({_DESK.format('bb')}))""")
+def _(t):
+    """The same plan on the tables' own bars and on injected ones."""
+    out = [desk_plan(x).withColumn("source", F.lit(n)) for n, x in (("suppliers", t), ("brands", t.with_sources(bars=brand_bars)))]
+    return out[0].unionByName(out[1]).select("source", "symbol", r("close", "close"), "signal", r("sharpe", "sharpe"), "n_bars")

@@ -7,6 +7,8 @@ per-symbol windows built on bars stay calendar-sized.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,32 @@ SERIES = ("DGS10", "DFF", "VIXCLS")
 
 
 class Tables:
-    """Lazy readers for one data directory."""
+    """Lazy readers for one data directory.
+
+    ``sources`` puts other inputs in the place of ``bars``, ``macro`` or ``docs``: functions of
+    the tables that return a DataFrame of the same columns. Every plan asks the tables for its
+    inputs, so a plan runs on an injected source unchanged.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, sources: Mapping[str, Callable[[Tables], DataFrame]] | None = None):
         self.spark = ensure_utc(spark)
         self.dir = sf_dir.rstrip("/")
+        self.sources = dict(sources or {})
+        unknown = set(self.sources) - {"bars", "macro", "docs"}
+        if unknown:
+            raise ValueError(f"no such source: {sorted(unknown)}")
+
+    def with_sources(self, **sources: Callable[[Tables], DataFrame]) -> Tables:
+        return Tables(self.spark, self.dir, self.sources | sources)
+
+    def _source(self, name: str, default: Callable[[], DataFrame], columns: Sequence[str]) -> DataFrame:
+        if name not in self.sources:
+            return default()
+        found = self.sources[name](self)
+        missing = set(columns) - set(found.columns)
+        if missing:
+            raise ValueError(f"source {name!r} lacks {sorted(missing)}")
+        return found
 
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -28,13 +51,13 @@ class Tables:
         return df.withColumns(casts) if casts else df
 
     def bars(self) -> DataFrame:
-        return daily_bars(self.raw("lineitem"))
+        return self._source("bars", lambda: daily_bars(self.raw("lineitem")), ("symbol", "ts", "open", "high", "low", "close", "volume"))
 
     def macro(self) -> DataFrame:
-        return macro_long(self.raw("orders"))
+        return self._source("macro", lambda: macro_long(self.raw("orders")), ("series_id", "timestamp", "value"))
 
     def docs(self) -> DataFrame:
-        return scored_documents(self.raw("events"))
+        return self._source("docs", lambda: scored_documents(self.raw("events")), ("document_id", "symbol", "published_at", "sentiment_score"))
 
     def returns(self) -> DataFrame:
         """One return series per symbol, used as independent runs."""

@@ -5,9 +5,9 @@ import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -63,6 +63,27 @@ class Lake:
         (df.hint("rebalance", *[F.col(c) for c in partition_cols]).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(self.path(dataset)))
 
+    def write_ordered(self, df: DataFrame, dataset: str, keys: Sequence[str], position: str = "position") -> None:
+        """A total order at the sink: files follow each other by ``keys``, and rows carry their position from 0.
+
+        Rows are range-partitioned and sorted by the keys and, where those tie, by the other
+        columns, so the same rows get the same positions again. Positions are offsets of
+        partitions, a few counts, plus places inside them; no row is ranked in one task.
+        """
+        order = [*keys, *[c for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType, MapType)]]
+        stage = f"{scratch_dir(self.spark)}/sorted"
+        placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+        placed.write.parquet(stage)
+        rows = self.spark.read.schema(placed.schema).parquet(stage)
+        part = F.shiftright("_m", 33)
+        sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+        # One row per written partition.
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = F.broadcast(sizes.select("_part", before.alias("_before")))
+        out = rows.withColumn("_part", part).join(offsets, "_part").withColumn(
+            position, F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1))
+        out.select(*df.columns, position).write.mode("overwrite").parquet(self.path(dataset))
+
     def read(self, dataset: str, schema: StructType | str | None = None) -> DataFrame:
         """A dataset that was never written reads as empty when its schema is given."""
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
@@ -204,6 +225,12 @@ def single_series(df: DataFrame, key: str, name: str, ts: str, value: str) -> Da
     return df.where(F.col(key) == name).groupBy(F.to_date(ts).alias("day")).agg(F.max_by(value, ts).alias(value))
 
 
+def return_series(df: DataFrame, stamp: str, out: str = "ts") -> DataFrame:
+    """Stamps with a zone's offset become instants in UTC without a zone; unreadable ones are dropped."""
+    at = F.try_to_timestamp(F.col(stamp)) if df.schema[stamp].dataType.typeName() == "string" else F.col(stamp)
+    return df.withColumn(out, at.cast("timestamp").cast("timestamp_ntz")).where(F.col(out).isNotNull()).drop(*[stamp] if stamp != out else [])
+
+
 def discover_runs(metadata: DataFrame, returns: DataFrame) -> DataFrame:
     """Runs with metadata and returns that were not smoke runs."""
     return metadata.where("smoke IS NOT TRUE").join(returns.select("run").distinct(), "run", "left_semi")
