@@ -258,8 +258,6 @@ def judged(rows, labels=None):
         fit = [(len(r), r, v) for v, r in URL_RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/"):])]
         rule, said = max(fit)[1:] if fit else (None, None)
         parts = [p for p in re.sub("[0-9]+", "#", path).split("/") if p]
-        if len(parts) > 8:
-            parts = parts[:7] + ["/".join(parts[7:])]
         seen.append([i, host, path, rule, said, tuple(parts)])
     count = {}
     for s in seen:
@@ -268,32 +266,60 @@ def judged(rows, labels=None):
         c[1] += s[4] is not None
         c[2] += s[4] == "block"
     total, bad = sum(c[1] for c in count.values()), sum(c[2] for c in count.values())
-    tree = {k: [(), 0.0] for k in count}
-    for host in {k[0] for k in count}:
-        l, r = (sum(c[j] for k, c in count.items() if k[0] == host) for j in (1, 2))
-        for k in count:
-            if k[0] == host:
-                tree[k][1] = (r + 4 * (bad / total if total else 0)) / (l + 4)
-    for depth in range(8):
-        nodes = {}
-        for k in count:
+
+    def grow(keys, depth, template):
+        """(key, template) of paths under one node."""
+        if not sum(count[k][1] for k in keys):
+            return [(k, template + (("**",) if len(k[1]) > depth else ())) for k in keys]
+        if len(keys) == 1:
+            return [(keys[0], template + keys[0][1][depth:])]
+        children, out = {}, []
+        for k in keys:
             if len(k[1]) > depth:
-                nodes.setdefault((k[0], tree[k][0]), {}).setdefault(k[1][depth], []).append(k)
-        for children in nodes.values():
-            sums = {p: [sum(count[k][j] for k in ks) for j in range(3)] for p, ks in children.items()}
-            n, l, r = (sum(s[j] for s in sums.values()) for j in range(3))
-            name = {}
-            for p, (a, b, c) in sums.items():
-                z = 0
-                if b and l - b and 0 < r < l:
-                    z = abs(c / b - (r - c) / (l - b)) / (r / l * (1 - r / l) * (1 / b + 1 / (l - b))) ** 0.5
-                name[p] = p if a >= 3 and a >= 0.02 * n and z >= 1.96 else "*"
-            for s in set(name.values()):
-                lab, rej = (sum(sums[p][j] for p in sums if name[p] == s) for j in (1, 2))
-                for p in sums:
-                    for k in children[p] if name[p] == s else ():
-                        tree[k] = [tree[k][0] + (s,), (rej + 4 * tree[k][1]) / (lab + 4)]
-    return sorted(str((i, h, p, r, v or ("block" if tree[h, s][1] >= 0.8 else "allow"), "/" + "/".join(tree[h, s][0]))) for i, h, p, r, v, s in seen)
+                children.setdefault(k[1][depth], []).append(k)
+            else:
+                out.append((k, template))
+        n, l, r = (sum(count[k][j] for k in keys) for j in range(3))
+        sums = {p: [sum(count[k][j] for k in ks) for j in range(3)] for p, ks in children.items()}
+        rare = {p for p, s in sums.items() if s[0] < 3 or s[0] < 0.02 * n}
+        named = {}
+        for p, (_, b, c) in sums.items():
+            alike = False
+            if b >= 5 and l - b >= 5:
+                gap = abs(c / b - (r - c) / (l - b))
+                alike = gap == 0 or gap < 1.96 * (r / l * (1 - r / l) * (1 / b + 1 / (l - b))) ** 0.5
+            named.setdefault("*" if alike or (p in rare and len(rare) >= 10) else p, []).extend(children[p])
+        for s, ks in named.items():
+            out += grow(ks, depth + 1, template + (s,))
+        return out
+
+    tree, own = {}, {}
+    for host in {k[0] for k in count}:
+        for k, t in grow([k for k in count if k[0] == host], 0, ()):
+            tree[k] = t
+            o = own.setdefault((host, t), [0, 0])
+            o[0], o[1] = o[0] + count[k][1], o[1] + count[k][2]
+    prior = bad / total if total else 0
+    pure = {k: (own[k[0], t][1] + 4 * prior) / (own[k[0], t][0] + 4) for k, t in tree.items()}
+    return sorted(str((i, h, p, r, v or ("block" if pure[h, s] >= 0.8 else "allow"), "/" + "/".join(tree[h, s]))) for i, h, p, r, v, s in seen)
+
+
+def test_urls_of_clean_branches_are_left_alone(spark):
+    """Planted: what is bad beside a branch says nothing about it; a bad template is caught."""
+    good = [f"http://mixed.com/fr/{k}" for k in range(400)]
+    bad = [f"http://a.com/de/{k}" for k in range(3)] + [f"http://b.com/de/{k}" for k in range(300)] + ["http://c.com/de/1"]
+    clean = [f"http://a.com/en/{k}" for k in range(200)] + [f"http://b.com/{s}/{k}" for s in ("en", "es", "x") for k in range(150)] + [
+        "http://c.com/x/1", "http://c.com/y"] + [f"http://b.com/en/deep/{'/'.join('abcdefghijkl')}/{k}x" for k in range(3)]
+    rows = list(enumerate(good + bad + clean))
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()}
+    assert [got[i] for i, u in rows] == ["allow"] * len(good) + ["block"] * len(bad) + ["allow"] * len(clean)
+    # Labels of their own: a spam template with variable segments, half of it without labels.
+    shop = [(f"http://shop.com/buy/item-{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}/now", True if k % 2 else None, True) for k in range(100)]
+    news = [(f"http://shop.com/news/{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}/now", False if k % 2 else None, False) for k in range(100)]
+    df = spark.createDataFrame([(i, u, m) for i, (u, m, _) in enumerate(shop + news)], "page_id long, url string, bad boolean")
+    got = {r.page_id: (r.verdict == "block", r.template) for r in urls.judge_urls(df, [], label="bad").collect()}
+    assert all(got[i][0] == want for i, (_, _, want) in enumerate(shop + news))
+    assert {t for _, t in got.values()} == {"/buy/*/now", "/news/*/now"}
 
 
 def test_urls_match_the_tree_in_python(spark):
@@ -308,7 +334,7 @@ def test_urls_match_the_tree_in_python(spark):
     df = spark.createDataFrame([(i, u, "clash", "c") for i, u in rows], "page_id long, url string, html string, label string")
     got = urls.judge_urls(df, URL_RULES).collect()
     assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict, r.template)) for r in got) == judged(rows)
-    assert "block" in {r.verdict for r in got if r.rule is None}  # spam.com's unlabelled branch
+    assert {r.verdict for r in got if r.rule is None} == {"allow"}  # spam.com's unlabelled branch has no label of its own
     assert urls.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
@@ -352,7 +378,7 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
 
     rows = {r.doc_id: r.text for r in raw.collect()}
     good = [(i, t) for i, t in rows.items() if not (measured(t)[0] < 20 or 100 * measured(t)[4] > 30 * measured(t)[0])]
-    unique = [(i, t) for i, t in good if grouped(good)[i][2]] if len(good) < 50 else [(i, dict(good)[i]) for i, g in grouped(good).items() if g[2]]
+    unique = [(i, dict(good)[i]) for i, g in grouped(good, 80).items() if g[2]]  # the stage reduces from 0.80
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {i for i, (n, h, _) in matched(unique, items).items() if not (h and 20 * h >= n)}
     assert {r.doc_id for r in docs_.collect()} == clean

@@ -161,7 +161,7 @@ def shingles(t):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def grouped(rows):
+def grouped(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     up = {i: i for i, _ in rows}
 
@@ -173,7 +173,7 @@ def grouped(rows):
     for a in range(len(sets)):
         for b in range(a):
             (i, x), (j, y) = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 r, s = root(i), root(j)
                 up[max(r, s)] = min(r, s)
     return {i: (len(s), root(i), root(i) == i) for i, s in sets}

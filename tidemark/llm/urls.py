@@ -1,9 +1,11 @@
 """URL filters from a path-template tree per host, in DataFrame functions only.
 
-Level by level, the segments of a host's paths become children of a tree node. Segments that
-are rare under their node turn into a wildcard; literal branches whose labelled pages do not
-differ from their siblings' by more than chance are merged into it. A template is rejected if
-the share of bad labels in it, smoothed towards its parent's along the path, is high.
+Level by level, the segments of a host's paths become children of a tree node. A node with
+many rare children is variable: these turn into a wildcard. Other branches keep their names
+unless labels on both sides show them to be alike: only then they are merged into the wildcard.
+A template is rejected if the share of bad labels in it, smoothed towards the share in all
+pages, is high. Each label counts in one template only, so a template without labels has the
+share of all pages, whatever its siblings are.
 """
 from __future__ import annotations
 
@@ -15,14 +17,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import materialized
 
 WILD = "*"
-#: A literal child keeps its name if it has this share of its node's pages, and so many.
-SHARE, LEAST = 0.02, 3
-#: Two-sided 5 % point of the normal distribution: branches below it count as similar.
+#: Stands for the rest of a path under a node without labels.
+REST = "**"
+#: A child is rare with fewer pages than this, or a smaller share of its node's; with so many rare children a node is variable.
+LEAST, SHARE, MANY = 3, 0.02, 10
+#: Labels that a branch and its siblings must have before they can be found alike.
+EVIDENCE = 5
+#: Two-sided 5 % point of the normal distribution: branches below it count as alike.
 SIMILAR = 1.96
-#: Pseudo-pages of the parent in a node's purity; purity at which a template is rejected.
+#: Pseudo-pages of the whole table in a template's purity; purity at which a template is rejected.
 WEIGHT, REJECT = 4.0, 0.8
-#: Path segments from here on are one segment.
-DEEPEST = 8
 
 
 def host_of(url: Column) -> Column:
@@ -46,11 +50,8 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 
 def segments(path: Column) -> Column:
-    """Path segments with every run of digits as #; empty segments are dropped, those from
-    the eighth on are one segment."""
-    parts = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "#"), "/"), lambda s: s != "")
-    tail = F.array(F.array_join(F.slice(parts, DEEPEST, F.greatest(F.size(parts), F.lit(1))), "/"))
-    return F.when(F.size(parts) > DEEPEST, F.concat(F.slice(parts, 1, DEEPEST - 1), tail)).otherwise(parts)
+    """Path segments with every run of digits as #; empty segments are dropped."""
+    return F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "#"), "/"), lambda s: s != "")
 
 
 def template_tree(pages: DataFrame) -> DataFrame:
@@ -58,50 +59,60 @@ def template_tree(pages: DataFrame) -> DataFrame:
 
     Result, one row per distinct (host, parts): template (array), purity. Pages are counted
     by (host, parts) before anything else, so a host with a third of all pages is a few
-    partial counts; nodes and branches are sums of those.
+    partial counts; nodes and branches are sums of those. A path leaves the loop when its node
+    has no labels or no other path: there are as many rounds as segments that labelled paths share.
     """
-    shapes = pages.groupBy("host", "parts").agg(
-        F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("rejected"))
-    shapes = materialized(shapes)
-    total = shapes.agg(F.sum("labelled").alias("l"), F.sum("rejected").alias("r"), F.max(F.size("parts")).alias("d")).first()
+    shapes = materialized(pages.groupBy("host", "parts").agg(
+        F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("rejected")))
+    total = shapes.agg(F.sum("labelled").alias("l"), F.sum("rejected").alias("r")).first()
     prior = (total.r or 0) / total.l if total.l else 0.0
-
-    def smoothed(parent: Column) -> Column:
-        return (F.col("_r") + WEIGHT * parent) / (F.col("_l") + WEIGHT)
-
-    roots = shapes.groupBy(F.col("host").alias("_h")).agg(F.sum("labelled").alias("_l"), F.sum("rejected").alias("_r"))
-    tree = shapes.join(roots, F.col("host") == F.col("_h")).select(
-        *shapes.columns, F.array().cast("array<string>").alias("template"), smoothed(F.lit(prior)).alias("purity"))
-    for depth in range(total.d or 0):
-        tree = materialized(_grown(tree, depth, smoothed))
-    return tree
-
-
-def _grown(tree: DataFrame, depth: int, smoothed) -> DataFrame:
-    """The tree with one more level of template segments."""
-    deep = tree.where(F.size("parts") > depth).withColumn("part", F.col("parts")[depth])
-    rest = tree.where(F.size("parts") <= depth)
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "rejected")]
-    children = deep.groupBy("host", "template", "part").agg(*sums)
-    nodes = children.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(
-        *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "rejected")])
-    both = children.join(nodes, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
+    done, open_, depth = [], shapes.withColumn("template", F.array().cast("array<string>")), 0
+    while True:
+        grown = materialized(_grown(open_, depth))
+        done.append(grown.where("done"))
+        open_, depth = grown.where("NOT done").drop("done"), depth + 1
+        if open_.isEmpty():
+            break
+    tree = done[0]
+    for part in done[1:]:
+        tree = tree.unionByName(part)
+    tree = tree.drop("done")
+    own = tree.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(
+        F.sum("labelled").alias("_l"), F.sum("rejected").alias("_r"))
+    purity = (F.col("_r") + WEIGHT * prior) / (F.col("_l") + WEIGHT)
+    return tree.join(own, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select(
+        *shapes.columns, "template", purity.alias("purity"))
+
+
+def _grown(tree: DataFrame, depth: int) -> DataFrame:
+    """The open paths with one more segment of their templates, or done."""
+    part = F.get("parts", F.lit(depth))
+    children = tree.groupBy("host", "template", part.alias("part")).agg(
+        *[F.sum(c).alias(c) for c in ("n", "labelled", "rejected")], F.count(F.lit(1)).alias("shapes"))
+    node = [F.col("host").alias("_h"), F.col("template").alias("_t")]
+    sums = children.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "rejected", "shapes")])
+    named = children.join(sums, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
+    rare = (F.col("n") < LEAST) | (F.col("n") < SHARE * F.col("all_n"))
+    crowd = named.groupBy("_h", "_t").agg(F.count_if(rare & F.col("part").isNotNull()).alias("_rare")).select(
+        F.col("_h").alias("_h2"), F.col("_t").alias("_t2"), "_rare")
+    named = named.join(crowd, (F.col("_h") == F.col("_h2")) & (F.col("_t") == F.col("_t2")))
     # Two-proportion test of a branch against its siblings.
     n1, n2 = F.col("labelled"), F.col("all_labelled") - F.col("labelled")
-    pooled = F.col("all_rejected") / F.col("all_labelled")
-    gap = F.try_divide(F.col("rejected"), n1) - F.try_divide(F.col("all_rejected") - F.col("rejected"), n2)
-    z = F.try_divide(F.abs(gap), F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))))
-    frequent = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all_n"))
-    apart = F.coalesce(F.when(F.col("all_labelled") > 0, z) >= SIMILAR, F.lit(False))
-    named = both.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("part").alias("_p"), "labelled", "rejected",
-                        F.when(frequent & apart, F.col("part")).otherwise(F.lit(WILD)).alias("_s"))
-    # Labels of the merged branches.
-    merged = named.groupBy("_h", "_t", "_s").agg(F.sum("labelled").alias("_l"), F.sum("rejected").alias("_r"))
-    branch = named.drop("labelled", "rejected").join(merged, ["_h", "_t", "_s"])
-    hit = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("part") == F.col("_p"))
-    grown = deep.join(branch, hit).withColumns({
-        "template": F.concat("template", F.array("_s")), "purity": smoothed(F.col("purity"))})
-    return grown.select(*tree.columns).unionByName(rest)
+    pooled = F.col("all_rejected") / F.nullif("all_labelled", F.lit(0))
+    gap = F.abs(F.col("rejected") / F.nullif(n1, F.lit(0)) - (F.col("all_rejected") - F.col("rejected")) / F.nullif(n2, F.lit(0)))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(n1, F.lit(0)) + 1 / F.nullif(n2, F.lit(0))))
+    alike = (n1 >= EVIDENCE) & (n2 >= EVIDENCE) & ((gap == 0) | (gap < SIMILAR * spread))
+    wild = (rare & (F.col("_rare") >= MANY)) | F.coalesce(alike, F.lit(False))
+    branch = named.select("_h", "_t", F.col("part").alias("_p"), "all_labelled", "all_shapes", F.when(wild, F.lit(WILD)).otherwise(F.col("part")).alias("_s"))
+    hit = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & part.eqNullSafe(F.col("_p"))
+    left = F.size("parts") - depth
+    rest = F.slice("parts", depth + 1, F.greatest(left, F.lit(1)))
+    template = (F.when(left <= 0, F.col("template"))
+                .when(F.col("all_labelled") == 0, F.concat("template", F.array(F.lit(REST))))
+                .when(F.col("all_shapes") == 1, F.concat("template", rest))
+                .otherwise(F.concat("template", F.array("_s"))))
+    over = (left <= 0) | (F.col("all_labelled") == 0) | (F.col("all_shapes") == 1)
+    return tree.join(branch, hit).select(*[c for c in tree.columns if c != "template"], template.alias("template"), over.alias("done"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id: str = "page_id", url: str = "url",
