@@ -125,14 +125,14 @@ def luck_bar(trials: DataFrame, by: Sequence[str], order: Sequence[str] = ("star
     """Each trial with the best Sharpe that its number of trials would show by luck alone.
 
     Per group, in order: trials so far, spread of their Sharpes so far, the expected maximum of
-    so many skill-less trials, the best Sharpe so far and whether it beats the bar. NULL while
-    there is no spread.
+    so many skill-less trials, the best Sharpe so far and whether it beats the bar. The bar is
+    NULL, and not beaten, while there is no spread.
     """
     line = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     s = F.nullif(F.col("sharpe"), F.lit(float("nan")))
     seen = trials.withColumns({"n_trials": F.sum("n_comparisons").over(line), "sharpe_std": F.stddev_samp(s).over(line), "best_sharpe": F.max(s).over(line)})
     bar = F.when(F.col("sharpe_std").isNotNull(), expected_max_sharpe(F.col("n_trials"), F.coalesce("sharpe_std", F.lit(0.0))))
-    return seen.withColumn("luck_bar", bar).withColumn("beats_luck", F.col("best_sharpe") > F.col("luck_bar"))
+    return seen.withColumn("luck_bar", bar).withColumn("beats_luck", F.coalesce(F.col("best_sharpe") > F.col("luck_bar"), F.lit(False)))
 
 
 def trial_view(trials: DataFrame, by: Sequence[str] = (), sample: bool = True, min_trials: int = 2) -> DataFrame:

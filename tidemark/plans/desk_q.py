@@ -295,7 +295,7 @@ def _(t):
 WITH RECURSIVE {_TRIALS}, mo AS (SELECT agent, date_trunc('month', started_at) AS month, CAST(sum(n_comparisons) AS BIGINT) AS n, max(sharpe) AS s FROM tr GROUP BY 1, 2),
 ru AS (SELECT agent, month, CAST(sum(n) OVER w AS BIGINT) AS n_trials, stddev_samp(s) OVER w AS sd, max(s) OVER w AS best FROM mo WINDOW w AS (PARTITION BY agent ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ns AS (SELECT DISTINCT n_trials AS n FROM ru), {MAX_SHARPE}
-SELECT agent, CAST(CAST(month AS DATE) AS VARCHAR) AS month, n_trials, {r6('best','best_sharpe')}, {r6('sd * unit_max','luck_bar')}, best > sd * unit_max AS beats_luck FROM ru JOIN ms ON ms.n = ru.n_trials""")
+SELECT agent, CAST(CAST(month AS DATE) AS VARCHAR) AS month, n_trials, {r6('best','best_sharpe')}, {r6('sd * unit_max','luck_bar')}, coalesce(best > sd * unit_max, false) AS beats_luck FROM ru JOIN ms ON ms.n = ru.n_trials""")
 def _(t):
     """One ledger row per agent and month."""
     monthly = trials(t).groupBy("agent", F.date_trunc("month", "started_at").alias("month")).agg(F.sum("n_comparisons").alias("n_comparisons"), F.max("sharpe").alias("sharpe"))
