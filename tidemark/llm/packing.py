@@ -151,14 +151,14 @@ class Plan:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Sequences for a histogram of lengths: rounded configurations, then best fit.
+    """Sequences for a histogram of lengths: rounded configurations, the rest by best fit.
 
-    Fullest configurations come first, each as often as its items last. If best fit alone
-    needs fewer sequences (rounding costs more than it gains on short histograms), it stands.
+    Fullest configurations come first, each as often as its items last. Rounding lengths up
+    to classes leaves slack, so sequences that are not nearly full are taken apart again and
+    their pieces go to best fit: as much of the configurations stays as needs no more sequences
+    than best fit alone. Best fit alone stands only if no part of them does.
     """
-    plain = Plan(capacity)
-    for length in sorted(histogram, reverse=True):
-        plain.best_fit(length, histogram[length])
+    plain = _best_fit(Plan(capacity), histogram)
     grain = max(1, -(-capacity // CLASSES))
     queues: dict[int, list[list[int]]] = defaultdict(list)
     for length in sorted(histogram):
@@ -177,11 +177,27 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
                 continue
             left[used] -= n * copies[used]
             _fill(rounded, [(queues[size[k]], int(copies[k])) for k in used], n)
+    rest = {x: n for queue in queues.values() for x, n in queue if n}
+    whole = _best_fit(rounded, rest)
+    if whole.size() <= plain.size():
+        return whole
+    for slack, share in [(capacity // 512, 1), (0, 1), *[(0, k) for k in (2, 4, 8)]]:
+        kept, taken = Plan(capacity), defaultdict(int)
+        for lengths, n in whole.groups():
+            stay = n // share if capacity - sum(a * b for a, b in lengths) <= slack else 0
+            kept.add(tuple(lengths), stay)
+            for a, b in lengths:
+                taken[a] += b * (n - stay)
+        tried = _best_fit(kept, taken)
+        if tried.size() <= plain.size():
+            return tried
+    return plain
+
+
+def _best_fit(plan: Plan, histogram: dict[int, int]) -> Plan:
     for length in sorted(histogram, reverse=True):
-        rest = sum(n for x, n in queues[-(-length // grain)] if x == length)
-        if rest:
-            rounded.best_fit(length, rest)
-    return rounded if rounded.size() < plain.size() else plain
+        plan.best_fit(length, histogram[length])
+    return plan
 
 
 def _fill(plan: Plan, slots: list[tuple[list[list[int]], int]], n: int) -> None:
