@@ -87,6 +87,129 @@ def test_percent_rank_with_ties_and_gaps(spark):
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
 
 
+@pytest.mark.parametrize("crowded", [40, 200_000])
+def test_percent_ranks_of_crowded_days(spark, crowded):
+    """One day holds most rows, one value a third of them; NULLs and NaN-free ties count alike."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(900):
+        day = T0 if i % 3 else T0 + dt.timedelta(days=int(rng.integers(1, 9)))
+        x = None if rng.random() < 0.1 else 7.0 if rng.random() < 0.35 else float(rng.integers(0, 60))
+        rows.append((f"s{i}", day, x, None if rng.random() < 0.3 else float(rng.normal())))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double, z double")
+    got = ranks.percent_rank_columns(df.repartition(5), ["x", "z"], crowded=crowded).toPandas().set_index("symbol")
+    pdf = pd.DataFrame(rows, columns=["symbol", "ts", "x", "z"]).set_index("symbol")
+    for c in ("x", "z"):
+        want = pdf.groupby("ts")[c].rank(pct=True)
+        want[pdf.groupby("ts")[c].transform("count") < 5] = np.nan
+        pd.testing.assert_series_equal(got[f"xs_rank_{c}"].sort_index(), want.sort_index(), check_names=False)
+    assert ranks.percent_rank_columns(df.limit(0), ["x"]).count() == 0
+
+
+def test_monitoring_of_made_columns(spark):
+    """Stable, drifting, shape-shifting, stale, empty and constant columns against numpy."""
+    from tidemark.operators import monitor as mon
+
+    rng = np.random.default_rng(12)
+    rows, n_days = [], 80
+    for d in range(n_days):
+        for s in range(6):
+            late = d >= n_days - 20
+            rows.append((f"s{s}", T0 + dt.timedelta(days=d), float(rng.normal()), float(rng.normal() + 5 * late), float(rng.normal() * (4 if late else 1)),
+                         float(rng.normal()) if d < 40 else None, None, 3.0, float(rng.integers(-1, 2)), float("nan") if s == 0 else -0.0))
+    cols = ["stable", "drift", "shape", "stale", "empty", "flat", "signs", "gaps"]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, " + ", ".join(f"{c} double" for c in cols))
+    got = {r.feature: r for r in mon.feature_stats(df, cols, recent=20, stale_bars=21).collect()}
+    pdf = pd.DataFrame(rows, columns=["symbol", "ts", *cols])
+    assert {c: got[c].verdict for c in cols} == {"stable": "stable", "drift": "drifting", "shape": "drifting", "stale": "stale", "empty": "stale",
+                                                  "flat": "stable", "signs": "stable", "gaps": "stable"}
+    for c in cols:
+        v = pdf[c].dropna().astype(float)
+        assert got[c].n_rows == len(pdf) and got[c].coverage == pytest.approx(len(v) / len(pdf))
+        if not len(v):
+            assert got[c].mean is None and got[c].std is None and got[c].distribution is None and got[c].psi is None
+            continue
+        assert got[c].mean == pytest.approx(v.mean(), abs=1e-12) and got[c].std == pytest.approx(v.std(), abs=1e-12)
+        if v.min() < v.max():
+            assert sum(got[c].distribution) == len(v) and list(got[c].distribution) == list(np.histogram(v, 20)[0])
+        else:
+            assert got[c].distribution[10] == len(v)
+        days = sorted(pdf[pdf[c].notna()].ts.unique())
+        recent = pdf.ts.isin(days[-20:])
+        base, new = pdf[c][~recent].dropna(), pdf[c][recent].dropna()
+        edges = np.unique(np.quantile(base, np.linspace(0, 1, 11)))
+        if len(edges) < 2 or len(days) <= 21:
+            assert got[c].psi is None
+            continue
+        place = lambda x: np.bincount(np.clip(np.searchsorted(edges[1:-1], x, "right"), 0, len(edges) - 2), minlength=len(edges) - 1) / len(x)
+        a, b = (np.where(p == 0, 1e-4, p) for p in (place(new), place(base)))
+        assert got[c].psi == pytest.approx(((a - b) * np.log(a / b)).sum(), abs=1e-9), c
+    assert mon.feature_stats(df.limit(0), cols).count() == 0 and mon.drift_psi(df.limit(0), cols).count() == 0
+
+
+def test_shift_match_finds_a_shifted_build(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=60).round(1)
+    rows = [(k, T0 + dt.timedelta(days=i), float(x[i]), float(x[max(i - 1, 0)]), float(x[max(i - 3, 0)])) for k in "AB" for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, same double, one double, three double")
+    b = df.select("symbol", "ts", *[F.col("same").alias(c) for c in ("same", "one", "three")])
+    got = {r.feature: (r.best_lag, r.match_share) for r in pan.shift_match(df, b, ["same", "one", "three"], ["symbol"]).collect()}
+    assert got == {"same": (0, 1.0), "one": (1, 1.0), "three": (3, 1.0)}
+
+
+def test_shuffled_columns_stay_in_their_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, f, s, T0 + dt.timedelta(days=i), float(v), float(rng.normal()), [0.0, 2.0, 0.0]) for f in (0, 1) for s in "AB" for i, v in enumerate(rng.normal(size=9))]
+    df = spark.createDataFrame(rows, "run int, fold int, symbol string, ts timestamp, a double, y_true double, beta array<double>")
+    df = df.withColumns({"b": F.lit(1.0), "y_pred": 2 * F.col("a")})
+    got = pan.permuted_predictions(df, ["a", "b"], ["a"], 3, seed=1).toPandas()
+    assert len(got) == 3 * len(rows)
+    for (f, s, k), part in got.groupby(["fold", "symbol", "repeat"]):
+        own = sorted(r[4] for r in rows if r[1] == f and r[2] == s)
+        assert np.allclose(sorted(part.y_pred / 2), own)
+    assert got.groupby("repeat").y_pred.apply(lambda x: tuple(x.round(9))).nunique() == 3
+
+
+def test_total_order_at_the_sink(spark, tmp_path):
+    rows = [(i % 7, f"v{(i * 37) % 100:02}", i) for i in range(500)] + [(None, None, -1), (3, "v01", 9), (3, "v01", 9)]
+    df = spark.createDataFrame(rows, "k int, s string, i int")
+    lake = Lake(spark, str(tmp_path))
+    lake.write_ordered(df.repartition(6), "a", ["k", "s"])
+    lake.write_ordered(df.repartition(3), "b", ["k", "s"])
+    a, b = ([tuple(r) for r in lake.read(n).orderBy("position").collect()] for n in "ab")
+    assert a == b and [r[3] for r in a] == list(range(len(rows)))
+    assert [r[:3] for r in a] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2]))
+    lake.write_ordered(df.limit(0), "none", ["k"])
+    assert lake.read("none").count() == 0
+
+
+def test_injected_sources_must_have_their_columns(spark):
+    from tidemark.sources.derive import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    same = t.with_sources(bars=lambda x: Tables(x.spark, x.dir).bars().where("symbol = 'S1'"))
+    assert {r.symbol for r in same.bars().select("symbol").distinct().collect()} == {"S1"} and t.bars().select("symbol").distinct().count() > 1
+    assert {r.run for r in same.returns().select("run").distinct().collect()} == {"S1"}
+    with pytest.raises(ValueError, match="lacks"):
+        t.with_sources(bars=lambda x: x.raw("orders")).bars()
+    with pytest.raises(ValueError, match="no such source"):
+        t.with_sources(prices=lambda x: x.raw("orders"))
+
+
+def test_luck_bar_grows_with_trials(spark):
+    from tidemark.operators import reports as rpt
+
+    rows = [("a", i, 1, float(s)) for i, s in enumerate([0.1, 0.5, -0.2, 0.9, 0.3])] + [("b", 0, 4, 0.2)]
+    out = rpt.luck_bar(spark.createDataFrame(rows, "agent string, id int, n_comparisons int, sharpe double"), ["agent"], ["id"]).orderBy("agent", "id").collect()
+    assert [r.n_trials for r in out] == [1, 2, 3, 4, 5, 4] and [r.best_sharpe for r in out] == [0.1, 0.5, 0.5, 0.9, 0.9, 0.2]
+    assert out[0].luck_bar is None and not out[0].beats_luck and out[5].luck_bar is None
+    from statistics import NormalDist, stdev
+
+    g, z = 0.5772156649015329, NormalDist().inv_cdf
+    want = stdev([0.1, 0.5, -0.2, 0.9]) * ((1 - g) * z(1 - 1 / 4) + g * z(1 - 1 / (4 * math.e)))
+    assert out[3].luck_bar == pytest.approx(want) and out[3].beats_luck == (0.9 > want)
+
+
 def test_auc_spearman_quantiles(spark):
     rng = np.random.default_rng(4)
     p, y = rng.normal(size=500).round(1), rng.integers(0, 2, 500)
