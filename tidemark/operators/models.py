@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.splits import WalkForward, assign_folds
+from tidemark.operators.stats import uniform
+from tidemark.sources.lake import materialized
 
 
 def inner_time_split(train_rows: DataFrame, wf: WalkForward, n_splits: int = 3) -> DataFrame:
@@ -246,21 +248,44 @@ def gain_importance(rows: DataFrame, columns: Sequence[str], y: str = "y", seed:
     return rows.sparkSession.createDataFrame(pairs, "feature string, importance double")
 
 
-def logistic_predict(positioned: DataFrame, wf: WalkForward, columns: Sequence[str], y: str = "y",
-                     **params) -> DataFrame:
-    """Probability that the label is positive, per fold."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
+def logistic_fits(rows: DataFrame, by: Sequence[str], columns: Sequence[str], positive: Column, alpha: float = 1e-3,
+                  most: int = 25, tolerance: float = 1e-9) -> DataFrame:
+    """Logistic coefficients of every group at once, by reweighted least squares.
 
-    rows = assembled(assign_folds(positioned, wf), columns).withColumn("_lab", (F.col(y) > 0).cast("double"))
-    est = LogisticRegression(featuresCol="_x", labelCol="_lab", probabilityCol="_p", **params)
-    out = None
-    for fold in fold_ids(positioned, wf):
-        own = rows.where(F.col("fold") == fold)
-        pred = est.fit(own.where("role = 'train'")).transform(own.where("role = 'test'"))
-        pred = pred.withColumn("y_pred", vector_to_array("_p")[1]).drop("_x", "_p", "_lab", "rawPrediction", "prediction")
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    A step is one weighted cross-product pass over all groups and a tiny system per group; the
+    coefficients, one row per group, are all that a step hands on. Steps end when no coefficient
+    of any group moves any more, or after ``most`` of them: classes that can be separated keep
+    moving slowly against the penalty ``alpha``, which spares the intercept.
+    """
+    by = list(by)
+    data = materialized(rows.select(*by, *columns, positive.cast("double").alias("_lab")))
+    beta = materialized(data.select(*by).distinct().withColumn("beta", F.array(*[F.lit(0.0)] * (len(columns) + 1))))
+    for _ in range(most):
+        # One row per group: folds of a calendar.
+        seen = data.join(F.broadcast(beta), by).withColumn("_eta", linear_score(columns))
+        p = 1 / (1 + F.exp(-F.col("_eta")))
+        w = F.greatest(p * (1 - p), F.lit(1e-12))
+        step = solve(gram(seen.withColumns({"_w0": w, "_z": F.col("_eta") + (F.col("_lab") - p) / w}), by, columns, "_z", F.col("_w0")), by, columns, alpha)
+        new = materialized(step.select(*by, "beta"))
+        old = beta.withColumnRenamed("beta", "_old")
+        moved = new.join(old, by).agg(F.max(F.array_max(F.zip_with("beta", "_old", lambda x, y: F.abs(x - y)))).alias("d")).first().d
+        beta = new
+        if moved is None or moved <= tolerance:
+            break
+    return beta
+
+
+def logistic_predict(positioned: DataFrame, wf: WalkForward, columns: Sequence[str], y: str = "y", alpha: float = 1e-3) -> DataFrame:
+    """Probability that the label is positive; all folds are fitted together."""
+    fits = logistic_fits(assign_folds(positioned, wf, ("train",)), ["fold"], columns, F.col(y) > 0, alpha)
+    test = assign_folds(positioned, wf, ("test",)).join(F.broadcast(fits), "fold")
+    return test.withColumn("y_pred", 1 / (1 + F.exp(-linear_score(columns)))).drop("beta")
+
+
+def random_predict(positioned: DataFrame, wf: WalkForward, seed: int = 0) -> DataFrame:
+    """A model without skill: forecasts in [-0.5, 0.5) that follow from a hash of (seed, symbol, instant)."""
+    u = uniform(F.lit(seed), F.col("symbol"), F.unix_seconds("ts"))
+    return assign_folds(positioned, wf, ("test",)).withColumn("y_pred", u - 0.5)
 
 
 # --- document scoring -----------------------------------------------------------------------

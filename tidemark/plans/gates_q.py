@@ -99,6 +99,18 @@ def _(t):
     return gat.judged(criteria(t)).select("target", "regime", "metric", "threshold", r("value", "value"), "met")
 
 
+@query("gat_04_relative_reduction", f"""
+WITH e AS (SELECT p.scheme, coalesce(e.name, 'pre_qe') AS regime, avg(abs(y_true - y_pred)) AS mae FROM scheme_pred p LEFT JOIN eras e ON CAST(p.ts AS DATE) BETWEEN e.lo AND e.hi GROUP BY 1, 2)
+SELECT v.scheme AS target, v.regime, {r6('(b.mae - v.mae) / b.mae','value')}, (b.mae - v.mae) / b.mae >= 0.05 AS met FROM e v JOIN e b ON b.scheme = 'mom' AND b.regime = v.regime WHERE v.scheme <> 'mom'""")
+def _(t):
+    """How much of the momentum forecast's absolute error each other scheme saves."""
+    p = reg.tag(scheme_predictions(t), reg.era_detector(ERAS))
+    mae = met.forecast_errors(p, ["scheme", "regime"]).select(F.col("scheme").alias("target"), "regime", F.col("mae").alias("variant"))
+    base = mae.where("target = 'mom'").select("regime", F.col("variant").alias("baseline"))
+    rows = mae.where("target <> 'mom'").join(base, "regime").withColumns({"metric": F.lit("mae"), "kind": F.lit("rel_reduction"), "threshold": F.lit(0.05)})
+    return gat.judged(rows).select("target", "regime", r("value", "value"), "met")
+
+
 @query("gat_15_carry_forward", f"""WITH {_CRIT}, p AS (SELECT target, regime FROM cr GROUP BY 1, 2 HAVING bool_and(value >= threshold))
 SELECT target, array_to_string(list(regime ORDER BY regime), ',') AS regimes FROM p GROUP BY 1""")
 def _(t):

@@ -11,6 +11,7 @@ from tidemark.operators import replay as rep
 from tidemark.operators import splits as spl
 from tidemark.operators import windows as win
 from tidemark.plans.evaluation_q import _COST as COST
+from tidemark.plans.oracle_ctes import uniform_sql
 from tidemark.plans.registry import query, r6
 from tidemark.plans.sql_parts import fold_ctes, metrics_sql, replay_ctes
 from tidemark.sources.lake import materialized
@@ -129,10 +130,37 @@ def _(t):
     return mod.gain_importance(panel(t, *cols), cols, maxDepth=3, maxIter=3).select("feature", r("importance", "importance"))
 
 
-@query("mod_08_logistic")
+def _newton_sql(steps: int, alpha: float = 1e-3) -> str:
+    """Reweighted least squares of (1, ret_5d, gap), unrolled: each step solves its normal equations by Cramer's rule."""
+    out = ["i0 AS (SELECT DISTINCT fold, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM tr2)"]
+    for k in range(steps):
+        names = ("1.0", "x1", "x2")
+        cells = ", ".join([f"sum(w * {names[i]} * {names[j]}){f' + {alpha}' if i == j and i else ''} AS s{i}{j}" for i in range(3) for j in range(i, 3)]
+                          + [f"sum(w * {names[i]} * z) AS r{i}" for i in range(3)])
+        m = lambda put, i, j: f"r{i}" if j == put else f"s{min(i, j)}{max(i, j)}"
+        det = lambda p: (f"({m(p, 0, 0)} * ({m(p, 1, 1)} * {m(p, 2, 2)} - {m(p, 1, 2)} * {m(p, 2, 1)}) - {m(p, 0, 1)} * ({m(p, 1, 0)} * {m(p, 2, 2)} - {m(p, 1, 2)} * {m(p, 2, 0)})"
+                         f" + {m(p, 0, 2)} * ({m(p, 1, 0)} * {m(p, 2, 1)} - {m(p, 1, 1)} * {m(p, 2, 0)}))")
+        out.append(f"""i{k + 1} AS MATERIALIZED (SELECT fold, {', '.join(f'{det(i)} / {det(None)} AS b{i}' for i in range(3))} FROM (SELECT fold, {cells} FROM (
+  SELECT fold, x1, x2, p * (1 - p) AS w, eta + (lab - p) / (p * (1 - p)) AS z FROM (SELECT *, 1 / (1 + exp(-eta)) AS p FROM (
+    SELECT fold, x1, x2, lab, b0 + b1 * x1 + b2 * x2 AS eta FROM tr2 JOIN i{k} USING (fold)))) GROUP BY fold))""")
+    return ", ".join(out)
+
+
+@query("mod_08_logistic", f"""
+WITH {fold_ctes(panel_sql('ret_5d', 'rsi_14'))}, tr2 AS MATERIALIZED (SELECT fold, ret_5d AS x1, (rsi_14 - 50) / 50 AS x2, CAST(y > 0 AS DOUBLE) AS lab FROM fr WHERE role = 'train'), {_newton_sql(8)}
+SELECT fold, symbol, ts, {r6('1 / (1 + exp(-(b0 + b1 * ret_5d + b2 * (rsi_14 - 50) / 50)))','y_pred')} FROM fr JOIN i8 USING (fold) WHERE role = 'test'""")
 def _(t):
-    cols = ["ret_5d", "rsi_14"]
-    return mod.logistic_predict(panel(t, *cols), LONG, cols, maxIter=20).select("fold", "symbol", "ts", r("y_pred", "y_pred"))
+    p = panel(t, "ret_5d", "rsi_14").withColumn("gap", (F.col("rsi_14") - 50) / 50)
+    return mod.logistic_predict(p, WF, ["ret_5d", "gap"]).select("fold", "symbol", "ts", r("y_pred", "y_pred"))
+
+
+@query("mod_12_random", f"""
+WITH {fold_ctes(panel_sql('mom_21d'))}, p AS (SELECT fold, ts, y, {uniform_sql("'3'", 'symbol', 'CAST(epoch(ts) AS BIGINT)')} - 0.5 AS y_pred FROM fr WHERE role = 'test'),
+d AS (SELECT fold, ts, avg(coalesce(sign(y_pred), 0) * y) AS ret FROM p GROUP BY 1, 2)
+SELECT fold, {r6('CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END','sharpe')}, count(*) AS n_bars FROM d GROUP BY 1""")
+def _(t):
+    pred = mod.random_predict(panel(t, "mom_21d"), WF, 3).withColumn("y_true", F.col("y"))
+    return pan.sign_returns(pred, []).groupBy("fold").agg(r(met.sharpe("ret"), "sharpe"), F.count(F.lit(1)).alias("n_bars"))
 
 
 @query("mod_10_document_scores", r"""
