@@ -1,6 +1,9 @@
 """Signals to target positions, sizes, net targets and order deltas, all as tables."""
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,24 @@ def net_targets(sized: DataFrame) -> DataFrame:
                       F.when(live, F.col("_n")).otherwise(0.0).alias("notional"))
 
 
+@dataclass(frozen=True)
+class Cycle:
+    """Where a daily cycle gets its inputs from, as callables of the as-of instant.
+
+    ``signal`` gives (symbol, target), ``price`` (symbol, price), and ``capital`` the universe
+    with each strategy's ``budget``.
+    """
+
+    signal: Callable[[str], DataFrame]
+    price: Callable[[str], DataFrame]
+    capital: Callable[[DataFrame, str], DataFrame]
+
+
+def run_cycle(universe: DataFrame, cycle: Cycle, asof: str, slippage_bps: float = PAPER_SLIPPAGE_BPS) -> DataFrame:
+    """Net targets of one cycle: budgets, signals and prices as of the instant, sized and netted."""
+    return net_targets(size_equal_weight(cycle.capital(universe, asof), cycle.signal(asof), cycle.price(asof), slippage_bps))
+
+
 def order_deltas(targets: DataFrame, holdings: DataFrame) -> DataFrame:
     """Orders moving current holdings to target * shares; tiny deltas are no order."""
     j = targets.select("symbol", (F.col("target") * F.col("shares")).alias("_want")).join(

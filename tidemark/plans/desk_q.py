@@ -67,13 +67,16 @@ nx AS (SELECT symbol, CAST(CASE WHEN abs(d) <= cap THEN d ELSE 0 END AS INTEGER)
   CASE WHEN abs(d) <= cap AND d <> 0 THEN n ELSE 0 END AS notional FROM nt)"""
 
 
-def sized(t):
+def universe(t):
     k = F.col("s_suppkey")
-    un = t.raw("supplier").select(
+    return t.raw("supplier").select(
         F.concat(F.lit("st"), k.cast("string")).alias("strategy"), F.explode(F.array(*[F.concat(F.lit("S"), (k + j).cast("string")) for j in range(3)])).alias("symbol"),
         (100000.0 * (1 + k % 3)).alias("budget"), F.lit(3).alias("n_symbols"), (1.0 / (1 + k % 4)).alias("weight"),
         F.when(k % 11 == 0, 0.5).otherwise(1.0).alias("max_position"))
-    return od.size_equal_weight(un, daily_signals(t), last_prices(t))
+
+
+def sized(t):
+    return od.size_equal_weight(universe(t), daily_signals(t), last_prices(t))
 
 
 @query("exe_03_equal_weight_sizes", f"WITH {_SIZED} SELECT strategy, symbol, target, shares::DOUBLE AS shares, {r6('shares * fill','notional',2)} FROM sz")
@@ -391,10 +394,38 @@ def _(t):
     return m.select("run", phrase.alias("phrase"))
 
 
-@query("exe_09_cycle_table", f"""WITH {_SIZED} SELECT symbol, target, shares, 'fresh' AS feed_state FROM nx""")
+@query("exe_09_cycle_table", f"""WITH {_SIZED} SELECT symbol, target, shares, (SELECT CASE WHEN max(ts) IS NULL THEN 'missing' WHEN (epoch(TIMESTAMP '{ASOF}') - epoch(max(ts))) / 86400 <= 4 THEN 'fresh' ELSE 'stale' END FROM bars WHERE ts <= TIMESTAMP '{ASOF}') AS feed_state FROM nx""")
 def _(t):
     asof = F.lit(ASOF).cast("timestamp")
     latest = tj.pit_panel(t.bars(), ASOF).agg(F.max("ts").alias("latest")).withColumn("name", F.lit("bars"))
     feed = mon.age_status(latest, asof).select(F.lit(1).alias("_k"), F.col("status").alias("feed_state"))
     net = od.net_targets(sized(t)).withColumn("_k", F.lit(1))
     return net.join(feed, "_k").select("symbol", "target", "shares", "feed_state")
+
+
+# --- a cycle on callables -------------------------------------------------------------------
+@query("udf_07_cycle_callables", f"""WITH {_UNI},
+sg AS (SELECT symbol, CAST(coalesce(sign(arg_max(m, ts)), 0) AS INTEGER) AS target FROM (SELECT symbol, ts, coalesce("close" / lag("close", 5) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0) AS m FROM bars WHERE ts <= TIMESTAMP '{ASOF}') GROUP BY 1),
+pr AS (SELECT symbol, arg_max((high + low) / 2, ts) AS price FROM bars WHERE ts <= TIMESTAMP '{ASOF}' GROUP BY 1),
+u2 AS (SELECT * REPLACE (budget * CASE WHEN n_live >= 2 THEN 1.0 ELSE 0.5 END AS budget) FROM (SELECT un.*, count(pr.price) OVER (PARTITION BY strategy) AS n_live FROM un LEFT JOIN pr USING (symbol))),
+sz AS (SELECT u2.*, sg.target, price * (1 + sg.target * 5.0 / 10000) AS fill, CASE WHEN sg.target <> 0 THEN sg.target * trunc(budget / n_symbols / (price * (1 + sg.target * 5.0 / 10000))) ELSE 0 END AS shares FROM u2 JOIN sg USING (symbol) JOIN pr USING (symbol)),
+nt AS (SELECT symbol, sign(sum(weight * target)) AS d, sum(shares) AS s, sum(shares * fill) AS n, min(max_position) AS cap FROM sz GROUP BY 1)
+SELECT symbol, CAST(CASE WHEN abs(d) <= cap THEN d ELSE 0 END AS INTEGER) AS target, CASE WHEN abs(d) <= cap AND d <> 0 THEN abs(s) ELSE 0 END::DOUBLE AS shares, {r6('CASE WHEN abs(d) <= cap AND d <> 0 THEN n ELSE 0 END','notional',2)} FROM nt""")
+def _(t):
+    """Momentum for the signal, the middle of the last bar for the price, half the budget where fewer than two symbols trade."""
+    from pyspark.sql import Window
+
+    def signal(asof):
+        h = tj.pit_panel(t.bars(), asof).withColumn("m", F.coalesce(win.pct_change("close", 5), F.lit(0.0)))
+        return h.groupBy("symbol").agg(od.target_position(F.max_by("m", "ts")).alias("target"))
+
+    def price(asof):
+        return tj.pit_panel(t.bars(), asof).groupBy("symbol").agg(F.max_by((F.col("high") + F.col("low")) / 2, "ts").alias("price"))
+
+    def capital(un, asof):
+        live = un.join(price(asof).select("symbol", F.lit(1).alias("_live")), "symbol", "left")
+        n = F.count("_live").over(Window.partitionBy("strategy"))
+        return live.withColumn("budget", F.col("budget") * F.when(n >= 2, 1.0).otherwise(0.5)).drop("_live")
+
+    out = od.run_cycle(universe(t), od.Cycle(signal, price, capital), ASOF)
+    return out.select("symbol", "target", "shares", r("notional", "notional", 2))
