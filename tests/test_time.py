@@ -175,3 +175,23 @@ def test_no_look_ahead_features(spark):
     a = build_features(bars, start="2023-01-01", end="2023-12-31").where(F.col("ts") == cut).first()
     b = build_features(bars, start="2023-01-01", end="2023-12-31", asof=cut).where(F.col("ts") == cut).first()
     assert a == b and a.vol_63d is not None
+
+
+def test_aligned_series_keep_rows_and_missing_columns_are_named(spark):
+    """Rows without a value stay, a key held twice repeats no row, clashing names are refused; a set's
+    gaps are found for columns with too few values and for columns that are not there."""
+    from tidemark.operators.ranks import importance_ranks
+    from tidemark.sources.checks import missing_set_columns
+
+    rows = spark.createDataFrame([("A", 1, 0.5), ("A", 1, 0.5), ("A", 2, 0.1), (None, 1, 0.2)], "symbol string, ts int, y_pred double")
+    series = spark.createDataFrame([("A", 1, 7.0), ("A", 1, 9.0), ("B", 1, 3.0)], "symbol string, ts int, v double")
+    got = sorted(map(tuple, tj.align_series(rows, series).collect()), key=str)
+    assert got == sorted([("A", 1, 0.5, 9.0), ("A", 1, 0.5, 9.0), ("A", 2, 0.1, None), (None, 1, 0.2, None)], key=str)
+    with pytest.raises(ValueError, match="y_pred"):
+        tj.align_series(rows, series.withColumnRenamed("v", "y_pred"))
+    f = spark.createDataFrame([("A", 1.0, 1.0, 1.0), ("A", 2.0, None, -1.0), ("B", 3.0, None, 1.0)], "symbol string, x double, z double, y double")
+    gaps = {tuple(r) for r in missing_set_columns(f, {"s": ["x", "z"], "t": ["x", "w"]}).collect()}
+    assert gaps == {("s", "B", "z", 0), ("t", "A", "w", 0), ("t", "B", "w", 0)}
+    assert missing_set_columns(f.limit(0), {"s": ["x"]}).count() == 0
+    ranked = {(r.symbol, r.feature): (r.importance, r["rank"]) for r in importance_ranks(f, ["x", "z"], "y").collect()}
+    assert ranked == {("A", "x"): (1, 1.5), ("A", "z"): (1, 1.5), ("B", "x"): (1, 1.0), ("B", "z"): (0, 2.0)}

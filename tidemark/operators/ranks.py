@@ -68,6 +68,17 @@ def small_average_rank(x: Column, *by: str, ascending: bool = True) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / 2
 
 
+def importance_ranks(rows: DataFrame, columns: Sequence[str], y: str, key: str = "symbol") -> DataFrame:
+    """key, feature, importance (rows where the column's sign is that of ``y``), rank.
+
+    One aggregation over all columns; ranks descend with averaged ties inside the few rows of a key.
+    """
+    counts = rows.groupBy(key).agg(*[F.count_if(F.signum(c) == F.signum(y)).alias(c) for c in columns])
+    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
+    tall = counts.select(key, F.expr(f"stack({len(columns)}, {pairs}) AS (feature, importance)"))
+    return tall.withColumn("rank", small_average_rank(F.col("importance"), key, ascending=False))
+
+
 #: Rows of a cross-section from which on it is cut, and into how many pieces at most.
 CROWDED, PIECES = 200_000, 64
 

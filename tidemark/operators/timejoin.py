@@ -195,3 +195,17 @@ def master_calendar(panel: DataFrame, ts: str = "ts") -> DataFrame:
     """Every date any symbol has, numbered from 0 (calendar-sized)."""
     days = panel.select(ts).distinct()
     return days.withColumn("pos", (F.row_number().over(Window.orderBy(ts)) - 1).cast("bigint"))
+
+
+def align_series(rows: DataFrame, series: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+    """All ``rows`` with the values of per-symbol ``series``; no value at a row's instant is NULL.
+
+    A key that ``series`` holds twice would repeat rows, so its rows are reduced to one by
+    their largest value. Columns of the same name in both are an error, not a guess.
+    """
+    clash = set(rows.columns) & set(series.columns) - set(keys)
+    if clash:
+        raise ValueError(f"columns in both tables: {sorted(clash)}")
+    values = [c for c in series.columns if c not in keys]
+    single = series.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_s"))
+    return rows.join(single, list(keys), "left").select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in values])

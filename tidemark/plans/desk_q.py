@@ -114,7 +114,7 @@ def _(t):
 
 
 @query("gat_09_signal_parity", """
-SELECT count(*) AS n_checks, count(CASE WHEN s1 <> s2 THEN 1 END) AS n_mismatches, false AS passed FROM (
+SELECT count(*) AS n_checks, count(CASE WHEN s1 <> s2 THEN 1 END) AS n_mismatches, count(*) > 0 AND count(CASE WHEN s1 <> s2 THEN 1 END) = 0 AS passed FROM (
  SELECT CAST(coalesce(sign(ret_1d), 0) AS INTEGER) AS s1, CASE WHEN volume > 50000 THEN 0 ELSE CAST(coalesce(sign(ret_1d), 0) AS INTEGER) END AS s2 FROM px_ret)""")
 def _(t):
     a = t.bars().withColumn("signal", rep.sign_signal(win.pct_change("close", 1)))

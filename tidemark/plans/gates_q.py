@@ -1,12 +1,14 @@
 """Gate queries on scheme metrics."""
 from pyspark.sql import functions as F
 
+from tidemark.operators import features as feat
 from tidemark.operators import gates as gat
 from tidemark.operators import metrics as met
 from tidemark.operators import ranks
 from tidemark.operators import regimes as reg
 from tidemark.operators import reports as rpt
 from tidemark.operators import stats as st
+from tidemark.operators import windows as win
 from tidemark.plans.oracle_ctes import norm_cdf_sql, t_cdf_sql
 from tidemark.plans.registry import query, r6
 from tidemark.plans.stats_q import (_PV, ERAS, FEATS, MAX_SHARPE, PERMUTED, abs_corr_sql, dm_sql, importance_views, paired, positions_sql,
@@ -111,6 +113,20 @@ def _(t):
     return gat.judged(rows).select("target", "regime", r("value", "value"), "met")
 
 
+_AGREE = ("ret_5d", "ret_21d", "mom_21d", "ret_126d")
+
+
+@query("win_13_descending_average_rank", f"""
+WITH y AS (SELECT *, lead(ret_1d) OVER (PARTITION BY symbol ORDER BY ts) AS y FROM px_feat),
+n AS (SELECT symbol, {', '.join(f'count(*) FILTER (sign({c}) = sign(y)) AS {c}' for c in _AGREE)} FROM y GROUP BY 1)
+SELECT symbol, feature, importance, rank() OVER (PARTITION BY symbol ORDER BY importance DESC) + (count(*) OVER (PARTITION BY symbol, importance) - 1) / 2.0::DOUBLE AS rank
+FROM n UNPIVOT (importance FOR feature IN ({', '.join(_AGREE)}))""")
+def _(t):
+    """Features of each symbol by how often their sign met the next return's, best first, ties averaged."""
+    f = feat.price_features(t.bars()).withColumn("y", F.lead("ret_1d").over(win.per("symbol")))
+    return ranks.importance_ranks(f, _AGREE, "y")
+
+
 @query("gat_15_carry_forward", f"""WITH {_CRIT}, p AS (SELECT target, regime FROM cr GROUP BY 1, 2 HAVING bool_and(value >= threshold))
 SELECT target, array_to_string(list(regime ORDER BY regime), ',') AS regimes FROM p GROUP BY 1""")
 def _(t):

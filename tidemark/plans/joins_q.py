@@ -7,7 +7,9 @@ from tidemark.operators import labels as lab
 from tidemark.operators import timejoin as tj
 from tidemark.operators import windows as win
 from tidemark.operators.ranks import competition_rank
+from tidemark.plans.oracle_ctes import gated
 from tidemark.plans.registry import query, r6
+from tidemark.plans.stats_q import scheme_predictions
 from tidemark.sources import checks
 
 START, END = "1995-01-01", "2001-12-31"
@@ -132,8 +134,21 @@ def _(t):
     return checks.key_alignment({"prices": bars, "features": f, "labels": y}, ["symbol", "ts"])
 
 
+_SETS = {"price": ["ret_5d", "vol_21d"], "trend": ["ret_5d", "ma200_ratio"], "long": ["ret_252d", "ma200_ratio", "vol_21d"]}
+
+
+@query("val_19_feature_set_columns", f"""
+WITH n AS (SELECT symbol, {', '.join(f'count({c}) AS {c}' for c in ('ret_5d', 'vol_21d', 'ma200_ratio', 'ret_252d'))} FROM px_feat GROUP BY 1),
+u AS (SELECT symbol, feature, n FROM n UNPIVOT (n FOR feature IN (ret_5d, vol_21d, ma200_ratio, ret_252d)))
+SELECT s.feature_set, u.symbol, u.feature, u.n AS n_values FROM u JOIN (VALUES {', '.join(f"('{k}', '{c}')" for k, v in _SETS.items() for c in v)}) s(feature_set, feature) ON s.feature = u.feature WHERE n < 280""")
+def _(t):
+    """Symbols whose history is too short for a column of a set."""
+    return checks.missing_set_columns(feat.price_features(t.bars()), _SETS, least=280)
+
+
 @query("jon_13_align_second_predictions", f"""
-SELECT symbol, ts, {r6('ret_5d','pred_a')}, {r6('CASE WHEN ret_21d > 0 THEN ret_21d END','pred_b')} FROM px_feat WHERE ret_5d IS NOT NULL""")
+SELECT symbol, ts, {r6('a','pred_a')}, {r6('CASE WHEN b > 0 THEN b END','pred_b')} FROM (
+  SELECT symbol, ts, "close" / lag("close", 5) OVER w - 1 AS a, "close" / lag("close", 21) OVER w - 1 AS b FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE a IS NOT NULL""")
 def _(t):
     f = feat.price_features(t.bars())
     base = f.where("ret_5d IS NOT NULL").select("symbol", "ts", F.col("ret_5d").alias("pred_a"))
@@ -141,6 +156,16 @@ def _(t):
     return base.join(other, ["symbol", "ts"], "left").select("symbol", "ts", r("pred_a", "pred_a"), r("pred_b", "pred_b"))
 
 
+@query("jon_14_align_series", f"""
+SELECT p.scheme, p.symbol, p.ts, {r6('p.y_pred','y_pred')}, {r6('v.vol_21d','vol_21d')} FROM scheme_pred p
+LEFT JOIN (SELECT symbol, ts, {gated('stddev_samp', 'ret_1d', 21)} AS vol_21d FROM px_ret) v ON v.symbol = p.symbol AND v.ts = p.ts""")
+def _(t):
+    """Each symbol's trailing volatility beside every prediction row; rows without one keep NULL."""
+    series = feat.price_features(t.bars()).where("vol_21d IS NOT NULL").select("symbol", "ts", "vol_21d")
+    out = tj.align_series(scheme_predictions(t), series)
+    return out.select("scheme", "symbol", "ts", r("y_pred", "y_pred"), r("vol_21d", "vol_21d"))
+
+
 @query("jon_15_pair_returns_on_dates", f"""
 SELECT a.run, count(*) AS n_common, {r6('avg(a.ret - b.ret)','mean_delta')} FROM rets a JOIN rets b ON a.ts = b.ts AND b.run = 'S1' WHERE a.run <> 'S1' GROUP BY a.run""")
 def _(t):

@@ -294,20 +294,56 @@ def _(t):
 
 
 # --- checks ---------------------------------------------------------------------------------
-@query("val_01_bar_checks", """
-WITH v AS (SELECT count(*) AS n_rows FROM bars)
-SELECT n_rows, rule, 0::BIGINT AS n_violations FROM v, (VALUES ('symbol_present'), ('ts_present'), ('open_present'), ('high_present'), ('low_present'), ('close_present'),
- ('volume_present'), ('ingested_at_present'), ('open_positive'), ('high_positive'), ('low_positive'), ('close_positive'), ('volume_not_negative'), ('year_range'), ('month_range')) t(rule)""")
+def rules_sql(rows: str, rules: dict[str, str]) -> str:
+    """Tall report of declared conditions over ``rows``; an unknown condition is a violation."""
+    counted = ", ".join(f"count(*) FILTER (NOT coalesce({c}, false)) AS {n}" for n, c in rules.items())
+    return f"SELECT n_rows, rule, n_violations FROM (SELECT count(*) AS n_rows, {counted} FROM ({rows})) UNPIVOT (n_violations FOR rule IN ({', '.join(rules)}))"
+
+
+def given(*columns: str) -> dict[str, str]:
+    return {f"{c}_present": f'"{c}" IS NOT NULL' for c in columns}
+
+
+_CAL = {"year_range": "year BETWEEN 1900 AND 2099", "month_range": "month BETWEEN 1 AND 12"}
+_DIRTY_BARS = """SELECT CASE WHEN k % 19 <> 0 THEN symbol END AS symbol, ts, CASE WHEN k % 11 = 0 THEN 0 ELSE open END AS open, high, CASE WHEN k % 13 <> 0 THEN low END AS low,
+ CASE WHEN k % 23 = 0 THEN -"close" ELSE "close" END AS "close", CASE WHEN k % 17 = 0 THEN -volume ELSE volume END AS volume, ts AS ingested_at,
+ year(ts) + CASE WHEN k % 29 = 0 THEN 200 ELSE 0 END AS year, month(ts) AS month FROM (SELECT *, CAST(floor(volume) AS BIGINT) AS k FROM bars)"""
+
+
+def every(n: int):
+    """Rows whose whole volume is divisible by ``n``."""
+    return F.floor("_v") % n == 0
+
+
+@query("val_01_bar_checks", rules_sql(_DIRTY_BARS, {
+    **given("symbol", "ts", "open", "high", "low", "close", "volume", "ingested_at"),
+    **{f"{c}_positive": f'"{c}" > 0' for c in ("open", "high", "low", "close")}, "volume_not_negative": "volume >= 0", **_CAL}))
 def _(t):
-    return checks.check(stamped(t), checks.rules("bars")).select("n_rows", "rule", "n_violations")
+    """Bars with planted faults: gaps, zero and negative prices, negative volumes, years out of range."""
+    b = stamped(t).withColumn("_v", F.col("volume"))
+    dirty = b.withColumns({
+        "symbol": F.when(~every(19), F.col("symbol")), "open": F.when(every(11), 0.0).otherwise(F.col("open")), "low": F.when(~every(13), F.col("low")),
+        "close": F.when(every(23), -F.col("close")).otherwise(F.col("close")), "volume": F.when(every(17), -F.col("volume")).otherwise(F.col("volume")),
+        "year": F.col("year") + F.when(every(29), 200).otherwise(0)})
+    return checks.check(dirty, checks.rules("bars")).select("n_rows", "rule", "n_violations")
+
+
+_DIRTY_EOD = """SELECT symbol, ts, open, high, low, CASE WHEN k % 37 <> 0 THEN "close" END AS "close", k AS volume, open / 2 AS adjOpen, high / 2 AS adjHigh, low / 2 AS adjLow, "close" / 2 AS adjClose,
+ CASE WHEN k % 29 = 0 THEN NULL WHEN k % 7 = 0 THEN -k ELSE k END AS adjVolume, CASE WHEN k % 31 <> 0 THEN 0.25 END AS divCash, CASE WHEN k % 97 = 0 THEN 0 ELSE 1 END AS splitFactor,
+ ts AS ingested_at, year(ts) AS year, month(ts) AS month FROM (SELECT *, CAST(floor(volume) AS BIGINT) AS k FROM bars)"""
 
 
-@query("val_02_eod_checks", """
-SELECT rule, CAST(CASE WHEN rule = 'splitFactor_positive' THEN 0 ELSE 0 END AS BIGINT) AS n_violations, n_rows FROM (SELECT count(*) AS n_rows FROM bars),
-(SELECT unnest(['symbol_present','ts_present','open_present','high_present','low_present','close_present','volume_present','adjOpen_present','adjHigh_present','adjLow_present',
- 'adjClose_present','adjVolume_present','divCash_present','splitFactor_present','ingested_at_present','volume_not_negative','adjVolume_not_negative','splitFactor_positive','year_range','month_range']) AS rule)""")
+@query("val_02_eod_checks", rules_sql(_DIRTY_EOD, {
+    **given("symbol", "ts", "open", "high", "low", "close", "volume", "adjOpen", "adjHigh", "adjLow", "adjClose", "adjVolume", "divCash", "splitFactor", "ingested_at"),
+    "volume_not_negative": "volume >= 0", "adjVolume_not_negative": "adjVolume >= 0", "splitFactor_positive": "splitFactor > 0", **_CAL}))
 def _(t):
-    return checks.check(typed_and_stamped(eod(t), "ts", stamp()), checks.rules("eod"))
+    """Adjusted bars with planted faults: gaps, negative volumes, split factors of zero."""
+    e = typed_and_stamped(eod(t), "ts", stamp()).withColumn("_v", F.col("volume"))
+    dirty = e.withColumns({
+        "close": F.when(~every(37), F.col("close")),
+        "adjVolume": F.when(every(29), None).when(every(7), -F.col("adjVolume")).otherwise(F.col("adjVolume")),
+        "divCash": F.when(~every(31), F.col("divCash")), "splitFactor": F.when(every(97), 0.0).otherwise(F.col("splitFactor"))})
+    return checks.check(dirty, checks.rules("eod"))
 
 
 @query("val_03_macro_checks", """
@@ -355,10 +391,12 @@ def _(t):
 
 
 @query("val_07_price_contract", """
-SELECT symbol, count(*) AS n_rows, count(CASE WHEN c IS NULL THEN 1 END) AS n_missing, 0::BIGINT AS n_zero, count(*) > 21 AND count(CASE WHEN c IS NULL THEN 1 END) = 0 AS ok
-FROM (SELECT symbol, CASE WHEN volume < 58000 THEN "close" END AS c FROM bars) GROUP BY symbol""")
+SELECT symbol, count(*) AS n_rows, count(*) FILTER (c IS NULL) AS n_missing, count(*) FILTER (c = 0) AS n_zero,
+ count(*) > 21 AND count(*) FILTER (c IS NULL) = 0 AND count(*) FILTER (c = 0) = 0 AS ok
+FROM (SELECT symbol, CASE WHEN k % 1009 = 0 THEN NULL WHEN k % 1013 = 0 THEN 0 ELSE "close" END AS c FROM (SELECT *, CAST(floor(volume) AS BIGINT) AS k FROM bars)) GROUP BY symbol""")
 def _(t):
-    return checks.price_contract(t.bars().withColumn("close", F.when(F.col("volume") < 58000, F.col("close"))), 21)
+    b = t.bars().withColumn("_v", F.col("volume"))
+    return checks.price_contract(b.withColumn("close", F.when(every(1009), None).when(every(1013), 0.0).otherwise(F.col("close"))), 21)
 
 
 @query("val_08_replay_contract", """
@@ -386,13 +424,16 @@ def _(t):
     return out.select("label_id", "n_rows", "n_missing", *[r(c, c) for c in ("mean", "std", "min", "max", "positive_share")], "balanced")
 
 
-@query("val_13_parity_gate", f"""
-SELECT 4 * count(*) AS n_cells, 0::BIGINT AS n_mismatches, true AS passed, count(*) AS n_pairs, count(DISTINCT CASE WHEN b.ts < TIMESTAMP '1998-01-01' THEN 'a' ELSE 'b' END) AS n_regimes
-FROM bars b WHERE b.ts <= TIMESTAMP '2000-06-30'""")
+@query("val_13_parity_gate", """
+WITH m AS (SELECT ts, ts < TIMESTAMP '1998-01-01' AS early, rsi_14 IS NOT NULL AND day(ts) = 1 AS moved FROM px_feat WHERE ts <= TIMESTAMP '2000-06-30')
+SELECT 4 * count(*) AS n_cells, count(*) FILTER (moved) AS n_mismatches, count(*) FILTER (moved) = 0 AND count(*) >= 250 AND count(DISTINCT early) >= 2 AS passed,
+ count(*) AS n_pairs, count(DISTINCT early) AS n_regimes FROM m""")
 def _(t):
+    """The as-of build against the batch build, with one column moved on the first of each month."""
     cols = ["ret_21d", "vol_63d", "ma200_ratio", "rsi_14"]
     batch = feat.price_features(t.bars()).withColumn("regime", F.when(F.col("ts") < "1998-01-01", "a").otherwise("b"))
     live = feat.build_features(t.bars(), start="1995-01-01", end="2001-12-31", asof="2000-06-30")
+    live = live.withColumn("rsi_14", F.col("rsi_14") + F.when(F.dayofmonth("ts") == 1, 1.0).otherwise(0.0))
     out = checks.parity_gate(batch, live, ["symbol", "ts"], cols, regime="regime")
     return out.select("n_cells", "n_mismatches", "passed", "n_pairs", "n_regimes")
 
@@ -451,13 +492,17 @@ def _(t):
 
 
 @query("val_17_ledger_integrity", """
-WITH o AS (SELECT o_orderpriority AS agent, o_custkey AS id, o_orderkey AS seq, o_orderdate AS started_at FROM orders),
+WITH o AS (SELECT o_orderpriority AS agent, o_custkey AS id, o_orderkey AS seq, o_orderdate AS started_at, o_orderdate - INTERVAL 1 DAY * (CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END) AS completed_at,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'Infinity'::DOUBLE WHEN o_orderkey % 13 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS sharpe FROM orders),
 b AS (SELECT *, lag(started_at) OVER (PARTITION BY agent ORDER BY seq) AS p FROM o)
-SELECT agent, CAST(count(CASE WHEN p > started_at THEN 1 END) AS BIGINT) AS out_of_order, 0::BIGINT AS ended_early, 0::BIGINT AS non_finite,
- count(*) - count(DISTINCT id) AS duplicate_ids FROM b GROUP BY agent""")
+SELECT agent, CAST(count(CASE WHEN p > started_at THEN 1 END) AS BIGINT) AS out_of_order, count(*) FILTER (completed_at < started_at) AS ended_early,
+ count(*) FILTER (NOT isfinite(sharpe)) AS non_finite, count(*) - count(DISTINCT id) AS duplicate_ids FROM b GROUP BY agent""")
 def _(t):
+    day = F.expr("INTERVAL 1 DAY")
+    score = F.when(F.col("o_orderkey") % 11 == 0, float("inf")).when(F.col("o_orderkey") % 13 == 0, float("nan")).otherwise(F.col("o_totalprice"))
+    done = F.when(F.col("o_custkey") % 7 == 0, F.col("o_orderdate") - day).otherwise(F.col("o_orderdate"))
     o = t.raw("orders").select(F.col("o_orderpriority").alias("agent"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"),
-                               F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("completed_at"), F.col("o_totalprice").alias("sharpe"))
+                               F.col("o_orderdate").alias("started_at"), done.alias("completed_at"), score.alias("sharpe"))
     return checks.ledger_integrity(o, "agent")
 
 

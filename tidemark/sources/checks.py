@@ -210,3 +210,14 @@ def key_alignment(named: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFr
         u = part if u is None else u.unionByName(part)
     seen = u.groupBy(*keys).agg(*[F.max((F.col("_t") == n).cast("int")).alias(n) for n in names])
     return seen.agg(*[F.count_if((F.col(n) == 1) & (F.least(*[F.col(m) for m in names]) == 0)).alias(f"{n}_extra") for n in names])
+
+
+def missing_set_columns(features: DataFrame, sets: Mapping[str, Sequence[str]], key: str = "symbol", least: int = 1) -> DataFrame:
+    """(feature_set, key, feature, n_values) of every column that a set names and a symbol has fewer than
+    ``least`` values in, before any fit starts. A column that the table lacks is missing for all symbols."""
+    named = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    known = set(features.columns)
+    counts = features.groupBy(key).agg(*[(F.count(c) if c in known else F.lit(0)).alias(c) for c in named])
+    gaps = [F.when(F.col(c) < least, F.array(*[F.struct(F.lit(n).alias("feature_set"), F.lit(c).alias("feature"), F.col(c).cast("long").alias("n_values"))
+                                               for n, cols in sets.items() if c in cols])) for c in named]
+    return counts.select(key, F.inline(F.flatten(F.array_compact(F.array(*gaps))))).select("feature_set", key, "feature", "n_values")
