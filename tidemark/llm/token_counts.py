@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -204,15 +206,29 @@ class PrefixCounter:
             counts[k] = total
         return counts
 
+    @staticmethod
+    def _odd(text: str) -> bool:
+        """Whether the text holds separators that only ``str.split`` takes as white space."""
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+
     def split(self, text: str) -> list[str]:
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return [p for p in ASCII_SPACE.split(text) if p] if odd else text.split()
+        return [p for p in ASCII_SPACE.split(text) if p] if self._odd(text) else text.split()
 
-    def total(self, text: str) -> int:
+    def start(self, text: str, k: int) -> int:
+        """Where part ``k`` of a text begins."""
+        if self._odd(text):
+            return next(islice(NOT_SPACE.finditer(text), k, None)).start()
+        return len(text) - len(text.split(None, k)[k]) if k else len(text) - len(text.lstrip())
+
+    def ends(self, text: str) -> tuple[list[str], list[int]]:
+        """A text's parts, and the counts of the prefixes that end with each of them."""
         totals, parts = self.totals, self.split(text)
         for p in set(parts).difference(totals):
             totals[p] = self.part_total(p)
-        return sum(map(totals.__getitem__, parts))
+        return parts, list(accumulate(map(totals.__getitem__, parts)))
+
+    def total(self, text: str) -> int:
+        return (self.ends(text)[1] or [0])[-1]
 
     def all(self, text: str) -> list[int]:
         """Counts of every prefix of a text, by its characters."""
@@ -227,15 +243,21 @@ class PrefixCounter:
         out[at:] = [total] * (len(text) - at)
         return out
 
+    def within(self, text: str, parts: list[str], ends: list[int], budget: int) -> int:
+        """Characters of the longest prefix with at most ``budget`` tokens, from ``ends(text)``.
+
+        Counts at the ends of parts never fall, so a binary search finds the part that goes
+        beyond; only that part's own prefixes are asked.
+        """
+        k = bisect_right(ends, budget)
+        if k == len(ends):
+            return len(text)
+        start = self.start(text, k)
+        left = budget - (ends[k - 1] if k else 0)
+        return start + max((j for j, c in enumerate(self.part(parts[k]), 1) if c <= left), default=0)
+
     def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix with at most ``budget`` tokens."""
-        total = 0
-        for m in NOT_SPACE.finditer(text):
-            here = self.total(m[0])
-            if total + here > budget:
-                return m.start() + max((k for k, c in enumerate(self.part(m[0]), 1) if total + c <= budget), default=0)
-            total += here
-        return len(text)
+        return self.within(text, *self.ends(text), budget)
 
     def forget(self) -> None:
         for known in (self.words, self.totals, self.merges.fit):
@@ -294,10 +316,13 @@ def token_counts(docs: DataFrame, path: str, limit: int, keep: Sequence[str] = (
     """The columns ``keep``, n_bytes (UTF-8), n_tokens, over_limit, fit_chars (characters of the
     longest prefix with at most ``limit`` tokens). Null texts count as empty; rows stay rows.
 
-    The counts are the last and the best of the prefix counts; only their answers leave the task.
+    A text's prefix counts are made once, at the ends of its parts, which are kept until its row
+    is answered: n_tokens is the last of them, and the limit falls into the part that a binary
+    search over them finds. ``prefix_counts`` keeps the counts of all prefixes.
     """
     def fn(count: PrefixCounter, t: str):
-        n = count.total(t)
-        return len(t.encode()), n, n > limit, count.fit(t, limit) if n > limit else len(t)
+        parts, ends = count.ends(t)
+        n = ends[-1] if ends else 0
+        return len(t.encode()), n, n > limit, count.within(t, parts, ends, limit)
 
     return _mapped(docs, path, keep, text, "n_bytes long, n_tokens long, over_limit boolean, fit_chars long", fn)
