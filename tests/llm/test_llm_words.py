@@ -279,6 +279,33 @@ def test_repeats_match_brute_force(spark, monkeypatch, together):
     assert rp.remove_repeats(frame(spark, rows).limit(0), length=100, gram=16).count() == 0
 
 
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    """All windows of a core under one hash: the bytes decide, as with good hashes."""
+    rng = random.Random(11)
+    core = "the core of them all".encode()
+    bits = [bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(4)]
+    parts = [rng.choice(bits) + core + rng.choice(bits) for _ in range(40)]
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    data, at, first = np.frombuffer(b"".join(parts), np.uint8), np.full(40, 12), np.array([0, 25, 40])
+    good = {tuple(map(int, x)) for x in zip(*rp.repeated_windows(data, offsets, at, first, 30))}
+    made = []
+
+    class Weak(rp.PrefixHash):
+        def of(self, start, end):
+            return np.zeros(len(start), np.uint64)
+
+    plain = rp.PrefixHash
+    monkeypatch.setattr(rp, "PrefixHash", lambda x: made.append(1) or (Weak if len(made) == 3 else plain)(x))
+    found = {tuple(map(int, x)) for x in zip(*rp.repeated_windows(data, offsets, at, first, 30))}
+    seen = {}
+    for c, p in enumerate(parts):
+        for i in range(len(p) - 30 + 1):
+            seen.setdefault((c >= 25, p[i:i + 30]), []).append((c, i))
+    twice = {x for v in seen.values() if len(v) > 1 for x in v}
+    around = {(c, i) for c, i in twice if i <= 12 and i + 30 >= 12 + len(core)}  # a core's windows hold it whole
+    assert found == good and around <= found <= twice and len(made) == 3
+
+
 def test_suffix_mergesort_orders_like_sorting():
     rng = np.random.default_rng(7)
     data = rng.integers(97, 99, 400).astype(np.uint8)

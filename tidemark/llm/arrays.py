@@ -14,7 +14,6 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-OTHER_BASE = 0xD1342543DE82EF95
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:

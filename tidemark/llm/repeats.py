@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import OTHER_BASE, SLICE_BYTES, PrefixHash, byte_symbols, covered, runs, slices
+from tidemark.llm.arrays import SLICE_BYTES, PrefixHash, byte_symbols, covered, runs, slices
 from tidemark.llm.frames import map_texts, materialized, table_batch
 
 LENGTH = 400
@@ -27,7 +27,7 @@ GRAM = 64
 #: Different stretches of one core that meet in one task; beyond, single windows are counted.
 TOGETHER = 20_000
 PLACE_BITS = 30
-NODES = "array<struct<core: long, stretch: long, low: int, at: int, high: int>>"
+NODES = "array<struct<core: long, stretch: binary, low: int, at: int, high: int>>"
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -42,12 +42,13 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def nodes_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(row, core, stretch, low, at, high) of all nodes: window starts low..high, core at ``at``."""
+    """(row, core, stretch, low, at, high) of all nodes: window starts low..high, core at ``at``,
+    stretch the 128-bit BLAKE2 digest of the bytes of all its windows: equal digests, equal bytes."""
     grams = length - gram + 1
     size = np.diff(offsets)
     long_ = np.flatnonzero(size >= length)
     if not len(long_):
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 2 + [[]] + [np.zeros(0, np.int64)] * 3
     hashes = PrefixHash(byte_symbols()[data])
     place = np.arange(len(data) - gram + 1)
     key = (hashes.of(place, place + gram) >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | place.astype(np.uint64)
@@ -62,10 +63,11 @@ def nodes_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     low, high = start[first], start[np.append(first[1:], len(start)) - 1]
     at = np.where(late[first], anchor[first] - half, anchor[first])
     end = np.where(late[first], anchor[first] + gram, anchor[first] - (half - 1) + length)
-    other = PrefixHash(byte_symbols()[data], OTHER_BASE)
     row = np.searchsorted(offsets, low, "right") - 1
     base = offsets[row]
-    return [row, hashes.of(at, end).view(np.int64), other.of(low, high + length).view(np.int64), low - base, at - base, high - base]
+    raw = memoryview(data)
+    digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), (high + length).tolist())]
+    return [row, hashes.of(at, end).view(np.int64), digest, low - base, at - base, high - base]
 
 
 def scan(docs: DataFrame, id: str, text: str, length: int, gram: int) -> DataFrame:
@@ -73,7 +75,7 @@ def scan(docs: DataFrame, id: str, text: str, length: int, gram: int) -> DataFra
     def measure(data, offsets):
         row, core, stretch, low, at, high = nodes_of(data, offsets, length, gram)
         first = np.searchsorted(row, np.arange(len(offsets)))
-        parts = [pa.array(core, pa.int64()), pa.array(stretch, pa.int64()), *[pa.array(x, pa.int32()) for x in (low, at, high)]]
+        parts = [pa.array(core, pa.int64()), pa.array(stretch, pa.binary()), *[pa.array(x, pa.int32()) for x in (low, at, high)]]
         nodes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays(
             parts, ["core", "stretch", "low", "at", "high"]))
         raw = memoryview(data)
@@ -179,14 +181,22 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, firs
     order = np.lexsort((key, group))
     same = (key[order][1:] == key[order][:-1]) & (group[order][1:] == group[order][:-1])
     pair = np.flatnonzero(same)
-    # Verify: equal hashes must be equal bytes.
+    # Verify: equal hashes must be equal bytes; a run of equal hashes that holds others is
+    # ordered by its bytes instead.
+    view = np.lib.stride_tricks.sliding_window_view(data, length)
     true = np.ones(len(pair), bool)
     for k in range(0, len(pair), 8192):
         a, b = place[order[pair[k:k + 8192]]], place[order[pair[k:k + 8192] + 1]]
-        view = np.lib.stride_tricks.sliding_window_view(data, length)
         true[k:k + 8192] = (view[a] == view[b]).all(axis=1)
     if not true.all():
-        raise ValueError("two windows share a 64-bit hash; run again with another base")
+        run = np.cumsum(np.append(True, ~same)) - 1
+        inside = np.isin(run, run[pair[~true]])
+        mixed = order[inside]
+        by_bytes = np.lexsort((*view[place[mixed]].T[::-1], run[inside]))
+        order[inside] = mixed[by_bytes]
+        again = inside[pair]
+        true[again] = (view[place[order[pair[again]]]] == view[place[order[pair[again] + 1]]]).all(axis=1)
+        pair = pair[true]
     twice = np.zeros(len(order), bool)
     twice[order[pair]] = True
     twice[order[pair + 1]] = True
