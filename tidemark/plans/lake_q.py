@@ -336,7 +336,7 @@ def _(t):
 
 _DIRTY_EOD = """SELECT symbol, ts, open, high, low, CASE WHEN k % 37 <> 0 THEN "close" END AS "close", k AS volume, open / 2 AS adjOpen, high / 2 AS adjHigh, low / 2 AS adjLow, "close" / 2 AS adjClose,
  CASE WHEN k % 29 = 0 THEN NULL WHEN k % 7 = 0 THEN -k ELSE k END AS adjVolume, CASE WHEN k % 31 <> 0 THEN 0.25 END AS divCash, CASE WHEN k % 97 = 0 THEN 0 ELSE 1 END AS splitFactor,
- ts AS ingested_at, year(ts) AS year, month(ts) AS month FROM (SELECT *, CAST(floor(volume) AS BIGINT) AS k FROM bars)"""
+ ts AS ingested_at, year(ts) AS year, month(ts) AS month FROM (SELECT *, CAST(floor(round(volume, 3)) AS BIGINT) AS k FROM bars)"""
 
 
 @query("val_02_eod_checks", rules_sql(_DIRTY_EOD, {
@@ -407,9 +407,9 @@ def _(t):
 
 @query("val_08_replay_contract", """
 SELECT n_rows, rule, CASE rule WHEN 'signal_ternary' THEN bad ELSE 0 END AS n_violations FROM (
- SELECT count(*) AS n_rows, count(CASE WHEN CAST(floor(volume) AS BIGINT) % 4 = 3 THEN 1 END) AS bad FROM bars), (SELECT unnest(['open_present', 'volume_present', 'signal_ternary']) AS rule)""")
+ SELECT count(*) AS n_rows, count(CASE WHEN CAST(floor(round(volume, 3)) AS BIGINT) % 4 = 3 THEN 1 END) AS bad FROM bars), (SELECT unnest(['open_present', 'volume_present', 'signal_ternary']) AS rule)""")
 def _(t):
-    return checks.replay_contract(t.bars().withColumn("signal", (F.floor("volume") % 4 - 1).cast("int")))
+    return checks.replay_contract(exact(t).bars().withColumn("signal", (F.floor("volume") % 4 - 1).cast("int")))
 
 
 @query("val_10_missing_rates", f"""
