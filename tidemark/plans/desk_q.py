@@ -15,6 +15,7 @@ from tidemark.operators import timejoin as tj
 from tidemark.operators import windows as win
 from tidemark.plans.evaluation_q import AXES_CTES, AXES_SQL, axes
 from tidemark.plans.features_q import full_features
+from tidemark.plans.oracle_ctes import _RANK
 from tidemark.plans.registry import query, r6
 from tidemark.plans.sql_parts import metrics_sql, replay_ctes
 from tidemark.plans.stats_q import MAX_SHARPE
@@ -239,7 +240,14 @@ def _(t):
     return mon.drift_psi(monitored(t), DRIFT).select("feature", r("psi", "psi"))
 
 
-@query("mon_10_feature_stats", f"""WITH {_PSI}
+# A moving window's result may differ in its last bits between equal inputs at different places, so
+# values that are equal would tie or not by chance: they are compared to 12 digits.
+_MOVING = ("vol_21d", "vol_63d", "rsi_14", "ma200_ratio", "ma50_ratio", "volume_ratio", "vol_regime_ratio", "sentiment_score")
+_EVEN = f"""ev AS (SELECT * EXCLUDE (xs_rank_vol_21d) REPLACE ({', '.join(f'round({c}, 12) AS {c}' for c in _MOVING)}) FROM full_feat),
+even_feat AS (SELECT f.*, {_RANK.format(c='vol_21d')} FROM ev f)"""
+
+
+@query("mon_10_feature_stats", f"""WITH {_EVEN}, {_PSI.replace('FROM full_feat', 'FROM even_feat')}
 SELECT feature, n_rows, {r6('coverage','coverage')}, {r6('mean','mean')}, {r6('std','std')}, {r6('psi','psi')}, distribution, verdict FROM fs JOIN hd USING (feature)""")
 def _(t):
     out = mon.feature_stats(monitored(t), DRIFT)
