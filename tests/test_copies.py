@@ -86,3 +86,38 @@ def test_feature_stats_of_repeated_symbols(spark, tmp_path):
     folder = tables_with(tmp_path, lineitem=copies)
     ok, note, _ = compare(spark, folder, QUERIES["mon_10_feature_stats"], SQL["mon_10_feature_stats"])
     assert ok, note
+
+
+def test_shuffled_columns_move_each_row_once(spark):
+    """The rows are moved once, whatever the number of features and repeats, and the values of a window stay in it."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.panel import permuted_predictions
+
+    pred = spark.range(120).select(
+        (F.col("id") % 2).alias("fold"), F.concat(F.lit("S"), (F.col("id") % 6).cast("string")).alias("symbol"),
+        F.timestamp_seconds(F.col("id") * 86400).alias("ts"), F.lit(0.0).alias("y_pred"), F.col("id").cast("double").alias("a"),
+        (F.col("id") * -1.0).alias("b"), F.array(F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("beta"))
+    out = permuted_predictions(pred, ["a", "b"], ["a", "b"], 7)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = out.toPandas()
+    assert len(rows) == 120 * 2 * 7 and set(out.columns) == {*pred.columns, "feature", "repeat"}
+    for (feature, *_), g in rows.groupby(["feature", "repeat", "fold", "symbol"]):
+        assert sorted(g.y_pred + g[feature]) == sorted(g[feature])
+    assert (rows.y_pred != 0).any()
+
+
+def test_landed_parts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A table that lands in parts is written by as many tasks as it has splits, and still comes in five batches."""
+    from tidemark.plans import streams_q
+    from tidemark.sources.derive import Tables
+
+    monkeypatch.setattr(streams_q, "scratch_dir", lambda _: str(tmp_path))
+    spark.range(8000).selectExpr("id AS event_id", "timestamp_seconds(id * 60) AS ts").repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    stream = streams_q.table(Tables(spark, str(tmp_path)), "events", "ts")
+    (stream.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+     .foreachBatch(lambda b, i: seen.append((b.count(), b.agg({"ts": "min"}).first()[0]))).start().awaitTermination())
+    assert len(list((tmp_path / "landing").glob("*.parquet"))) > 5
+    assert len(seen) == 5 and sum(n for n, _ in seen) == 8000
+    assert seen[-1][1] == min(t for _, t in seen) < seen[0][1]

@@ -136,21 +136,27 @@ def permuted_predictions(pred: DataFrame, columns: Sequence[str], features: Sequ
     """Linear predictions with one column shuffled inside each (fold, symbol) test window.
 
     Every value gets two places in its window: one in time, one by a hash of (seed, feature,
-    repeat, symbol, ts). One equi-join on (window, place) lays the values over the rows; no row
-    carries its window, and nothing is refitted.
+    repeat, symbol, ts). Rows are shuffled once, into arrays of one window each (as many rows as a
+    test window has bars); features and repeats are laid over these arrays, so what is moved and
+    written does not grow with their number. Nothing is refitted.
     """
-    slots = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(columns.index(f) + 1).alias("j"), F.col(f).cast("double").alias("x"))
-                      for f in features])
-    rows = pred.withColumn("_s", F.explode(slots)).select("*", "_s.feature", "_s.j", "_s.x").drop("_s")
-    rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    keys = ["feature", "repeat", "fold", "symbol"]
-    window = Window.partitionBy(*keys)
-    order = uniform(F.lit(seed), F.col("feature"), F.col("repeat"), F.col("symbol"), F.unix_seconds("ts"))
-    placed = rows.withColumn("_i", F.row_number().over(window.orderBy("ts")))
-    drawn = rows.select(*keys, F.col("x").alias("_x"), F.row_number().over(window.orderBy(order, "ts")).alias("_i"))
-    moved = placed.join(drawn, [*keys, "_i"])
-    delta = F.col("_x") - F.col("x")
-    return moved.withColumn("y_pred", F.col("y_pred") + F.element_at("beta", F.col("j") + 1) * delta).drop("_x", "_i", "j", "x")
+    others = [c for c in pred.columns if c not in ("fold", "symbol")]
+    line = F.sort_array(F.collect_list(F.struct("ts", *[c for c in others if c != "ts"])))
+    windows = pred.groupBy("fold", "symbol").agg(line.alias("_line"))
+    draws = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(columns.index(f) + 2).alias("j")) for f in features])
+    windows = windows.withColumn("_d", F.explode(draws)).select("*", "_d.feature", "_d.j").drop("_d")
+    windows = windows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+
+    def value(cell: Column) -> Column:
+        """The cell's value of the feature that is shuffled."""
+        return F.coalesce(*[F.when(F.col("feature") == f, cell[f].cast("double")) for f in features])
+
+    order = lambda c: uniform(F.lit(seed), F.col("feature"), F.col("repeat"), F.col("symbol"), F.unix_seconds(c["ts"]))
+    drawn = F.array_sort(F.transform("_line", lambda c: F.struct(order(c).alias("u"), c["ts"].alias("ts"), value(c).alias("x"))))
+    laid = F.zip_with("_line", drawn, lambda c, d: F.struct(c.alias("c"), (d["x"] - value(c)).alias("delta")))
+    moved = windows.select("fold", "symbol", "feature", "repeat", "j", F.explode(laid).alias("_r"))
+    score = F.col("_r.c.y_pred") + F.element_at("_r.c.beta", F.col("j")) * F.col("_r.delta")
+    return moved.select(*[score.alias(c) if c == "y_pred" else F.col(f"_r.c.{c}") if c in others else F.col(c) for c in pred.columns], "feature", "repeat")
 
 
 def sign_returns(pred: DataFrame, by: Sequence[str] = ("run",), earned: str = "y_true") -> DataFrame:
