@@ -15,12 +15,14 @@ def place(t):
     return Lake(t.spark, root), f"{root}/checkpoints"
 
 
+#: Batches of a table that lands in parts.
 FILES = 5
 
 
 def table(t, name, order=None):
-    """A table as a stream of one file; or, by ``order``, of five, the oldest rows landing last,
-    read one file per batch."""
+    """A table as a stream of one file; or, by ``order``, cut into five parts, the oldest rows landing
+    last. A part has as many files as the table has splits, so no task reads or writes a whole
+    part; a batch takes a fifth of the files."""
     if order is None:
         return sm.landing_stream(t.spark, t.dir, f"{name}.parquet")
     landed = f"{scratch_dir(t.spark)}/landing"
@@ -29,8 +31,9 @@ def table(t, name, order=None):
     low = F.unix_micros(F.col(order).cast("timestamp"))
     part = sum((F.when(low > e, 1).otherwise(0) for e in ends), F.lit(0))
     for k in reversed(range(FILES)):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(landed)
-    return sm.landing_stream(t.spark, landed, files_per_trigger=1)
+        rows.where(part == k).write.mode("append").parquet(landed)
+    n = len(t.spark.read.parquet(landed).inputFiles())
+    return sm.landing_stream(t.spark, landed, files_per_trigger=-(-n // FILES))
 
 
 def ticks(stream):
