@@ -121,3 +121,25 @@ def test_landed_parts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "landing").glob("*.parquet"))) > 5
     assert len(seen) == 5 and sum(n for n, _ in seen) == 8000
     assert seen[-1][1] == min(t for _, t in seen) < seen[0][1]
+
+
+def test_long_frames_from_short_ones(spark):
+    """Sums and spreads put together from short frames are those of the long ones, gaps, spikes and flat stretches included."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import windows as win
+
+    rng = random.Random(4)
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(d), None if s == "B" and d % 90 == 40 else 0.25 if 100 < d < 200 else 1e12 if d == 220 else rng.gauss(0, 1))
+            for s in "AB" for d in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double")
+    out = win.in_blocks(df, {"x": ("x", (14, 50, 200))}, {"x": (21, 63)})
+    plain = {f"_sum_x_{n}": win.rolling_sum("x", n) for n in (14, 50, 200)} | {f"_std_x_{n}": win.rolling_std("x", n) for n in (21, 63)}
+    both = out.withColumns({f"w{c}": v for c, v in plain.items()}).toPandas()
+    for c in plain:
+        assert (both[c].isna() == both[f"w{c}"].isna()).all() and both[c].notna().any()
+        seen = both[both[c].notna()]
+        assert seen[c].to_numpy() == pytest.approx(seen[f"w{c}"].to_numpy(), rel=1e-9, abs=1e-9)
+    assert (both["_std_x_63"] == 0).sum() == (both["w_std_x_63"] == 0).sum() > 0
+    frames = out._jdf.queryExecution().analyzed().toString()
+    assert "-199" not in frames and "-62" not in frames

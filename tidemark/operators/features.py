@@ -23,13 +23,6 @@ DOCUMENT_COLUMNS = ("sentiment_score", "doc_count", "has_coverage")
 ALL_COLUMNS = (*PRICE_COLUMNS, *MACRO_SERIES, "yield_curve", *REGIME_COLUMNS, *DOCUMENT_COLUMNS, *[f"xs_rank_{c}" for c in RANKED])
 
 
-def rsi(diff: Column | str, n: int = 14) -> Column:
-    d = F.col(diff) if isinstance(diff, str) else diff
-    gain = win.rolling_mean(F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), n)
-    loss = win.rolling_mean(F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))), n)
-    return 100 - F.lit(100.0) / (1 + F.try_divide(gain, loss))
-
-
 def price_features(bars: DataFrame) -> DataFrame:
     """Thirteen price and volume columns from one shuffle on symbol."""
     w = win.per("symbol")
@@ -38,17 +31,22 @@ def price_features(bars: DataFrame) -> DataFrame:
         "_diff": F.col("close") - F.lag("close", 1).over(w),
         "ret_5d": win.pct_change("close", 5), "ret_21d": win.pct_change("close", 21),
         "ret_126d": win.pct_change("close", 126), "ret_252d": win.pct_change("close", 252)})
+    up = F.when(F.col("_diff").isNotNull(), F.greatest("_diff", F.lit(0.0)))
+    down = F.when(F.col("_diff").isNotNull(), F.greatest(-F.col("_diff"), F.lit(0.0)))
+    base = win.in_blocks(base, {"close": ("close", (50, 200)), "volume": ("volume", (63,)), "ret": ("ret_1d", (21,)), "up": (up, (14,)), "down": (down, (14,))},
+                         {"ret_1d": (21, 63)})
+    mean = lambda c, n: F.col(f"_sum_{c}_{n}") / n
     return base.select(
         *bars.columns, "ret_1d", "ret_5d", "ret_21d",
-        win.rolling_std("ret_1d", 21).alias("vol_21d"),
-        win.rolling_std("ret_1d", 63).alias("vol_63d"),
-        F.signum(win.rolling_sum("ret_1d", 21)).alias("mom_21d"),
-        rsi("_diff").alias("rsi_14"),
+        F.col("_std_ret_1d_21").alias("vol_21d"),
+        F.col("_std_ret_1d_63").alias("vol_63d"),
+        F.signum("_sum_ret_21").alias("mom_21d"),
+        (100 - F.lit(100.0) / (1 + F.try_divide(mean("up", 14), mean("down", 14)))).alias("rsi_14"),
         F.log1p("volume").alias("log_volume"),
         "ret_252d", "ret_126d",
-        F.try_divide("close", win.rolling_mean("close", 200)).alias("ma200_ratio"),
-        F.try_divide("close", win.rolling_mean("close", 50)).alias("ma50_ratio"),
-        F.try_divide("volume", win.rolling_mean("volume", 63)).alias("volume_ratio"))
+        F.try_divide("close", mean("close", 200)).alias("ma200_ratio"),
+        F.try_divide("close", mean("close", 50)).alias("ma50_ratio"),
+        F.try_divide("volume", mean("volume", 63)).alias("volume_ratio"))
 
 
 def regime_flags(feat: DataFrame) -> DataFrame:
