@@ -64,6 +64,39 @@ def test_replay_matches_a_plain_loop(spark):
         assert [x.net_pnl for x in r.trades] == pytest.approx(pnl, rel=1e-9, abs=1e-6)
 
 
+def test_replay_layers_equal_rows_laid_out_before(spark, monkeypatch):
+    """Folds and cost sets laid over a symbol's bars, in chunks that cut the table at many places."""
+    monkeypatch.setattr(rep, "CHUNK", 40)
+    rng = np.random.default_rng(4)
+    groups = {f"g{i}": (100 * np.exp(np.cumsum(rng.normal(0, 0.03, n))), rng.integers(0, 30_000, n).astype(float), rng.integers(-1, 2, n))
+              for i, n in enumerate(rng.integers(1, 60, 25))}
+    bars = bars_of(spark, groups).withColumn("day", F.dayofyear("ts"))
+    runs = F.array(*[F.struct(F.lit(i).alias("step"), (F.col("day") % 7).alias("fold"), F.lit(fee).alias("commission_per_share"),
+                              F.lit(7.0).alias("slippage_bps"), F.lit(0.1).alias("liquidity_cap")) for i, fee in enumerate((0.01, 0.0))])
+    by = ["step", "symbol", "fold"]
+    layered = bars.withColumn("runs", F.filter(runs, lambda c: (c["step"] == 0) | (F.col("day") > 5)))
+    laid = layered.withColumn("_r", F.explode("runs")).select("symbol", "ts", "open", "volume", "signal", "_r.*")
+    got = {tuple(r[c] for c in by): (r.eq, r.trades) for r in rep.replay(layered, by, layers="runs").collect()}
+    want = {tuple(r[c] for c in by): (r.eq, r.trades) for r in rep.replay(laid, by).collect()}
+    assert len(want) > 200 and got == want
+
+
+def test_missing_signals_keep_the_position_and_missing_volume_does_not_limit(spark):
+    rows = [("a", T0 + dt.timedelta(days=i), o, v, s) for i, (o, v, s) in enumerate([
+        (100.0, 50.0, 1), (100.0, None, None), (110.0, 50.0, None), (120.0, 50.0, 0), (130.0, 50.0, None)])]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, volume double, signal int")
+    r = rep.replay(bars, ["symbol"], rep.Costs(0.0, 0.0, 0.1)).collect()[0]
+    assert [e.equity for e in r.eq] == [100_000.0, 100_000.0, 110_000.0, 120_000.0, 130_000.0]
+    assert [(t.shares, t.exit_price, t.net_pnl) for t in r.trades] == [(1000, 130.0, 30_000.0)]
+
+
+def test_cost_sets_do_not_multiply_the_moved_rows(spark):
+    """Bars are shuffled and sorted once, whatever the number of cost sets."""
+    bars = bars_of(spark, {"g": ([100.0, 101.0], [9e3, 9e3], [1, 0])})
+    plan = rep.cost_decomposition(bars, rep.BACKTEST_COSTS, rep.Costs(0.0, 2.0, 0.1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
 def test_foresight_and_noise(spark):
     rng = np.random.default_rng(3)
     ret = rng.normal(0.0005, 0.015, 500)

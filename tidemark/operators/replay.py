@@ -1,17 +1,22 @@
 """Signal replay: bars and signals to equity and trades, per group.
 
 A group is one (run, fold, symbol): at most the bars of a test window, or of one
-symbol's calendar when a path runs through. Its bars are gathered into one array
-and folded on the JVM; whole-share truncation makes the path depend on all earlier
-fills, so no window expression can give the exact result.
+symbol's calendar when a path runs through. Whole-share truncation makes the path
+depend on all earlier fills, so no window expression can give the exact result.
+Spark shuffles and sorts the bars; a task walks the groups of a chunk side by side,
+one bar of each at a time.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -26,110 +31,151 @@ class Costs:
 BACKTEST_COSTS = Costs()
 PAPER_COSTS = Costs(commission_per_share=0.0)
 INITIAL_CAPITAL = 100_000.0
+COST_ORDER = ("commission_per_share", "slippage_bps", "liquidity_cap")
 
+_POINT = "struct<ts:timestamp,equity:double,ret:double>"
 _TRADE = ("struct<ts:timestamp,entry_price:double,exit_price:double,shares:bigint,"
           "gross_pnl:double,commission:double,net_pnl:double>")
 
+#: Bars that one step of a task works on, at least one whole group.
+CHUNK = 250_000
+#: Stands for a missing signal: the position is kept.
+_HOLD = 9
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _trade(ts, entry, fill, pos, fee) -> Column:
-    shares = F.abs(pos)
-    gross = shares * (fill - entry) * F.signum(pos.cast("double"))
-    round_trip = shares * fee * 2
-    return F.struct(ts.alias("ts"), entry.alias("entry_price"), fill.alias("exit_price"), shares.alias("shares"),
-                    gross.alias("gross_pnl"), round_trip.alias("commission"), (gross - round_trip).alias("net_pnl"))
-
-
-_POINT = "struct<ts:timestamp,equity:double>"
-
-
-def _bar(acc: Column, bar: Column) -> Column:
-    """Scalar state after one bar: fill the pending signal, mark equity, close at the end."""
-    slip, fee, cap = bar["slip"], bar["fee"], bar["cap"]
-    side = F.signum(acc["pos"].cast("double")).cast("int")
-    target = F.coalesce(bar["target"], side)
-    moves = target != side
-    closes = moves & (acc["pos"] != 0)
-    exit_fill = bar["open"] * (1 - slip * side)
-    cash = F.when(closes, acc["cash"] + (acc["pos"] * exit_fill - F.abs(acc["pos"]) * fee)).otherwise(acc["cash"])
-    closed = F.when(closes, F.array(_trade(bar["ts"], acc["entry"], exit_fill, acc["pos"], fee))).otherwise(
-        F.array().cast(f"array<{_TRADE}>"))
-    fill = bar["open"] * (1 + slip * target)
-    mid = F.struct(cash.alias("cash"), F.when(closes, 0).otherwise(acc["pos"]).alias("pos"),
-                   moves.alias("moves"), target.alias("target"), fill.alias("fill"), closed.alias("closed"))
-
-    def opened(m: Column) -> Column:
-        affordable = F.when(m["fill"] > 0, F.try_divide(m["cash"], m["fill"]).cast("bigint")).otherwise(0)
-        shares = F.when(m["moves"] & (m["target"] != 0), F.greatest(
-            F.lit(0), F.least(affordable, (bar["volume"] * cap).cast("bigint")))).otherwise(0)
-        return _let(shares.cast("bigint"), lambda n: F.struct(
-            (m["cash"] - (m["target"] * n * m["fill"] + n * fee)).alias("cash"),
-            F.when(m["moves"], n * m["target"]).otherwise(m["pos"]).cast("bigint").alias("pos"),
-            F.when(n > 0, m["fill"]).when(m["moves"], F.lit(0.0)).otherwise(acc["entry"]).alias("entry"),
-            m["closed"].alias("closed")))
-
-    def settled(s: Column) -> Column:
-        forced = bar["last"] & (s["pos"] != 0)
-        out = bar["open"] * (1 - slip * F.signum(s["pos"].cast("double")))
-        end_cash = s["cash"] + (s["pos"] * out - F.abs(s["pos"]) * fee)
-        equity = F.when(forced, end_cash).otherwise(s["cash"] + s["pos"] * bar["open"])
-        done = F.when(forced, F.concat(s["closed"], F.array(_trade(bar["ts"], s["entry"], out, s["pos"], fee)))).otherwise(s["closed"])
-        return F.struct(
-            F.when(forced, end_cash).otherwise(s["cash"]).alias("cash"),
-            F.when(forced, F.lit(0)).otherwise(s["pos"]).cast("bigint").alias("pos"), s["entry"].alias("entry"),
-            F.struct(bar["ts"].alias("ts"), equity.alias("equity")).alias("point"), done.alias("done"))
-
-    return _let(_let(mid, opened), settled)
 
+def _walk(starts: np.ndarray, sizes: np.ndarray, open_: np.ndarray, volume: np.ndarray, target: np.ndarray, slip: np.ndarray,
+          fee: np.ndarray, cap: np.ndarray, capital: float) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Bar by bar over all groups side by side: fill the pending signal, mark equity, close at the end.
 
-def _logged(acc: Column) -> tuple[Column, Column]:
-    """The two logs with the last bar's entries added."""
-    last = acc["bar"]
-    eq = F.when(last["point"].isNull(), acc["eq"]).otherwise(F.array_append(acc["eq"], last["point"]))
-    trades = F.when(F.size(last["done"]) > 0, F.concat(acc["trades"], last["done"])).otherwise(acc["trades"])
-    return eq, trades
-
-
-def _step(acc: Column, bar: Column) -> Column:
-    """Logs grow one bar late, so that the copied part of the state stays scalar."""
-    eq, trades = _logged(acc)
-    return F.struct(_bar(acc["bar"], bar).alias("bar"), eq.alias("eq"), trades.alias("trades"))
+    Returns the equity after every bar and the two trades a bar can close, at its open and at the
+    group's end, as (position, entry, exit) per bar, position 0 where there is none. NaN is missing.
+    """
+    equity_ = np.empty(len(open_))
+    closed, forced = ([np.zeros(len(open_)) for _ in range(3)] for _ in range(2))
+    longest = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[longest], sizes[longest]
+    cash, pos, entry = np.full(len(starts), capital), np.zeros(len(starts)), np.zeros(len(starts))
+    left = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # groups that have a bar number j
+    for j, k in enumerate(left):
+        i = starts[:k] + j
+        cash, pos, entry, o, s, f = cash[:k], pos[:k], entry[:k], open_[i], slip[i], fee[i]
+        side = np.sign(pos)
+        want = np.where(target[i] == _HOLD, side, target[i])
+        moves = want != side
+        shut = moves & (pos != 0)
+        out = o * (1 - s * side)
+        cash = np.where(shut, cash + (pos * out - np.abs(pos) * f), cash)
+        for log, v in zip(closed, (pos, entry, out)):
+            log[i[shut]] = v[shut]
+        fill = o * (1 + s * want)
+        affordable = np.where(fill > 0, np.trunc(cash / fill), 0.0)
+        shares = np.where(moves & (want != 0), np.fmax(0.0, np.fmin(affordable, np.trunc(volume[i] * cap[i]))), 0.0)
+        cash = cash - (want * shares * fill + shares * f)
+        pos = np.where(moves, shares * want, pos)
+        entry = np.where(shares > 0, fill, np.where(moves, 0.0, entry))
+        ends = (sizes[:k] == j + 1) & (pos != 0)
+        out = o * (1 - s * np.sign(pos))
+        equity_[i] = np.where(ends, cash + (pos * out - np.abs(pos) * f), cash + pos * o)
+        for log, v in zip(forced, (pos, entry, out)):
+            log[i[ends]] = v[ends]
+    return equity_, [tuple(closed), tuple(forced)]
+
+
+def _spread(rows: pa.Table, group: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Bars of whole groups laid out once per layer: the layers' fields, each entry's bar, and the groups' first entries."""
+    cells = rows["_layers"].combine_chunks()
+    of, flat = pc.list_parent_indices(cells).to_numpy(), pc.list_flatten(cells)
+    fields = pa.table(flat.flatten(), [f.name for f in flat.type])
+    key = group[of]
+    for name in fields.column_names:
+        found = fields[name].combine_chunks().dictionary_encode()
+        key = key * (len(found.dictionary) + 1) + found.indices.fill_null(len(found.dictionary)).to_numpy(zero_copy_only=False)
+    line = np.argsort(key, kind="stable")
+    key = key[line]
+    return fields.take(pa.array(line)), of[line], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
+def _replayed(rows: pa.Table, by: Sequence[str], capital: float) -> pa.RecordBatch:
+    """One row per group, from bars of whole groups that follow each other by time."""
+    plain = lambda c: c.combine_chunks().to_numpy(zero_copy_only=False)
+    last = plain(rows["last"])
+    starts, bar, layers = np.flatnonzero(np.concatenate([[True], last[:-1]])), None, {}
+    if "_layers" in rows.column_names:
+        fields, bar, starts = _spread(rows, np.cumsum(last) - last)
+        layers = {c: fields[c] for c in fields.column_names}
+        rows = rows.drop_columns(["_layers"])
+    lay = lambda c: layers[c] if c in layers else rows[c] if bar is None else rows[c].take(pa.array(bar))
+    number = lambda c: plain(lay(c)).astype(float)
+    signal, slip, fee = number("signal"), number("slippage_bps") / 10_000, number("commission_per_share")
+    bounds = np.concatenate([starts, [len(signal)]])
+    target = np.concatenate([[_HOLD], signal[:-1]])
+    target[starts] = _HOLD
+    with np.errstate(all="ignore"):
+        equity_, kinds = _walk(starts, np.diff(bounds), number("open"), number("volume"), target, slip, fee, number("liquidity_cap"), capital)
+        before = np.concatenate([[np.nan], equity_[:-1]])
+        before[starts] = np.nan
+        ret = equity_ / np.where(before == 0, np.nan, before) - 1
+        at = np.concatenate([np.flatnonzero(k[0]) for k in kinds])
+        pos, entry, out = (np.concatenate([k[c][k[0] != 0] for k in kinds]) for c in range(3))
+        line = np.argsort(at, kind="stable")
+        at, pos, entry, out = at[line], pos[line], entry[line], out[line]
+        shares = np.abs(pos)
+        gross, paid = shares * (out - entry) * np.sign(pos), shares * fee[at] * 2
+    ts = lay("ts").combine_chunks()
+    nulls = lambda x: pa.array(x, from_pandas=True)
+    points = pa.StructArray.from_arrays([ts, nulls(equity_), nulls(ret)], ["ts", "equity", "ret"])
+    log = pa.StructArray.from_arrays(
+        [ts.take(pa.array(at)), nulls(entry), nulls(out), pa.array(shares.astype("int64")), nulls(gross), nulls(paid), nulls(gross - paid)],
+        ["ts", "entry_price", "exit_price", "shares", "gross_pnl", "commission", "net_pnl"])
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for ends, x in ((bounds, points), (np.searchsorted(at, bounds), log))]
+    keys = [lay(c).combine_chunks().take(pa.array(starts)) for c in by]
+    return pa.RecordBatch.from_arrays([*keys, *lists], [*by, "eq", "trades"])
 
 
 def replay(bars: DataFrame, by: Sequence[str], costs: Costs | None = None, capital: float = INITIAL_CAPITAL,
-           signal: str = "signal") -> DataFrame:
+           signal: str = "signal", layers: str | None = None) -> DataFrame:
     """One row per group with arrays ``eq`` and ``trades``.
 
     ``bars`` has ts, open, volume and a signal in {-1, 0, 1}; a signal at one bar
     fills at the next bar's open. Without ``costs`` the columns
     commission_per_share, slippage_bps and liquidity_cap are read from the rows, so
-    that a cost set can be a group key.
+    that a cost set can be a group key. ``eq`` holds each bar's equity and its
+    return on the bar before, none at a group's first bar.
+
+    ``layers`` names an array of structs: the runs a bar takes part in (folds, cost sets). Their fields
+    stand beside the bar's columns, as keys in ``by`` or as costs; a bar is moved and sorted
+    once for all its layers.
     """
-    w = Window.partitionBy(*by).orderBy("ts")
-    if costs is not None:
-        bars = bars.withColumns({k: F.lit(v) for k, v in vars(costs).items()})
+    inner = bars.schema[layers].dataType.elementType if layers else T.StructType()
+    own = [c for c in by if c not in inner.names]
+    w = Window.partitionBy(*own).orderBy("ts")
+    fixed = vars(costs) if costs is not None else {}
     rows = bars.select(
-        *by, "ts", F.col("open").cast("double"), F.col("volume").cast("double"),
-        F.lag(F.col(signal).cast("int")).over(w).alias("target"),
-        F.lead("ts").over(w).isNull().alias("last"), (F.col("slippage_bps") / 10_000).alias("slip"),
-        F.col("commission_per_share").alias("fee"), F.col("liquidity_cap").alias("cap"))
-    path = F.sort_array(F.collect_list(F.struct("ts", "open", "volume", "target", "last", "slip", "fee", "cap")))
-    first = F.struct(F.lit(float(capital)).alias("cash"), F.lit(0).cast("bigint").alias("pos"), F.lit(0.0).alias("entry"),
-                     F.lit(None).cast(_POINT).alias("point"), F.array().cast(f"array<{_TRADE}>").alias("done"))
-    start = F.struct(first.alias("bar"), F.array().cast(f"array<{_POINT}>").alias("eq"),
-                     F.array().cast(f"array<{_TRADE}>").alias("trades"))
-
-    def logs(acc: Column) -> Column:
-        eq, done = _logged(acc)
-        return F.struct(eq.alias("eq"), done.alias("trades"))
-
-    grouped = rows.groupBy(*by).agg(path.alias("_path"))
-    folded = grouped.select(*by, F.aggregate("_path", start, _step, logs).alias("_s"))
-    return folded.select(*by, F.col("_s.eq").alias("eq"), F.col("_s.trades").alias("trades"))
+        *own, "ts", F.col("open").cast("double"), F.col("volume").cast("double"), F.coalesce(F.col(signal).cast("int"), F.lit(_HOLD)).alias("signal"),
+        *[(F.lit(fixed[c]) if fixed else F.col(c)).alias(c) for c in COST_ORDER if c not in inner.names],
+        F.lead("ts").over(w).isNull().alias("last"), *([F.col(layers).alias("_layers")] if layers else []))
+    # The window has put a group's bars into one task, in this order already.
+    lined = rows.sortWithinPartitions(*own, "ts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(pc.list_flatten(b.column("_layers"))) if layers else b.num_rows
+            if n < CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            ends = np.flatnonzero(table["last"].combine_chunks().to_numpy(zero_copy_only=False))
+            whole = int(ends[-1]) + 1 if len(ends) else 0
+            if whole:
+                yield _replayed(table.slice(0, whole), by, capital)
+                held, n = table.slice(whole).to_batches(), 0
+        if held:
+            yield _replayed(pa.Table.from_batches(held), by, capital)
+
+    keys = [T.StructField(c, (inner if c in inner.names else rows.schema)[c].dataType) for c in by]
+    logs = [T.StructField(c, T.ArrayType(T.DataType.fromDDL(kind))) for c, kind in (("eq", _POINT), ("trades", _TRADE))]
+    return lined.mapInArrow(run, T.StructType([*keys, *logs]))
 
 
 def equity(replayed: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -148,7 +194,8 @@ def bar_returns(eq: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def replay_returns(bars: DataFrame, by: Sequence[str], costs: Costs | None = None, **kw) -> DataFrame:
-    return bar_returns(equity(replay(bars, by, costs, **kw), by), by)
+    points = replay(bars, by, costs, **kw).select(*by, F.explode("eq").alias("_e"))
+    return points.select(*by, "_e.ts", "_e.equity", "_e.ret").where("ret IS NOT NULL")
 
 
 def cross_section_mean(rows: DataFrame, by: Sequence[str], value: str = "ret") -> DataFrame:
@@ -198,9 +245,6 @@ def always_long_growth(benchmark: DataFrame, days: DataFrame, costs: Costs = BAC
     return eq.select("ts", F.try_divide("equity", first).alias("growth"))
 
 
-COST_ORDER = ("commission_per_share", "slippage_bps", "liquidity_cap")
-
-
 def cost_steps(a: Costs, b: Costs) -> list[tuple[int, str, Costs]]:
     """Cost sets from ``a`` to ``b``, one differing parameter switched at a time."""
     steps, current = [(0, "start", a)], dict(vars(a))
@@ -211,16 +255,15 @@ def cost_steps(a: Costs, b: Costs) -> list[tuple[int, str, Costs]]:
     return steps
 
 
-def _with_costs(bars: DataFrame, steps: Sequence[tuple[int, str, Costs]]) -> DataFrame:
-    sets = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("changed"),
+def _cost_sets(steps: Sequence[tuple[int, str, Costs]]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("changed"),
                               *[F.lit(float(v)).alias(k) for k, v in vars(c).items()]) for i, n, c in steps])
-    return bars.withColumn("_c", F.explode(sets)).select(*bars.columns, "_c.*")
 
 
 def cost_decomposition(bars: DataFrame, a: Costs = BACKTEST_COSTS, b: Costs = PAPER_COSTS, key: str = "symbol") -> DataFrame:
     """Growth multiple after each cost switch and the relative change it caused."""
     by = [key, "step", "changed"]
-    rep_ = replay(_with_costs(bars, cost_steps(a, b)), by)
+    rep_ = replay(bars.withColumn("_sets", _cost_sets(cost_steps(a, b))), by, layers="_sets")
     mult = rep_.select(*by, F.size("trades").alias("n_trades"), F.try_divide(
         F.element_at("eq", -1)["equity"], F.element_at("eq", 1)["equity"]).alias("multiple"))
     w = Window.partitionBy(key).orderBy("step")
