@@ -62,17 +62,20 @@ def with_positions(panel: DataFrame) -> DataFrame:
 
 def assign_folds(positioned: DataFrame, wf: WalkForward, roles: tuple[str, ...] = ("train", "test")) -> DataFrame:
     """One row per (row, fold, role)."""
+    return positioned.withColumn("_c", F.explode(fold_cells(wf, roles))).select(
+        *positioned.columns, "_c.fold", "_c.role")
+
+
+def fold_cells(wf: WalkForward, roles: tuple[str, ...] = ("train", "test")) -> Column:
+    """Array of (fold, role) of a row, from its ``pos`` and ``n_days``."""
     if wf.train <= wf.gap:
-        return positioned.withColumns({"fold": F.lit(None).cast("bigint"), "role": F.lit("")}).where(F.lit(False))
-    pos, n = F.col("pos"), F.col("n_days")
+        return F.array().cast("array<struct<fold:bigint,role:string>>")
 
     def cells_of(role: str) -> Column:
-        return F.transform(_folds_of(pos, n, wf, role), lambda f: F.struct(
+        return F.transform(_folds_of(F.col("pos"), F.col("n_days"), wf, role), lambda f: F.struct(
             f.cast("bigint").alias("fold"), F.lit(role).alias("role")))
 
-    cells = [cells_of(role) for role in roles]
-    return positioned.withColumn("_c", F.explode(F.concat(*cells))).select(
-        *positioned.columns, "_c.fold", "_c.role")
+    return F.concat(*[cells_of(role) for role in roles])
 
 
 def fold_accounting(assigned: DataFrame) -> DataFrame:

@@ -513,7 +513,7 @@ def _(t):
 p AS (SELECT split_part(g, '|', 1) AS sample, CAST(split_part(g, '|', 2) AS BIGINT) AS fold, ts, avg(ret) AS ret FROM eq_ret GROUP BY 1, 2, 3)
 SELECT fold, sample, n_bars, sharpe FROM ({metrics_sql('p', 'sample, fold')})""")
 def _(t):
-    rows = spl.assign_folds(panel(t, "mom_21d"), WF).withColumnRenamed("role", "sample")
-    ret = rep.replay_returns(rows.withColumn("signal", rep.sign_signal("mom_21d")), ["sample", "fold", "symbol"], rep.BACKTEST_COSTS)
-    m = met.return_metrics(rep.cross_section_mean(ret, ["sample", "fold"]), ["sample", "fold"])
-    return m.select("fold", "sample", "n_bars", r("sharpe", "sharpe"))
+    rows = panel(t, "mom_21d").withColumns({"_cells": spl.fold_cells(WF), "signal": rep.sign_signal("mom_21d")}).where(F.size("_cells") > 0)
+    ret = rep.replay_returns(rows, ["role", "fold", "symbol"], rep.BACKTEST_COSTS, layers="_cells")
+    m = met.return_metrics(rep.cross_section_mean(ret, ["role", "fold"]), ["role", "fold"])
+    return m.select("fold", F.col("role").alias("sample"), "n_bars", r("sharpe", "sharpe"))
