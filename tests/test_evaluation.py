@@ -414,3 +414,34 @@ def test_absent_dataset_is_empty(spark, tmp_path):
 def test_keep_latest_breaks_ties_by_content(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 1, "b"), ("k", 0, "z")], "id string, v int, s string")
     assert keep_latest(df, ["id"], "v").first().s == "b"
+
+
+def test_draws_told_from_digits_equal_those_of_numbers(spark):
+    """Also next to the bounds, where a number and its digits could fall apart."""
+    parts = (F.lit(9), F.col("id"), F.lit("S1|5"))
+    got = spark.range(20_000).select(st.poisson_draw(*parts).alias("a"), st.poisson_weight(st.uniform(*parts)).alias("b"))
+    assert got.where("a <> b").count() == 0
+    assert got.agg(F.max("a")).first()[0] >= 5
+
+
+def test_forecasts_are_written_once_a_query(spark, monkeypatch):
+    from tidemark.plans import stats_q
+    from tidemark.sources.derive import Tables
+
+    built = []
+    t = Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(t, "bars", lambda real=t.bars: built.append(1) or real())
+    a, b = stats_q.paired(t), stats_q.paired(t, "err")
+    assert len(built) == 1 and a.count() == b.count() > 0
+
+
+def test_importance_of_three_stretches_from_one_pass(spark):
+    from tidemark.plans import stats_q
+    from tidemark.sources.derive import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    cols = lambda df, *names: {r.feature: tuple(r[n] for n in names) for r in df.collect()}
+    both = cols(stats_q.importance_views(t, again="1998-01-01"), "a", "b", "c")
+    early, late = cols(stats_q.importance_views(t, split="1998-01-01"), "a"), cols(stats_q.importance_views(t), "a", "b")
+    for f, (a, b, c) in both.items():
+        assert (a, b) == pytest.approx(late[f], rel=1e-9) and c == pytest.approx(early[f][0], rel=1e-9)

@@ -92,6 +92,19 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def joined_correlation(keep: Column) -> Column:
+    """Pearson correlation aggregate over the kept parts of a sample, each given by its moments
+    (n, mx, my, vx, vy, cxy); NULL when a side is constant."""
+    parts = F.collect_list(F.when(keep & (F.col("n") > 0), F.struct("n", "mx", "my", "vx", "vy", "cxy")))
+    total = lambda part: F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["n"] * part(p))
+    n = total(lambda p: F.lit(1.0))
+    mx, my = (F.try_divide(total(lambda p, m=m: p[m]), n) for m in ("mx", "my"))
+    vx = total(lambda p: p["vx"] + (p["mx"] - mx) * (p["mx"] - mx))
+    vy = total(lambda p: p["vy"] + (p["my"] - my) * (p["my"] - my))
+    cxy = total(lambda p: p["cxy"] + (p["mx"] - mx) * (p["my"] - my))
+    return F.try_divide(cxy, F.sqrt(vx) * F.sqrt(vy))
+
+
 def finite(x: Column) -> Column:
     """NULL for NaN and infinities."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
