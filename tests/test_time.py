@@ -195,3 +195,30 @@ def test_aligned_series_keep_rows_and_missing_columns_are_named(spark):
     assert missing_set_columns(f.limit(0), {"s": ["x"]}).count() == 0
     ranked = {(r.symbol, r.feature): (r.importance, r["rank"]) for r in importance_ranks(f, ["x", "z"], "y").collect()}
     assert ranked == {("A", "x"): (1, 1.5), ("A", "z"): (1, 1.5), ("B", "x"): (1, 1.0), ("B", "z"): (0, 2.0)}
+
+
+def test_moving_frames_of_chunks_equal_windows(spark, monkeypatch):
+    """Long frames taken over chunks of whole groups, against windows: gaps, short groups, cuts at many places."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import windows as win
+
+    monkeypatch.setattr(win, "CHUNK", 64)
+    rnd = random.Random(8)
+    rows = [(f"S{g}" if g else None, dt.datetime(2000, 1, 1) + dt.timedelta(k), None if rnd.random() < 0.01 else (7.0 if g == 3 else rnd.uniform(1, 9)))
+            for g in range(30) for k in range(rnd.choice((1, 20, 21, 70, 150)))]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double").repartition(3)
+    new = win.in_blocks(df, {"x": ("x", (14, 63))}, {"x": (21, 63)})
+    old = df.withColumns({"_sum_x_14": win.rolling_sum("x", 14), "_sum_x_63": win.rolling_sum("x", 63),
+                          "_std_x_21": win.rolling_std("x", 21), "_std_x_63": win.rolling_std("x", 63)})
+    got, want = ({(r.symbol, r.ts): r for r in d.collect()} for d in (new, old))
+    assert got.keys() == want.keys() and sum(r._std_x_63 is not None for r in want.values()) > 100
+    for k, r in want.items():
+        for c in new.columns[2:]:
+            assert (got[k][c] is None) == (r[c] is None)
+            assert r[c] is None or abs(got[k][c] - r[c]) <= 1e-11 * max(1.0, abs(r[c]))
+    assert {got[k]._std_x_21 for k in got if k[0] == "S3"} <= {None, 0.0}
+    assert "MapInArrow" in new._jdf.queryExecution().optimizedPlan().toString()

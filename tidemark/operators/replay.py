@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.windows import whole_groups
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -157,21 +159,12 @@ def replay(bars: DataFrame, by: Sequence[str], costs: Costs | None = None, capit
     # The window has put a group's bars into one task, in this order already.
     lined = rows.sortWithinPartitions(*own, "ts")
 
+    def weigh(b: pa.RecordBatch) -> int:
+        return len(pc.list_flatten(b.column("_layers"))) if layers else b.num_rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += len(pc.list_flatten(b.column("_layers"))) if layers else b.num_rows
-            if n < CHUNK:
-                continue
-            table = pa.Table.from_batches(held)
-            ends = np.flatnonzero(table["last"].combine_chunks().to_numpy(zero_copy_only=False))
-            whole = int(ends[-1]) + 1 if len(ends) else 0
-            if whole:
-                yield _replayed(table.slice(0, whole), by, capital)
-                held, n = table.slice(whole).to_batches(), 0
-        if held:
-            yield _replayed(pa.Table.from_batches(held), by, capital)
+        for table in whole_groups(batches, CHUNK, weigh):
+            yield _replayed(table, by, capital)
 
     keys = [T.StructField(c, (inner if c in inner.names else rows.schema)[c].dataType) for c in by]
     logs = [T.StructField(c, T.ArrayType(T.DataType.fromDDL(kind))) for c, kind in (("eq", _POINT), ("trades", _TRADE))]

@@ -101,7 +101,7 @@ _COMPLETE = f"SELECT * FROM ({_PANEL}) WHERE mom_21d IS NOT NULL AND y IS NOT NU
 
 
 def complete_panel(t):
-    f = feat.price_features(t.bars()).withColumn("y", lab.forward_return(1))
+    f = feat.price_features(t.bars().withColumn("y", lab.forward_return(1)))
     return materialized(f.select("symbol", "ts", "open", "volume", "mom_21d", "y").dropna())
 
 

@@ -27,7 +27,7 @@ def r(x, alias, digits=6):
 
 
 def panel(t, *columns):
-    f = feat.price_features(t.bars()).withColumn("y", lab.forward_return(1))
+    f = feat.price_features(t.bars().withColumn("y", lab.forward_return(1)))
     return spl.with_positions(materialized(f.select("symbol", "ts", "open", "volume", *columns, "y").dropna()))
 
 
@@ -112,7 +112,7 @@ WITH p AS (SELECT f.symbol, f.ts, ret_5d, vol_21d, lead(b."close") OVER (PARTITI
 c AS (SELECT * FROM p WHERE ret_5d IS NOT NULL AND vol_21d IS NOT NULL), tr AS (SELECT * FROM c WHERE y IS NOT NULL), ri AS ({ridge_sql('tr', 'symbol', 'ret_5d', 'vol_21d')})
 SELECT symbol, ts, {r6('b0 + b1 * ret_5d + b2 * vol_21d','forecast',8)}, n AS n_rows FROM c JOIN ri USING (symbol) WHERE n >= 30 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1""")
 def _(t):
-    f = feat.price_features(t.bars()).withColumn("y", lab.forward_return(1))
+    f = feat.price_features(t.bars().withColumn("y", lab.forward_return(1)))
     return mod.latest_row_scores(f, ["ret_5d", "vol_21d"]).select("symbol", "ts", r("forecast", "forecast", 8), "n_rows")
 
 

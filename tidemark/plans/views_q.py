@@ -67,7 +67,7 @@ o AS (SELECT split_part(g, '|', 1) AS symbol, ts, ret FROM eq_ret)"""
 
 @query("abl_01_single_symbol_walkforward", f"WITH RECURSIVE {_OWN} {metrics_sql('o', 'symbol')}")
 def _(t):
-    f = feat.price_features(t.bars()).withColumn("y", lab.forward_return(1))
+    f = feat.price_features(t.bars().withColumn("y", lab.forward_return(1)))
     rows = materialized(f.select("symbol", "ts", "open", "volume", "mom_21d", "y").dropna())
     own = Window.partitionBy("symbol")  # each symbol has its own calendar here
     placed = rows.withColumns({"pos": (F.row_number().over(own.orderBy("ts")) - 1).cast("bigint"), "n_days": F.count(F.lit(1)).over(own)})
