@@ -143,3 +143,77 @@ def test_long_frames_from_short_ones(spark):
     assert (both["_std_x_63"] == 0).sum() == (both["w_std_x_63"] == 0).sum() > 0
     frames = out._jdf.queryExecution().analyzed().toString()
     assert "-199" not in frames and "-62" not in frames
+
+
+def test_columns_are_counted_without_becoming_rows(spark):
+    """Values of all columns are counted over columns; gaps, infinities, signed zeros and rows without a day included."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import monitor as mon
+
+    rng = random.Random(7)
+    special = (None, float("nan"), 0.0, -0.0, 5e-324, -3.5)
+    rows = [(None if i % 97 == 0 else dt.datetime(2020, 1, 1) + dt.timedelta(i % 40), rng.choice(special) if i % 3 == 0 else rng.gauss(0, 10 ** (i % 5)),
+             1.0 if i % 2 else None, None) for i in range(6000)]
+    panel = spark.createDataFrame(rows, "ts timestamp, a double, b double, c double").repartition(5)
+    days = mon.feature_days(panel, ["a", "b", "c"], recent=10)
+    values, places = mon.feature_values(panel, ["a", "b", "c"], days)
+    for df in (days, values):
+        assert "Generate" not in df._jdf.queryExecution().analyzed().toString()
+    pdf = pd.DataFrame(rows, columns=["ts", "a", "b", "c"])
+    got = {(r.feature, r.day): r for r in days.collect()}
+    assert len(got) == 3 * 41
+    for c in "abc":
+        for day, g in pdf.groupby(pdf.ts.dt.date, dropna=False)[c]:
+            x, r = g.dropna().to_numpy(float), got[(c, None if pd.isna(day) else day)]
+            assert (r.n_rows, r.n) == (len(g), len(x))
+            if len(x):
+                assert (r.mean, r.m2, r.low, r.high) == pytest.approx((x.mean(), x.var() * len(x), x.min(), x.max()), rel=1e-9, abs=1e-9)
+            else:
+                assert r.mean is r.low is r.high is None
+    dated = pdf[pdf.ts.notna()]
+    old = dated[dated.ts < pd.Timestamp(2020, 1, 31)].a.dropna().to_numpy(float)
+    edges = {r.feature: r.edges for r in mon.baseline_edges(values, places).collect()}
+    assert edges["a"] == pytest.approx(sorted(set(np.quantile(old, np.linspace(0, 1, 11)))), rel=1e-12) and edges["b"] == [1.0] and "c" not in edges
+    bars = {r.bar: r.n for r in values.where("feature = 'a'").groupBy("bar").agg(F.sum("n").alias("n")).collect()}
+    whole = pdf.a.dropna().to_numpy(float)
+    assert bars == {i: n for i, n in enumerate(np.histogram(whole, 20)[0]) if n}
+    assert values.where("feature = 'a' AND is_recent IS NULL").agg(F.sum("n")).first()[0] == pdf[pdf.ts.isna()].a.notna().sum()
+
+
+def test_daily_document_windows_take_one_line_a_symbol(spark):
+    """Windows of whole days against plain sums: gaps, days without scores, repeated bars, a lookback of no days."""
+    from tidemark.operators.timejoin import document_windows
+
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    docs = [(rng.choice("AB"), None if i % 50 == 0 else start + dt.timedelta(hours=rng.randrange(24 * 120)), None if i % 7 == 0 else rng.uniform(-1, 1)) for i in range(400)]
+    bars = [(s, (start + dt.timedelta(d)).date()) for s in "ABC" for d in range(0, 150, 3)] * 2
+    ddf, bdf = spark.createDataFrame(docs, "symbol string, published_at timestamp, sentiment_score double"), spark.createDataFrame(bars, "symbol string, ts date")
+    for back in (30, 1, 0):
+        out = document_windows(ddf, bdf, back)
+        got = {(r.symbol, r.ts): r for r in out.collect()}
+        assert len(got) == out.count() == len(set(bars))
+        for s, day in set(bars):
+            x = [v for k, at, v in docs if k == s and at is not None and v is not None and day - dt.timedelta(back) <= at.date() < day]
+            r = got[(s, day)]
+            assert (r.doc_count, r.has_coverage) == (len(x), bool(x)) and r.sentiment_score == pytest.approx(sum(x) / len(x) if x else 0.0, abs=1e-12)
+    assert document_windows(ddf, bdf, 30)._jdf.queryExecution().executedPlan().toString().count("explode") == 0
+
+
+def test_ranks_do_not_compute_their_columns_twice(spark, monkeypatch):
+    """Where no day has many rows, the plain row counts tell so and the columns are not aggregated first."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import ranks
+
+    rows = spark.range(300).select(F.timestamp_seconds(F.col("id") % 3 * 86400).alias("ts"), F.col("id").cast("string").alias("symbol"), (F.col("id") % 7).cast("double").alias("x"))
+    plain = {(r.symbol, r.ts): r.xs_rank_x for r in ranks.percent_rank_columns(rows, ["x"]).collect()}
+    cut = {(r.symbol, r.ts): r.xs_rank_x for r in ranks.percent_rank_columns(rows, ["x"], rows=rows, crowded=20).collect()}
+
+    def unasked(df):
+        raise AssertionError("no list of crowded days is needed")
+
+    monkeypatch.setattr(ranks, "materialized", unasked)
+    assert {(r.symbol, r.ts): r.xs_rank_x for r in ranks.percent_rank_columns(rows, ["x"], rows=rows).collect()} == plain == cut

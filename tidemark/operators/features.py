@@ -73,7 +73,7 @@ def build_features(bars: DataFrame, macro: DataFrame | None = None, docs: DataFr
     """The full feature table; warm-up rows stay, with NULLs.
 
     ``daily`` states that bars are whole days stamped at midnight: document windows then work on days.
-    Bars are used twice where there are documents, so pass a written table if they are costly.
+    Bars are used again for documents and for ranks, so pass a written table if they are costly.
 
     ``asof`` cuts bars, observations and documents before any window: Catalyst cannot move
     a time filter below one, and look-ahead is ruled out by construction.
@@ -91,7 +91,7 @@ def build_features(bars: DataFrame, macro: DataFrame | None = None, docs: DataFr
         marks = bars.select("symbol", F.to_date("ts").alias("ts") if daily else "ts")
         windows = document_windows(docs, marks, lookback_days)
         feat = feat.join(windows.withColumn("ts", F.col("ts").cast("timestamp")) if daily else windows, ["symbol", "ts"], "left")
-    return percent_rank_columns(feat, RANKED) if ranks else feat
+    return percent_rank_columns(feat, RANKED, rows=bars) if ranks else feat
 
 
 def crossover_signal(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:

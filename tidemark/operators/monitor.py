@@ -1,8 +1,10 @@
 """Feed freshness and feature drift."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,54 +56,127 @@ def freshness_gate(labelled: DataFrame) -> DataFrame:
     return out.withColumn("passed", (F.col("false_stale") == 0) & (F.col("missed_stale") == 0) & (F.col("n_cases") > 0))
 
 
-#: Value buckets per power of two, in which a column's values are first counted.
-FINE = 1024
+#: Leading bits of a double that make a value bucket: sign, exponent and ten of the fraction, 1024 buckets per power of two.
+SHIFT = 42
 HIST_BINS = 20
+#: Rows that one step of a task counts.
+CHUNK = 200_000
 
 
-def _value_bucket(x: Column) -> Column:
-    """A whole number that never falls while x grows: sign and logarithm in small steps."""
-    size = F.floor(F.log2(F.abs(x)) * FINE) + (1 << 21)
-    return F.when(x == 0, 0).when(x > 0, size).otherwise(-size)
+def _value_bucket(x: np.ndarray) -> np.ndarray:
+    """A whole number that never falls while x grows: the leading bits of the double, which order like its size."""
+    size = (np.abs(x).view(np.int64) >> SHIFT) + 1
+    return np.where(x == 0, 0, np.where(x > 0, size, -size))
 
 
-def _tall(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(day, number, x): every value under the number of its column; x is NULL where it is missing."""
-    cells = ", ".join(f"{i}, nullif(CAST(`{c}` AS DOUBLE), double('NaN'))" for i, c in enumerate(columns))
-    return panel.select(F.to_date("ts").alias("day"), F.expr(f"stack({len(columns)}, {cells}) AS (number, x)"))
+def _wide(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(day, _x0, _x1, ...): the day from 1970 and the columns as doubles, for tasks that count over them."""
+    return panel.select(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"),
+                        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
 
 
-def _picked(values: Sequence, kind: str) -> Column:
-    """The constant that belongs to a row's column."""
-    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("number"))
+def _named(columns: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col("number"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def feature_days(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
     """Per feature and day: rows, values, their mean and spread, extremes; whether the day is recent.
 
-    Recent are the last ``recent`` days on which the feature has a value. One row per feature
-    and calendar day is left, so what follows about dates is a window over that.
+    Recent are the last ``recent`` days on which the feature has a value. A task adds up the columns of a
+    chunk of rows by day; then a day's few pieces are put together. One row per feature and calendar day
+    is left, so what follows about dates is a window over that.
     """
-    x = F.col("x")
-    days = _tall(panel, columns).groupBy("number", "day").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), F.avg(x).alias("mean"),
-        (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("low"), F.max(x).alias("high"))
-    days = days.withColumn("feature", _picked(columns, "string")).drop("number")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            day = table["day"].combine_chunks()
+            # A missing day comes first, as a day of its own.
+            number = day.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+            order = slice(None) if (np.diff(number) >= 0).all() else np.argsort(number, kind="stable")
+            at = np.flatnonzero(np.append(True, np.diff(number[order]) != 0))
+            where, rows = np.append(at, len(number)), pa.array(np.diff(np.append(at, len(number))))
+            own = day.take(pa.array(np.arange(len(number))[order][at]))
+            for i in range(len(columns)):
+                x = table[f"_x{i}"].combine_chunks().to_numpy(zero_copy_only=False)[order]
+                seen = ~np.isnan(x)
+                n = np.add.reduceat(seen.astype(np.int64), at)
+                with np.errstate(all="ignore"):
+                    mean = np.add.reduceat(np.where(seen, x, 0.0), at) / n
+                    m2 = np.add.reduceat(np.where(seen, (x - np.repeat(mean, np.diff(where))) ** 2, 0.0), at)
+                none = n == 0
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(at), i, np.int32)), own, rows, pa.array(n), pa.array(mean, mask=none), pa.array(m2, mask=none),
+                    pa.array(np.fmin.reduceat(x, at), mask=none), pa.array(np.fmax.reduceat(x, at), mask=none)],
+                    ["number", "day", "n_rows", "n", "mean", "m2", "low", "high"])
+
+    pieces = _wide(panel, columns).mapInArrow(run, "number int, day int, n_rows bigint, n bigint, mean double, m2 double, low double, high double")
+    same = Window.partitionBy("number", "day")
+    # A single piece keeps its own mean.
+    whole = F.when(F.count_if(F.col("n") > 0).over(same) > 1, F.sum(F.col("n") * F.col("mean")).over(same) / F.nullif(F.sum("n").over(same), F.lit(0))).otherwise(F.max("mean").over(same))
+    days = pieces.withColumn("_mean", whole).groupBy("number", "day").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n"), F.max("_mean").alias("mean"),
+        F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), 2)).alias("m2"), F.min("low").alias("low"), F.max("high").alias("high"))
+    days = days.withColumns({"feature": _named(columns), "day": F.date_add(F.lit("1970-01-01").cast("date"), F.col("day"))}).drop("number")
     mine = Window.partitionBy("feature")
     place = F.row_number().over(mine.orderBy((F.col("n") > 0).desc(), F.col("day").desc()))
     return days.withColumns({"n_dates": F.count_if(F.col("n") > 0).over(mine), "last_valid": F.max(F.when(F.col("n") > 0, F.col("day"))).over(mine),
                              "is_recent": (F.col("n") > 0) & (place <= recent)})
 
 
+def _counter(ends: Sequence[tuple], hist: int, kept: Sequence[np.ndarray] | None):
+    """A step over the columns of a chunk: values counted by side, bucket and bar, or only those of the ``kept`` buckets, one by one.
+
+    ``ends`` has the first recent day (from 1970), the least and the greatest value of every column.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            day = table["day"].combine_chunks()
+            undated = day.is_null().to_numpy(zero_copy_only=False)
+            day = day.fill_null(0).to_numpy()
+            for i, (start, low, high) in enumerate(ends):
+                x = table[f"_x{i}"].combine_chunks().to_numpy(zero_copy_only=False) + 0.0  # no negative zero
+                dated = ~undated & ~np.isnan(x)
+                recent = np.zeros(len(x), bool) if start is None else day >= start
+                for side, rows in ((True, dated & recent), (False, dated & ~recent), (None, undated & ~np.isnan(x))):
+                    mine = x[rows]
+                    if kept is not None:
+                        mine = mine[np.isin(_value_bucket(mine), kept[i])]
+                    mine = np.sort(mine)
+                    bucket, bar = _value_bucket(mine), np.full(len(mine), float(hist // 2))
+                    if high > low:
+                        with np.errstate(all="ignore"):
+                            bar = np.nan_to_num(np.minimum(np.floor((mine - low) / (high - low) * hist), hist - 1))
+                    new = np.ones(len(mine), bool)  # buckets and bars never fall, so equal ones stand together
+                    new[1:] = mine[1:] != mine[:-1] if kept is not None else (bucket[1:] != bucket[:-1]) | (bar[1:] != bar[:-1])
+                    at = np.flatnonzero(new)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(at), i, np.int32)), pa.array([side] * len(at), pa.bool_()), pa.array(bucket[at]),
+                        pa.array(bar[at].astype(np.int32)), pa.array(mine[at]), pa.array(np.diff(np.append(at, len(mine))).astype(np.int64))],
+                        ["number", "is_recent", "bucket", "bar", "x", "n"])
+
+    return run
+
+
 def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bins: int = PSI_BINS,
                    hist: int = HIST_BINS) -> tuple[DataFrame, DataFrame]:
     """All values of all columns, counted, and where the baseline's order statistics lie.
 
-    First the earlier values are counted by value bucket. Then everything is counted again, and
-    only in buckets that hold an order statistic of a baseline quantile are values kept apart;
-    elsewhere the least value of a bucket stands for all of it. So the baseline's quantiles, the
-    values between any two of them and the histogram follow exactly from counts that partial
-    aggregation has shrunk; no column is sorted.
+    First all values are counted by value bucket. Then only those in buckets that hold an order
+    statistic of a baseline quantile are read again and kept apart; elsewhere the least value of a
+    bucket stands for all of it. So the baseline's quantiles, the values between any two of them and
+    the histogram follow exactly from counts. Tasks count over the columns of a chunk of rows, and
+    partial aggregation adds their counts up: values never become rows, and no column is sorted as a whole.
 
     Returns (feature, is_recent, bucket, bar, x, exact, n), ``bar`` being the bar of a histogram
     of ``hist`` bars of equal width, and (feature, bucket, first, top) of those buckets: how many
@@ -109,34 +184,38 @@ def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bi
     """
     spark = panel.sparkSession
     # One row per declared column; its numbers become constants of the pass over the panel.
-    ends = {r.feature: r for r in days.groupBy("feature").agg(
-        F.min(F.when(F.col("is_recent"), F.col("day"))).alias("start"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
-    live = [c for c in columns if c in ends and ends[c].low is not None]
+    found = {r.feature: r for r in days.groupBy("feature").agg(
+        F.datediff(F.min(F.when(F.col("is_recent"), F.col("day"))), F.lit("1970-01-01").cast("date")).alias("start"),
+        F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+    live = [c for c in columns if c in found and found[c].low is not None]
     shape = "feature string, is_recent boolean, bucket bigint, bar int, x double, exact boolean, n bigint"
     if not live:
         return spark.createDataFrame([], shape), spark.createDataFrame([], "feature string, bucket bigint, first bigint, top bigint")
-    x = F.col("x")
-    tall = _tall(panel, live).where("x IS NOT NULL").select(
-        "number", "x", (F.col("day") >= _picked([ends[c].start for c in live], "date")).alias("is_recent"), _value_bucket(x).alias("bucket"))
-    base = tall.where("NOT is_recent").groupBy("number", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    ends = [(found[c].start, found[c].low, found[c].high) for c in live]
+    wide = _wide(panel, live)
+    cells = "number int, is_recent boolean, bucket bigint, bar int, x double, n bigint"
+    coarse = materialized(wide.mapInArrow(_counter(ends, hist, None), cells).groupBy("number", "is_recent", "bucket", "bar").agg(
+        F.min("x").alias("x"), F.sum("n").alias("n")))
+    base = coarse.where("NOT is_recent").groupBy("number", "bucket").agg(F.sum("n").alias("n"))
     mine = Window.partitionBy("number")
-    # Counted buckets: at most as many as there are steps of FINE in the exponents of doubles.
+    # Counted buckets: at most as many as there are leading bits of doubles.
     base = base.withColumns({"last": F.sum("n").over(mine.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - 1,
                              "top": F.sum("n").over(mine) - 1}).withColumn("first", F.col("last") - F.col("n") + 1)
     holds = F.lit(False)
     for i in range(bins + 1):
         at = F.floor(F.lit(i / bins) * F.col("top"))
         holds = holds | ((at <= F.col("last")) & (F.least(at + 1, F.col("top")) >= F.col("first")))
-    name = _picked(live, "string")
+    name = _named(live)
     places = materialized(base.where(holds).select("number", name.alias("feature"), "bucket", "first", "top"))
     # At most two buckets per quantile and column.
-    exact = F.broadcast(places.select("number", "bucket", F.lit(True).alias("exact")))
-    low, width = _picked([ends[c].low for c in live], "double"), _picked([ends[c].high - ends[c].low for c in live], "double")
-    bar = F.when(width == 0, hist // 2).otherwise(F.least(F.floor((x - low) / F.nullif(width, F.lit(0.0)) * hist), F.lit(hist - 1))).cast("int")
-    apart = tall.join(exact, ["number", "bucket"], "left").withColumns({"bar": bar, "exact": F.coalesce("exact", F.lit(False))})
-    counted = apart.groupBy("number", "is_recent", "bucket", "bar", "exact", F.when(F.col("exact"), x).alias("_own")).agg(
-        F.min("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    return materialized(counted.select(name.alias("feature"), "is_recent", "bucket", "bar", "x", "exact", "n")), places.drop("number")
+    kept = [[] for _ in live]
+    for row in places.select("number", "bucket").collect():
+        kept[row.number].append(row.bucket)
+    apart = wide.mapInArrow(_counter(ends, hist, [np.array(k, np.int64) for k in kept]), cells).groupBy(
+        "number", "is_recent", "bucket", "bar", "x").agg(F.sum("n").alias("n")).withColumn("exact", F.lit(True))
+    rest = coarse.join(F.broadcast(places.select("number", "bucket")), ["number", "bucket"], "left_anti").withColumn("exact", F.lit(False))
+    values = apart.unionByName(rest).select(name.alias("feature"), "is_recent", "bucket", "bar", "x", "exact", "n")
+    return materialized(values), places.drop("number")
 
 
 def baseline_edges(values: DataFrame, places: DataFrame, bins: int = PSI_BINS) -> DataFrame:

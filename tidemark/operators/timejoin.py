@@ -158,11 +158,11 @@ def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30,
     task sees a symbol's whole line, crowded days are cut (``time_buckets``), and no (document,
     bar) pairs are made. At one instant, bars come before documents: a bar never sees a
     document published at its own instant or later. Bars whose ``ts`` is a DATE are whole days
-    by type: documents are then reduced to one row per symbol and day first.
+    by type: ``_daily_windows``.
     """
-    daily = isinstance(bars.schema["ts"].dataType, DateType)
-    instant = F.date_trunc("day", "published_at") if daily else F.col("published_at")
-    said = docs.where("published_at IS NOT NULL").groupBy("symbol", instant.alias("_ts")).agg(
+    if isinstance(bars.schema["ts"].dataType, DateType) and lookback_days > 0:
+        return _daily_windows(docs, bars, lookback_days)
+    said = docs.where("published_at IS NOT NULL").groupBy("symbol", F.col("published_at").alias("_ts")).agg(
         F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_k"))
     ends = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.lit(0).alias("days")),
                              F.struct(F.lit(-1).alias("sign"), F.lit(lookback_days).alias("days"))))
@@ -181,10 +181,32 @@ def document_windows(docs: DataFrame, bars: DataFrame, lookback_days: int = 30,
     at = lambda x, sign: F.coalesce(F.max(F.when(F.col("sign") == sign, F.col(x))), F.lit(0))  # noqa: E731  repeated bars count once
     seen = sums.groupBy("symbol", F.col("_bar").alias("ts")).agg(
         (at("_s", 1) - at("_s", -1)).alias("_total"), (at("_k", 1) - at("_k", -1)).alias("doc_count"))
+    return _scored(seen)
+
+
+def _scored(seen: DataFrame) -> DataFrame:
+    """Mean score, 0 without documents, from the total and number of a bar's documents."""
     return seen.select("symbol", "ts", F.when(F.col("doc_count") > 0, F.col("_total") / F.nullif("doc_count", F.lit(0))).otherwise(0.0).alias("sentiment_score"),
                        "doc_count", (F.col("doc_count") > 0).alias("has_coverage"))
 
 
+def _daily_windows(docs: DataFrame, bars: DataFrame, lookback_days: int) -> DataFrame:
+    """``document_windows`` of whole days: a symbol's line has one row per day with documents and one per bar.
+
+    Partial aggregation reduces documents to days, so a line is bounded by the calendar and one range
+    frame over it, from ``lookback_days`` back to the day before, is the window.
+    """
+    epoch = F.lit("1970-01-01").cast("date")
+    said = docs.where("published_at IS NOT NULL").groupBy("symbol", F.datediff(F.to_date("published_at"), epoch).alias("_day")).agg(
+        F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_k"))
+    marks = bars.where("ts IS NOT NULL").select("symbol", F.datediff("ts", epoch).alias("_day"), "ts")
+    reach = Window.partitionBy("symbol").orderBy("_day").rangeBetween(-lookback_days, -1)
+    line = said.unionByName(marks, allowMissingColumns=True).withColumns({"_total": F.sum("_s").over(reach), "doc_count": F.sum("_k").over(reach)})
+    seen = line.where("ts IS NOT NULL").groupBy("symbol", "ts").agg(  # repeated bars count once
+        F.max("_total").alias("_total"), F.coalesce(F.max("doc_count"), F.lit(0)).alias("doc_count"))
+    return _scored(seen)
+
+
 def first_bar_after(docs: DataFrame, bars: DataFrame) -> DataFrame:
     """Forward as-of: the first bar strictly after each publication."""
     marks = bars.select("symbol", F.col("ts").alias("bar_ts"))
