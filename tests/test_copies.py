@@ -217,3 +217,17 @@ def test_ranks_do_not_compute_their_columns_twice(spark, monkeypatch):
 
     monkeypatch.setattr(ranks, "materialized", unasked)
     assert {(r.symbol, r.ts): r.xs_rank_x for r in ranks.percent_rank_columns(rows, ["x"], rows=rows).collect()} == plain == cut
+
+
+def test_trees_are_fitted_by_tasks_of_bounded_rows(spark, monkeypatch):
+    """However few files the rows come in, no task of the learner gets more than its share of them."""
+    from tidemark.operators import models
+
+    seen, plain = [], models.assembled
+    monkeypatch.setattr(models, "TREE_ROWS", 100)
+    monkeypatch.setattr(models, "assembled", lambda df, columns: seen.append(df) or plain(df, columns))
+    rows = spark.range(1050).selectExpr("id", "IF(id < 50, NULL, CAST(id % 7 AS DOUBLE)) AS a", "CAST(id % 5 AS DOUBLE) AS b", "CAST(id % 7 AS DOUBLE) AS y").coalesce(1)
+    got = {r.feature: r.importance for r in models.gain_importance(rows, ["a", "b"], maxDepth=3, maxIter=2).collect()}
+    assert got["a"] == pytest.approx(1.0, abs=1e-6) and got["b"] == pytest.approx(0.0, abs=1e-6)
+    sizes = seen[0].rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 110

@@ -241,9 +241,19 @@ def boosted_tree_predict(positioned: DataFrame, wf: WalkForward, columns: Sequen
     return out
 
 
+#: Rows of a task that fits trees.
+TREE_ROWS = 100_000
+
+
 def gain_importance(rows: DataFrame, columns: Sequence[str], y: str = "y", seed: int = 0, **params) -> DataFrame:
-    """In-sample split-gain importance as (feature, importance)."""
-    model = boosted_trees(columns, y, None, seed, **params).fit(assembled(rows.dropna(subset=[*columns, y]), columns))
+    """In-sample split-gain importance as (feature, importance).
+
+    The learner reads its rows, and what it keeps of them, again in every step: they are dealt over so many
+    tasks that one of them has about ``TREE_ROWS``, however many there are.
+    """
+    used = materialized(rows.dropna(subset=[*columns, y]).select(*columns, y))
+    dealt = used.repartition(max(1, -(-used.count() // TREE_ROWS)))
+    model = boosted_trees(columns, y, None, seed, **params).fit(assembled(dealt, columns))
     pairs = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
     return rows.sparkSession.createDataFrame(pairs, "feature string, importance double")
 
