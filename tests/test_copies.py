@@ -231,3 +231,25 @@ def test_trees_are_fitted_by_tasks_of_bounded_rows(spark, monkeypatch):
     assert got["a"] == pytest.approx(1.0, abs=1e-6) and got["b"] == pytest.approx(0.0, abs=1e-6)
     sizes = seen[0].rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
     assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 110
+
+
+def test_buckets_of_a_large_group_grow_in_number_not_in_size(spark, monkeypatch):
+    """A group is cut into as many buckets as its distinct values need; counts before a value stay exact, hot ends and NULLs included."""
+    from tidemark.operators import ranks
+
+    seen, plain = [], ranks.materialized
+    monkeypatch.setattr(ranks, "materialized", lambda df: seen.append(plain(df)) or seen[-1])
+    rng = random.Random(5)
+    rows = [("a", x, rng.randrange(3)) for x in {round(rng.gauss(0, 1), 4) for _ in range(9000)}] + [("b", float(i), 1) for i in range(7)] + [(None, 1.0, 2)]
+    out = ranks.prefix_by_value(spark.createDataFrame(rows, "g string, x double, n int"), ["g"], "x", ["n"], rows=50)
+    got = {(r.g, r.x): (r.n_before, r.n_total) for r in out.collect()}
+    assert len(got) == len(rows) - 1  # a group without a name has no buckets
+    for g in "ab":
+        line, before = sorted((x, n) for k, x, n in rows if k == g), 0
+        for x, n in line:
+            assert got[g, x] == (before, sum(m for _, m in line))
+            before += n
+    edges = {r.g: r._edges for r in seen[1].collect()}
+    n = sum(g == "a" for g, *_ in rows)
+    held = [sum(lo < x <= hi for g, x, _ in rows if g == "a") for lo, hi in zip([-99, *edges["a"]], [*edges["a"], 99])]
+    assert len(held) >= n / 50 and max(held) <= 100
