@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import special
+from tidemark.operators import features as feat
 from tidemark.operators import labels as lab
 from tidemark.operators import metrics as met
 from tidemark.operators import panel as pan
@@ -15,6 +16,7 @@ from tidemark.operators import ranks
 from tidemark.operators import regimes as reg
 from tidemark.operators import replay as rep
 from tidemark.operators import stats as st
+from tidemark.operators.splits import WalkForward, with_positions
 from tidemark.sources.lake import Lake, keep_latest
 
 T0 = dt.datetime(2024, 1, 1)
@@ -385,6 +387,65 @@ def test_ridge_sets_share_one_pass(spark):
     assert abs(imp["b"]) < 1e-9 and abs(imp["a"]) > 1e-3  # b has no weight in this set
 
 
+def test_sets_side_by_side_return_what_their_rows_do(spark):
+    """Returns of all feature sets without a row per set: the bars' calendar, folds and fits are small and broadcast."""
+    rng = np.random.default_rng(12)
+    rows = [(s, T0 + dt.timedelta(days=i), float(100 + rng.normal()), 1e4, *map(float, rng.normal(size=3)))
+            for s in ("A", "B", "C") for i in range(130) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, volume double, a double, b double, y double")
+    sets = pan.add_one_sets(["a"], ["b"])
+    for wf in (WalkForward(50, 20, 20, 2, 1), WalkForward(50, 20, 10, 2, 1)):  # the second's test windows overlap
+        p = with_positions(df)
+        pred = pan.ridge_set_predictions(p, wf, sets).withColumn("signal", rep.sign_signal("y_pred"))
+        want = rep.cross_section_mean(rep.replay_returns(pred, ["run", "fold", "symbol"], rep.BACKTEST_COSTS), ["run", "fold"]).toPandas()
+        for got in (pan.ridge_set_returns(p, wf, sets), pan.portfolio_returns(pred)):
+            both = got.toPandas().merge(want, on=["run", "fold", "ts"], how="outer", suffixes=("", "_want"))
+            assert len(both) == len(want) > 100 and (both.n_symbols == both.n_symbols_want).all()
+            assert both.ret.tolist() == pytest.approx(both.ret_want.tolist(), abs=1e-14)
+        plan = pan.ridge_set_returns(p, wf, sets)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "explode(eq" not in plan
+
+
+def test_means_over_symbols_with_missing_values(spark):
+    """Two signals side by side, costs in the rows, missing prices and signals, groups of one bar."""
+    rng = np.random.default_rng(5)
+    rows = [(s, k, T0 + dt.timedelta(days=i), None if rng.random() < 0.1 else float(100 + rng.normal()), None if rng.random() < 0.1 else 1e4,
+             None if rng.random() < 0.2 else int(rng.integers(-1, 2)), int(rng.integers(-1, 2)), 0.01 * k, 3.0, 0.1)
+            for s in range(30) for k in (0, 1) for i in range(s % 12 + 1)]
+    bars = spark.createDataFrame(rows, "symbol int, k int, ts timestamp, open double, volume double, p int, q int, "
+                                       "commission_per_share double, slippage_bps double, liquidity_cap double")
+    got = rep.mean_returns(bars, ["k"], {"first": "p", "second": "q"}).toPandas()
+    for name, column in (("first", "p"), ("second", "q")):
+        want = rep.cross_section_mean(rep.replay_returns(bars, ["k", "symbol"], signal=column), ["k"]).toPandas()
+        both = got[got.signal == name].merge(want, on=["k", "ts"], how="outer", suffixes=("", "_want"))
+        assert len(both) == len(want) > 10 and (both.n_symbols == both.n_symbols_want).all()
+        assert both.ret.tolist() == pytest.approx(both.ret_want.tolist(), abs=1e-14)
+
+
+def test_a_panel_is_not_shuffled_for_its_calendar(spark):
+    df = spark.createDataFrame([("A", T0, 1.0)], "symbol string, ts timestamp, x double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in with_positions(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_some_price_columns_are_the_same_without_the_others(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, T0 + dt.timedelta(days=i), *map(float, 100 + rng.normal(size=4)), float(rng.integers(0, 9) * 100)) for s in "AB" for i in range(300)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
+    whole = feat.price_features(bars).toPandas().sort_values(["symbol", "ts"], ignore_index=True)
+    for some in [("ret_5d", "vol_21d", "rsi_14"), ("mom_21d",), ("log_volume", "ret_252d"), ("volume_ratio", "ma50_ratio", "vol_63d")]:
+        few = feat.price_features(bars, some)
+        assert few.columns == [*bars.columns, *some]
+        pd.testing.assert_frame_equal(few.toPandas().sort_values(["symbol", "ts"], ignore_index=True), whole[few.columns])
+        assert ("_sum_close_200" in few._jdf.queryExecution().analyzed().toString()) is False
+    with pytest.raises(ValueError, match="no such price columns"):
+        feat.price_features(bars, ["ret_2d"])
+
+
 def test_feature_sets_are_checked_first(spark):
     df = spark.createDataFrame([(1,)], "a int")
     with pytest.raises(ValueError, match="unknown columns"):

@@ -1,7 +1,7 @@
 """The registered feature columns, all point-in-time."""
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,30 +23,39 @@ DOCUMENT_COLUMNS = ("sentiment_score", "doc_count", "has_coverage")
 ALL_COLUMNS = (*PRICE_COLUMNS, *MACRO_SERIES, "yield_curve", *REGIME_COLUMNS, *DOCUMENT_COLUMNS, *[f"xs_rank_{c}" for c in RANKED])
 
 
-def price_features(bars: DataFrame) -> DataFrame:
-    """Thirteen price and volume columns from one shuffle on symbol."""
-    w = win.per("symbol")
-    base = bars.withColumns({
-        "ret_1d": win.pct_change("close", 1),
-        "_diff": F.col("close") - F.lag("close", 1).over(w),
-        "ret_5d": win.pct_change("close", 5), "ret_21d": win.pct_change("close", 21),
-        "ret_126d": win.pct_change("close", 126), "ret_252d": win.pct_change("close", 252)})
-    up = F.when(F.col("_diff").isNotNull(), F.greatest("_diff", F.lit(0.0)))
-    down = F.when(F.col("_diff").isNotNull(), F.greatest(-F.col("_diff"), F.lit(0.0)))
-    base = win.in_blocks(base, {"close": ("close", (50, 200)), "volume": ("volume", (63,)), "ret": ("ret_1d", (21,)), "up": (up, (14,)), "down": (down, (14,))},
-                         {"ret_1d": (21, 63)})
+#: What a price column needs: bars back to a close, or frames as (kind, values, length).
+_LAGS = {"ret_1d": 1, "ret_5d": 5, "ret_21d": 21, "ret_126d": 126, "ret_252d": 252}
+_FRAMES = {"vol_21d": [("std", "ret_1d", 21)], "vol_63d": [("std", "ret_1d", 63)], "mom_21d": [("sum", "ret", 21)],
+           "rsi_14": [("sum", "up", 14), ("sum", "down", 14)], "ma200_ratio": [("sum", "close", 200)],
+           "ma50_ratio": [("sum", "close", 50)], "volume_ratio": [("sum", "volume", 63)]}
+
+
+def price_features(bars: DataFrame, columns: Sequence[str] = PRICE_COLUMNS) -> DataFrame:
+    """Thirteen price and volume columns, or some of them, from one shuffle on symbol.
+
+    Catalyst cannot drop an unused moving frame, so name the columns where few are read.
+    """
+    unknown = set(columns) - set(PRICE_COLUMNS)
+    if unknown:
+        raise ValueError(f"no such price columns: {sorted(unknown)}")
+    diff = F.col("close") - F.lag("close", 1).over(win.per("symbol"))
+    sources = {"close": "close", "volume": "volume", "ret": "ret_1d", "up": F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))),
+               "down": F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0)))}
+    frames = [f for c in columns for f in _FRAMES.get(c, ())]
+    lengths = lambda kind: {c: tuple(n for k, x, n in frames if (k, x) == (kind, c)) for k, c, _ in frames if k == kind}
+    sums, spreads = lengths("sum"), lengths("std")
+    lags = [c for c in _LAGS if c in columns or c == "ret_1d" and ("ret" in sums or spreads)]
+    base = bars.withColumns({c: win.pct_change("close", _LAGS[c]) for c in lags})
+    if frames:
+        base = win.in_blocks(base, {c: (sources[c], n) for c, n in sums.items()}, spreads)
     mean = lambda c, n: F.col(f"_sum_{c}_{n}") / n
-    return base.select(
-        *bars.columns, "ret_1d", "ret_5d", "ret_21d",
-        F.col("_std_ret_1d_21").alias("vol_21d"),
-        F.col("_std_ret_1d_63").alias("vol_63d"),
-        F.signum("_sum_ret_21").alias("mom_21d"),
-        (100 - F.lit(100.0) / (1 + F.try_divide(mean("up", 14), mean("down", 14)))).alias("rsi_14"),
-        F.log1p("volume").alias("log_volume"),
-        "ret_252d", "ret_126d",
-        F.try_divide("close", mean("close", 200)).alias("ma200_ratio"),
-        F.try_divide("close", mean("close", 50)).alias("ma50_ratio"),
-        F.try_divide("volume", mean("volume", 63)).alias("volume_ratio"))
+    made = {
+        "vol_21d": lambda: F.col("_std_ret_1d_21"), "vol_63d": lambda: F.col("_std_ret_1d_63"), "mom_21d": lambda: F.signum("_sum_ret_21"),
+        "rsi_14": lambda: 100 - F.lit(100.0) / (1 + F.try_divide(mean("up", 14), mean("down", 14))),
+        "log_volume": lambda: F.log1p("volume"),
+        "ma200_ratio": lambda: F.try_divide("close", mean("close", 200)), "ma50_ratio": lambda: F.try_divide("close", mean("close", 50)),
+        "volume_ratio": lambda: F.try_divide("volume", mean("volume", 63))}
+    return base.select(*bars.columns, *[made[c]().alias(c) if c in made else F.col(c) for c in columns])
 
 
 def regime_flags(feat: DataFrame) -> DataFrame:

@@ -31,10 +31,8 @@ def collect_predictions(positioned: DataFrame, wf: WalkForward, models: Mapping[
 
 def portfolio_returns(pred: DataFrame, by: Sequence[str] = ("run",), costs: rep.Costs = rep.BACKTEST_COSTS) -> DataFrame:
     """Sign signals replayed per (by, fold, symbol), then averaged over symbols per bar."""
-    keys = [*by, "fold", "symbol"]
     rows = pred.withColumn("signal", rep.sign_signal("y_pred"))
-    ret = rep.replay_returns(rows, keys, costs)
-    return rep.cross_section_mean(ret, [*by, "fold"])
+    return rep.mean_returns(rows, [*by, "fold"], {"signal": "signal"}, costs).drop("signal")
 
 
 def portfolio_errors(pred: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
@@ -49,7 +47,7 @@ def directional_returns(pred: DataFrame, by: Sequence[str] = ("run",), threshold
                         costs: rep.Costs = rep.BACKTEST_COSTS) -> DataFrame:
     """One continuous path per symbol across folds, for probability forecasts."""
     rows = pred.withColumn("signal", rep.sign_signal("y_pred", threshold))
-    return rep.cross_section_mean(rep.replay_returns(rows, [*by, "symbol"], costs), list(by))
+    return rep.mean_returns(rows, list(by), {"signal": "signal"}, costs).drop("signal")
 
 
 # --- feature sets ---------------------------------------------------------------------------
@@ -79,10 +77,19 @@ def ridge_set_fits(positioned: DataFrame, wf: WalkForward, sets: Mapping[str, Se
     A set's normal equations are a sub-matrix of the full one, so no set rescans the
     panel. Coefficients come back in full width, zero for columns outside the set.
     """
-    columns = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    columns = _set_columns(sets)
+    return _set_fits(gram(positioned, ["pos", "n_days"], columns, y), wf, sets, alpha)
+
+
+def _set_columns(sets: Mapping[str, Sequence[str]]) -> list[str]:
+    return list(dict.fromkeys(c for cols in sets.values() for c in cols))
+
+
+def _set_fits(daily: DataFrame, wf: WalkForward, sets: Mapping[str, Sequence[str]], alpha: float) -> DataFrame:
+    """The fits from cross products per date."""
+    columns = _set_columns(sets)
     p = len(columns) + 2
     width = p * (p + 1) // 2
-    daily = gram(positioned, ["pos", "n_days"], columns, y)
     folds = add_grams(assign_folds(daily, wf, ("train",)), ["fold"], width)
     members = {name: [0, *[columns.index(c) + 1 for c in cols]] for name, cols in sets.items()}
     ri, ci = np.triu_indices(p)
@@ -109,7 +116,7 @@ def ridge_set_predictions(positioned: DataFrame, wf: WalkForward, sets: Mapping[
                           alpha: float = 1.0) -> DataFrame:
     """Predictions of all sets: test rows against the few coefficient rows of their fold."""
     check_sets(positioned, sets)
-    columns = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    columns = _set_columns(sets)
     fits = ridge_set_fits(positioned, wf, sets, y, alpha)
     x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns])
     score = F.aggregate(F.zip_with("beta", x, lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)
@@ -118,6 +125,24 @@ def ridge_set_predictions(positioned: DataFrame, wf: WalkForward, sets: Mapping[
     return test.select("run", "fold", "symbol", "ts", F.col(y).alias("y_true"), score.alias("y_pred"), "open", "volume", "beta", *columns)
 
 
+def ridge_set_returns(positioned: DataFrame, wf: WalkForward, sets: Mapping[str, Sequence[str]], y: str = "y", alpha: float = 1.0,
+                      costs: rep.Costs = rep.BACKTEST_COSTS) -> DataFrame:
+    """``portfolio_returns`` of ``ridge_set_predictions``; the sets' signals stand side by side in a test row, so sets do not
+    multiply what is moved and sorted."""
+    check_sets(positioned, sets)
+    columns = _set_columns(sets)
+    daily = materialized(gram(positioned, ["pos", "n_days"], columns, y))
+    beside = _set_fits(daily, wf, sets, alpha).groupBy("fold").agg(
+        *[F.max(F.when(F.col("run") == name, F.col("beta"))).alias(f"_b{i}") for i, name in enumerate(sets)])
+    # Folds and their coefficients are laid over dates, not over bars: a row per date of the calendar and fold it is tested in.
+    dates = assign_folds(daily.select("pos", "n_days"), wf, ("test",)).join(F.broadcast(beside), "fold").drop("n_days", "role")
+    test = positioned.join(F.broadcast(dates), "pos")
+    signals = {f"_s{i}": rep.sign_signal(linear_score(columns, f"_b{i}")) for i in range(len(sets))}
+    rows = test.select("fold", "symbol", "ts", "open", "volume", *[s.alias(c) for c, s in signals.items()])
+    ret = rep.mean_returns(rows, ["fold"], dict(zip(sets, signals)), costs)
+    return ret.withColumnRenamed("signal", "run")
+
+
 def lift_over(metrics: DataFrame, reference: str, by: Sequence[str] = (), value: str = "sharpe") -> DataFrame:
     """Difference of each run to the reference run inside the same group."""
     base = F.max(F.when(F.col("run") == reference, F.col(value))).over(Window.partitionBy(*by))

@@ -8,7 +8,7 @@ one bar of each at a time.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,7 +97,19 @@ def _spread(rows: pa.Table, group: np.ndarray) -> tuple[pa.Table, np.ndarray, np
     return fields.take(pa.array(line)), of[line], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
 
 
-def _replayed(rows: pa.Table, by: Sequence[str], capital: float) -> pa.RecordBatch:
+def _path(starts: np.ndarray, signal: np.ndarray, open_: np.ndarray, volume: np.ndarray, slip: np.ndarray, fee: np.ndarray, cap: np.ndarray,
+          capital: float) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Equity, its return on the bar before (NaN at a group's first bar) and the trades, of groups that follow each other."""
+    target = np.concatenate([[_HOLD], signal[:-1]])
+    target[starts] = _HOLD
+    with np.errstate(all="ignore"):
+        equity_, kinds = _walk(starts, np.diff(np.append(starts, len(signal))), open_, volume, target, slip, fee, cap, capital)
+        before = np.concatenate([[np.nan], equity_[:-1]])
+        before[starts] = np.nan
+        return equity_, equity_ / np.where(before == 0, np.nan, before) - 1, kinds
+
+
+def _replayed(rows: pa.Table, by: Sequence[str], fixed: Mapping[str, float], capital: float) -> pa.RecordBatch:
     """One row per group, from bars of whole groups that follow each other by time."""
     plain = lambda c: c.combine_chunks().to_numpy(zero_copy_only=False)
     last = plain(rows["last"])
@@ -107,16 +119,12 @@ def _replayed(rows: pa.Table, by: Sequence[str], capital: float) -> pa.RecordBat
         layers = {c: fields[c] for c in fields.column_names}
         rows = rows.drop_columns(["_layers"])
     lay = lambda c: layers[c] if c in layers else rows[c] if bar is None else rows[c].take(pa.array(bar))
-    number = lambda c: plain(lay(c)).astype(float)
-    signal, slip, fee = number("signal"), number("slippage_bps") / 10_000, number("commission_per_share")
-    bounds = np.concatenate([starts, [len(signal)]])
-    target = np.concatenate([[_HOLD], signal[:-1]])
-    target[starts] = _HOLD
+    n = rows.num_rows if bar is None else len(bar)
+    number = lambda c: np.full(n, fixed[c]) if c in fixed else plain(lay(c)).astype(float)
+    fee, slip, cap = (number(c) for c in COST_ORDER)
+    bounds = np.concatenate([starts, [n]])
+    equity_, ret, kinds = _path(starts, number("signal"), number("open"), number("volume"), slip / 10_000, fee, cap, capital)
     with np.errstate(all="ignore"):
-        equity_, kinds = _walk(starts, np.diff(bounds), number("open"), number("volume"), target, slip, fee, number("liquidity_cap"), capital)
-        before = np.concatenate([[np.nan], equity_[:-1]])
-        before[starts] = np.nan
-        ret = equity_ / np.where(before == 0, np.nan, before) - 1
         at = np.concatenate([np.flatnonzero(k[0]) for k in kinds])
         pos, entry, out = (np.concatenate([k[c][k[0] != 0] for k in kinds]) for c in range(3))
         line = np.argsort(at, kind="stable")
@@ -134,6 +142,17 @@ def _replayed(rows: pa.Table, by: Sequence[str], capital: float) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*keys, *lists], [*by, "eq", "trades"])
 
 
+def _lined(bars: DataFrame, own: Sequence[str], signals: Mapping[str, str], costs: Sequence[str], more: Mapping[str, Column]) -> DataFrame:
+    """What a replay reads of the bars, whole groups in one task and by time; ``last`` marks a group's last bar."""
+    w = Window.partitionBy(*own).orderBy("ts")
+    rows = bars.select(
+        *own, "ts", F.col("open").cast("double"), F.col("volume").cast("double"),
+        *[F.coalesce(F.col(c).cast("int"), F.lit(_HOLD)).alias(name) for name, c in signals.items()], *costs,
+        F.lead("ts").over(w).isNull().alias("last"), *[c.alias(name) for name, c in more.items()])
+    # The window has put a group's bars into one task, in this order already.
+    return rows.sortWithinPartitions(*own, "ts")
+
+
 def replay(bars: DataFrame, by: Sequence[str], costs: Costs | None = None, capital: float = INITIAL_CAPITAL,
            signal: str = "signal", layers: str | None = None) -> DataFrame:
     """One row per group with arrays ``eq`` and ``trades``.
@@ -150,25 +169,20 @@ def replay(bars: DataFrame, by: Sequence[str], costs: Costs | None = None, capit
     """
     inner = bars.schema[layers].dataType.elementType if layers else T.StructType()
     own = [c for c in by if c not in inner.names]
-    w = Window.partitionBy(*own).orderBy("ts")
-    fixed = vars(costs) if costs is not None else {}
-    rows = bars.select(
-        *own, "ts", F.col("open").cast("double"), F.col("volume").cast("double"), F.coalesce(F.col(signal).cast("int"), F.lit(_HOLD)).alias("signal"),
-        *[(F.lit(fixed[c]) if fixed else F.col(c)).alias(c) for c in COST_ORDER if c not in inner.names],
-        F.lead("ts").over(w).isNull().alias("last"), *([F.col(layers).alias("_layers")] if layers else []))
-    # The window has put a group's bars into one task, in this order already.
-    lined = rows.sortWithinPartitions(*own, "ts")
+    fixed = {c: v for c, v in vars(costs).items() if c not in inner.names} if costs is not None else {}
+    rows = _lined(bars, own, {"signal": signal}, [c for c in COST_ORDER if c not in inner.names and c not in fixed],
+                  {"_layers": F.col(layers)} if layers else {})
 
     def weigh(b: pa.RecordBatch) -> int:
         return len(pc.list_flatten(b.column("_layers"))) if layers else b.num_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, CHUNK, weigh):
-            yield _replayed(table, by, capital)
+            yield _replayed(table, by, fixed, capital)
 
     keys = [T.StructField(c, (inner if c in inner.names else rows.schema)[c].dataType) for c in by]
     logs = [T.StructField(c, T.ArrayType(T.DataType.fromDDL(kind))) for c, kind in (("eq", _POINT), ("trades", _TRADE))]
-    return lined.mapInArrow(run, T.StructType([*keys, *logs]))
+    return rows.mapInArrow(run, T.StructType([*keys, *logs]))
 
 
 def equity(replayed: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -196,6 +210,53 @@ def cross_section_mean(rows: DataFrame, by: Sequence[str], value: str = "ret") -
     return rows.groupBy(*by, "ts").agg(F.avg(value).alias(value), F.count(value).alias("n_symbols"))
 
 
+def _totals(rows: pa.Table, by: Sequence[str], signals: Sequence[str], fixed: Mapping[str, float], capital: float) -> pa.RecordBatch:
+    """Per signal and (by, ts): sum and count of the returns of whole groups."""
+    plain = lambda c: rows[c].combine_chunks().to_numpy(zero_copy_only=False)
+    number = lambda c: np.full(rows.num_rows, fixed[c]) if c in fixed else plain(c).astype(float)
+    starts = np.flatnonzero(np.concatenate([[True], plain("last")[:-1]]))
+    key = np.zeros(rows.num_rows, np.int64)
+    for c in (*by, "ts"):
+        found = rows[c].combine_chunks().dictionary_encode()
+        key = key * (len(found.dictionary) + 1) + found.indices.fill_null(len(found.dictionary)).to_numpy(zero_copy_only=False)
+    _, at, cell = np.unique(key, return_index=True, return_inverse=True)
+    open_, volume, (fee, slip, cap) = number("open"), number("volume"), (number(c) for c in COST_ORDER)
+    parts = []
+    for i, name in enumerate(signals):
+        ret = _path(starts, number(f"_s{i}"), open_, volume, slip / 10_000, fee, cap, capital)[1]
+        there = ~np.isnan(ret)
+        k = np.bincount(cell[there], minlength=len(at))
+        total = np.bincount(cell[there], ret[there], len(at))
+        some = k > 0
+        keys = rows.select([*by, "ts"]).take(pa.array(at[some]))
+        parts.append(pa.table({"signal": pa.array([name] * len(keys), pa.string()), **{c: keys[c] for c in keys.column_names},
+                               "_total": total[some], "_k": k[some].astype(np.int64)}))
+    return pa.concat_tables(parts).combine_chunks()
+
+
+def mean_returns(bars: DataFrame, by: Sequence[str], signals: Mapping[str, str], costs: Costs | None = None, over: str = "symbol",
+                 capital: float = INITIAL_CAPITAL) -> DataFrame:
+    """(signal, by, ts, ret, n_symbols): ``cross_section_mean`` of ``replay_returns`` of several signals.
+
+    ``signals`` names columns that stand side by side in a bar's row, so a bar is moved and sorted once for
+    all of them. Groups are (by, over); tasks add up the returns of a chunk of whole groups per bar
+    and Spark adds up the chunks, so paths never become rows.
+    """
+    own = [*by, over]
+    fixed = vars(costs) if costs is not None else {}
+    rows = _lined(bars, own, {f"_s{i}": c for i, c in enumerate(signals.values())}, [c for c in COST_ORDER if c not in fixed], {})
+    names = list(signals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, max(1, CHUNK // len(names))):
+            yield from _totals(table, by, names, fixed, capital).to_batches()
+
+    kept = [rows.schema[c] for c in (*by, "ts")]
+    parts = rows.mapInArrow(run, T.StructType([T.StructField("signal", T.StringType()), *kept, T.StructField("_total", T.DoubleType()),
+                                               T.StructField("_k", T.LongType())]))
+    return parts.groupBy("signal", *by, "ts").agg((F.sum("_total") / F.sum("_k")).alias("ret"), F.sum("_k").alias("n_symbols"))
+
+
 def portfolio_equity(returns: DataFrame, by: Sequence[str], capital: float = INITIAL_CAPITAL) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return returns.withColumn("equity", capital * F.product(1 + F.col("ret")).over(w))

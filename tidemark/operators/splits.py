@@ -57,7 +57,8 @@ def _folds_of(pos: Column, n: Column, wf: WalkForward, role: str) -> Column:
 def with_positions(panel: DataFrame) -> DataFrame:
     """Adds the master-calendar position ``pos`` and calendar length ``n_days``."""
     cal = master_calendar(panel).withColumn("n_days", F.count(F.lit(1)).over(Window.partitionBy()))
-    return panel.join(cal, "ts")
+    # One row per date, already gathered by its numbering: the panel need not be shuffled for it.
+    return panel.join(F.broadcast(cal), "ts")
 
 
 def assign_folds(positioned: DataFrame, wf: WalkForward, roles: tuple[str, ...] = ("train", "test")) -> DataFrame:

@@ -27,7 +27,8 @@ def r(x, alias, digits=6):
 
 
 def panel(t, *columns):
-    f = feat.price_features(t.bars().withColumn("y", lab.forward_return(1)))
+    bars = t.bars().select("symbol", "ts", "open", "close", "volume", lab.forward_return(1).alias("y"))
+    f = feat.price_features(bars, columns)
     return spl.with_positions(materialized(f.select("symbol", "ts", "open", "volume", *columns, "y").dropna()))
 
 
@@ -267,7 +268,8 @@ _ERA_PORT = "pe AS (SELECT port.run, port.ts, port.ret, coalesce(eras.name, 'pre
 
 
 def set_regime_metrics(t):
-    ret = reg.tag(pan.portfolio_returns(add_one(t)), reg.era_detector(ERAS))
+    ret = pan.ridge_set_returns(panel(t, "ret_5d", "vol_21d", "rsi_14"), WF, _SETS)
+    ret = reg.tag(ret, reg.era_detector(ERAS))
     return met.regime_metrics(ret, ["run"])
 
 
