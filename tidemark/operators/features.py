@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import windows as win
 from tidemark.operators.ranks import percent_rank_columns
-from tidemark.operators.timejoin import attach_macro, document_windows
+from tidemark.operators.timejoin import attach_macro, document_windows, with_daily_documents
 
 # Series, their publication lags in business days, and thresholds.
 MACRO_SERIES = ("DGS10", "DFF", "VIXCLS")
@@ -81,8 +81,10 @@ def build_features(bars: DataFrame, macro: DataFrame | None = None, docs: DataFr
                    lookback_days: int = 30, asof: str | None = None, ranks: bool = False, daily: bool = False) -> DataFrame:
     """The full feature table; warm-up rows stay, with NULLs.
 
-    ``daily`` states that bars are whole days stamped at midnight: document windows then work on days.
-    Bars are used again for documents and for ranks, so pass a written table if they are costly.
+    ``daily`` states that bars are whole days stamped at midnight: documents then stand in a symbol's line beside its
+    bars, which are shuffled once for prices and documents. Bars are used again for ranks, and for document windows that are
+    not daily: pass a written table if they are costly, and only the columns that are wanted, since all of them are moved.
+    What follows from the day or from other columns of the row is added after the ranks, so it is not moved.
 
     ``asof`` cuts bars, observations and documents before any window: Catalyst cannot move
     a time filter below one, and look-ahead is ruled out by construction.
@@ -92,15 +94,12 @@ def build_features(bars: DataFrame, macro: DataFrame | None = None, docs: DataFr
         bars = bars.where(F.col("ts") <= until)
         macro = macro if macro is None else macro.where(F.col("timestamp") <= until)
         docs = docs if docs is None else docs.where(F.col("published_at") <= until)
-    feat = price_features(bars)
-    if macro is not None:
-        feat = with_macro(feat, macro, start, end, lags)
-    feat = regime_flags(feat)
-    if docs is not None:
-        marks = bars.select("symbol", F.to_date("ts").alias("ts") if daily else "ts")
-        windows = document_windows(docs, marks, lookback_days)
-        feat = feat.join(windows.withColumn("ts", F.col("ts").cast("timestamp")) if daily else windows, ["symbol", "ts"], "left")
-    return percent_rank_columns(feat, RANKED, rows=bars) if ranks else feat
+    feat = price_features(with_daily_documents(bars, docs, lookback_days) if docs is not None and daily else bars)
+    if docs is not None and not daily:
+        feat = feat.join(document_windows(docs, bars.select("symbol", "ts"), lookback_days), ["symbol", "ts"], "left")
+    if ranks:
+        feat = percent_rank_columns(feat, RANKED, rows=bars)
+    return regime_flags(feat if macro is None else with_macro(feat, macro, start, end, lags))
 
 
 def crossover_signal(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:

@@ -44,11 +44,11 @@ def attach_macro(bars: DataFrame, obs: DataFrame, series: Sequence[str], start:
                  lags: Mapping[str, int] | None = None) -> DataFrame:
     """Backward as-of join at day grain: bars x calendar of published values.
 
-    The calendar's row count follows from ``start`` and ``end``; how it is joined is left
-    to Spark, which sees its size at run time.
+    The calendar's row count follows from ``start`` and ``end``, so it is broadcast: left to itself,
+    Spark may shuffle the bars by day before it has seen how small the calendar is.
     """
     cal = macro_calendar(obs, series, start, end, lags)
-    return bars.join(cal, F.to_date("ts") == F.col("day"), "left").drop("day")
+    return bars.join(F.broadcast(cal), F.to_date("ts") == F.col("day"), "left").drop("day")
 
 
 #: Rows of one key and time bucket from which on the bucket is cut further, and into how many pieces at most.
@@ -190,6 +190,33 @@ def _scored(seen: DataFrame) -> DataFrame:
                        "doc_count", (F.col("doc_count") > 0).alias("has_coverage"))
 
 
+def _said_by_day(docs: DataFrame) -> DataFrame:
+    """(symbol, _day from 1970, _s, _k): total and number of a day's scores."""
+    return docs.where("published_at IS NOT NULL").groupBy(
+        "symbol", F.datediff(F.to_date("published_at"), F.lit("1970-01-01").cast("date")).alias("_day")).agg(
+        F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_k"))
+
+
+def with_daily_documents(bars: DataFrame, docs: DataFrame, lookback_days: int = 30) -> DataFrame:
+    """``bars`` with the columns of their ``document_windows``, for bars that are whole days; needs no join.
+
+    Days with documents stand in a symbol's line beside its bars, as in ``_daily_windows``, but the bars stay
+    whole: rows are shuffled once, by symbol, and windows over a symbol that follow use the same shuffle.
+    """
+    if lookback_days < 1:
+        raise ValueError("a lookback of whole days has one day at least")
+    marks = bars.withColumns({"_bar": F.lit(True), "_day": F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))})
+    reach = Window.partitionBy("symbol").orderBy("_day").rangeBetween(-lookback_days, -1)
+    line = marks.unionByName(_said_by_day(docs), allowMissingColumns=True)
+    line = line.withColumns({"_total": F.sum("_s").over(reach), "_n": F.sum("_k").over(reach)}).where("_bar")
+    # A bar without symbol or time is no bar of a document's symbol.
+    known = F.col("symbol").isNotNull() & F.col("ts").isNotNull()
+    n = F.coalesce("_n", F.lit(0))
+    mean = F.when(n > 0, F.col("_total") / F.nullif(n, F.lit(0))).otherwise(0.0)
+    return line.select(*bars.columns, F.when(known, mean).alias("sentiment_score"), F.when(known, n).alias("doc_count"),
+                       F.when(known, n > 0).alias("has_coverage"))
+
+
 def _daily_windows(docs: DataFrame, bars: DataFrame, lookback_days: int) -> DataFrame:
     """``document_windows`` of whole days: a symbol's line has one row per day with documents and one per bar.
 
@@ -197,8 +224,7 @@ def _daily_windows(docs: DataFrame, bars: DataFrame, lookback_days: int) -> Data
     frame over it, from ``lookback_days`` back to the day before, is the window.
     """
     epoch = F.lit("1970-01-01").cast("date")
-    said = docs.where("published_at IS NOT NULL").groupBy("symbol", F.datediff(F.to_date("published_at"), epoch).alias("_day")).agg(
-        F.sum("sentiment_score").alias("_s"), F.count("sentiment_score").alias("_k"))
+    said = _said_by_day(docs)
     marks = bars.where("ts IS NOT NULL").select("symbol", F.datediff("ts", epoch).alias("_day"), "ts")
     reach = Window.partitionBy("symbol").orderBy("_day").rangeBetween(-lookback_days, -1)
     line = said.unionByName(marks, allowMissingColumns=True).withColumns({"_total": F.sum("_s").over(reach), "doc_count": F.sum("_k").over(reach)})

@@ -81,8 +81,9 @@ _WHOLE = ("doc_count", "has_coverage")
 
 
 def full_features(t):
-    """All 27 columns; the bars, which prices and document windows both need, are written once."""
-    return feat.build_features(materialized(t.bars()), t.macro(), t.docs(), start=START, end=END, ranks=True, daily=True)
+    """All 27 columns; what they need of the bars is written once."""
+    bars = materialized(t.bars().select("symbol", "ts", "close", "volume"))
+    return feat.build_features(bars, t.macro(), t.docs(), start=START, end=END, ranks=True, daily=True)
 
 
 @query("fea_33_build_features", "SELECT symbol, ts, doc_count, has_coverage, " + ", ".join(
