@@ -67,3 +67,60 @@ def test_documents_beside_bars_are_those_of_the_windows(spark):
         assert rows(with_daily_documents(bdf, ddf, back)) == rows(bdf.join(windows, ["symbol", "ts"], "left"))
     with pytest.raises(ValueError):
         with_daily_documents(bdf, ddf, 0)
+
+
+def test_a_days_pieces_put_together_are_the_whole():
+    """Rows in any order, days without values, missing days, infinite values: chunk after chunk gives what one chunk gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.operators import monitor as mon
+
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((3000, 2)) < 0.3, np.nan, rng.normal(5, 3, (3000, 2)))
+    day = rng.integers(0, 40, 3000)
+    x[day == 7, 0] = np.nan
+    x[np.flatnonzero(day == 9)[0], 1] = np.inf
+    table = pa.table({"day": pa.array(day, pa.int32(), mask=day == 3), "_x0": x[:, 0], "_x1": x[:, 1]})
+    whole = mon._by_day(table, 2)
+    cuts, together = [0, 1, 700, 701, 2000, 3000], None
+    for a, b in zip(cuts, cuts[1:]):
+        piece = mon._by_day(table.slice(a, b - a), 2)
+        together = piece if together is None else mon._put_together(together, piece)
+    for one, other in zip(whole, together):
+        np.testing.assert_allclose(other, one, rtol=1e-10)
+
+
+def test_drift_of_columns_in_several_tables(spark):
+    """A panel in two tables of the same rows, in other orders, gives what one table gives."""
+    from tidemark.operators import monitor as mon
+
+    rng = random.Random(9)
+    rows = [(f"s{s}", T0 + dt.timedelta(d), rng.gauss(0, 1), None if d % 5 else rng.gauss(d, 1), rng.gauss(0, 1 + d // 60)) for d in range(90) for s in range(8)]
+    whole = spark.createDataFrame(rows, "symbol string, ts timestamp, a double, b double, c double")
+    parts = [whole.orderBy("symbol", "ts").select("ts", "a", "c"), whole.select("ts", "b")]
+    for run in (lambda p: mon.drift_psi(p, ["a", "b", "c"], recent=20), lambda p: mon.feature_stats(p, ["a", "b", "c"], recent=20)):
+        one, two = ({r.feature: r.asDict() for r in run(p).collect()} for p in (whole, parts))
+        assert set(one) == set(two) == set("abc")
+        for c in "abc":
+            for k, v in one[c].items():
+                assert two[c][k] == (pytest.approx(v, rel=1e-9) if isinstance(v, float) else v), (c, k)
+    with pytest.raises(ValueError):
+        mon.drift_psi(parts, ["a", "nowhere"])
+
+
+def test_monitored_rows_are_not_moved_by_day(spark):
+    """Only the ranked columns are moved by day; a reading of the written columns moves no row of theirs."""
+    from tidemark.plans.desk_q import DRIFT, monitored
+    from tidemark.sources.derive import Tables
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        own, ranks = monitored(Tables(spark, SMALL))
+        assert not [s for s in moved(own) if "ts#" in s or "symbol#" in s]
+    finally:
+        spark.conf.set(key, had)
+    assert set(own.columns) | set(ranks.columns) >= set(DRIFT) and all(c == "ts" or c.startswith("xs_rank_") for c in ranks.columns)
+    assert own.count() == ranks.count()

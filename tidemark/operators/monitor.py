@@ -1,7 +1,8 @@
 """Feed freshness and feature drift."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,8 @@ SHIFT = 42
 HIST_BINS = 20
 #: Rows that one step of a task counts.
 CHUNK = 200_000
+#: Stands for a missing day inside a task.
+_UNDATED = np.iinfo(np.int64).min
 
 
 def _value_bucket(x: np.ndarray) -> np.ndarray:
@@ -75,6 +78,26 @@ def _wide(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
                         *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
 
 
+#: Columns to watch, in one table or in several of the same rows (beside prices, ranks that were taken by day).
+Panel = DataFrame | Sequence[DataFrame]
+
+
+def _parts(panel: Panel, columns: Sequence[str]) -> list[tuple[DataFrame, dict[int, str]]]:
+    """The tables of a panel, each with the numbers and names of the columns that are read there."""
+    tables = [panel] if isinstance(panel, DataFrame) else list(panel)
+    where = {c: next((i for i, t in enumerate(tables) if c in t.columns), None) for c in columns}
+    missing = [c for c, i in where.items() if i is None]
+    if missing:
+        raise ValueError(f"no such columns: {missing}")
+    parts = [(t, {k: c for k, c in enumerate(columns) if where[c] == i}) for i, t in enumerate(tables)]
+    return [(t, mine) for t, mine in parts if mine]
+
+
+def _over_parts(panel: Panel, columns: Sequence[str], step: Callable[[Sequence[int]], Callable], shape: str) -> DataFrame:
+    """What ``step``, made for the numbers of a table's columns, returns over all tables."""
+    return reduce(DataFrame.unionByName, [_wide(t, list(mine.values())).mapInArrow(step(list(mine)), shape) for t, mine in _parts(panel, columns)])
+
+
 def _named(columns: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(c) for c in columns]), F.col("number"))
 
@@ -91,36 +114,69 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def feature_days(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
+def _by_day(table: pa.Table, width: int) -> list[np.ndarray]:
+    """A chunk's pieces: day, rows, and with a column each: values, their mean and spread, the least and the greatest."""
+    # A missing day comes first, as a day of its own.
+    number = table["day"].combine_chunks().cast(pa.int64()).fill_null(_UNDATED).to_numpy()
+    order = slice(None) if (np.diff(number) >= 0).all() else np.argsort(number, kind="stable")
+    number = number[order]
+    at = np.flatnonzero(np.append(True, np.diff(number) != 0))
+    rows = np.diff(np.append(at, len(number)))
+    out = []
+    for i in range(width):
+        x = table[f"_x{i}"].combine_chunks().to_numpy(zero_copy_only=False)[order]
+        seen = ~np.isnan(x)
+        n = np.add.reduceat(seen.astype(np.int64), at)
+        with np.errstate(all="ignore"):
+            mean = np.add.reduceat(np.where(seen, x, 0.0), at) / n
+            m2 = np.add.reduceat(np.where(seen, (x - np.repeat(mean, rows)) ** 2, 0.0), at)
+        out.append((n, mean, m2, np.fmin.reduceat(x, at), np.fmax.reduceat(x, at)))
+    return [number[at], rows, *[np.column_stack(kind) for kind in zip(*out)]]
+
+
+def _put_together(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Pieces of ``_by_day`` as one piece per day."""
+    day = np.concatenate([a[0], b[0]])
+    order = np.argsort(day, kind="stable")
+    rows, n, mean, m2, low, high = (np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:]))
+    at = np.flatnonzero(np.append(True, np.diff(day[order]) != 0))
+    add, sizes = (lambda x: np.add.reduceat(x, at)), np.diff(np.append(at, len(day)))
+    whole, several = add(n), add((n > 0).astype(np.int64)) > 1
+    with np.errstate(all="ignore"):
+        # A single piece keeps its own mean.
+        middle = np.where(several, add(np.where(n > 0, n * mean, 0.0)) / whole, np.fmax.reduceat(mean, at))
+        off = np.where((n > 0) & np.repeat(several, sizes, axis=0), n * (mean - np.repeat(middle, sizes, axis=0)) ** 2, 0.0)
+    return [day[order][at], add(rows), whole, middle, add(m2 + off), np.fmin.reduceat(low, at), np.fmax.reduceat(high, at)]
+
+
+def feature_days(panel: Panel, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
     """Per feature and day: rows, values, their mean and spread, extremes; whether the day is recent.
 
-    Recent are the last ``recent`` days on which the feature has a value. A task adds up the columns of a
-    chunk of rows by day; then a day's few pieces are put together. One row per feature and calendar day
-    is left, so what follows about dates is a window over that.
+    Recent are the last ``recent`` days on which the feature has a value. A task adds up its rows by day, a chunk
+    at a time, and returns one piece per column and day in whatever order rows come; then a day's few pieces are
+    put together. One row per feature and calendar day is left, so what follows about dates is a window over that.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _chunks(batches):
-            day = table["day"].combine_chunks()
-            # A missing day comes first, as a day of its own.
-            number = day.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
-            order = slice(None) if (np.diff(number) >= 0).all() else np.argsort(number, kind="stable")
-            at = np.flatnonzero(np.append(True, np.diff(number[order]) != 0))
-            where, rows = np.append(at, len(number)), pa.array(np.diff(np.append(at, len(number))))
-            own = day.take(pa.array(np.arange(len(number))[order][at]))
-            for i in range(len(columns)):
-                x = table[f"_x{i}"].combine_chunks().to_numpy(zero_copy_only=False)[order]
-                seen = ~np.isnan(x)
-                n = np.add.reduceat(seen.astype(np.int64), at)
-                with np.errstate(all="ignore"):
-                    mean = np.add.reduceat(np.where(seen, x, 0.0), at) / n
-                    m2 = np.add.reduceat(np.where(seen, (x - np.repeat(mean, np.diff(where))) ** 2, 0.0), at)
+    def step(numbers: Sequence[int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = None
+            for table in _chunks(batches):
+                chunk = _by_day(table, len(numbers))
+                pieces = chunk if pieces is None else _put_together(pieces, chunk)
+            if pieces is None:
+                return
+            day, rows, *kinds = pieces
+            own = pa.array(day, mask=day == _UNDATED).cast(pa.int32())
+            for i, number in enumerate(numbers):
+                n, mean, m2, low, high = (kind[:, i] for kind in kinds)
                 none = n == 0
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(at), i, np.int32)), own, rows, pa.array(n), pa.array(mean, mask=none), pa.array(m2, mask=none),
-                    pa.array(np.fmin.reduceat(x, at), mask=none), pa.array(np.fmax.reduceat(x, at), mask=none)],
+                    pa.array(np.full(len(day), number, np.int32)), own, pa.array(rows), pa.array(n),
+                    *[pa.array(np.ascontiguousarray(x), mask=none) for x in (mean, m2, low, high)]],
                     ["number", "day", "n_rows", "n", "mean", "m2", "low", "high"])
 
-    pieces = _wide(panel, columns).mapInArrow(run, "number int, day int, n_rows bigint, n bigint, mean double, m2 double, low double, high double")
+        return run
+
+    pieces = _over_parts(panel, columns, step, "number int, day int, n_rows bigint, n bigint, mean double, m2 double, low double, high double")
     same = Window.partitionBy("number", "day")
     # A single piece keeps its own mean.
     whole = F.when(F.count_if(F.col("n") > 0).over(same) > 1, F.sum(F.col("n") * F.col("mean")).over(same) / F.nullif(F.sum("n").over(same), F.lit(0))).otherwise(F.max("mean").over(same))
@@ -134,24 +190,25 @@ def feature_days(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_
                              "is_recent": (F.col("n") > 0) & (place <= recent)})
 
 
-def _counter(ends: Sequence[tuple], hist: int, kept: Sequence[np.ndarray] | None):
+def _counter(numbers: Sequence[int], ends: Sequence[tuple], hist: int, kept: Sequence[np.ndarray] | None):
     """A step over the columns of a chunk: values counted by side, bucket and bar, or only those of the ``kept`` buckets, one by one.
 
-    ``ends`` has the first recent day (from 1970), the least and the greatest value of every column.
+    ``numbers`` are those of the chunk's columns. ``ends`` has the first recent day (from 1970), the least and the greatest value of every column.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches):
             day = table["day"].combine_chunks()
             undated = day.is_null().to_numpy(zero_copy_only=False)
             day = day.fill_null(0).to_numpy()
-            for i, (start, low, high) in enumerate(ends):
+            for i, number in enumerate(numbers):
+                start, low, high = ends[number]
                 x = table[f"_x{i}"].combine_chunks().to_numpy(zero_copy_only=False) + 0.0  # no negative zero
                 dated = ~undated & ~np.isnan(x)
                 recent = np.zeros(len(x), bool) if start is None else day >= start
                 for side, rows in ((True, dated & recent), (False, dated & ~recent), (None, undated & ~np.isnan(x))):
                     mine = x[rows]
                     if kept is not None:
-                        mine = mine[np.isin(_value_bucket(mine), kept[i])]
+                        mine = mine[np.isin(_value_bucket(mine), kept[number])]
                     mine = np.sort(mine)
                     bucket, bar = _value_bucket(mine), np.full(len(mine), float(hist // 2))
                     if high > low:
@@ -161,14 +218,14 @@ def _counter(ends: Sequence[tuple], hist: int, kept: Sequence[np.ndarray] | None
                     new[1:] = mine[1:] != mine[:-1] if kept is not None else (bucket[1:] != bucket[:-1]) | (bar[1:] != bar[:-1])
                     at = np.flatnonzero(new)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(at), i, np.int32)), pa.array([side] * len(at), pa.bool_()), pa.array(bucket[at]),
+                        pa.array(np.full(len(at), number, np.int32)), pa.array([side] * len(at), pa.bool_()), pa.array(bucket[at]),
                         pa.array(bar[at].astype(np.int32)), pa.array(mine[at]), pa.array(np.diff(np.append(at, len(mine))).astype(np.int64))],
                         ["number", "is_recent", "bucket", "bar", "x", "n"])
 
     return run
 
 
-def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bins: int = PSI_BINS,
+def feature_values(panel: Panel, columns: Sequence[str], days: DataFrame, bins: int = PSI_BINS,
                    hist: int = HIST_BINS) -> tuple[DataFrame, DataFrame]:
     """All values of all columns, counted, and where the baseline's order statistics lie.
 
@@ -182,7 +239,7 @@ def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bi
     of ``hist`` bars of equal width, and (feature, bucket, first, top) of those buckets: how many
     baseline values lie below, and the place of the last one. Both are written.
     """
-    spark = panel.sparkSession
+    spark = days.sparkSession
     # One row per declared column; its numbers become constants of the pass over the panel.
     found = {r.feature: r for r in days.groupBy("feature").agg(
         F.datediff(F.min(F.when(F.col("is_recent"), F.col("day"))), F.lit("1970-01-01").cast("date")).alias("start"),
@@ -192,9 +249,8 @@ def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bi
     if not live:
         return spark.createDataFrame([], shape), spark.createDataFrame([], "feature string, bucket bigint, first bigint, top bigint")
     ends = [(found[c].start, found[c].low, found[c].high) for c in live]
-    wide = _wide(panel, live)
     cells = "number int, is_recent boolean, bucket bigint, bar int, x double, n bigint"
-    coarse = materialized(wide.mapInArrow(_counter(ends, hist, None), cells).groupBy("number", "is_recent", "bucket", "bar").agg(
+    coarse = materialized(_over_parts(panel, live, lambda numbers: _counter(numbers, ends, hist, None), cells).groupBy("number", "is_recent", "bucket", "bar").agg(
         F.min("x").alias("x"), F.sum("n").alias("n")))
     base = coarse.where("NOT is_recent").groupBy("number", "bucket").agg(F.sum("n").alias("n"))
     mine = Window.partitionBy("number")
@@ -211,7 +267,8 @@ def feature_values(panel: DataFrame, columns: Sequence[str], days: DataFrame, bi
     kept = [[] for _ in live]
     for row in places.select("number", "bucket").collect():
         kept[row.number].append(row.bucket)
-    apart = wide.mapInArrow(_counter(ends, hist, [np.array(k, np.int64) for k in kept]), cells).groupBy(
+    kept = [np.array(k, np.int64) for k in kept]
+    apart = _over_parts(panel, live, lambda numbers: _counter(numbers, ends, hist, kept), cells).groupBy(
         "number", "is_recent", "bucket", "bar", "x").agg(F.sum("n").alias("n")).withColumn("exact", F.lit(True))
     rest = coarse.join(F.broadcast(places.select("number", "bucket")), ["number", "bucket"], "left_anti").withColumn("exact", F.lit(False))
     values = apart.unionByName(rest).select(name.alias("feature"), "is_recent", "bucket", "bar", "x", "exact", "n")
@@ -263,21 +320,19 @@ def psi(values: DataFrame, places: DataFrame, days: DataFrame, bins: int = PSI_B
     return summed.join(dates, "feature").select("feature", F.when(enough, F.col("_psi")).alias("psi"))
 
 
-def drift_psi(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
-    """The stability index of the last ``recent`` dates of every column."""
-    panel = materialized(panel.select("ts", *columns))
+def drift_psi(panel: Panel, columns: Sequence[str], recent: int = RECENT_BARS) -> DataFrame:
+    """The stability index of the last ``recent`` dates of every column. The panel is read three times: pass written tables."""
     days = materialized(feature_days(panel, columns, recent))
     return psi(*feature_values(panel, columns, days), days, recent=recent)
 
 
-def feature_stats(panel: DataFrame, columns: Sequence[str], recent: int = RECENT_BARS, stale_bars: int = STALE_BARS,
+def feature_stats(panel: Panel, columns: Sequence[str], recent: int = RECENT_BARS, stale_bars: int = STALE_BARS,
                   drift_z: float = DRIFT_Z, hist: int = HIST_BINS) -> DataFrame:
     """Coverage, moments, distribution, PSI and a stable / drifting / stale verdict per feature.
 
     ``distribution`` counts values in ``hist`` bars of equal width between the extremes. A column
-    without values has coverage 0, no moments, and is stale.
+    without values has coverage 0, no moments, and is stale. The panel is read three times: pass written tables.
     """
-    panel = materialized(panel.select("ts", *columns))
     days = materialized(feature_days(panel, columns, recent))
     values, places = feature_values(panel, columns, days, hist=hist)
     n, m = F.sum("n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))

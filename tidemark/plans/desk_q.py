@@ -13,12 +13,14 @@ from tidemark.operators import replay as rep
 from tidemark.operators import reports as rpt
 from tidemark.operators import timejoin as tj
 from tidemark.operators import windows as win
+from tidemark.operators.ranks import percent_rank_columns
 from tidemark.plans.evaluation_q import AXES_CTES, AXES_SQL, axes
-from tidemark.plans.features_q import full_features
+from tidemark.plans.features_q import END, START
 from tidemark.plans.oracle_ctes import _RANK
 from tidemark.plans.registry import query, r6
 from tidemark.plans.sql_parts import metrics_sql, replay_ctes
 from tidemark.plans.stats_q import MAX_SHARPE
+from tidemark.sources.lake import materialized
 
 ASOF = "1999-06-30"
 
@@ -210,7 +212,14 @@ DRIFT = [*feat.ALL_COLUMNS, "old_vol"]
 
 
 def monitored(t):
-    return full_features(t).withColumns({"old_vol": F.when(F.col("ts") < "1998-06-01", F.col("vol_21d")), "has_coverage": F.col("has_coverage").cast("double")})
+    """The columns of ``full_features`` and ``old_vol``, in two tables: a column's drift needs no other column, so ranks stay as
+    they come out of their days, and what follows from the day or the row is not written but computed at each reading."""
+    own = materialized(feat.build_features(t.bars().select("symbol", "ts", "close", "volume"), docs=t.docs(), start=START, end=END, daily=True).select(
+        "symbol", "ts", *feat.PRICE_COLUMNS, *feat.DOCUMENT_COLUMNS))
+    ranks = materialized(percent_rank_columns(own.select("symbol", "ts", *feat.RANKED), feat.RANKED, rows=own).select(
+        "ts", *[f"xs_rank_{c}" for c in feat.RANKED]))
+    whole = feat.regime_flags(feat.with_macro(own, t.once("macro", t.macro), START, END))
+    return [whole.withColumns({"old_vol": F.when(F.col("ts") < "1998-06-01", F.col("vol_21d")), "has_coverage": F.col("has_coverage").cast("double")}), ranks]
 
 
 _PSI = f"""
