@@ -1,4 +1,5 @@
 """What queries move and keep on disk: rows are shuffled as few times and as narrow as they can be, and shuffles are given back."""
+import dataclasses
 import datetime as dt
 import glob
 import random
@@ -124,3 +125,34 @@ def test_monitored_rows_are_not_moved_by_day(spark):
         spark.conf.set(key, had)
     assert set(own.columns) | set(ranks.columns) >= set(DRIFT) and all(c == "ts" or c.startswith("xs_rank_") for c in ranks.columns)
     assert own.count() == ranks.count()
+
+
+def test_label_schemes_multiply_no_rows(spark, monkeypatch):
+    """Forecasts of all schemes against one ridge run each; written is a row per scheme and date, not per scheme and bar."""
+    import numpy as np
+
+    from tidemark.operators import models as mod
+    from tidemark.operators import panel as pan
+    from tidemark.operators import splits as spl
+
+    rng = random.Random(11)
+    gap = lambda x, p: None if rng.random() < p else float("nan") if rng.random() < p else x
+    rows = [(f"s{s}", T0 + dt.timedelta(d), rng.gauss(0, 1), gap(rng.gauss(0, 1), 0.02), gap(rng.gauss(0, 1), 0.02), gap(rng.gauss(0, 1), 0.02), gap(rng.gauss(0, 1), 0.1) if d > 4 else None)
+            for d in range(120) for s in range(12)]
+    f = spark.createDataFrame(rows, "symbol string, ts timestamp, earned double, a double, b double, y1 double, y2 double")
+    wf = spl.WalkForward(train=40, test=20, step=20, embargo=2, horizon=1)
+    schemes = {"one": pan.LabelScheme(lambda: F.col("y1"), 1), "two": pan.LabelScheme(lambda: F.col("y2") * 2, 5)}
+    written, write = [], pan.materialized
+    monkeypatch.setattr(pan, "materialized", lambda df: written.append(df.count()) or write(df))
+    out = pan.label_ablation(f, schemes, ["a", "b"], wf)
+    got = {(r.run, r.fold, r.symbol, r.ts): (r.y_true, r.y_pred, r.earned) for r in out.collect()}
+    assert max(written) <= len(schemes) * 120
+    want = {}
+    for name, s in schemes.items():
+        one = spl.with_positions(f.withColumn("y", s.label()).dropna(subset=["y", "a", "b"]))
+        fits = mod.ridge_fits(one, dataclasses.replace(wf, horizon=s.horizon), ["a", "b"])
+        test = spl.assign_folds(one, wf, ("test",)).join(fits.select("fold", "beta"), "fold").withColumn("p", mod.linear_score(["a", "b"]))
+        want |= {(name, r.fold, r.symbol, r.ts): (r.y, r.p, r.earned) for r in test.collect()}
+    assert set(got) == set(want) and len({k[:2] for k in got}) == 4 + 3
+    for k, v in want.items():
+        np.testing.assert_allclose(got[k], v, rtol=1e-9)

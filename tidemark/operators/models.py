@@ -48,6 +48,12 @@ def gram(rows: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y
     return full.groupBy(*by).agg(F.array(*cells).alias("g"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def gram_cells(columns: Sequence[str], where: Column) -> list[Column]:
+    """The cells of ``gram`` over the rows that fulfil ``where``; the last column is the target."""
+    full = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    return [F.coalesce(F.sum(F.when(where, a * b)), F.lit(0.0)) for a, b in combinations_with_replacement(full, 2)]
+
+
 def add_grams(grams: DataFrame, by: Sequence[str], width: int) -> DataFrame:
     return grams.groupBy(*by).agg(F.array(*[F.sum(F.col("g")[i]) for i in range(width)]).alias("g"), F.sum("n_rows").alias("n_rows"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as met
 from tidemark.operators import replay as rep
-from tidemark.operators.models import add_grams, gram, linear_score, solve
+from tidemark.operators.models import add_grams, gram, gram_cells, linear_score, solve
 from tidemark.operators.splits import WalkForward, assign_folds
 from tidemark.operators.stats import uniform
 from tidemark.sources.lake import materialized
@@ -184,9 +185,14 @@ def permuted_predictions(pred: DataFrame, columns: Sequence[str], features: Sequ
     return moved.select(*[score.alias(c) if c == "y_pred" else F.col(f"_r.c.{c}") if c in others else F.col(c) for c in pred.columns], "feature", "repeat")
 
 
+def sign_return(earned: str = "y_true") -> Column:
+    """Mean of what the sign of each forecast earns, as an aggregate."""
+    return F.avg(F.coalesce(F.signum("y_pred"), F.lit(0.0)) * F.col(earned))
+
+
 def sign_returns(pred: DataFrame, by: Sequence[str] = ("run",), earned: str = "y_true") -> DataFrame:
     """Mean over symbols, per bar, of what the sign of each forecast earns; no costs, no shares."""
-    return pred.groupBy(*by, "fold", "ts").agg(F.avg(F.coalesce(F.signum("y_pred"), F.lit(0.0)) * F.col(earned)).alias("ret"))
+    return pred.groupBy(*by, "fold", "ts").agg(sign_return(earned).alias("ret"))
 
 
 def permutation_importance(pred: DataFrame, columns: Sequence[str], features: Sequence[str], repeats: int = 10, seed: int = 0,
@@ -216,29 +222,32 @@ def label_ablation(features: DataFrame, schemes: Mapping[str, LabelScheme], colu
                    earned: str = "earned", alpha: float = 1.0) -> DataFrame:
     """(run, fold, symbol, ts, y_true, y_pred, earned): one ridge model per label scheme.
 
-    All labels stand beside the features, so features are computed once and all schemes' cross
-    products are one pass. Each scheme has its own complete rows, calendar and purge: its
-    horizon comes with the label. ``earned`` is what a forecast of the bar is judged by.
+    All labels stand beside the features in a bar's row, so schemes multiply nothing that is moved or written, and all
+    schemes' cross products are one aggregation by date. Each scheme has its own complete rows, calendar and purge:
+    its horizon comes with the label. ``earned`` is what a forecast of the bar is judged by. Features are read
+    twice, for the cross products and for the forecasts, and labels are computed at each reading: pass a written table.
     """
-    keep = ["symbol", "ts", earned, *columns]
-    wide = features.withColumns({f"_y{i}": s.label() for i, s in enumerate(schemes.values())})
-    cells = ", ".join(f"'{name}', CAST(_y{i} AS DOUBLE)" for i, name in enumerate(schemes))
-    tall = wide.select(*keep, F.expr(f"stack({len(schemes)}, {cells}) AS (run, y)")).dropna(subset=["y", *columns])
-    # One calendar per scheme: as many rows as there are dates.
-    days = tall.select("run", "ts").distinct()
+    labels = {f"_y{i}": s.label().cast("double") for i, s in enumerate(schemes.values())}
+    wide = features.withColumns(labels).select("symbol", "ts", earned, *columns, *labels)
+    named = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c))
+    complete = {name: reduce(lambda a, c: a & c, [named(c).isNotNull() for c in (f"_y{i}", *columns)]) for i, name in enumerate(schemes)}
+    parts = [gram_cells([*columns, f"_y{i}"], complete[name]) for i, name in enumerate(schemes)]
+    # A row per date and scheme.
+    sums = wide.groupBy("ts").agg(*[F.struct(F.lit(name).alias("run"), F.array(*cells).alias("g"), F.count_if(complete[name]).alias("n_rows")).alias(f"_s{i}")
+                                    for i, (name, cells) in enumerate(zip(schemes, parts))])
+    daily = sums.select("ts", F.explode(F.array(*[f"_s{i}" for i in range(len(schemes))])).alias("_s")).select("ts", "_s.*").where("n_rows > 0")
     per_run = Window.partitionBy("run")
-    days = days.withColumns({"pos": (F.row_number().over(per_run.orderBy("ts")) - 1).cast("bigint"), "n_days": F.count(F.lit(1)).over(per_run)})
-    rows = materialized(tall.join(days, ["run", "ts"]))
-    daily = gram(rows, ["run", "pos", "n_days"], columns, "y")
+    daily = materialized(daily.withColumns({
+        "pos": (F.row_number().over(per_run.orderBy("ts")) - 1).cast("bigint"), "n_days": F.count(F.lit(1)).over(per_run)}).where("ts IS NOT NULL"))
     width = (len(columns) + 2) * (len(columns) + 3) // 2
-    folds = None
-    for name, scheme in schemes.items():
-        part = assign_folds(daily.where(F.col("run") == name), replace(wf, horizon=scheme.horizon), ("train",))
-        folds = part if folds is None else folds.unionByName(part)
+    folds = reduce(DataFrame.unionByName, [assign_folds(daily.where(F.col("run") == name), replace(wf, horizon=scheme.horizon), ("train",))
+                                           for name, scheme in schemes.items()])
     fits = solve(add_grams(folds, ["run", "fold"], width), ["run", "fold"], columns, alpha)
-    # Schemes times calendar / step rows.
-    test = assign_folds(rows, wf, ("test",)).join(F.broadcast(fits.select("run", "fold", "beta")), ["run", "fold"])
-    return test.select("run", "fold", "symbol", "ts", F.col("y").alias("y_true"), linear_score(columns).alias("y_pred"), earned)
+    # Folds and coefficients are laid over dates: a row per scheme, date and fold it is tested in.
+    dates = assign_folds(daily.select("run", "ts", "pos", "n_days"), wf, ("test",)).join(F.broadcast(fits.select("run", "fold", "beta")), ["run", "fold"])
+    test = wide.join(F.broadcast(dates.select("run", "fold", "ts", "beta")), "ts")
+    mine = F.coalesce(*[F.when((F.col("run") == name) & complete[name], F.col(f"_y{i}")) for i, name in enumerate(schemes)])
+    return test.select("run", "fold", "symbol", "ts", mine.alias("y_true"), linear_score(columns).alias("y_pred"), earned).where("y_true IS NOT NULL")
 
 
 # --- A/B of feature builds ------------------------------------------------------------------

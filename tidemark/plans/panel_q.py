@@ -355,8 +355,8 @@ def _(t):
 
 
 #: Label schemes as callables, each with the bars it looks ahead.
-SCHEMES = {"next_bar": pan.LabelScheme(lambda: lab.forward_return(1), 1), "five_bars": pan.LabelScheme(lambda: lab.forward_return(5), 5),
-           "scaled": pan.LabelScheme(lambda: lab.forward_return(5) / F.col("vol_21d"), 5), "direction": pan.LabelScheme(lambda: F.signum(lab.forward_return(1)), 1)}
+SCHEMES = {"next_bar": pan.LabelScheme(lambda: F.col("earned"), 1), "five_bars": pan.LabelScheme(lambda: F.col("five"), 5),
+           "scaled": pan.LabelScheme(lambda: F.col("five") / F.col("vol_21d"), 5), "direction": pan.LabelScheme(lambda: F.signum("earned"), 1)}
 
 
 def _scheme_sql(name: str, y: str, gap: int) -> str:
@@ -373,12 +373,16 @@ er AS (SELECT run, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, avg(CAST(sign(y_t
 port AS (SELECT * FROM ({_SIGNED}))
 SELECT run, n_bars, total_return, sharpe, max_drawdown, {r6('rmse','rmse')}, {r6('hit_rate','hit_rate')}, n_predictions FROM ({metrics_sql('port', 'run')}) JOIN er USING (run)""")
 def _(t):
-    f = materialized(feat.price_features(t.bars()).withColumn("earned", lab.forward_return(1)))
-    pred = materialized(pan.label_ablation(f, SCHEMES, ["ret_5d", "rsi_14"], WF))
-    m = met.return_metrics(pan.sign_returns(pred, earned="earned"), ["run"])
+    # What looks ahead is taken in the windows of the price columns; only what labels and models read is written.
+    bars = t.bars().select("symbol", "ts", "close").withColumns({"earned": lab.forward_return(1), "five": lab.forward_return(5)})
+    f = materialized(feat.price_features(bars, ["ret_5d", "rsi_14", "vol_21d"]).select("symbol", "ts", "earned", "five", "ret_5d", "rsi_14", "vol_21d"))
+    pred = pan.label_ablation(f, SCHEMES, ["ret_5d", "rsi_14"], WF)
     off = F.col("y_true") - F.col("y_pred")
-    errors = pred.groupBy("run").agg(F.sqrt(F.avg(off * off)).alias("rmse"), F.avg((F.signum("y_true") == F.signum("y_pred")).cast("double")).alias("hit_rate"),
-                                     F.count(F.lit(1)).alias("n_predictions"))
+    # Forecasts are made once and not written: a row per scheme, fold and bar of the calendar is.
+    daily = materialized(pred.groupBy("run", "fold", "ts").agg(
+        pan.sign_return("earned").alias("ret"), F.sum(off * off).alias("off2"), F.sum((F.signum("y_true") == F.signum("y_pred")).cast("bigint")).alias("hits"), F.count(F.lit(1)).alias("n")))
+    m = met.return_metrics(daily.select("run", "fold", "ts", "ret"), ["run"])
+    errors = daily.groupBy("run").agg(F.sqrt(F.sum("off2") / F.sum("n")).alias("rmse"), (F.sum("hits") / F.sum("n")).alias("hit_rate"), F.sum("n").alias("n_predictions"))
     return m.join(errors, "run").select("run", "n_bars", r("total_return", "total_return", 4), *[r(c, c) for c in ("sharpe", "max_drawdown", "rmse", "hit_rate")], "n_predictions")
 
 
